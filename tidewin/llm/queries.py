@@ -1,13 +1,17 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
+from .decontamination import op7_decontamination
 from .quality_rules import op2_quality_rules
 from .sharding import op1_sharding
 from .simhash import op9_simhash
+from .token_counts import op10_token_counts
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op7_decontamination": op7_decontamination,
     "op9_simhash": op9_simhash,
+    "op10_token_counts": op10_token_counts,
 }
 
 ORACLES: dict[str, str] = {}
