@@ -8,7 +8,8 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _FALLBACK: dict[str, str] = {}
@@ -57,7 +58,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
 
 def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about `most` bytes (a longer text stands alone)."""
-    lengths = pa.compute.fill_null(pa.compute.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
+    lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
     for i, n in enumerate(lengths.tolist()):
         if total and total + n > most:
@@ -73,6 +74,11 @@ def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def held_out(id_col: str, folds: int, fold: int) -> Column:
+    """Whether a row is held out: the CRC of its id, as text, modulo the folds. A null id is not."""
+    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
+
+
 def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, component) for every node of the undirected edges; component is the smallest node.
 

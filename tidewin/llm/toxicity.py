@@ -29,10 +29,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import read, slices, stage, with_ids
+from .support import held_out, read, slices, stage, with_ids
 from .words import HashSet, word_hashes
 
 EXAMPLES = 4096
@@ -214,10 +214,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return with_ids(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
 
 
-def held_out(id_col: str, folds: int, fold: int) -> Column:
-    return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))
-
-
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with labels learnt only outside the held-out fold."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
