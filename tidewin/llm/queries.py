@@ -1,15 +1,23 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
+from .chat import op5_chat
 from .decontamination import op7_decontamination
+from .mixing import op6_mixing
+from .quality_mil import op3_quality_mil
 from .quality_rules import op2_quality_rules
 from .sharding import op1_sharding
 from .simhash import op9_simhash
 from .token_counts import op10_token_counts
+from .toxicity import op8_toxicity
 
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
+    "op3_quality_mil": op3_quality_mil,
+    "op5_chat": op5_chat,
+    "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,
+    "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
 }
