@@ -32,6 +32,7 @@ WIDTH = 3
 RADIUS = 2
 SEED = 42
 CHUNK = 1 << 16
+NAMELESS = 1 << 62  # ids are below
 #: Blocks of 16 bits; a pair within RADIUS bits differs in at most two of the four.
 BLOCKS = [(i, j) for i, j in combinations(range(4), 2)]
 
@@ -155,15 +156,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """doc_id, fp and component_id, the smallest doc_id reachable over links of at most `radius` bits."""
     prints = stage(fingerprints(docs, id_col, text_col, width), "simhash")
     classes = stage(prints.groupBy("fp").agg(F.min("doc_id").alias("rep")), "simhash-classes")
-    # A class whose rows all lack an id takes part under a name of its own below every id.
-    named = classes.withColumn("rep", F.coalesce("rep", F.lit(-(2**62)) + F.shiftrightunsigned("fp", 2)))
-    joined = connected_components(links(named, radius))
-    known = named.join(joined.withColumnRenamed("node", "rep"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
-    # An unnamed class may have been the smallest of its component: the answer is the smallest real id.
-    real = known.join(classes, "fp")
-    smallest = real.groupBy("component").agg(F.min("rep").alias("component_id"))
-    by_print = real.select("fp", "component").join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    # A class whose rows all lack an id takes part under a name of its own above every id.
+    named = classes.withColumn("rep", F.coalesce("rep", F.lit(NAMELESS) + F.shiftrightunsigned("fp", 2)))
+    joined = connected_components(links(named, radius)).withColumnRenamed("node", "rep")
+    known = named.join(joined, "rep", "left").select("fp", F.coalesce("component", "rep").alias("component_id"))
+    known = known.select("fp", F.when(F.col("component_id") < NAMELESS, F.col("component_id")).alias("component_id"))
+    return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

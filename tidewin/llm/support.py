@@ -30,12 +30,13 @@ def shared_dir(spark: SparkSession) -> str:
     return _FALLBACK[app]
 
 
-def stage(df: DataFrame, label: str) -> DataFrame:
+def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later plans start from the files,
-    so a lost executor costs a re-read and not the work above."""
+    so a lost executor costs a re-read and not the work above. Tables of ids and counts gain little from a
+    codec, whose native buffers add up over many small files; pass one for texts."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -86,15 +87,14 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     the loops, so the graph shrinks at least by half. Nothing but a row count comes to the driver.
     """
     e = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "cc-edges")
-    labels = stage(e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component")), "cc-nodes")
+    labels = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
     while not e.isEmpty():
         both = e.union(e.select(F.col("b"), F.col("a")))
-        parent = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
-        parent = stage(parent, "cc-parent")
-        above = parent.select(F.col("node").alias("up"), F.col("up").alias("top"))
-        parent = stage(parent.join(above, "up").select("node", F.col("top").alias("up")), "cc-parent")
+        low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
+        above = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        parent = stage(low.join(above, "up").select("node", F.col("top").alias("up")), "cc-parent")
         to = parent.select(F.col("node").alias("component"), F.col("up"))
-        labels = stage(labels.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component")), "cc-labels")
+        labels = labels.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
         left, right = parent.select(F.col("node").alias("a"), F.col("up").alias("x")), parent.select(F.col("node").alias("b"), F.col("up").alias("y"))
         e = e.join(left, "a").join(right, "b").where("x <> y")
         e = stage(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")

@@ -154,7 +154,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     pick = [truth.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     chosen = stage(pick[0].union(pick[1]), "tox-examples")  # at most 2 x examples rows
-    sample = stage(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]), "tox-texts")
+    sample = stage(rows.join(F.broadcast(chosen), "doc_id").dropDuplicates(["text"]), "tox-texts", "zstd")
 
     def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
