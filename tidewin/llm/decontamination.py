@@ -20,13 +20,14 @@ from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import read, slices, with_ids
+from .support import keep_rows, read, slices, with_ids
 from .words import HashSet, powers, shingle_hashes, word_hashes
 
 SEED_WORDS = 5
@@ -137,19 +138,22 @@ class Benchmark:
                     yield r, k, share, len(laid), max(n for *_, n in laid)
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", coverage: float = COVERAGE, seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles and longest_tile of every contaminated document and its items."""
+def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS) -> Iterator[Benchmark]:
+    """The items in blocks of block_items, up to the unevenness of a hash; one block at a time is held."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
-    rows = with_ids(docs, id_col, text_col)
-    blocks = max(1, -(-items.count() // block_items))
-    found = None
-    for b in range(blocks):
-        # A block is bounded by block_items up to the hash's unevenness.
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == b).toLocalIterator()]
+    n = max(1, -(-items.count() // block_items))
+    for b in range(n):
+        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()]
         part.sort(key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        block = Benchmark([x[0] for x in part], [x[1] for x in part], seed_words)
+        yield Benchmark([x[0] for x in part], [x[1] for x in part], seed_words)
+
+
+def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
+    """doc_id, item_id, coverage, n_tiles and longest_tile of every contaminated document and its items."""
+    rows = with_ids(docs, id_col, text_col)
 
-        def run(batches: Iterator[pa.RecordBatch], block: Benchmark = block) -> Iterator[pa.RecordBatch]:
+    def against(block: Benchmark) -> DataFrame:
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", BATCH_BYTES):
                     hits = list(block.matches(batch.column(1), coverage))
@@ -159,9 +163,23 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
                         ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                     )
 
-        one = rows.mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int")
-        found = one if found is None else found.union(one)
-    return found
+        return rows.mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int")
+
+    return reduce(DataFrame.union, map(against, blocks(benchmark, **how)))
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
+    """The documents, with all their columns, that no item contaminates."""
+
+    def without(docs: DataFrame, block: Benchmark) -> DataFrame:
+        def keep(texts: pa.Array) -> np.ndarray:
+            clean = np.ones(len(texts), bool)
+            clean[[h[0] for h in block.matches(texts, coverage)]] = False
+            return clean
+
+        return keep_rows(docs, text_col, keep, BATCH_BYTES)
+
+    return reduce(without, blocks(benchmark, **how), docs)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
 from .passages import WIDTH, encode
 from .support import read, slices, stage, text_bytes, with_ids
@@ -105,19 +106,21 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     return model.fit(np.stack([r[2] for r in found]).astype(float).reshape(-1, WIDTH), np.array([domains.index(r[1]) for r in found])) if found else model
 
 
-def posteriors(docs: DataFrame, model: DomainModel, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tokens and p0, p1, .. by domain."""
+def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> DataFrame:
+    """The rows with tokens and p0, p1, .. by domain; `docs` must not have columns of these names."""
     names = [f"p{k}" for k in range(len(model.domains))]
+    at = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
-                x, _ = encode(batch.column(1), WHOLE)
+            for batch in slices(whole, at, BATCH_BYTES):
+                x, _ = encode(batch.column(at), WHOLE)
                 # Nine digits, so that sums do not depend on a machine's last bits.
                 p = np.round(model.posterior(x), 9)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(count_tokens(batch.column(1))), *(pa.array(c, pa.float64()) for c in p.T)], ["doc_id", "tokens", *names])
+                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_tokens(batch.column(at))), *(pa.array(c, pa.float64()) for c in p.T)], [*batch.schema.names, "tokens", *names])
 
-    return with_ids(docs, id_col, text_col).mapInArrow(run, "doc_id long, tokens long, " + ", ".join(f"{n} double" for n in names))
+    kinds = StructType([*docs.schema, StructField("tokens", LongType()), *(StructField(n, DoubleType()) for n in names)])
+    return docs.mapInArrow(run, kinds)
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
@@ -155,15 +158,21 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, tokens, posterior (in the order of the sorted domains) and rate of every document."""
     model = fit_domains(docs, labelled, targets, id_col, text_col)
-    table = stage(posteriors(docs, model, id_col, text_col), "mix-posteriors")
+    table = stage(posteriors(with_ids(docs, id_col, text_col), model).drop("text"), "mix-posteriors")
     rate, _ = fit_rates(table, targets, budget)
     return table.select("doc_id", "tokens", F.array(*[f"p{k}" for k in range(len(model.domains))]).alias("posterior"), rate.alias("rate"))
 
 
-def copies(rate: Column, key: Column) -> Column:
-    """A whole number of copies whose expectation is the rate, from a hash of the key."""
-    u = F.pmod(F.xxhash64(key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return (F.floor(rate) + (u < rate - F.floor(rate)).cast("long")).cast("int")
+def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, each kept with the probability of its rate (by a hash of its id
+    and text), under the greatest budget that repeats no domain. Rows with equal ids and texts share a fate."""
+    model = fit_domains(docs, labelled, targets, id_col, text_col)
+    names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the posteriors'
+    key = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
+    table = stage(posteriors(docs.toDF(*names), model, names[docs.columns.index(text_col)]), "mix-documents", "zstd")
+    rate, _ = fit_rates(table, targets, budget=-1)
+    u = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
+    return table.where(u < rate).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -7,6 +7,7 @@ from .quality_mil import op3_quality_mil
 from .quality_rules import op2_quality_rules
 from .sharding import op1_sharding
 from .simhash import op9_simhash
+from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op8_toxicity
 
@@ -14,6 +15,7 @@ QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_quality_rules": op2_quality_rules,
     "op3_quality_mil": op3_quality_mil,
+    "op4_suffix_dedup": op4_suffix_dedup,
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op7_decontamination": op7_decontamination,

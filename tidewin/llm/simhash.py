@@ -164,6 +164,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, with all their columns, less all but the one with the smallest id of each component;
+    of rows that share an id one stays, and rows without an id all stay."""
+    first = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    names = [f"_{i}" for i in range(len(docs.columns))]
+    rows = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+    with_id = rows.where("_id is not null").join(first, "_id", "left_semi").dropDuplicates(["_id"])
+    return with_id.unionByName(rows.where("_id is null")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Fingerprint and component of every document."""
     found = near_duplicates(spark.read.parquet(f"{sf_dir}/documents.parquet"))

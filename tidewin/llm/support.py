@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -57,7 +57,7 @@ def text_bytes(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarr
     return data[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most: int) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, text: str | int, most: int) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows whose texts hold about `most` bytes (a longer text stands alone)."""
     lengths = pc.fill_null(pc.binary_length(batch.column(text)), 0).to_numpy(zero_copy_only=False)
     begin, total = 0, 0
@@ -75,6 +75,18 @@ def with_ids(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
 
 
+def keep_rows(docs: DataFrame, text_col: str, keep: Callable[[pa.Array], np.ndarray], most: int = 4 << 20) -> DataFrame:
+    """The rows, with all their columns, whose text `keep` marks; nothing is shuffled."""
+    at = docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for batch in slices(whole, at, most):
+                yield batch.filter(pa.array(keep(batch.column(at)), pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(id_col: str, folds: int, fold: int) -> Column:
     """Whether a row is held out: the CRC of its id, as text, modulo the folds. A null id is not."""
     return F.coalesce(F.crc32(F.col(id_col).cast("string").cast("binary")) % folds == fold, F.lit(False))

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import held_out, read, slices, stage, with_ids
+from .support import held_out, keep_rows, read, slices, stage, with_ids
 from .words import HashSet, word_hashes
 
 EXAMPLES = 4096
@@ -214,6 +214,16 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
     return with_ids(docs, id_col, text_col).mapInArrow(run, "doc_id long, score double, evidence array<struct<doc_id:long,similarity:double,label:int>>")
 
 
+def reject(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The documents, with all their columns, that score below the threshold."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # bounded by 2 x examples x terms
+
+    def keep(texts: pa.Array) -> np.ndarray:
+        return np.array([shared.value.score(t, c)[0] < threshold for t, c in term_counts(texts, shared.value.terms)], bool)
+
+    return keep_rows(docs, text_col, keep, BATCH_BYTES)
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Toxicity of every document, with labels learnt only outside the held-out fold."""
     docs, labels = read(spark, sf_dir, "documents"), read(spark, sf_dir, "labels")
