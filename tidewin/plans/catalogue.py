@@ -1,4 +1,7 @@
 """Every query of the library by name, with its SQL twin where there is one."""
 
-QUERIES = {}
-ORACLES = {}
+from . import evaluation_queries, window_queries
+
+_PARTS = (window_queries, evaluation_queries)
+QUERIES = {name: f for part in _PARTS for name, f in part.QUERIES.items()}
+ORACLES = {name: sql for part in _PARTS for name, sql in part.ORACLES.items()}
