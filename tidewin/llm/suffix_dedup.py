@@ -46,6 +46,8 @@ PIECE = 32
 RUN = 96
 HOT = 50_000
 BATCH_BYTES = 4 << 20
+#: Hashing works on pieces that fit a core's cache.
+SCAN_BYTES = 1 << 18
 HELD_BYTES = 48 << 20
 SPAN = np.dtype([("min", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("self", "?")])
 NO_ID = -(1 << 63)
@@ -144,7 +146,8 @@ def joined(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> tuple[np.nda
 class SuffixTree:
     """The enhanced suffix array of several byte strings, down to a depth, and its interval tree."""
 
-    def __init__(self, texts: list[bytes], depth: int):
+    def __init__(self, texts: list[bytes], depth: int, among: np.ndarray | None = None):
+        """`among` limits the suffix array to these positions of the texts end to end."""
         self.texts, sizes = texts, np.array([len(t) for t in texts], np.int64)
         data = np.frombuffer(b"".join(texts), np.uint8).astype(np.int64) + 1
         n = len(data)
@@ -165,10 +168,11 @@ class SuffixTree:
             after[: max(n - step, 0)] = np.where(self.left[: max(n - step, 0)] > step, rank[step:], 0)
             size += step
             self.ranks[size] = np.unique(rank * (n + 2) + after, return_inverse=True)[1] + 1
-        self.array = np.argsort(self.ranks[size], kind="stable")
+        among = np.arange(n) if among is None else among
+        self.array = among[np.argsort(self.ranks[size][among], kind="stable")]
         a, b = self.array[:-1], self.array[1:]
         most = np.minimum(np.minimum(self.left[a], self.left[b]), depth)
-        self.common = np.zeros(max(n - 1, 0), np.int64)
+        self.common = np.zeros(len(a), np.int64)
         for size in sorted(self.ranks, reverse=True):
             i, j = a + self.common, b + self.common
             fits = self.common + size <= most
@@ -210,8 +214,21 @@ class SuffixTree:
 
 
 def tree_repeats(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Intervals of all but the earliest occurrence in each maximal repeat of the texts."""
-    tree = SuffixTree(texts, max(map(len, texts)))
+    """Intervals of all but the earliest occurrence in each maximal repeat of the texts. Strings of the least length
+    that have no equal by hash can't be in one: texts without such a string stay out of the tree."""
+    sizes = np.array([len(t) for t in texts], np.int64)
+    starts = np.maximum(sizes - length + 1, 0)
+    of = np.repeat(np.arange(len(texts)), starts)
+    at = np.arange(starts.sum()) - np.repeat(np.cumsum(starts) - starts, starts)
+    hashes = window_hashes(np.frombuffer(b"".join(texts), np.uint8), [length])[length]
+    _, same, count = np.unique(hashes[(np.cumsum(sizes) - sizes)[of] + at], return_inverse=True, return_counts=True)
+    twin = count[same] > 1
+    of, at = of[twin], at[twin]
+    used = np.unique(of)
+    texts, doc, start, sizes = [texts[i] for i in used.tolist()], doc[used], start[used], sizes[used]
+    if not texts:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    tree = SuffixTree(texts, max(map(len, texts)), (np.cumsum(sizes) - sizes)[np.searchsorted(used, of)] + at)
     out: list[tuple[np.ndarray, np.ndarray, int]] = []
     for size, at in tree.maximal_repeats(length):
         d, s = doc[tree.text[at]], start[tree.text[at]] + at - tree.begin[tree.text[at]]
@@ -232,13 +249,34 @@ def _intervals(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.Recor
     return pa.RecordBatch.from_arrays([pa.array(doc[at]), pa.array(packed, pa.binary())], ["doc", "cut"])
 
 
+#: How spans travel: column by column, the minimizer by 32 bits (others that share them only ask for more bytes).
+_TRAVEL = (("min", "<u4"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<u4"), ("size", "<u2"))
+_WIDTH = sum(np.dtype(kind).itemsize for _, kind in _TRAVEL)
+
+
+def pack(found: np.ndarray) -> bytes:
+    marked = found["size"] | found["self"].astype(np.int32) << 15
+    return b"".join((marked if name == "size" else found[name]).astype(kind).tobytes() for name, kind in _TRAVEL)
+
+
+def unpack(raw: bytes) -> np.ndarray:
+    n, at = len(raw) // _WIDTH, 0
+    out = np.zeros(n, SPAN)
+    for name, kind in _TRAVEL:
+        out[name] = np.frombuffer(raw, kind, n, at)
+        at += n * np.dtype(kind).itemsize
+    out["self"] = out["size"] >> 15
+    out["size"] &= 0x7FFF
+    return out
+
+
 def _deal(found: np.ndarray, shards: int) -> tuple[list[int], list[bytes]]:
     """Spans packed by shard."""
     shard = (spread(found["min"]) % _U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     found, shard = found[order], shard[order]
     at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(found) else np.zeros(0, int)
-    return shard[at].tolist(), [p.tobytes() for p in np.split(found, at[1:])] if len(found) else []
+    return shard[at].tolist(), [pack(p) for p in np.split(found, at[1:])] if len(found) else []
 
 
 def _identified(column: pa.Array) -> np.ndarray:
@@ -246,9 +284,10 @@ def _identified(column: pa.Array) -> np.ndarray:
 
 
 def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
-    """(doc, cut): packed intervals of repeats by document, in pieces; a null id is NO_ID."""
-    spark = rows.sparkSession
-    width = shuffle_width(spark)
+    """(doc, cut): packed intervals of repeats by document, in pieces, of rows (doc, doc_id, text)."""
+    if not PIECE <= length <= 30_000:
+        raise ValueError(f"the length must be from {PIECE} to 30000 bytes")
+    width = shuffle_width(rows.sparkSession)
     shards = 8 * width
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -258,12 +297,13 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             first, again = settle(np.concatenate(held) if held else np.zeros(0, SPAN))
             own = _intervals(again["doc"], again["start"], again["start"] + again["size"])
             shard, packed = _deal(first, shards)
-            none = lambda n, kind: pa.nulls(n, kind)
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([none(own.num_rows, pa.int64()), pa.array(shard, pa.int64())]), pa.concat_arrays([own.column(0), none(len(shard), pa.int64())]), pa.concat_arrays([own.column(1), pa.array(packed, pa.binary())])], ["shard", "doc", "data"])
+            # Repeats that are settled already travel along, spread over the shards by document.
+            near = pa.array((own.column(0).to_numpy() % shards).astype(np.int64))
+            yield pa.RecordBatch.from_arrays([pa.concat_arrays([near, pa.array(shard, pa.int64())]), pa.concat_arrays([own.column(0), pa.nulls(len(shard), pa.int64())]), pa.concat_arrays([own.column(1), pa.array(packed, pa.binary())])], ["shard", "doc", "data"])
 
         size = 0
         for whole in batches:
-            for batch in slices(whole, "text", BATCH_BYTES):
+            for batch in slices(whole, "text", SCAN_BYTES):
                 data, offsets = text_bytes(batch.column(1))
                 held.append(spans(data, offsets, _identified(batch.column(0)), length))
                 size += held[-1].nbytes
@@ -275,10 +315,14 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[bytes]] = {}
         for batch in batches:
-            for shard, packed in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            doc = batch.column(1)
+            done = batch.filter(doc.is_valid())
+            yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.nulls(done.num_rows, pa.binary()), pa.nulls(done.num_rows, pa.binary())], ["doc", "cut", "want", "hot"])
+            fresh = batch.filter(doc.is_null())
+            for shard, packed in zip(fresh.column(0).to_pylist(), fresh.column(2).to_pylist(), strict=True):
                 parts.setdefault(shard, []).append(packed)
         for shard in sorted(parts):
-            first, again = settle(np.frombuffer(b"".join(parts.pop(shard)), SPAN))
+            first, again = settle(np.concatenate([unpack(p) for p in parts.pop(shard)]))
             cut = _intervals(again["doc"], again["start"], again["start"] + again["size"])
             # Different spans under one minimizer: their bytes are wanted.
             group = np.r_[0, np.cumsum(first["min"][1:] != first["min"][:-1])] if len(first) else np.zeros(0, int)
@@ -289,7 +333,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             order = np.argsort(want["doc"], kind="stable")
             want, hot = want[order], hot[order]
             at = np.flatnonzero(np.r_[True, want["doc"][1:] != want["doc"][:-1]]) if len(want) else np.zeros(0, int)
-            asked = [(w.tobytes(), h.tobytes()) for w, h in zip(np.split(want, at[1:]), np.split(hot, at[1:]), strict=True)] if len(want) else []
+            asked = [(pack(w), h.tobytes()) for w, h in zip(np.split(want, at[1:]), np.split(hot, at[1:]), strict=True)] if len(want) else []
             n, m = cut.num_rows, len(asked)
             yield pa.RecordBatch.from_arrays(
                 [pa.concat_arrays([cut.column(0), pa.array(want["doc"][at] if m else [], pa.int64())]), pa.concat_arrays([cut.column(1), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([a for a, _ in asked], pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.binary()), pa.array([h for _, h in asked], pa.binary())])],
@@ -302,7 +346,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 held: dict[int, list[tuple[int, int, int, bytes]]] = {}
                 for doc, text, wants, hots in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wants", "hots")), strict=True):
                     raw = (text or "").encode("utf-8")
-                    want = np.frombuffer(b"".join(wants), SPAN)
+                    want = np.concatenate([unpack(w) for w in wants])
                     hot = np.frombuffer(b"".join(hots), bool)
                     for (low, _, _, start, size, _), single in zip(want.tolist(), hot.tolist(), strict=True):
                         piece = raw[start : start + size]
@@ -319,7 +363,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 packed = []
                 for k in keys:
                     meta = np.array([(k, 0, d, s, z, False) for d, s, z, _ in held[k]], SPAN)
-                    packed.append((meta.tobytes(), b"".join(p for *_, p in held[k])))
+                    packed.append((pack(meta), b"".join(p for *_, p in held[k])))
                 yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["shard", "meta", "bytes"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -329,7 +373,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                 parts.setdefault(shard, []).append((meta, raw))
         for shard in sorted(parts):
             metas, raws = zip(*parts.pop(shard), strict=True)
-            meta, raw = np.frombuffer(b"".join(metas), SPAN), b"".join(raws)
+            meta, raw = np.concatenate([unpack(m) for m in metas]), b"".join(raws)
             at = np.r_[0, np.cumsum(meta["size"])]
             order = np.lexsort((meta["start"], meta["doc"]))
             texts, doc, start, seen = [], [], [], {}
@@ -348,22 +392,20 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             more = np.array(extra, np.int64).reshape(-1, 3)
             yield _intervals(np.r_[d, more[:, 0]], np.r_[s, more[:, 1]], np.r_[e, more[:, 2]])
 
-    keyed = rows.select(F.coalesce("doc_id", F.lit(NO_ID)).cast("long").alias("doc"), "text")
-    found = stage(rows.mapInArrow(scan, "shard long, doc long, data binary"), "repeat-spans", "zstd")
-    dealt = found.where("shard is not null").select("shard", "data").repartition(width, "shard")
-    settled = stage(dealt.mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
+    found = rows.select("doc", "text").mapInArrow(scan, "shard long, doc long, data binary")
+    settled = stage(found.repartition(width, "shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
     asked = settled.where("want is not null").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("want", "hot"))).alias("w")).select("doc", F.col("w.want").alias("wants"), F.col("w.hot").alias("hots"))
-    pieces = keyed.join(asked, "doc").select("doc", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary")
+    # doc_id rides along unread: so this shuffle of the texts is the one that the caller's join needs again.
+    pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary")
     grown = pieces.repartition(width, "shard").mapInArrow(trees, "doc long, cut binary")
-    own = found.where("doc is not null").select("doc", F.col("data").alias("cut"))
-    return own.unionByName(settled.where("cut is not null").select("doc", "cut")).unionByName(grown)
+    return settled.where("cut is not null").select("doc", "cut").unionByName(grown)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes)."""
-    rows = with_ids(docs, id_col, text_col)
+    rows = with_ids(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text")
     cuts = repeats(rows, length).groupBy("doc").agg(F.collect_list("cut").alias("cuts"))
-    both = rows.withColumn("doc", F.coalesce("doc_id", F.lit(NO_ID))).join(cuts, "doc", "left").select("doc_id", "text", "cuts")
+    both = rows.join(cuts, "doc", "left").select("doc_id", "text", "cuts")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
