@@ -343,7 +343,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                held: dict[int, list[tuple[int, int, int, bytes]]] = {}
+                held: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
                 for doc, text, wants, hots in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wants", "hots")), strict=True):
                     raw = (text or "").encode("utf-8")
                     want = np.concatenate([unpack(w) for w in wants])
@@ -353,18 +353,15 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                         if len(piece) < length:
                             continue
                         if not single:
-                            held.setdefault(low, []).append((doc, start, size, piece))
+                            held.setdefault(low % shards, []).append((low, doc, start, size, piece))
                             continue
                         for i, key in enumerate(window_hashes(np.frombuffer(piece, np.uint8), [length])[length].tolist()):
-                            # A batch's later equal strings are still sent: only their bytes repeat.
-                            held.setdefault(key, []).append((doc, start + i, length, piece[i : i + length]))
-                keys = sorted(held)
-                shard = [int(k % shards) for k in keys]
-                packed = []
-                for k in keys:
-                    meta = np.array([(k, 0, d, s, z, False) for d, s, z, _ in held[k]], SPAN)
-                    packed.append((pack(meta), b"".join(p for *_, p in held[k])))
-                yield pa.RecordBatch.from_arrays([pa.array(shard, pa.int64()), pa.array([p[0] for p in packed], pa.binary()), pa.array([p[1] for p in packed], pa.binary())], ["shard", "meta", "bytes"])
+                            held.setdefault(key % shards, []).append((key, doc, start + i, length, piece[i : i + length]))
+                metas, raws = [], []
+                for shard in sorted(held):
+                    metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
+                    raws.append(b"".join(p for *_, p in held[shard]))
+                yield pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.int64()), pa.array(metas, pa.binary()), pa.array(raws, pa.binary())], ["shard", "meta", "bytes"])
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[bytes, bytes]]] = {}
