@@ -93,7 +93,7 @@ def per_row(rows: DataFrame, keep: list[str], arguments: list[str], function: Ca
     """The kept columns and, for each dict that function(*arguments) lists, its values; floats that are NaN are
     NULL. For kernels that walk a signal sample by sample."""
     fields = [part.split()[0] for part in schema.split(",")]
-    kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_()}
+    kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
     types = {part.split()[0]: kinds[part.split()[1]] for part in schema.split(",")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
