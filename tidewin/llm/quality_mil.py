@@ -36,7 +36,7 @@ RATE = 0.01
 DECAY = 1e-4
 SEED = 7
 THRESHOLD = 0.7
-BATCH_BYTES = 2 << 20
+BATCH_BYTES = 1 << 19
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
