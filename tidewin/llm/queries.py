@@ -3,6 +3,7 @@
 from .chat import op5_chat
 from .decontamination import op7_decontamination
 from .mixing import op6_mixing
+from .oracles import ORACLES
 from .quality_mil import op3_quality_mil
 from .quality_rules import op2_quality_rules
 from .sharding import op1_sharding
@@ -24,4 +25,4 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
 }
 
-ORACLES: dict[str, str] = {}
+__all__ = ["ORACLES", "QUERIES"]
