@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.identity import seed_for
@@ -58,6 +59,17 @@ def context_measurements(rows: DataFrame, keep: list[str], samples: str, seed: i
     return per_row(rows, keep, [samples], lambda x: [K.measurements(np.array(x if x is not None else []), seed)], schema)
 
 
+def record_measurements(contexts: DataFrame, keys: list[str], samples: str = "samples", seed: int = 42) -> DataFrame:
+    """`context_measurements` of a table that holds the keys, the reason and the samples and nothing else: labels can't
+    enter. A context whose reason is not ok is reported with it and not measured."""
+    if set(contexts.columns) != {*keys, "context_reason", samples}:
+        raise ValueError("only keys, context_reason and samples are accepted")
+    usable = contexts.withColumn(samples, F.when(F.col("context_reason") == "ok", F.col(samples)))
+    out = context_measurements(usable, [*keys, "context_reason"], samples, seed)
+    bad = F.col("context_reason") != "ok"
+    return out.withColumns({r: F.when(bad, F.col("context_reason")).otherwise(F.col(r)) for r in ("sr_reason", "cr_reason")})
+
+
 def replicated_means(rows: DataFrame, keep: list[str], samples: str, seeds: tuple[int, ...]) -> DataFrame:
     return per_row(rows, keep, [samples], lambda x: [K.sr_mean(np.array(x if x is not None else []), list(seeds))], "value double, missing int, reason string, valid_trials int")
 

@@ -156,3 +156,9 @@ def stratified_split(rows: DataFrame, label: str, key: str, test_share: float =
 def robustness(rows: DataFrame, by: list[str]) -> DataFrame:
     """Decision changes, mean absolute change of the score and errors against the clean rows' columns."""
     return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("windows"), F.count_if(F.col("prediction") != F.col("clean_prediction")).alias("decision_changes"), F.avg(F.abs(F.col("score") - F.col("clean_score"))).alias("mean_absolute_change"), F.count_if(F.col("prediction") != F.col("label")).alias("errors"), F.sum("label").alias("positive"))
+
+
+def feature_changes(long: DataFrame, clean: DataFrame, keys: list[str], by: list[str]) -> DataFrame:
+    """Mean absolute change of each feature against its clean value, and the mean absolute clean value, by `by`."""
+    both = long.join(clean.select(*keys, "feature", F.col("value").alias("_clean")), [*keys, "feature"])
+    return both.groupBy(*by, "feature").agg(F.avg(F.abs(F.col("value") - F.col("_clean"))).alias("mean_absolute_change"), F.avg(F.abs("_clean")).alias("mean_clean_absolute_value"))

@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.identity import fingerprint
+from . import evaluation
 from .transforms import FeatureTransform
 
 SEED = 42
@@ -185,10 +186,12 @@ class Student:
         return self
 
 
-def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...], teacher: str | None = None, epochs: int = 40, most_rows: int = 2_000_000) -> DataFrame:
+def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...], teacher: str | None = None, epochs: int = 40, most_rows: int = 2_000_000, only: list | None = None) -> DataFrame:
     """(key, test_group, seed, label, score): out-of-fold scores of a student for each held-out group and seed, with
-    imputation and scaling fitted inside the fold. `teacher` names a column of probabilities to distil."""
+    imputation and scaling fitted inside the fold. `teacher` names a column of probabilities to distil; `only` limits
+    the held-out groups."""
     groups = rows.select(F.col(group).alias("test_group")).distinct()
+    groups = groups.where(F.col("test_group").isin(only)) if only else groups
     if rows.count() > most_rows:
         raise ValueError(f"a fold's training rows must not exceed {most_rows}")
     jobs = rows.join(F.broadcast(groups)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
@@ -214,6 +217,38 @@ def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, see
     return jobs.groupBy("test_group", "seed").applyInPandas(fold, f"{key} {kinds[key]}, test_group {kinds[group]}, seed int, label {kinds['label']}, score double")
 
 
+def distil(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...] = (SEED,), k: int = TOP, epochs: int = 40, teacher: str = "boosted_trees", **how) -> DataFrame:
+    """Leave-one-group-out distillation: in each fold a teacher of the training groups names the k best columns and
+    gives the soft targets, and students learn from those columns alone. `arm` is supervised or distilled."""
+    out = None
+    for g in [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]:
+        train = rows.where(F.col(group) != g)
+        fitted = Classifier.fit(teacher, train, columns, **how)
+        best = select_top(fitted.importance(), k)
+        soft = rows.join(fitted.score(rows, [key]).withColumnRenamed("score", "_teacher"), key)
+        for arm, name in (("supervised", None), ("distilled", "_teacher")):
+            part = student_folds(soft, best, group, key, seeds, name, epochs, only=[g]).withColumn("arm", F.lit(arm))
+            out = part if out is None else out.unionByName(part)
+    return out
+
+
+def random_search(rows: DataFrame, columns: list[str], group: str, name: str, space: dict[str, list], draws: int, seed: int = SEED) -> DataFrame:
+    """Mean out-of-group average precision of `draws` random settings (without repetition), best first. Settings and
+    folds are few and run one by one; this is selection by outer folds, as in the archived study, and not nested."""
+    rng, tried = np.random.default_rng(seed), []
+    size = int(np.prod([len(v) for v in space.values()]))
+    for at in sorted(rng.choice(size, min(draws, size), replace=False).tolist()):
+        setting = {}
+        for key, values in space.items():
+            at, k = divmod(at, len(values))
+            setting[key] = values[k]
+        scores = leave_one_out(rows, columns, group, name, [group, "label"], **setting)
+        value = evaluation.areas(scores, [group]).agg(F.avg("average_precision").alias("v")).first().v
+        tried.append((json.dumps(setting, sort_keys=True), value))
+    tried.sort(key=lambda t: (-(t[1] or 0), t[0]))
+    return rows.sparkSession.createDataFrame(tried, "setting string, average_precision double")
+
+
 def parity(a: DataFrame, b: DataFrame, keys: list[str], rtol: float = 1e-5, atol: float = 1e-7) -> DataFrame:
     """Keys on one side only, or whose score differs beyond the tolerance or whose decision differs."""
     both = a.select(*keys, F.col("score").alias("_a"), F.col("prediction").alias("_pa")).join(b.select(*keys, F.col("score").alias("_b"), F.col("prediction").alias("_pb")), keys, "full_outer")

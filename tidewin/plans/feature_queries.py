@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import feature_part, ratio
+from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import relational as R
 from . import base as B
@@ -136,7 +137,44 @@ def top_features(spark: S, sf: str) -> D:
     return R.top(each, 20, "importance", "name")
 
 
-QUERIES = {f.__name__: f for f in (time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
+def feature_changes(spark: S, sf: str) -> D:
+    """Time features of strided signals against the clean ones, by stride."""
+    names = list(K.MEASURES["time"])
+
+    def measured(stride: int) -> D:
+        kept = F.filter("samples", lambda _, i: i % stride == 0) if stride > 1 else F.col("samples")
+        wide = X.per_signal(signals(spark, sf).withColumn("samples", kept), ["vec_id"], "samples", lambda x: dict(zip(names, K.time_features(x).T, strict=True)), names)
+        return X.features_long(wide, ["vec_id"]).withColumn("stride", F.lit(stride))
+
+    return rounded(E.feature_changes(measured(2).unionByName(measured(4)), measured(1), ["vec_id"], ["stride"]))
+
+
+def _recording(spark: S, sf: str) -> D:
+    """One hour of 22 channels at 256 Hz, as 900 windows of 1,024 samples each: waves with pseudo-random phases."""
+    i = F.sequence(F.lit(0), F.lit(1023))
+    base = spark.range(0, 22 * 900, 1, 48).select((F.col("id") % 22).cast("int").alias("channel"), F.floor(F.col("id") / 22).cast("int").alias("window"), F.col("id"))
+    wave = F.transform(i, lambda k: (F.sin((k + F.col("id") * 7) * 0.25) + F.sin((k * (3 + F.col("id") % 5) + F.col("id")) * 0.11) + F.pmod((k + 1) * 7919 + F.col("id") * 104729, F.lit(1009)) / 1009.0) * 1e-5)
+    return base.select("window", F.format_string("C%02d", "channel").alias("channel"), wave.alias("samples"))
+
+
+def recording_features(spark: S, sf: str) -> D:
+    """All 330 features of an hour of 22 channels: 900 rows."""
+    long = X.features_long(X.window_features(_recording(spark, sf), ["window", "channel"], "samples", 256.0), ["window", "channel"])
+    return X.features_wide(long, ["window"], "channel", [f"C{k:02d}" for k in range(22)])
+
+
+def recording_filter(spark: S, sf: str) -> D:
+    """Notch and band-pass over an hour of 22 channels: each channel's deviation before and after."""
+    i = F.sequence(F.lit(0).cast("long"), F.lit(3600 * 256 - 1).cast("long"))
+    whole = spark.range(0, 22, 1, 22).select(F.col("id").cast("int").alias("channel"), F.transform(i, lambda k: (F.sin(k * 0.25) + F.pmod((k + 1) * 7919 + F.col("id"), F.lit(1009)) / 1009.0) * 1e-5).alias("samples"))
+
+    def kernel(x):
+        return {"before": x.std(axis=1), "after": K.preprocess(x, 256.0).std(axis=1)}
+
+    return rounded(X.per_signal(whole, ["channel"], "samples", kernel, ["before", "after"]), 9)
+
+
+QUERIES = {f.__name__: f for f in (feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
 
 _X = "x AS (SELECT vec_id, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i))"
 
@@ -172,5 +210,6 @@ ORACLES = {
     "spectral_slope": f"{_W64} SELECT vec_id, round(regr_slope(log10(p), log10(f)), 6)::DOUBLE AS slope FROM psd WHERE f >= 1 AND f <= 32 GROUP BY vec_id",
     "psd_validity": f"{_W32} SELECT vec_id, bool_and(p >= 0) AND sum(p) > 0 AS valid, count(*) AS bins FROM psd GROUP BY vec_id",
     "standardised_mean": f"WITH {_X} SELECT vec_id, round((max(v) FILTER (k = 0) - avg(v)) / stddev_pop(v), 6) AS first, 1.0::DOUBLE AS sd FROM x GROUP BY vec_id",
+    "feature_changes": f"WITH {_X}, k AS (SELECT x.*, s.n AS stride, lag(v) OVER (PARTITION BY vec_id, s.n ORDER BY k) AS b FROM x, (VALUES (1), (2), (4)) s(n) WHERE k % s.n = 0), m AS (SELECT vec_id, stride, avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, sum(abs(v - b)) AS line_length FROM k GROUP BY 1, 2), l AS (" + " UNION ALL ".join(f"SELECT vec_id, stride, '{n}' AS feature, {n} AS value FROM m" for n in K.MEASURES["time"]) + ") SELECT a.stride::INT AS stride, a.feature, round(avg(abs(a.value - c.value)), 6) AS mean_absolute_change, round(avg(abs(c.value)), 6) AS mean_clean_absolute_value FROM l a JOIN l c ON a.vec_id = c.vec_id AND a.feature = c.feature AND c.stride = 1 AND a.stride > 1 GROUP BY 1, 2",
     "stride_preservation": f"{_LINES} SELECT vec_id, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(sqrt(avg((x - y) * (x - y))) / stddev_pop(x), 6) AS normalized_rmse, round(corr(x, y), 6) AS correlation FROM line GROUP BY vec_id",
 }

@@ -214,6 +214,29 @@ def distilled_student(spark: S, sf: str) -> D:
     return rounded(M.student_folds(f, COLUMNS, "patient", "vec_id", (42,), teacher="teacher", epochs=10), 4)
 
 
+def teacher_students(spark: S, sf: str) -> D:
+    """Supervised and distilled students on the four columns that each fold's teacher names."""
+    return rounded(M.distil(_frame(spark, sf), COLUMNS, "patient", "vec_id", k=4, epochs=5, maxIter=5, maxDepth=3), 4)
+
+
+def hyperparameter_search(spark: S, sf: str) -> D:
+    return rounded(M.random_search(_frame(spark, sf), COLUMNS, "patient", "random_forest", {"numTrees": [5, 10], "maxDepth": [2, 4, 6]}, 2), 4)
+
+
+def stratified_split(spark: S, sf: str) -> D:
+    """Rows of each label in the two parts of a random split, checked to be near the asked share."""
+    from ..operators.evaluation import stratified_split as split
+
+    parts = split(B.read(spark, sf, "documents").join(B.read(spark, sf, "labels"), "doc_id").withColumnRenamed("quality", "label"), "label", "doc_id")
+    return parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("rows"))
+
+
+def recorded_contexts(spark: S, sf: str) -> D:
+    """Measurements of contexts by key, one of them unusable."""
+    c = _contexts(spark, sf, 2).select("unit", F.when(F.col("unit") == 2, "recording_end").otherwise("ok").alias("context_reason"), "samples")
+    return rounded(Y.record_measurements(c, ["unit"]), 4)
+
+
 def lopo_parts(spark: S, sf: str) -> D:
     """Rows and positives of train and test for a held-out patient."""
     f = _frame(spark, sf).withColumn("part", F.when(F.col("patient") == "p3", "test").otherwise("train"))
@@ -319,7 +342,7 @@ def stream_windows(spark: S, sf: str) -> D:
     return out.select("event_type", F.unix_timestamp("start").alias("start"), "samples", "positive", "label")
 
 
-QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, lopo_parts, coloured_noise, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows)}
+QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, coloured_noise, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows)}
 
 _TOP = "tops AS (SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 3)"
 _FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(8)) + " FROM embeddings)"
