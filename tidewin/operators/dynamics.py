@@ -2,41 +2,41 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from itertools import product
+
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.identity import seed_for
-from .features import per_row
+from .features import per_batch, per_row
 
 TRIAL = "model string, drive string, noise_intensity double, substeps int, trial int, seed string, snr_db double, events int, intervals int, cv double, coherence double, valid boolean, reason string, clipped_fraction double"
 
 
+def _arrays(contexts: list[list[float] | None]) -> list[np.ndarray | None]:
+    return [None if x is None else np.array(x, float) for x in contexts]
+
+
 def oscillator_trials(rows: DataFrame, keep: list[str], samples: str, identity: str, sfreq: float, levels: tuple[float, ...], trials: int, substeps: tuple[int, ...] = (1,), seed: int = 42) -> DataFrame:
     """Trials of both oscillators, with and without the signal's characteristic component as drive, at each noise
     level. One trial uses the same innovations for all levels and drives, so levels compare within a trial."""
 
-    def study(x: list[float], name: str) -> list[dict]:
-        drive, frequency = K.characteristic_component(np.array(x), sfreq)
-        out = []
-        for model in ("bistable", "fitzhugh"):
-            for steps in substeps:
-                seeds = [seed_for(seed, name, model, t, steps) for t in range(trials)]
-                noise = np.stack([K.innovations(s, (len(drive) - 1) * steps) for s in seeds])
-                for label, u in (("component", drive), ("none", np.zeros_like(drive))):
-                    many = np.broadcast_to(u, (trials, len(u)))
-                    for level in levels:
-                        paths, clipped = (K.bistable if model == "bistable" else K.fitzhugh)(many, sfreq, noise, level, substeps=steps)
-                        for t in range(trials):
-                            if model == "bistable":
-                                measure = K.regularity(K.transitions(paths[t], sfreq), sfreq)
-                            else:
-                                measure = K.regularity(K.peak_events(paths[t], sfreq), sfreq, least=3, ddof=0, shortest=0.2)
-                            out.append({"model": model, "drive": label, "noise_intensity": level, "substeps": steps, "trial": t, "seed": str(seeds[t]), "snr_db": K.spectral_snr(paths[t], sfreq, frequency), "clipped_fraction": float(np.broadcast_to(clipped, trials)[t]), **measure})
-        return out
+    def study(contexts: list[list[float]], names: list[str]) -> Iterator[tuple[int, dict]]:
+        drives, frequency = K.characteristic_components(np.array(contexts, float), sfreq)
+        for model, steps in product(("bistable", "fitzhugh"), substeps):
+            seeds = [[seed_for(seed, n, model, t, steps) for t in range(trials)] for n in names]
+            noise = np.array([[K.innovations(s, (drives.shape[1] - 1) * steps) for s in mine] for mine in seeds])
+            for (label, u), level in product((("component", drives), ("none", 0 * drives)), levels):
+                paths, clipped = (K.bistable if model == "bistable" else K.fitzhugh)(u[:, None, :], sfreq, noise, level, substeps=steps)
+                for i, t in product(range(len(names)), range(trials)):
+                    path = paths[i, t]
+                    measure = K.regularity(K.transitions(path, sfreq), sfreq) if model == "bistable" else K.regularity(K.peak_events(path, sfreq), sfreq, least=3, ddof=0, shortest=0.2)
+                    yield i, {"model": model, "drive": label, "noise_intensity": level, "substeps": steps, "trial": t, "seed": str(seeds[i][t]), "snr_db": K.spectral_snr(path, sfreq, frequency[i]), "clipped_fraction": float(clipped[i, t]), **measure}
 
-    return per_row(rows, keep, [samples, identity], study, TRIAL)
+    return per_batch(rows, keep, [samples, identity], study, TRIAL)
 
 
 def perturbation(rows: DataFrame, keep: list[str], samples: str, identity: str, sfreq: float, conditions: tuple[str, ...] = K.CONDITIONS, trials: int = 1, seed: int = 42) -> DataFrame:
@@ -56,7 +56,7 @@ def perturbation(rows: DataFrame, keep: list[str], samples: str, identity: str,
 def context_measurements(rows: DataFrame, keep: list[str], samples: str, seed: int = 42) -> DataFrame:
     """The sr and cr measurement of each context (`samples` NULL: unusable context)."""
     schema = "sr_value double, cr_value double, sr_reason string, cr_reason string, frequency double, clipped double, bistable_events int, peak_events int"
-    return per_row(rows, keep, [samples], lambda x: [K.measurements(np.array(x if x is not None else []), seed)], schema)
+    return per_batch(rows, keep, [samples], lambda x: enumerate(K.measurements(_arrays(x), seed)), schema)
 
 
 def record_measurements(contexts: DataFrame, keys: list[str], samples: str = "samples", seed: int = 42) -> DataFrame:
@@ -71,19 +71,25 @@ def record_measurements(contexts: DataFrame, keys: list[str], samples: str = "sa
 
 
 def replicated_means(rows: DataFrame, keep: list[str], samples: str, seeds: tuple[int, ...]) -> DataFrame:
-    return per_row(rows, keep, [samples], lambda x: [K.sr_mean(np.array(x if x is not None else []), list(seeds))], "value double, missing int, reason string, valid_trials int")
+    return per_batch(rows, keep, [samples], lambda x: enumerate(K.sr_means(_arrays(x), list(seeds))), "value double, missing int, reason string, valid_trials int", 64)
 
 
 def controls(rows: DataFrame, keep: list[str], frequency: str, seeds: tuple[int, ...]) -> DataFrame:
     """The measurement without a drive at each row's frequency, for each seed."""
-    return per_row(rows, keep, [frequency], lambda f: [{"seed": s, **K.control(f, s)} for s in seeds], "seed int, sr_value double, cr_value double, sr_reason string, cr_reason string, peak_events int")
+
+    def study(frequencies: list[float | None]) -> Iterator[tuple[int, dict]]:
+        for s in seeds:
+            yield from ((i, {"seed": s, **found}) for i, found in enumerate(K.controls(frequencies, s)))
+
+    return per_batch(rows, keep, [frequency], study, "seed int, sr_value double, cr_value double, sr_reason string, cr_reason string, peak_events int")
 
 
 def dose_trials(rows: DataFrame, keep: list[str], samples: str, scales: tuple[float, ...], doses: tuple[float, ...], seeds: tuple[int, ...]) -> DataFrame:
     """Regularity of the FitzHugh-Nagumo peaks for each input scale, noise dose and seed."""
 
-    def study(x: list[float]) -> list[dict]:
-        drive, _ = K.characteristic_component(np.array(x), K.RATE)
-        return [{"scale": s, "dose": d, "seed": i, **K.cr_trial(drive, s, d, i)} for d in doses for s in scales for i in seeds]
+    def study(contexts: list[list[float]]) -> Iterator[tuple[int, dict]]:
+        drives, _ = K.characteristic_components(np.array(contexts, float), K.RATE)
+        for d, s, seed in product(doses, scales, seeds):
+            yield from ((i, {"scale": s, "dose": d, "seed": seed, **found}) for i, found in enumerate(K.cr_trials(drives, s, d, seed)))
 
-    return per_row(rows, keep, [samples], study, "scale double, dose double, seed int, value double, reason string, missing int, events int, intervals int, clipped double")
+    return per_batch(rows, keep, [samples], study, "scale double, dose double, seed int, value double, reason string, missing int, events int, intervals int, clipped double")

@@ -89,24 +89,32 @@ def relative_powers(rows: DataFrame, keep: list[str], samples: str, sfreq: float
     return per_signal(rows, keep, samples, kernel, list(bands))
 
 
-def per_row(rows: DataFrame, keep: list[str], arguments: list[str], function: Callable[..., list[dict]], schema: str) -> DataFrame:
-    """The kept columns and, for each dict that function(*arguments) lists, its values; floats that are NaN are
-    NULL. For kernels that walk a signal sample by sample."""
-    fields = [part.split()[0] for part in schema.split(",")]
-    kinds = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "array<double>": pa.list_(pa.float64())}
-    types = {part.split()[0]: kinds[part.split()[1]] for part in schema.split(",")}
+KINDS = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
+
+
+def per_batch(rows: DataFrame, keep: list[str], arguments: list[str], function: Callable[..., Iterator[tuple[int, dict]]], schema: str, most: int = 256) -> DataFrame:
+    """The kept columns and, for each (row, dict) that function(*columns) gives, the dict's values; floats that are NaN
+    are NULL. The function gets the arguments' columns as lists for up to `most` rows, so kernels that walk signals
+    sample by sample walk many at once."""
+    types = {part.split()[0]: KINDS[part.split()[1]] for part in schema.split(", ")}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at, out = [], {f: [] for f in fields}
-            for i in range(batch.num_rows):
-                for found in function(*(batch.column(len(keep) + k)[i].as_py() for k in range(len(arguments)))):
+        for whole in batches:
+            for begin in range(0, whole.num_rows, most):
+                batch = whole.slice(begin, most)
+                at, out = [], {f: [] for f in types}
+                for i, found in function(*(c.to_pylist() for c in batch.columns[len(keep) :])):
                     at.append(i)
-                    for f in fields:
+                    for f in types:
                         v = found.get(f)
                         out[f].append(None if isinstance(v, float) and np.isnan(v) else v)
-            kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
-            yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[f], types[f]) for f in fields)], [*keep, *fields])
+                kept = [c.take(pa.array(at, pa.int64())) for c in batch.columns[: len(keep)]]
+                yield pa.RecordBatch.from_arrays([*kept, *(pa.array(out[f], t) for f, t in types.items())], [*keep, *types])
 
     chosen = rows.select(*keep, *arguments)
     return chosen.mapInArrow(run, ", ".join([f"`{c}` {t}" for c, t in chosen.dtypes[: len(keep)]] + [schema]))
+
+
+def per_row(rows: DataFrame, keep: list[str], arguments: list[str], function: Callable[..., list[dict]], schema: str) -> DataFrame:
+    """`per_batch` for a function of one row's arguments that lists its dicts."""
+    return per_batch(rows, keep, arguments, lambda *columns: ((i, found) for i, values in enumerate(zip(*columns, strict=True)) for found in function(*values)), schema)

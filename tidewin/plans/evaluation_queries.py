@@ -120,7 +120,7 @@ def distill_soft_targets(spark: S, sf: str) -> D:
 
 def trials(spark: S, sf: str) -> D:
     """Trials on a grid: suppliers' line items as trials, discounts as noise levels."""
-    rows = B.read(spark, sf, "lineitem").where("l_suppkey <= 60")
+    rows = B.read(spark, sf, "lineitem")
     trial = F.col("l_orderkey") % 4
     level = F.round("l_discount", 2)
     return rows.groupBy((F.col("l_suppkey") % 12).cast("int").alias("unit"), trial.cast("int").alias("trial"), level.alias("noise")).agg(
@@ -220,7 +220,7 @@ def _effects(pairs: list[tuple[str, str]], metrics: tuple[str, ...]) -> str:
     return "effects AS (" + " UNION ALL ".join(f"SELECT a.seed, a.patient, '{x}-{y}' AS comparison, " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in metrics) + f" FROM per a JOIN per b ON a.seed = b.seed AND a.patient = b.patient AND a.model = '{x}' AND b.model = '{y}'" for x, y in pairs) + ")"
 
 
-_TRIALS = "WITH trials AS (SELECT (l_suppkey % 12)::INT AS unit, (l_orderkey % 4)::INT AS trial, round(l_discount, 2) AS noise, round(avg(l_quantity), 6) AS coherence, CASE WHEN max(l_quantity) >= 30 THEN round(avg(l_tax) * 100, 6) END AS snr_db, count(*) AS events, round(max(l_tax), 2) AS clipped_fraction, count(*) >= 3 AS valid FROM lineitem WHERE l_suppkey <= 60 GROUP BY 1, 2, 3)"
+_TRIALS = "WITH trials AS (SELECT (l_suppkey % 12)::INT AS unit, (l_orderkey % 4)::INT AS trial, round(l_discount, 2) AS noise, round(avg(l_quantity), 6) AS coherence, CASE WHEN max(l_quantity) >= 30 THEN round(avg(l_tax) * 100, 6) END AS snr_db, count(*) AS events, round(max(l_tax), 2) AS clipped_fraction, count(*) >= 3 AS valid FROM lineitem GROUP BY 1, 2, 3)"
 _SUMMARY = _TRIALS + ", summary AS (SELECT unit, noise, count(*) AS trials, count(*) FILTER (valid) AS valid_trials, count(*) FILTER (NOT valid) AS invalid_trials, count(*) FILTER (valid) / count(*) AS valid_fraction, median(coherence) FILTER (valid) AS coherence_median, stddev_samp(coherence) FILTER (valid) AS coherence_sd, avg(snr_db) AS snr_mean, count(snr_db) AS snr_valid_trials, avg(events) AS events_mean, max(clipped_fraction) AS clipped_fraction_max FROM trials GROUP BY unit, noise)"
 _SEEDED = "WITH seeded AS (SELECT l_suppkey AS unit, month(l_shipdate)::INT AS seed, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2)"
 _PAIRS = _SEEDED + ", pairs AS (SELECT a.seed AS seed_a, b.seed AS seed_b, a.value AS x, b.value AS y FROM seeded a JOIN seeded b ON a.unit = b.unit AND a.seed < b.seed), ranked AS (SELECT seed_a, seed_b, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY x) + (count(*) OVER (PARTITION BY seed_a, seed_b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY y) + (count(*) OVER (PARTITION BY seed_a, seed_b, y) - 1) / 2 AS ry FROM pairs), spearman AS (SELECT seed_a, seed_b, count(*) AS units, corr(rx, ry) AS rank_correlation FROM ranked GROUP BY 1, 2)"

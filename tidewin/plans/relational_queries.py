@@ -15,6 +15,7 @@ from ..functions.columns import feature_part, first_reason, missing_mask
 from ..operators import dynamics as Y
 from ..operators import models as M
 from ..operators import relational as R
+from ..operators.features import per_row
 from ..operators.transforms import FeatureTransform
 from ..sources import recordings as E
 from ..streaming import windows as SW
@@ -56,8 +57,8 @@ def common_channels(spark: S, sf: str) -> D:
 
 
 def jaccard_pairs(spark: S, sf: str) -> D:
-    l = B.read(spark, sf, "lineitem").where("l_suppkey <= 10").select("l_suppkey", (F.col("l_partkey") % 300).alias("part"))
-    return rounded(R.jaccard_pairs(l, "l_suppkey", "part"))
+    l = B.read(spark, sf, "lineitem").select((F.col("l_suppkey") % 25).alias("fold"), (F.col("l_orderkey") % 9973).alias("feature"))
+    return rounded(R.jaccard_pairs(l, "fold", "feature"))
 
 
 def dedupe_names(spark: S, sf: str) -> D:
@@ -233,7 +234,7 @@ def stratified_split(spark: S, sf: str) -> D:
 
 def recorded_contexts(spark: S, sf: str) -> D:
     """Measurements of contexts by key, one of them unusable."""
-    c = _contexts(spark, sf, 2).select("unit", F.when(F.col("unit") == 2, "recording_end").otherwise("ok").alias("context_reason"), "samples")
+    c = _contexts(spark, sf).select("unit", F.when(F.col("unit") % 2 == 0, "recording_end").otherwise("ok").alias("context_reason"), "samples")
     return rounded(Y.record_measurements(c, ["unit"]), 4)
 
 
@@ -246,24 +247,22 @@ def lopo_parts(spark: S, sf: str) -> D:
 # -- dynamics --------------------------------------------------------------------------------------------------
 
 
-def _contexts(spark: S, sf: str, n: int = 4) -> D:
-    """Contexts of 2,560 samples: suppliers' line items in order, repeated to fill (a few of the small set)."""
-    l = B.read(spark, sf, "lineitem").where(F.col("l_suppkey") <= n)
-    a = l.groupBy(F.col("l_suppkey").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("a"))
+def _contexts(spark: S, sf: str) -> D:
+    """A context of 2,560 samples for each supplier: a wave and its line items in order, over and over."""
+    a = B.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("a"))
     q = F.col("a.l_quantity")
-    return a.select("unit", F.col("unit").cast("string").alias("name"), F.transform(F.sequence(F.lit(0), F.lit(K.CONTEXT - 1)), lambda i: F.element_at(q, (i % F.size(q) + 1).cast("int")) * 1e-6 + F.sin(i * 0.24) * 2e-5).alias("samples"))
+    wave = F.transform(F.sequence(F.lit(0), F.lit(K.CONTEXT - 1)), lambda i: F.element_at(q, (i % F.size(q) + 1).cast("int")) * 1e-6 + F.sin(i * 0.24) * 2e-5)
+    return a.select("unit", F.col("unit").cast("string").alias("name"), wave.alias("samples"))
 
 
 def coloured_noise(spark: S, sf: str) -> D:
     """Slopes of the spectra of noise, by kind and seed."""
-    from ..operators.features import per_row
-
     g = R.grid(spark, beta=[0, 1, 3], seed=[1, 2])
     return rounded(per_row(g, ["beta", "seed"], ["beta", "seed"], lambda b, s: [{"slope": K.spectral_slope(K.coloured_noise(4096, 256.0, b, np.random.default_rng(s)), 256.0)}], "slope double"), 4)
 
 
 def oscillator_trials(spark: S, sf: str) -> D:
-    return rounded(Y.oscillator_trials(_contexts(spark, sf, 2), ["unit"], "samples", "name", 256.0, (0.0, 0.25, 0.5), 2).select("unit", "model", "drive", "noise_intensity", "trial", "events", "intervals", "valid", "reason", "cv", "snr_db"), 4)
+    return rounded(Y.oscillator_trials(_contexts(spark, sf), ["unit"], "samples", "name", 256.0, (0.0, 0.25, 0.5), 2).select("unit", "model", "drive", "noise_intensity", "trial", "events", "intervals", "valid", "reason", "cv", "snr_db"), 4)
 
 
 def context_measurements(spark: S, sf: str) -> D:
@@ -275,22 +274,20 @@ def replicated_means(spark: S, sf: str) -> D:
 
 
 def undriven_controls(spark: S, sf: str) -> D:
-    m = Y.context_measurements(_contexts(spark, sf, 2), ["unit"], "samples").select("unit", "frequency")
+    m = Y.context_measurements(_contexts(spark, sf), ["unit"], "samples").select("unit", "frequency")
     return rounded(Y.controls(m, ["unit"], "frequency", (42, 43)), 4)
 
 
 def dose_trials(spark: S, sf: str) -> D:
-    return rounded(Y.dose_trials(_contexts(spark, sf, 2), ["unit"], "samples", (0.0, 0.35), (0.25, 0.5), (52, 53)), 4)
+    return rounded(Y.dose_trials(_contexts(spark, sf), ["unit"], "samples", (0.0, 0.35), (0.25, 0.5), (52, 53)), 4)
 
 
 def perturbations(spark: S, sf: str) -> D:
-    return rounded(Y.perturbation(_contexts(spark, sf, 2), ["unit"], "samples", "name", 256.0), 4)
+    return rounded(Y.perturbation(_contexts(spark, sf), ["unit"], "samples", "name", 256.0), 4)
 
 
 def filtered_recordings(spark: S, sf: str) -> D:
     """Deviation of a whole recording's channel before and after the notch and the band-pass."""
-    from ..operators.features import per_row
-
     def study(x):
         y = K.preprocess(np.array(x), 256.0)
         return [{"before": float(np.std(x)), "after": float(y.std())}]
@@ -325,9 +322,9 @@ def annotation_parse(spark: S, sf: str) -> D:
 
 def edf_round_trip(spark: S, sf: str) -> D:
     """Signals written as EDF bytes and decoded again, in microvolts."""
-    c = _contexts(spark, sf, 3)
-    raw = F.udf(lambda x: E.encode({"C1": np.array(x), "C2": -np.array(x)}, 256), "binary")
-    files = c.select(F.lit("p1").alias("patient"), F.concat("name", F.lit(".edf")).alias("file"), raw("samples").alias("content"))
+    c = _contexts(spark, sf)
+    files = per_row(c, ["name"], ["samples"], lambda x: [{"content": E.encode({"C1": np.array(x), "C2": -np.array(x)}, 256)}], "content binary")
+    files = files.select(F.lit("p1").alias("patient"), F.concat("name", F.lit(".edf")).alias("file"), "content")
     s = E.edf_signals(files).select("file", "channel", "sfreq", F.size("samples").cast("long").alias("n_samples"), F.round(F.array_max("samples") * 1e6, 1).alias("peak_uv"))
     h = E.edf_headers(files).select("file", F.col("n_samples").alias("declared"))
     return s.join(h, "file")
@@ -355,7 +352,7 @@ ORACLES = {
     "leaked_groups": 'SELECT o_custkey % 40 AS "group" FROM orders GROUP BY 1 HAVING count(*) FILTER (o_orderkey % 97 = 0) > 0 AND count(*) FILTER (o_orderkey % 97 <> 0) > 0',
     "mask_faults": "SELECT event_id, CASE WHEN event_type <> 'error' THEN value END AS x, (event_id % 3 = 0)::INT AS m FROM events WHERE (event_id % 3 = 0)::INT <> (event_type = 'error')::INT",
     "common_channels": "SELECT concat_ws('-', o_orderpriority, o_orderstatus) AS channel FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey % 7) = (SELECT count(DISTINCT o_custkey % 7) FROM orders)",
-    "jaccard_pairs": "WITH s AS (SELECT DISTINCT l_suppkey AS c, l_partkey % 300 AS p FROM lineitem WHERE l_suppkey <= 10), n AS (SELECT c, count(*) AS n FROM s GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2) SELECT x.c AS a, y.c AS b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6)::DOUBLE AS jaccard FROM n x JOIN n y ON x.c < y.c LEFT JOIN b ON b.a = x.c AND b.b = y.c",
+    "jaccard_pairs": "WITH s AS (SELECT DISTINCT l_suppkey % 25 AS c, l_orderkey % 9973 AS p FROM lineitem), n AS (SELECT c, count(*) AS n FROM s GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2) SELECT x.c AS a, y.c AS b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6)::DOUBLE AS jaccard FROM n x JOIN n y ON x.c < y.c LEFT JOIN b ON b.a = x.c AND b.b = y.c",
     "dedupe_names": "WITH p AS (SELECT DISTINCT (p_size % 5)::INT AS file, concat_ws('-', 'T' || (p_partkey % 40), CASE WHEN p_partkey % 3 = 0 THEN 'X1' ELSE (p_partkey % 4)::VARCHAR END) AS name FROM part), q AS (SELECT *, CASE WHEN regexp_matches(name, '^.*-[0-9]+$') THEN regexp_extract(name, '^(.*)-([0-9]+)$', 1) END AS base FROM p), r AS (SELECT *, count(*) OVER (PARTITION BY file, base) AS n, row_number() OVER (PARTITION BY file, base ORDER BY name) AS k FROM q) SELECT file, name, CASE WHEN base IS NOT NULL AND n >= 2 THEN base ELSE name END AS final_name FROM r WHERE base IS NULL OR n < 2 OR k = 1",
     "set_difference": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
     "unions": "SELECT nation, kind, count(*) AS rows, round(sum(balance), 4) AS balance FROM (SELECT s_nationkey AS nation, s_acctbal AS balance, 'supplier' AS kind FROM supplier UNION ALL SELECT c_nationkey, c_acctbal, 'customer' FROM customer) GROUP BY 1, 2",

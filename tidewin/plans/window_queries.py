@@ -93,7 +93,7 @@ def quarter_picks(spark: S, sf: str) -> D:
 
 
 def disjoint_contexts(spark: S, sf: str) -> D:
-    """Trailing contexts near the quarter positions that avoid annotated intervals of two samples or more."""
+    """Trailing contexts near the quarter positions that avoid annotated intervals of three samples or more."""
     w = W.contexts(B.labelled(spark, sf, 8).select("patient", "file", "start_sec", "end_sec"), B.recordings(spark, sf), "trailing", 8.0, 0.0, 1.0).where("context_reason = 'ok'")
     c = w.select("patient", "file", "start_sec", "end_sec", F.col("context_start").cast("double").alias("context_start_sec"), F.col("context_stop").cast("double").alias("context_end_sec"))
     targets = W.at_fractions(c, ["patient", "file"], "start_sec", (0.25, 0.75)).select("patient", "file", "fraction", F.col("start_sec").alias("target_sec"))
