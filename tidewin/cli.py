@@ -99,7 +99,7 @@ def main(argv: list[str] | None = None) -> int:
         folder = sinks.run_folder(o.output, o.run_id)
         threshold = F.lit(0.5)
         if o.tune:
-            best = evaluation.best_threshold(evaluation.folds(scores, "patient").where("part = 'train'"), ["test_group"]).select(F.col("test_group").alias("patient"), "threshold")
+            best = evaluation.tuned_thresholds(scores, [], "patient").select(F.col("test_group").alias("patient"), "threshold")
             scores, threshold = scores.join(best, "patient"), F.col("threshold")
         scores = scores.withColumn("prediction", (F.col("score") >= threshold).cast("int"))
         sinks.write_table(scores, f"{folder}/predictions")

@@ -74,14 +74,18 @@ def roc_curve(rows: DataFrame, by: list[str]) -> DataFrame:
     return at.select(*by, F.col("score").alias("threshold"), ratio(F.col("fp"), F.col("negatives")).alias("fpr"), ratio(F.col("tp"), F.col("positives")).alias("tpr"))
 
 
-def threshold_sweep(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
-    """F1 at each hundredth from 0.05 to 0.95: one pass that counts rows by the highest threshold they reach,
-    then sums over at most 92 rows of a group."""
+def reached(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """Positives and rows of each group by the highest hundredth from 0.05 to 0.95 that their score reaches (0.04: none)."""
     low, high = THRESHOLDS[0], THRESHOLDS[-1]
     near = F.floor(F.col(score) * 100)
     reach = reduce(lambda out, k: F.when((near + k) / F.lit(100.0) <= F.col(score), near + k).otherwise(out), (-1, 0, 1), near - 2)
     reach = F.least(F.greatest(reach, F.lit(low - 1)), F.lit(high)).cast("int")
-    counts = rows.groupBy(*by, reach.alias("_k")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
+    return rows.groupBy(*by, reach.alias("_k")).agg(F.count_if(F.col(label) == 1).alias("_p"), F.count(F.lit(1)).alias("_n"))
+
+
+def _sweep(counts: DataFrame, by: list[str]) -> DataFrame:
+    """F1 at every threshold from `reached` counts: sums over at most 92 rows of a group."""
+    low, high = THRESHOLDS[0], THRESHOLDS[-1]
     # Every threshold appears for each group, also where no row ends at it.
     every = counts.select(*by).distinct().select(*by, F.explode(F.sequence(F.lit(low - 1), F.lit(high))).alias("_k"))
     filled = every.join(counts, [*by, "_k"], "left").na.fill(0, ["_p", "_n"])
@@ -91,10 +95,32 @@ def threshold_sweep(rows: DataFrame, by: list[str], label: str = "label", score:
     return out.select(*by, (F.col("_k") / F.lit(100.0)).alias("threshold"), ratio(2 * F.col("tp"), 2 * F.col("tp") + F.col("fp") + F.col("fn")).alias("f1"))
 
 
+def threshold_sweep(rows: DataFrame, by: list[str], label: str = "label", score: str = "score") -> DataFrame:
+    """F1 at each hundredth from 0.05 to 0.95, in one pass over the rows."""
+    return _sweep(reached(rows, by, label, score), by)
+
+
+def _first_best(sweep: DataFrame, by: list[str]) -> DataFrame:
+    best = sweep.groupBy(*by).agg(F.min(F.struct((-F.col("f1")).alias("minus"), "threshold")).alias("m"))
+    return best.select(*by, F.col("m.threshold").alias("threshold"), (-F.col("m.minus")).alias("f1"))
+
+
 def best_threshold(rows: DataFrame, by: list[str]) -> DataFrame:
     """The first threshold with the greatest F1."""
-    best = threshold_sweep(rows, by).groupBy(*by).agg(F.min(F.struct((-F.col("f1")).alias("minus"), "threshold")).alias("m"))
-    return best.select(*by, F.col("m.threshold").alias("threshold"), (-F.col("m.minus")).alias("f1"))
+    return _first_best(threshold_sweep(rows, by), by)
+
+
+def tuned_thresholds(rows: DataFrame, by: list[str], group: str) -> DataFrame:
+    """For each held-out group (test_group) the best threshold over the rows of all the others: the counts of all less
+    the group's own, so no row is copied into folds."""
+    own = reached(rows, [*by, group])
+    whole = own.groupBy(*by, "_k").agg(F.sum("_p").alias("_p"), F.sum("_n").alias("_n"))
+    folds_of = own.select(*by, F.col(group).alias("test_group")).distinct()
+    all_rows = folds_of.join(whole, by) if by else folds_of.crossJoin(whole)
+    mine = own.select(*by, F.col(group).alias("test_group"), "_k", F.col("_p").alias("_mp"), F.col("_n").alias("_mn"))
+    left = all_rows.join(mine, [*by, "test_group", "_k"], "left").na.fill(0, ["_mp", "_mn"])
+    outside = left.select(*by, "test_group", "_k", (F.col("_p") - F.col("_mp")).alias("_p"), (F.col("_n") - F.col("_mn")).alias("_n"))
+    return _first_best(_sweep(outside, [*by, "test_group"]), [*by, "test_group"])
 
 
 def macro(per_group: DataFrame, by: list[str], metrics: tuple[str, ...] = METRICS) -> DataFrame:

@@ -6,6 +6,8 @@ All operators are joins, windows by recording or aggregates, so their cost grows
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -122,13 +124,16 @@ def event_coverage(intervals: DataFrame, windows: DataFrame) -> DataFrame:
 
 def zscores(rows: DataFrame, by: list[str], columns: list[str], floor: float = 1e-8) -> DataFrame:
     """Columns less their group's mean over its sample deviation; a deviation of zero counts as `floor`."""
-    group = Window.partitionBy(*by)
+    stats = rows.groupBy(*by).agg(*[f(c).alias(f"_{n}_{c}") for c in columns for f, n in ((F.avg, "m"), (F.stddev_samp, "s"))])
+    stats = stats.withColumnsRenamed({c: f"_by_{c}" for c in by})
+    # Groups are joined to their statistics instead of being gathered: a group may hold any share of the rows.
+    both = rows.join(stats, reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_by_{c}")) for c in by]))
 
     def z(c: str) -> Column:
-        sd = F.stddev_samp(c).over(group)
-        return (F.col(c) - F.avg(c).over(group)) / F.when(sd == 0, F.lit(floor)).otherwise(sd)
+        sd = F.col(f"_s_{c}")
+        return (F.col(c) - F.col(f"_m_{c}")) / F.when(sd == 0, F.lit(floor)).otherwise(sd)
 
-    return rows.withColumns({c: z(c) for c in columns})
+    return both.select(*[z(c).alias(c) if c in columns else F.col(c) for c in rows.columns])
 
 
 def first_rows(rows: DataFrame, by: list[str], order: list[str], n: int = 1) -> DataFrame:

@@ -53,8 +53,7 @@ def threshold_sweep(spark: S, sf: str) -> D:
 
 def tuned_thresholds(spark: S, sf: str) -> D:
     """For each model, seed and held-out patient, the threshold with the best F1 over the other patients."""
-    rows = E.folds(B.predictions(spark, sf), "patient").where("part = 'train'")
-    return rounded(E.best_threshold(rows, [*ARM, "test_group"]))
+    return rounded(E.tuned_thresholds(B.predictions(spark, sf), ARM, "patient"))
 
 
 def pooled_metrics(spark: S, sf: str) -> D:
