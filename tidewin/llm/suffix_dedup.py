@@ -19,7 +19,7 @@ stand, and no shard ever sees more than the spans of its minimizers.
 
 Minimizers with more than HOT different spans (the rim of a passage that a third of all documents share)
 are not gathered: their spans are cut into single strings, which go to shards by their own hash and are
-settled as in step 2, with equal strings dropped before they are sent.
+settled as in step 2, with equal strings of a batch of texts settled before they are sent.
 
 Hashes have 64 bits and are compared only within one minimizer. Defined cases: a null text is empty; a
 text under `length` bytes has no repeat; rows that share a doc_id are taken as one document and get its
@@ -44,11 +44,13 @@ LENGTH = 100
 PIECE = 32
 #: Start positions in a span at most, so that a span's first and last string together cover it.
 RUN = 96
-HOT = 50_000
+HOT = 2_000
+#: Shards in a partition: a task holds one shard's arrays at a time.
+SHARDS = 32
 BATCH_BYTES = 4 << 20
 #: Hashing works on pieces that fit a core's cache.
 SCAN_BYTES = 1 << 18
-HELD_BYTES = 48 << 20
+HELD_BYTES = 8 << 20
 SPAN = np.dtype([("min", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("self", "?")])
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -160,14 +162,15 @@ class SuffixTree:
             symbol = np.zeros(n, np.int64)
             symbol[: max(n - j, 0)] = np.where(self.left[: max(n - j, 0)] > j, data[j:], 0)
             rank = rank << 9 | symbol
-        self.ranks, size = {7: np.unique(rank, return_inverse=True)[1] + 1}, 7
+        ranked = lambda key: (np.unique(key, return_inverse=True)[1] + 1).astype(np.int32)
+        self.ranks, size = {7: ranked(rank)}, 7
         while size < depth:
             step = min(size, depth - size)
             rank = self.ranks[size]
-            after = np.zeros(n, np.int64)
+            after = np.zeros(n, np.int32)
             after[: max(n - step, 0)] = np.where(self.left[: max(n - step, 0)] > step, rank[step:], 0)
             size += step
-            self.ranks[size] = np.unique(rank * (n + 2) + after, return_inverse=True)[1] + 1
+            self.ranks[size] = ranked(rank.astype(np.int64) * (n + 2) + after)
         among = np.arange(n) if among is None else among
         self.array = among[np.argsort(self.ranks[size][among], kind="stable")]
         a, b = self.array[:-1], self.array[1:]
@@ -229,16 +232,18 @@ def tree_repeats(texts: list[bytes], doc: np.ndarray, start: np.ndarray, length:
     if not texts:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     tree = SuffixTree(texts, max(map(len, texts)), (np.cumsum(sizes) - sizes)[np.searchsorted(used, of)] + at)
-    out: list[tuple[np.ndarray, np.ndarray, int]] = []
+    whose, where = doc[tree.text], start[tree.text] + np.arange(len(tree.text)) - tree.begin[tree.text]
+    order = np.empty(len(whose), np.int64)
+    order[np.lexsort((where, whose))] = np.arange(len(whose))
+    # Groups nest, so a position stands in many of them: the longest in which it is not the earliest counts.
+    longest = np.zeros(len(whose), np.int64)
     for size, at in tree.maximal_repeats(length):
-        d, s = doc[tree.text[at]], start[tree.text[at]] + at - tree.begin[tree.text[at]]
-        low = d.min()
-        first = (d == low) & (s == s[d == low].min())
-        out.append((d[~first], s[~first], size))
-    if not out:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
-    s = np.concatenate([o[1] for o in out])
-    return np.concatenate([o[0] for o in out]), s, s + np.repeat([o[2] for o in out], [len(o[0]) for o in out])
+        first = at[np.argmin(order[at])]
+        own = longest[first]
+        longest[at] = np.maximum(longest[at], size)
+        longest[first] = own
+    again = np.flatnonzero(longest)
+    return whose[again], where[again], where[again] + longest[again]
 
 
 def _intervals(doc: np.ndarray, start: np.ndarray, stop: np.ndarray) -> pa.RecordBatch:
@@ -288,7 +293,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     if not PIECE <= length <= 30_000:
         raise ValueError(f"the length must be from {PIECE} to 30000 bytes")
     width = shuffle_width(rows.sparkSession)
-    shards = 8 * width
+    shards = SHARDS * width
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -344,6 +349,8 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 held: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+                singles: dict[bytes, tuple[int, int, int]] = {}
+                later: list[tuple[int, int]] = []
                 for doc, text, wants, hots in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wants", "hots")), strict=True):
                     raw = (text or "").encode("utf-8")
                     want = np.concatenate([unpack(w) for w in wants])
@@ -356,17 +363,33 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                             held.setdefault(low % shards, []).append((low, doc, start, size, piece))
                             continue
                         for i, key in enumerate(window_hashes(np.frombuffer(piece, np.uint8), [length])[length].tolist()):
-                            held.setdefault(key % shards, []).append((key, doc, start + i, length, piece[i : i + length]))
+                            # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
+                            mine, own = (doc, start + i), piece[i : i + length]
+                            kept = singles.setdefault(own, (*mine, key))
+                            if kept[:2] != mine:
+                                later.append(max(mine, kept[:2]))
+                                singles[own] = (*min(mine, kept[:2]), key)
+                for own, (doc, start, key) in singles.items():
+                    held.setdefault(key % shards, []).append((key, doc, start, length, own))
+                cut = np.array(later, np.int64).reshape(-1, 2)
+                cut = _intervals(cut[:, 0], cut[:, 1], cut[:, 1] + length)
                 metas, raws = [], []
                 for shard in sorted(held):
                     metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
                     raws.append(b"".join(p for *_, p in held[shard]))
-                yield pa.RecordBatch.from_arrays([pa.array(sorted(held), pa.int64()), pa.array(metas, pa.binary()), pa.array(raws, pa.binary())], ["shard", "meta", "bytes"])
+                n, m = len(held), cut.num_rows
+                near = pa.array((cut.column(0).to_numpy() % shards).astype(np.int64))
+                yield pa.RecordBatch.from_arrays(
+                    [pa.concat_arrays([pa.array(sorted(held), pa.int64()), near]), pa.concat_arrays([pa.array(metas, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
+                    ["shard", "meta", "bytes", "doc", "cut"],
+                )
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts: dict[int, list[tuple[bytes, bytes]]] = {}
         for batch in batches:
-            for shard, meta, raw in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            doc = batch.column(3)
+            yield batch.filter(doc.is_valid()).select(["doc", "cut"])
+            for shard, meta, raw in zip(*(c.to_pylist() for c in batch.filter(doc.is_null()).columns[:3]), strict=True):
                 parts.setdefault(shard, []).append((meta, raw))
         for shard in sorted(parts):
             metas, raws = zip(*parts.pop(shard), strict=True)
@@ -393,7 +416,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
     settled = stage(found.repartition(width, "shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
     asked = settled.where("want is not null").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("want", "hot"))).alias("w")).select("doc", F.col("w.want").alias("wants"), F.col("w.hot").alias("hots"))
     # doc_id rides along unread: so this shuffle of the texts is the one that the caller's join needs again.
-    pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary")
+    pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary, doc long, cut binary")
     grown = pieces.repartition(width, "shard").mapInArrow(trees, "doc long, cut binary")
     return settled.where("cut is not null").select("doc", "cut").unionByName(grown)
 
