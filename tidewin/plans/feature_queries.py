@@ -197,7 +197,44 @@ def _areas(bands: dict, inclusive: bool, name: str) -> str:
 
 _LINES = "WITH " + _X + ", line AS (SELECT a.vec_id, a.k, a.v AS x, l.v + (coalesce(r.v, l.v) - l.v) * ((a.k % 4) / 4.0) AS y FROM x a JOIN x l ON a.vec_id = l.vec_id AND l.k = a.k - a.k % 4 LEFT JOIN x r ON a.vec_id = r.vec_id AND r.k = a.k - a.k % 4 + 4)"
 
+# All fifteen measures of each embedding's four channels of 16 samples, by the same definitions.
+_LONG = f"""WITH {_X}, c AS (SELECT vec_id, 'C' || (k // 16) AS channel, k % 16 AS j, v FROM x),
+d AS (SELECT *, v - lag(v) OVER w AS d1, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS e FROM c WINDOW w AS (PARTITION BY vec_id, channel ORDER BY j)),
+dd AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY vec_id, channel ORDER BY j) AS d2 FROM d),
+t AS (SELECT vec_id, channel, avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, sum(abs(d1)) AS line_length, var_pop(v) AS v0, var_pop(d1) AS v1, var_pop(d2) AS v2 FROM dd GROUP BY 1, 2),
+o AS (SELECT vec_id, channel, (b < v)::INT + 2 * (e < v)::INT + 4 * (e < b)::INT AS code, count(*) / 14 AS p FROM d WHERE e IS NOT NULL GROUP BY 1, 2, 3),
+pe AS (SELECT vec_id, channel, -sum(p * log2(p)) / log2(6) AS perm FROM o GROUP BY 1, 2),
+u AS (SELECT vec_id, channel, j, (v - avg(v) OVER (PARTITION BY vec_id, channel)) * (0.5 - 0.5 * cos(2 * pi() * j / 16)) AS u FROM c),
+co AS (SELECT vec_id, channel, m, sum(u * cos(2 * pi() * m * j / 16)) AS a, sum(u * sin(2 * pi() * m * j / 16)) AS b FROM u, (SELECT unnest(generate_series(0, 8)) AS m) GROUP BY 1, 2, 3),
+psd AS (SELECT vec_id, channel, m * 4.0 AS f, (a * a + b * b) * CASE WHEN m IN (0, 8) THEN 1 ELSE 2 END / (64.0 * 16 * 0.375) AS p FROM co),
+se AS (SELECT vec_id, channel, -sum(r * log2(r)) / log2(9) AS spectral FROM (SELECT *, p / sum(p) OVER (PARTITION BY vec_id, channel) AS r FROM psd) GROUP BY 1, 2),
+ar AS (SELECT vec_id, channel, f, lead(f) OVER w AS g, (p + lead(p) OVER w) / 2 * 4.0 AS area FROM psd WINDOW w AS (PARTITION BY vec_id, channel ORDER BY f)),
+ba AS (SELECT vec_id, channel, {", ".join(f"coalesce(sum(area) FILTER (f >= {a} AND g <= {b}), 0.0) AS {n}" for n, (a, b) in K.BANDS.items())} FROM ar GROUP BY 1, 2),
+every AS (SELECT *, v0 AS activity, sqrt(v1 / v0) AS mobility, sqrt(v2 / v1) / sqrt(v1 / v0) AS complexity FROM t JOIN pe USING (vec_id, channel) JOIN se USING (vec_id, channel) JOIN ba USING (vec_id, channel)),
+long AS ({" UNION ALL ".join(f"SELECT vec_id, channel, '{family}__{m}' AS feature, round({m}, 9)::DOUBLE AS value FROM every" for family, ms in K.MEASURES.items() for m in ms)})"""
+_NAMES = K.feature_names([f"C{k}" for k in range(4)])
+
+
+def _wide(name: str) -> str:
+    family, measure, channel = name.split("__")
+    return f"max(value) FILTER (feature = '{family}__{measure}' AND channel = '{channel}')"
+
+
+def _share(name: str) -> str:
+    family, measure, channel = name.split("__")
+    total = f"sum(value) FILTER (feature LIKE 'freq%' AND channel = '{channel}')"
+    return f"round(CASE WHEN {total} = 0 THEN 0.0 ELSE {_wide(name)} / {total} END, 9)::DOUBLE AS freq_relative__{measure}__{channel}"
+
+
+_EACH = f"{_LONG}, each AS (SELECT feature || '__' || channel AS name, stddev_pop(value) AS importance FROM long GROUP BY 1)"
+
 ORACLES = {
+    "features_long": f"{_LONG} SELECT vec_id, channel, feature, value FROM long",
+    "features_wide": f"{_LONG} SELECT vec_id, " + ", ".join(f"{_wide(n)} AS {n}" for n in _NAMES) + " FROM long GROUP BY vec_id",
+    "family_ablation": f"{_LONG} SELECT vec_id, " + ", ".join(f"{_wide(n)} AS {n}" for n in _NAMES if n.startswith(("hjorth__", "entropy__"))) + " FROM long GROUP BY vec_id",
+    "relative_block": f"{_LONG} SELECT vec_id, " + ", ".join(_share(n) if n.startswith("freq__") else f"{_wide(n)} AS {n}" for n in _NAMES) + " FROM long GROUP BY vec_id",
+    "family_importance": f"{_EACH} SELECT string_split(name, '__')[1] AS family, round(sum(importance), 6)::DOUBLE AS importance, count(*) AS features FROM each GROUP BY 1",
+    "top_features": f"{_EACH} SELECT name, round(importance, 6)::DOUBLE AS importance FROM each ORDER BY 2 DESC, 1 LIMIT 20",
     "time_features": f"WITH {_X}, d AS (SELECT *, v - lag(v) OVER (PARTITION BY vec_id ORDER BY k) AS dv FROM x) SELECT vec_id, round(avg(v), 6) AS mean, round(stddev_pop(v), 6) AS std, round(sqrt(avg(v * v)), 6) AS rms, round(max(v) - min(v), 6) AS ptp, round(sum(abs(dv)), 6) AS line_length FROM d GROUP BY vec_id",
     "hjorth_features": f"WITH {_X}, d AS (SELECT *, v - lag(v) OVER w AS d1 FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY k)), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY vec_id ORDER BY k) AS d2 FROM d), s AS (SELECT vec_id, var_pop(v) AS v0, var_pop(d1) AS v1, var_pop(d2) AS v2 FROM e GROUP BY vec_id) SELECT vec_id, round(v0, 6) AS activity, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) AS complexity FROM s",
     "permutation_entropy": f"WITH {_X}, t AS (SELECT vec_id, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY k)), o AS (SELECT vec_id, (b < a)::INT + 2 * (c < a)::INT + 4 * (c < b)::INT AS code FROM t WHERE c IS NOT NULL), n AS (SELECT vec_id, code, count(*) / 62 AS p FROM o GROUP BY vec_id, code) SELECT vec_id, round(-sum(p * log2(p)) / log2(6), 6) AS perm FROM n GROUP BY vec_id",

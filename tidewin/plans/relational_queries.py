@@ -371,6 +371,7 @@ ORACLES = {
     "occurrence": f"WITH {_TOP} SELECT l_partkey, count(*) AS folds FROM tops GROUP BY 1",
     "reasons": "WITH r AS (SELECT CASE WHEN value > 450 THEN 'clipped_dynamics' WHEN value < 20 THEN 'undefined_spectral_ratio' WHEN event_type = 'error' THEN 'insufficient_intervals' ELSE 'ok' END AS reason FROM events) SELECT reason, count(*) AS rows, sum((reason <> 'ok')::INT)::BIGINT AS missing FROM r GROUP BY 1",
     "content_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
+    "identity_seeds": "SELECT c_custkey, (('0x' || substr(sha256('[42, ' || to_json(c_name)::VARCHAR || ']'), 1, 16))::UBIGINT)::VARCHAR AS seed FROM customer",
     "median_impute_scale": f"WITH {_FRAME}, {_FIT} SELECT vec_id, " + ", ".join(f"round((coalesce(f{k}, m{k}) - a{k}) / s{k}, 6)::DOUBLE AS f{k}" for k in range(8)) + " FROM frame, med, fit WHERE patient = 0",
     "lopo_parts": f"WITH {_FRAME} SELECT CASE WHEN patient = 3 THEN 'test' ELSE 'train' END AS part, count(*) AS rows, sum(label)::BIGINT AS positive FROM frame GROUP BY 1",
     "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_03.edf', 2996, 3036), ('a_15.edf', 1732, 1772), ('a_15.edf', 2100, 2107)) t(file, start_sec, end_sec)",
