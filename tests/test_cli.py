@@ -27,6 +27,8 @@ def test_from_recordings_to_events(spark, tmp_path, capsys):
     assert spark.read.parquet(str(tmp_path / "r1/pooled")).first().f1 == 1.0
     with pytest.raises(Exception, match="PATH_ALREADY_EXISTS"):
         cli.main(evaluate)
+    assert cli.main(["report", "--run", str(tmp_path / "r1")]) == 0
+    assert "| logistic_regression |" in capsys.readouterr().out
     names = [c for c in rows.columns if c not in cli.META]
     M.Classifier.fit("logistic_regression", rows, names).save(str(tmp_path / "b"))
     assert cli.main(["infer", "--bundle", str(tmp_path / "b"), "--features", f, "--output", str(tmp_path / "out")]) == 0

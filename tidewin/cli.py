@@ -6,6 +6,7 @@
     python -m tidewin prepare --recordings DIR --summaries DIR --output DIR
     python -m tidewin validate --features DIR
     python -m tidewin evaluate --features DIR --model NAME --output ROOT --run-id ID [--tune]
+    python -m tidewin report --run DIR
     python -m tidewin infer --bundle DIR --features DIR --output DIR
 """
 
@@ -60,12 +61,21 @@ def _cut(samples: list[float]) -> list[dict]:
     return [{"start_sec": i / RATE, "piece": x[i : i + size].tolist()} for i in range(0, len(x) - size + 1, size)]
 
 
+def report(spark: SparkSession, run: str) -> str:
+    """Macro and pooled tables of a complete run, as Markdown; an error for a run that did not end."""
+    facts = json.loads(spark.read.text(f"{run}/manifest").first().value)
+    if facts.get("status") != "complete":
+        raise ValueError("the run is not complete")
+    macro = evaluation.macro(spark.read.parquet(f"{run}/per_patient"), ["model"])
+    return "\n\n".join(sinks.markdown(t) for t in (macro, spark.read.parquet(f"{run}/pooled")))
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="tidewin", description=__doc__.splitlines()[0])
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("list")
     sub.add_parser("environment")
-    for name, args in {"query": ["data"], "prepare": ["recordings", "summaries", "output"], "validate": ["features"], "evaluate": ["features", "model", "output", "run-id"], "infer": ["bundle", "features", "output"]}.items():
+    for name, args in {"query": ["data"], "prepare": ["recordings", "summaries", "output"], "validate": ["features"], "evaluate": ["features", "model", "output", "run-id"], "report": ["run"], "infer": ["bundle", "features", "output"]}.items():
         p = sub.add_parser(name)
         for a in args:
             p.add_argument(f"--{a}", required=True)
@@ -107,6 +117,8 @@ def main(argv: list[str] | None = None) -> int:
         sinks.write_table(evaluation.measured(stored, ["model", "patient"]), f"{folder}/per_patient")
         sinks.write_table(evaluation.measured(stored, ["model"]), f"{folder}/pooled")
         sinks.write_json(spark, {"status": "complete", "model": o.model, "tuned": o.tune, "environment": environment()}, f"{folder}/manifest")
+    elif o.command == "report":
+        print(report(spark, o.run))
     else:
         rows = spark.read.parquet(o.features)
         out = models.Classifier.load(spark, o.bundle).score(rows, windows.KEYS).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
