@@ -124,10 +124,12 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
 
 
 def _rate(steps: list[np.ndarray]) -> Column:
-    rate = F.lit(1.0)
-    for u in steps:
-        rate = F.greatest(F.lit(0.0), reduce(Column.__add__, [F.col(f"p{k}") * float(v) for k, v in enumerate(u)], rate))
-    return rate
+    """The rounds as a fold over a literal array, so the plan's size doesn't grow with them."""
+    if not steps:
+        return F.lit(1.0)
+    rounds = F.array(*[F.array(*[F.lit(float(v)) for v in u]) for u in steps])
+    step = lambda rate, u: F.greatest(F.lit(0.0), reduce(Column.__add__, [F.col(f"p{k}") * u[k] for k in range(len(steps[0]))], rate))
+    return F.aggregate(rounds, F.lit(1.0), step)
 
 
 def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = ROUNDS) -> tuple[Column, dict]:
