@@ -58,21 +58,36 @@ def block_means(rows: DataFrame, by: list[str], seed: str, value: str, block: Co
     return rows.groupBy(*by, block.alias("block")).agg(strict_mean(F.col(value), members).alias("mean"))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Ranks from 1, equal values sharing the mean of their places."""
-    w = Window.partitionBy(*by).orderBy(value)
-    return F.rank().over(w) + (F.count(F.lit(1)).over(Window.partitionBy(*by, value)) - 1) / 2
+CUTS = [i / 64 for i in range(1, 64)]
+
+
+def ranked(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
+    """Rows with their rank from 1 in the group, equal values sharing the mean of their places.
+
+    Places are counted in two levels, as for curves: values fall into bins between a group's approximate quantiles,
+    bins are summed (at most 64 for a group), and values are counted inside their bin, so no group stands in a task.
+    """
+    at = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts"))
+    at = at.join(cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = at.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).select(*by, "_bin", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(value)
+    place = F.col("_before") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2
+    ranks = at.join(bins, [*by, "_bin"]).select(*by, value, place.alias(name))
+    return rows.join(ranks, [*by, value])
 
 
 def spearman_pairs(rows: DataFrame, unit: list[str], seed: str, value: str) -> DataFrame:
     """Spearman's correlation over the shared units for every pair of seeds. Seeds pair within a unit, and a
-    unit has one row for each seed, so the join grows with units x seeds^2; ranks are taken by pair."""
+    unit has one row for each seed, so the join grows with units x seeds^2; ranks are taken by pair, over the units that
+    both seeds have."""
     a = rows.where(F.col(value).isNotNull()).select(*unit, F.col(seed).alias("seed_a"), F.col(value).alias("x"))
     b = a.withColumnsRenamed({"seed_a": "seed_b", "x": "y"})
     pairs = a.join(b, unit).where("seed_a < seed_b")
     by = ["seed_a", "seed_b"]
-    ranked = pairs.withColumns({"rx": average_rank("x", by), "ry": average_rank("y", by)})
-    return ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.corr("rx", "ry").alias("rank_correlation"))
+    both = ranked(ranked(pairs, by, "x", "rx"), by, "y", "ry")
+    return both.groupBy(*by).agg(F.count(F.lit(1)).alias("units"), F.corr("rx", "ry").alias("rank_correlation"))
 
 
 def agreement(rows: DataFrame, x: str, y: str) -> DataFrame:
