@@ -123,7 +123,7 @@ def trials(spark: S, sf: str) -> D:
     trial = F.col("l_orderkey") % 4
     level = F.round("l_discount", 2)
     return rows.groupBy((F.col("l_suppkey") % 12).cast("int").alias("unit"), trial.cast("int").alias("trial"), level.alias("noise")).agg(
-        F.round(F.avg("l_quantity"), 6).alias("coherence"), F.when(F.max("l_quantity") >= 30, F.round(F.avg("l_tax") * 100, 6)).alias("snr_db"), F.count(F.lit(1)).alias("events"), F.round(F.max("l_tax"), 2).alias("clipped_fraction"), (F.count(F.lit(1)) >= 3).alias("valid")
+        F.avg("l_quantity").alias("coherence"), F.when(F.max("l_quantity") >= 30, F.sum(F.round(F.col("l_tax") * 100).cast("int")).cast("double") / F.count(F.lit(1))).alias("snr_db"), F.count(F.lit(1)).alias("events"), F.round(F.max("l_tax"), 2).alias("clipped_fraction"), (F.count(F.lit(1)) >= 3).alias("valid")
     )
 
 
@@ -132,12 +132,12 @@ def trial_summary(spark: S, sf: str) -> D:
 
 
 def grid_optima(spark: S, sf: str) -> D:
-    s = T.trial_summary(trials(spark, sf), ["unit", "noise"]).withColumns({m: F.round(m, 6) for m in ("coherence_median", "snr_mean")})
-    return rounded(T.grid_optima(s, ["unit"], "noise", "coherence_median").unionByName(T.grid_optima(s, ["unit"], "noise", "snr_mean")))
+    s = T.trial_summary(trials(spark, sf), ["unit", "noise"]).withColumns({m: F.round(m, 9) for m in ("coherence_median", "snr_mean")})
+    return T.grid_optima(s, ["unit"], "noise", "coherence_median").unionByName(T.grid_optima(s, ["unit"], "noise", "snr_mean"))
 
 
 def zero_baseline_delta(spark: S, sf: str) -> D:
-    return rounded(T.less_baseline(trials(spark, sf), ["unit", "trial"], "noise", ["coherence"]).select("unit", "trial", "noise", "coherence_change"))
+    return rounded(T.less_baseline(trials(spark, sf), ["unit", "trial"], "noise", ["coherence"]).select("unit", "trial", "noise", "coherence_change"), 9)
 
 
 def reason_counts(spark: S, sf: str) -> D:
@@ -219,7 +219,7 @@ def _effects(pairs: list[tuple[str, str]], metrics: tuple[str, ...]) -> str:
     return "effects AS (" + " UNION ALL ".join(f"SELECT a.seed, a.patient, '{x}-{y}' AS comparison, " + ", ".join(f"a.{m} - b.{m} AS {m}" for m in metrics) + f" FROM per a JOIN per b ON a.seed = b.seed AND a.patient = b.patient AND a.model = '{x}' AND b.model = '{y}'" for x, y in pairs) + ")"
 
 
-_TRIALS = "WITH trials AS (SELECT (l_suppkey % 12)::INT AS unit, (l_orderkey % 4)::INT AS trial, round(l_discount, 2) AS noise, round(avg(l_quantity), 6) AS coherence, CASE WHEN max(l_quantity) >= 30 THEN round(avg(l_tax) * 100, 6) END AS snr_db, count(*) AS events, round(max(l_tax), 2) AS clipped_fraction, count(*) >= 3 AS valid FROM lineitem GROUP BY 1, 2, 3)"
+_TRIALS = "WITH trials AS (SELECT (l_suppkey % 12)::INT AS unit, (l_orderkey % 4)::INT AS trial, round(l_discount, 2) AS noise, avg(l_quantity) AS coherence, CASE WHEN max(l_quantity) >= 30 THEN sum(round(l_tax * 100)::INT)::DOUBLE / count(*) END AS snr_db, count(*) AS events, round(max(l_tax), 2) AS clipped_fraction, count(*) >= 3 AS valid FROM lineitem GROUP BY 1, 2, 3)"
 _SUMMARY = _TRIALS + ", summary AS (SELECT unit, noise, count(*) AS trials, count(*) FILTER (valid) AS valid_trials, count(*) FILTER (NOT valid) AS invalid_trials, count(*) FILTER (valid) / count(*) AS valid_fraction, median(coherence) FILTER (valid) AS coherence_median, stddev_samp(coherence) FILTER (valid) AS coherence_sd, avg(snr_db) AS snr_mean, count(snr_db) AS snr_valid_trials, avg(events) AS events_mean, max(clipped_fraction) AS clipped_fraction_max FROM trials GROUP BY unit, noise)"
 _SEEDED = "WITH seeded AS (SELECT l_suppkey AS unit, month(l_shipdate)::INT AS seed, round(avg(l_quantity), 6) AS value FROM lineitem GROUP BY 1, 2)"
 _PAIRS = _SEEDED + ", pairs AS (SELECT a.seed AS seed_a, b.seed AS seed_b, a.value AS x, b.value AS y FROM seeded a JOIN seeded b ON a.unit = b.unit AND a.seed < b.seed), ranked AS (SELECT seed_a, seed_b, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY x) + (count(*) OVER (PARTITION BY seed_a, seed_b, x) - 1) / 2 AS rx, rank() OVER (PARTITION BY seed_a, seed_b ORDER BY y) + (count(*) OVER (PARTITION BY seed_a, seed_b, y) - 1) / 2 AS ry FROM pairs), spearman AS (SELECT seed_a, seed_b, count(*) AS units, corr(rx, ry) AS rank_correlation FROM ranked GROUP BY 1, 2)"
@@ -248,8 +248,8 @@ ORACLES = {
     "patient_behaviour": f"{_P} SELECT a.patient, count(*) FILTER (a.prediction <> b.prediction) AS changed, round(avg(abs(a.score - b.score)), 6)::DOUBLE AS mean_abs_change FROM predictions a JOIN predictions b ON a.doc_id = b.doc_id AND a.model = 'alpha' AND b.model = 'beta' AND a.seed = 42 AND b.seed = 42 GROUP BY a.patient",
     "distill_soft_targets": f"{_P}, q AS (SELECT *, least(greatest(score, 1e-6), 1 - 1e-6) AS p FROM predictions WHERE model = 'beta') SELECT doc_id, seed, round(1 / (1 + exp(-ln(p / (1 - p)) / 3.0)), 6)::DOUBLE AS soft, (score >= 0.7)::INT AS hard FROM q",
     "trial_summary": f"{_SUMMARY} SELECT unit, noise, trials, valid_trials, invalid_trials, snr_valid_trials, " + ", ".join(f"round({m}, 9)::DOUBLE AS {m}" for m in ('valid_fraction', 'coherence_median', 'coherence_sd', 'snr_mean', 'events_mean', 'clipped_fraction_max')) + " FROM summary",
-    "grid_optima": f"{_SUMMARY}, g AS (SELECT unit, noise, min(noise) OVER u AS low, max(noise) OVER u AS high, 'coherence_median' AS metric, round(coherence_median, 6) AS v FROM summary WINDOW u AS (PARTITION BY unit) UNION ALL SELECT unit, noise, min(noise) OVER u, max(noise) OVER u, 'snr_mean', round(snr_mean, 6) FROM summary WINDOW u AS (PARTITION BY unit)) SELECT unit, metric, CASE WHEN v IS NULL THEN NULL ELSE noise END AS noise, v::DOUBLE AS value, CASE WHEN v IS NULL THEN 'no_valid_measurement' WHEN noise IN (low, high) THEN 'boundary_maximum' ELSE 'interior_grid_maximum' END AS status FROM g QUALIFY row_number() OVER (PARTITION BY unit, metric ORDER BY v DESC NULLS LAST, noise) = 1",
-    "zero_baseline_delta": f"{_TRIALS} SELECT t.unit, t.trial, t.noise, round(t.coherence - z.coherence, 6)::DOUBLE AS coherence_change FROM trials t LEFT JOIN trials z ON t.unit = z.unit AND t.trial = z.trial AND z.noise = 0",
+    "grid_optima": f"{_SUMMARY}, g AS (SELECT unit, noise, min(noise) OVER u AS low, max(noise) OVER u AS high, 'coherence_median' AS metric, round(coherence_median, 9) AS v FROM summary WINDOW u AS (PARTITION BY unit) UNION ALL SELECT unit, noise, min(noise) OVER u, max(noise) OVER u, 'snr_mean', round(snr_mean, 9) FROM summary WINDOW u AS (PARTITION BY unit)) SELECT unit, metric, CASE WHEN v IS NULL THEN NULL ELSE noise END AS noise, v::DOUBLE AS value, CASE WHEN v IS NULL THEN 'no_valid_measurement' WHEN noise IN (low, high) THEN 'boundary_maximum' ELSE 'interior_grid_maximum' END AS status FROM g QUALIFY row_number() OVER (PARTITION BY unit, metric ORDER BY v DESC NULLS LAST, noise) = 1",
+    "zero_baseline_delta": f"{_TRIALS} SELECT t.unit, t.trial, t.noise, round(t.coherence - z.coherence, 9)::DOUBLE AS coherence_change FROM trials t LEFT JOIN trials z ON t.unit = z.unit AND t.trial = z.trial AND z.noise = 0",
     "reason_counts": f"{_TRIALS} SELECT noise, CASE WHEN clipped_fraction >= 0.08 THEN 'clipped_dynamics' WHEN NOT valid THEN 'insufficient_intervals' ELSE 'ok' END AS reason, count(*) AS trials FROM trials GROUP BY 1, 2",
     "strict_mean_blocks": f"{_SEEDED}, b AS (SELECT unit, (seed - 1) // 4 AS block, CASE WHEN (unit + seed) % 29 <> 0 THEN value END AS value FROM seeded) SELECT unit, block::INT AS block, round(CASE WHEN count(value) = count(*) AND count(*) = 4 THEN avg(value) END, 9)::DOUBLE AS mean FROM b GROUP BY unit, block",
     "spearman_pairs": f"{_PAIRS} SELECT seed_a, seed_b, units, {_r('rank_correlation')} FROM spearman",
