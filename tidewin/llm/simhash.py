@@ -26,6 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import near_copies
 from .support import connected_components, shuffle_width, stage, with_ids
 
 WIDTH = 3
@@ -165,11 +166,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, less all but the one with the smallest id of each component;
-    of rows that share an id one stays, and rows without an id all stay."""
-    first = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_id")).distinct()
+    """The documents, with all their columns, less all but the one with the smallest id of each group of texts
+    with a five-word Jaccard similarity of 0.8 or more (transitively; see near_copies). Rows without an id all stay,
+    and of rows that share an id one stays."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index(id_col)]).cast("long"))
+    text = F.col(names[docs.columns.index(text_col)]).cast("string")
+    rows = rows.withColumn("_k", F.xxhash64("_id", F.col("_id").isNull(), text))
+    texts = rows.select(F.col("_k").alias("k"), F.col("_id").alias("id"), text.alias("text"))
+    keys = stage(near_copies.named(texts), "near-keys")
+    groups = near_copies.components(texts.select("k", "text"), keys)
+    known = keys.where("id is not null").join(groups, "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
+    first = known.groupBy("component").agg(F.min("id").alias("_id")).select("_id").distinct()
     with_id = rows.where("_id is not null").join(first, "_id", "left_semi").dropDuplicates(["_id"])
     return with_id.unionByName(rows.where("_id is null")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
