@@ -166,20 +166,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, with all their columns, less all but the one with the smallest id of each group of texts
-    with a five-word Jaccard similarity of 0.8 or more (transitively; see near_copies). Rows without an id all stay,
-    and of rows that share an id one stays."""
+    """The documents, with all their columns, less all but one of each group of texts with a five-word Jaccard
+    similarity of 0.8 or more (transitively; see near_copies): the one with the smallest id stays, and of the rows
+    without an id one as well. A row goes only for its text, so other texts under a repeated id stay."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index(id_col)]).cast("long"))
     text = F.col(names[docs.columns.index(text_col)]).cast("string")
-    rows = rows.withColumn("_k", F.xxhash64("_id", F.col("_id").isNull(), text))
+    rows = rows.withColumn("_k", F.xxhash64("_id", F.col("_id").isNull(), text))  # names a row by id and text
     texts = rows.select(F.col("_k").alias("k"), F.col("_id").alias("id"), text.alias("text"))
     keys = stage(near_copies.named(texts), "near-keys")
     groups = near_copies.components(texts.select("k", "text"), keys)
-    known = keys.where("id is not null").join(groups, "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
-    first = known.groupBy("component").agg(F.min("id").alias("_id")).select("_id").distinct()
-    with_id = rows.where("_id is not null").join(first, "_id", "left_semi").dropDuplicates(["_id"])
-    return with_id.unionByName(rows.where("_id is null")).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    known = keys.join(groups, "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
+    first = known.groupBy("component", F.col("id").isNull()).agg(F.min(F.struct("id", "k")).alias("row")).select(F.col("row.k").alias("_k"))
+    left = rows.join(first, "_k", "left_semi")
+    # Equal rows share a name; most tables have none, and then no text is sorted.
+    if not keys.groupBy("k").count().where("count > 1").isEmpty():
+        left = left.dropDuplicates(["_k"])
+    return left.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
