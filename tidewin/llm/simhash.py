@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import near_copies
-from .support import connected_components, shuffle_width, stage, with_ids
+from .support import connected_components, shuffle_width, small, stage, with_ids
 
 WIDTH = 3
 RADIUS = 2
@@ -168,7 +168,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, less all but one of each group of texts with a five-word Jaccard
     similarity of 0.8 or more (transitively; see near_copies): the one with the smallest id stays, and of the rows
-    without an id one as well. A row goes only for its text, so other texts under a repeated id stay."""
+    without an id one as well. A row goes only for its text, so other texts under a repeated id stay; of rows that
+    are equal in id and text the one with the least hash of all columns stays. No text is sorted or aggregated,
+    but for rows that are equal to another in id and text."""
     names = [f"_{i}" for i in range(len(docs.columns))]
     rows = docs.toDF(*names).withColumn("_id", F.col(names[docs.columns.index(id_col)]).cast("long"))
     text = F.col(names[docs.columns.index(text_col)]).cast("string")
@@ -176,12 +178,17 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     texts = rows.select(F.col("_k").alias("k"), F.col("_id").alias("id"), text.alias("text"))
     keys = stage(near_copies.named(texts), "near-keys")
     groups = near_copies.components(texts.select("k", "text"), keys)
-    known = keys.join(groups, "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
-    first = known.groupBy("component", F.col("id").isNull()).agg(F.min(F.struct("id", "k")).alias("row")).select(F.col("row.k").alias("_k"))
-    left = rows.join(first, "_k", "left_semi")
-    # Equal rows share a name; most tables have none, and then no text is sorted.
-    if not keys.groupBy("k").count().where("count > 1").isEmpty():
-        left = left.dropDuplicates(["_k"])
+    known = keys.join(small(groups), "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
+    first = known.groupBy("component", F.col("id").isNull().alias("none")).agg(F.min(F.struct("id", "k")).alias("row"), F.count(F.lit(1)).alias("rows"))
+    several = stage(first.where("rows > 1").select(F.col("component").alias("c"), F.col("none"), F.col("row.k").alias("kept")), "near-groups")
+    known = known.join(small(several), (F.col("component") == F.col("c")) & (F.col("id").isNull() == F.col("none")))
+    gone = stage(known.where("k <> kept").select(F.col("k").alias("_k")).distinct(), "near-gone")
+    left = rows.join(small(gone), "_k", "left_anti")
+    twice = stage(keys.groupBy(F.col("k").alias("_k")).count().where("count > 1").select("_k"), "near-twice")
+    if not twice.isEmpty():
+        side = small(twice)
+        one = left.join(side, "_k", "left_semi").groupBy("_k").agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("r")).select("r.*")
+        left = left.join(side, "_k", "left_anti").select(*names).unionByName(one)
     return left.select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 

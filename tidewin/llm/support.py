@@ -33,11 +33,37 @@ def shared_dir(spark: SparkSession) -> str:
 def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later plans start from the files,
     so a lost executor costs a re-read and not the work above. Tables of ids and counts gain little from a
-    codec, whose native buffers add up over many small files; pass one for texts."""
+    codec, whose native buffers add up over many small files; pass one for texts. What is not discarded goes
+    when the application ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._staged = path
+    return out
+
+
+def _file_system(spark: SparkSession, path: str):
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete staged tables that no plan reads any more."""
+    for df in tables:
+        fs, at = _file_system(df.sparkSession, df._staged)
+        fs.delete(at, True)
+
+
+#: Rows of a few longs that may be broadcast: some tens of MB.
+BROADCAST_ROWS = 1_000_000
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if a count finds at most BROADCAST_ROWS rows of ids in it; joins are the same either way."""
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
 def shuffle_width(spark: SparkSession) -> int:
@@ -96,7 +122,8 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
     """(node, component) for every node of the undirected edges; component is the smallest node.
 
     Each round sends every node to its smallest neighbour (twice), renames the edges' ends and drops
-    the loops, so the graph shrinks at least by half. Nothing but a row count comes to the driver.
+    the loops, so the graph shrinks at least by half. Nothing but row counts comes to the driver. New names
+    are broadcast where they are few; beyond that a hub's edges are spread by the skew join.
     """
     e = stage(edges.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a < b").distinct(), "cc-edges")
     labels = e.select(F.explode(F.array("a", "b")).alias("node")).distinct().select("node", F.col("node").alias("component"))
@@ -105,9 +132,9 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFr
         low = both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("low")).select("node", F.least("node", "low").alias("up"))
         above = low.select(F.col("node").alias("up"), F.col("up").alias("top"))
         parent = stage(low.join(above, "up").select("node", F.col("top").alias("up")), "cc-parent")
-        to = parent.select(F.col("node").alias("component"), F.col("up"))
+        to = small(parent.select(F.col("node").alias("component"), F.col("up")))
         labels = labels.join(to, "component", "left").select("node", F.coalesce("up", "component").alias("component"))
-        left, right = parent.select(F.col("node").alias("a"), F.col("up").alias("x")), parent.select(F.col("node").alias("b"), F.col("up").alias("y"))
+        left, right = small(parent.select(F.col("node").alias("a"), F.col("up").alias("x"))), small(parent.select(F.col("node").alias("b"), F.col("up").alias("y")))
         e = e.join(left, "a").join(right, "b").where("x <> y")
         e = stage(e.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct(), "cc-edges")
     return labels

@@ -32,14 +32,47 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _VALUE = spread(np.arange(1, 257, dtype=np.uint64))
 #: ASCII letters and digits, and every byte of a character beyond ASCII.
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] * 128)
-_POWERS: dict[str, np.ndarray] = {}
+#: All bytes but the six ASCII spaces; A-Z count as a-z.
+_PLAIN = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
+_FOLDED = _VALUE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+#: Texts are walked in pieces that fit a core's cache, so a text of any length takes little beside its words.
+PIECE = 1 << 17
+_UP, _DOWN = powers(_BASE, PIECE), powers(_INVERSE, PIECE)
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if "up" not in _POWERS or len(_POWERS["up"]) < n:
-        size = 1 << max(16, (n - 1).bit_length())
-        _POWERS["up"], _POWERS["down"] = powers(_BASE, size), powers(_INVERSE, size)
-    return _POWERS["up"], _POWERS["down"]
+def _walk(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """A hash of every run of member bytes in every text, and n + 1 offsets of the texts' runs.
+
+    A run's hash is its polynomial over the bytes' values: the difference of two running sums, brought back to
+    power zero. The sums go on from piece to piece, so runs may cross pieces.
+    """
+    begins, starts, stops, lifts = [], [], [], []
+    running, inside = np.zeros(1, np.uint64), False
+    for at in range(0, len(data), PIECE):
+        part = data[at : at + PIECE]
+        n = len(part)
+        lift, drop = _U(pow(_BASE, at, 1 << 64)), _U(pow(_INVERSE, at, 1 << 64))
+        word = member[part]
+        before = np.empty(n, bool)
+        before[0], before[1:] = inside, word[:-1]
+        first, stop = word & ~before, before & ~word
+        edge = offsets[np.searchsorted(offsets, at) : np.searchsorted(offsets, at + n)] - at
+        first[edge], stop[edge] = word[edge], before[edge]
+        total = np.zeros(n + 1, np.uint64)
+        np.cumsum(value[part] * _UP[:n], out=total[1:])
+        total = running + total * lift
+        begin = np.flatnonzero(first)
+        begins.append(begin + at)
+        starts.append(total[begin])
+        lifts.append(_DOWN[begin] * drop)
+        stops.append(total[np.flatnonzero(stop)])
+        running, inside = total[-1:], bool(word[-1])
+    if inside:
+        stops.append(running)
+    if not begins:
+        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+    found = spread((np.concatenate(stops) - np.concatenate(starts)) * np.concatenate(lifts))
+    return found, np.searchsorted(np.concatenate(begins), offsets)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -47,22 +80,12 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
     Texts are lower-cased; a word is a run of ASCII letters and digits and of characters beyond ASCII.
     """
-    data, offsets = text_bytes(pc.utf8_lower(texts))
-    n = len(data)
-    if not n:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
-    inside = _WORD[data]
-    fresh = inside.copy()
-    fresh[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < n]
-    fresh[edges] = inside[edges]
-    last = inside.copy()
-    last[:-1] &= ~inside[1:] | fresh[1:]
-    begin, end = np.flatnonzero(fresh), np.flatnonzero(last) + 1
-    up, down = _tables(n)
-    total = np.zeros(n + 1, np.uint64)
-    np.cumsum(_VALUE[data] * up[:n], out=total[1:])
-    return spread((total[end] - total[begin]) * down[begin]), np.searchsorted(begin, offsets)
+    return _walk(*text_bytes(pc.utf8_lower(texts)), _WORD, _VALUE)
+
+
+def plain_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    r"""The same with A-Z lower-cased and words that are runs of bytes other than \x20 and \x09-\x0D."""
+    return _walk(*text_bytes(texts), _PLAIN, _FOLDED)
 
 
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
