@@ -53,6 +53,20 @@ def perturbation(rows: DataFrame, keep: list[str], samples: str, identity: str,
     return per_row(rows, keep, [samples, identity], apply, "condition string, trial int, rmse double, normalized_rmse double, correlation double")
 
 
+def perturbed_signals(rows: DataFrame, keep: list[str], samples: str, identity: str, sfreq: float, conditions: tuple[str, ...] = K.CONDITIONS, trials: int = 1, seed: int = 42, **how) -> DataFrame:
+    """keep, condition, trial and the changed signal itself (`samples`), for what comes after: features and scores."""
+
+    def apply(x: list[float], name: str) -> list[dict]:
+        signal = np.array(x)
+        return [
+            {"condition": c, "trial": t, "samples": K.perturbed(signal, sfreq, c, np.random.default_rng(seed_for(seed, name, t)), **how)}
+            for c in conditions
+            for t in range(trials if c.startswith(("noise_", "sr_")) else 1)
+        ]
+
+    return per_row(rows, keep, [samples, identity], apply, "condition string, trial int, samples array<double>")
+
+
 def context_measurements(rows: DataFrame, keep: list[str], samples: str, seed: int = 42) -> DataFrame:
     """The sr and cr measurement of each context (`samples` NULL: unusable context)."""
     schema = "sr_value double, cr_value double, sr_reason string, cr_reason string, frequency double, clipped double, bistable_events int, peak_events int"

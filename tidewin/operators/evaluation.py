@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import ratio
+from .stats import same_keys
 
 BINS = 1024
 THRESHOLDS = range(5, 96)  # hundredths
@@ -173,10 +174,21 @@ def nested_folds(rows: DataFrame, group: str, label: str = "label") -> DataFrame
 
 
 def stratified_split(rows: DataFrame, label: str, key: str, test_share: float = 0.2, seed: int = 42) -> DataFrame:
-    """part = test for the test_share of each label with the smallest hashes. The cut is by the hash itself, so
-    it is independent of the number of rows and needs no sort; shares are met in expectation."""
-    u = F.pmod(F.xxhash64(F.col(key), F.col(label), F.lit(seed)), F.lit(1_000_000)) / 1_000_000.0
-    return rows.withColumn("part", F.when(u < test_share, "test").otherwise("train"))
+    """part = test for exactly round(test_share * n) rows of each label, those with the least hashes of (seed, key);
+    of equal hashes the smaller key. Rows of one key share a part if they fall on one side of the cut.
+
+    Hashes are uniform, so they are binned by their leading bits: bins are summed and rows are ranked inside their
+    bin, and no label is gathered in a task.
+    """
+    h = F.conv(F.substring(F.md5(F.concat_ws(" ", F.lit(str(seed)), F.col(key).cast("string"))), 1, 12), 16, 10).cast("long")
+    at = rows.withColumn("_h", h).withColumn("_bin", F.shiftright("_h", 36))  # 4,096 bins
+    below = Window.partitionBy(label).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = at.groupBy(label, "_bin").agg(F.count(F.lit(1)).alias("_n"))
+    bins = bins.select(label, "_bin", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"), F.sum("_n").over(Window.partitionBy(label)).alias("_all"))
+    nth = F.row_number().over(Window.partitionBy(label, "_bin").orderBy("_h", key))
+    placed = same_keys(at, bins, [label, "_bin"]).withColumn("_nth", F.col("_before") + nth)
+    part = F.when(F.col("_nth") <= F.round(F.col("_all") * test_share), "test").otherwise("train")
+    return placed.withColumn("part", part).drop("_h", "_bin", "_before", "_all", "_nth")
 
 
 def robustness(rows: DataFrame, by: list[str]) -> DataFrame:

@@ -14,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from .windows import window_size
 
 
 def _signals(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -89,6 +90,42 @@ def relative_powers(rows: DataFrame, keep: list[str], samples: str, sfreq: float
     return per_signal(rows, keep, samples, kernel, list(bands))
 
 
+def recording_features(recordings: DataFrame, keep: list[str], channels: list[str], sfreq: float, seconds: float = 4.0, clean: Callable[[np.ndarray, float], np.ndarray] | None = K.preprocess, nperseg: int = 256) -> DataFrame:
+    """keep, start_sec, end_sec and a family__measure__channel column for each measure and channel, one row for each
+    complete window of each recording: rows hold `signals`, the named channels' whole signals in that order. A
+    recording is cleaned first and cut then, so windows have no filter edges. One Arrow pass, no pivot and no shuffle."""
+    size, names = window_size(seconds, sfreq), K.feature_names(channels)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i, signals in enumerate(batch.column(len(keep))):
+                x = np.stack([np.asarray(s.values.to_numpy(zero_copy_only=False), np.float64) for s in signals])
+                if len(x) != len(channels):
+                    raise ValueError(f"a recording of {len(x)} signals for {len(channels)} channels")
+                for k in range(len(x) if clean else 0):  # one channel's spectrum at a time
+                    x[k] = clean(x[k], sfreq)
+                n = x.shape[1] // size
+                values: dict[str, list[np.ndarray]] = {}
+                for begin in range(0, n, WINDOWS):  # some windows at a time, of all channels
+                    stop = min(n, begin + WINDOWS)
+                    pieces = x[:, begin * size : stop * size].reshape(len(x), stop - begin, size)
+                    for name, v in K.window_features(pieces, sfreq, nperseg).items():
+                        for k, c in enumerate(channels):
+                            values.setdefault(f"{name}__{c}", []).append(v[k])
+                if n:
+                    start = np.arange(n) * size / sfreq
+                    kept = [c.take(pa.array(np.full(n, i))) for c in batch.columns[: len(keep)]]
+                    found = [pa.array(np.concatenate(values[name]), from_pandas=True) for name in names]
+                    yield pa.RecordBatch.from_arrays([*kept, pa.array(start), pa.array(start + size / sfreq), *found], [*keep, "start_sec", "end_sec", *names])
+
+    chosen = recordings.select(*keep, F.col("signals").cast("array<array<double>>"))
+    schema = [f"`{c}` {t}" for c, t in chosen.dtypes[: len(keep)]] + [f"`{n}` double" for n in ("start_sec", "end_sec", *names)]
+    return chosen.mapInArrow(run, ", ".join(schema))
+
+
+#: Windows whose spectra a task holds at once.
+WINDOWS = 64
+
 KINDS = {"double": pa.float64(), "int": pa.int32(), "long": pa.int64(), "string": pa.string(), "boolean": pa.bool_(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64())}
 
 

@@ -8,8 +8,11 @@ beyond it.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.ml import Model
 from pyspark.ml.classification import GBTClassificationModel, GBTClassifier, LogisticRegression, LogisticRegressionModel, RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import VectorAssembler
@@ -25,6 +28,14 @@ SEED = 42
 TOP = 50
 HIDDEN = (32, 16)
 TEMPERATURE, ALPHA = 3.0, 0.5
+THRESHOLD = 0.5
+#: Training rows that one student may be given: its task holds them as 32-bit floats.
+MOST_ROWS = 2_000_000
+#: Held-out groups that a student study may have.
+MOST_FOLDS = 100
+ARMS = ("teacher", "selected_supervised", "selected_kd", "random_supervised")
+#: Which arm is compared with which (fixed names).
+COMPARISONS = [("selected_supervised", "random_supervised"), ("selected_kd", "selected_supervised"), ("teacher", "selected_kd")]
 
 
 def class_ratio(train: DataFrame, label: str = "label") -> float:
@@ -53,7 +64,7 @@ def estimator(name: str, rows: int, seed: int = SEED, **override):
     if name == "random_forest":
         return RandomForestClassifier(**common | {"numTrees": 300, "featureSubsetStrategy": "sqrt", "minInstancesPerNode": 2, "maxDepth": 20, "seed": seed} | override)
     if name == "boosted_trees":
-        return GBTClassifier(**common | {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "seed": seed} | override)
+        return GBTClassifier(**common | {"maxIter": 300, "maxDepth": 5, "stepSize": 0.05, "subsamplingRate": 0.8, "featureSubsetStrategy": "0.8", "seed": seed} | override)
     raise ValueError(f"unknown model {name}")
 
 
@@ -90,33 +101,46 @@ class Classifier:
         values = np.abs(self.model.coefficients.toArray()) if self.name == "logistic_regression" else self.model.featureImportances.toArray()
         return pd.DataFrame({"feature": self.transform.columns, "importance": values[: len(self.transform.columns)]})
 
-    def save(self, path: str, **facts) -> None:
-        """The model's folder and, beside it, one JSON line: format, name, transform and the given facts."""
+    def save(self, path: str, threshold: float = THRESHOLD, **facts) -> None:
+        """The model's folder and its manifest."""
         self.model.write().save(f"{path}/model")
-        spark = SparkSession.active()
-        spark.createDataFrame([(json.dumps({"format": 1, "name": self.name, "transform": self.transform.to_json(), **facts}, sort_keys=True),)], "value string").coalesce(1).write.text(f"{path}/manifest")
-
+        write_manifest(path, {"kind": "classical", "name": self.name, "transform": self.transform.to_json(), "threshold": threshold, **facts})
 
     @staticmethod
     def load(spark: SparkSession, path: str) -> Classifier:
-        """A saved classifier; an error for another format, or if its test groups were among its training groups."""
-        facts = json.loads(spark.read.text(f"{path}/manifest").first().value)
-        if facts["format"] != 1 or set(facts.get("train_groups", [])) & set(facts.get("test_groups", [])):
-            raise ValueError("unsupported bundle, or its training and test groups overlap")
+        """A saved classifier; see read_manifest."""
+        facts = read_manifest(spark, path)
         kinds = {"logistic_regression": LogisticRegressionModel, "random_forest": RandomForestClassificationModel, "boosted_trees": GBTClassificationModel}
         return Classifier(facts["name"], FeatureTransform.from_json(facts["transform"]), kinds[facts["name"]].load(f"{path}/model"))
 
 
+def write_manifest(path: str, facts: dict) -> None:
+    """One JSON line, written last: a bundle without it is not whole."""
+    rows = SparkSession.active().createDataFrame([(json.dumps({"format": 1, **facts}, sort_keys=True),)], "value string")
+    rows.coalesce(1).write.text(f"{path}/manifest")
+
+
+def read_manifest(spark: SparkSession, path: str) -> dict:
+    """A bundle's facts; an error for another format, or if its test groups were among its training groups."""
+    facts = json.loads(spark.read.text(f"{path}/manifest").first().value)
+    if facts.get("format") != 1:
+        raise ValueError("unsupported bundle")
+    if both := set(facts.get("train_groups", [])) & set(facts.get("test_groups", [])):
+        raise ValueError(f"groups in training and test: {sorted(both)}")
+    return facts
+
+
 def select_top(importance: pd.DataFrame, k: int = TOP) -> list[str]:
     return importance.sort_values(["importance", "feature"], ascending=[False, True]).head(k)["feature"].tolist()
 
 
 def random_features(columns: list[str], groups: list[str], held_out: str, base_seed: int = SEED, k: int = TOP) -> list[str]:
-    """k of the columns, in their order, drawn with a seed that names the training groups only."""
-    if held_out in groups:
-        raise ValueError("the held-out group must not be among the training groups")
-    seed = int(fingerprint([f"random-{k}-v1", base_seed, sorted(groups)])[:8], 16)
-    return [columns[i] for i in np.sort(np.random.default_rng(seed).choice(len(columns), k, replace=False))]
+    """k of the columns, in their order: those with the least fingerprints of (seed, training groups, column). The draw
+    depends neither on the columns' order nor on the held-out group."""
+    if held_out in groups or k > len(columns):
+        raise ValueError("the held-out group must not train, and there must be k columns")
+    drawn = sorted(columns, key=lambda c: fingerprint([base_seed, sorted(groups), c]))[:k]
+    return [c for c in columns if c in set(drawn)]
 
 
 def leave_one_out(rows: DataFrame, columns: list[str], group: str, name: str, keep: list[str], **how) -> DataFrame:
@@ -143,6 +167,25 @@ class Student:
         self.layers = [[rng.uniform(-1, 1, (a, b)).astype(np.float32) / np.sqrt(a), rng.uniform(-1, 1, b).astype(np.float32) / np.sqrt(a)] for a, b in zip(sizes[:-1], sizes[1:], strict=True)]
         self.rng = rng
 
+    def state(self) -> list:
+        return [[w.astype(float).tolist(), b.astype(float).tolist()] for w, b in self.layers]
+
+    @staticmethod
+    def restored(state: list, architecture: list[int]) -> Student:
+        """A student with saved layers; an error unless they have the stated sizes, from the inputs to one output."""
+        if len(architecture) != 4 or architecture[-1] != 1:
+            raise ValueError("a student has two hidden layers and one output")
+        net = Student(architecture[0], 0, tuple(architecture[1:3]))
+        layers = [[np.array(w, np.float32), np.array(b, np.float32)] for w, b in state]
+        if [w.shape for layer in layers for w in layer] != [w.shape for layer in net.layers for w in layer]:
+            raise ValueError("the saved layers don't have the stated sizes")
+        net.layers = layers
+        return net
+
+    def payload(self) -> int:
+        """Bytes of the parameters alone."""
+        return sum(w.nbytes for layer in self.layers for w in layer)
+
     def parameters(self) -> int:
         return sum(w.size for layer in self.layers for w in layer)
 
@@ -186,15 +229,16 @@ class Student:
         return self
 
 
-def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...], teacher: str | None = None, epochs: int = 40, most_rows: int = 2_000_000, only: list | None = None) -> DataFrame:
+def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...], teacher: str | None = None, epochs: int = 40, most_rows: int = MOST_ROWS, only: list | None = None) -> DataFrame:
     """(key, test_group, seed, label, score): out-of-fold scores of a student for each held-out group and seed, with
     imputation and scaling fitted inside the fold. `teacher` names a column of probabilities to distil; `only` limits
     the held-out groups."""
-    groups = rows.select(F.col(group).alias("test_group")).distinct()
-    groups = groups.where(F.col("test_group").isin(only)) if only else groups
-    if rows.count() > most_rows:
-        raise ValueError(f"a fold's training rows must not exceed {most_rows}")
-    jobs = rows.join(F.broadcast(groups)).withColumn("seed", F.explode(F.array(*[F.lit(s) for s in seeds])))
+    found = only if only is not None else [r[0] for r in rows.select(group).distinct().orderBy(group).limit(MOST_FOLDS + 1).collect()]
+    if len(found) > MOST_FOLDS or rows.count() > most_rows:
+        raise ValueError(f"at most {MOST_FOLDS} folds of {most_rows} rows each")
+    # Each fold's task needs every row of the table, of which there are at most most_rows.
+    jobs = [F.struct(F.lit(g).cast(rows.schema[group].dataType).alias("test_group"), F.lit(s).alias("seed")) for g in found for s in seeds]
+    jobs = rows.select(key, group, "label", *columns, *([teacher] if teacher else []), F.explode(F.array(*jobs)).alias("_job")).select("*", "_job.*").drop("_job")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
@@ -205,8 +249,7 @@ def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, see
         x = (x - x[~test].mean(axis=0)) / np.where(sd > 0, sd, 1)
         soft = None
         if teacher:
-            p = np.clip(pdf[teacher].to_numpy(float)[~test], 1e-6, 1 - 1e-6)
-            soft = 1 / (1 + np.exp(-np.log(p / (1 - p)) / TEMPERATURE))
+            soft = softened(pdf[teacher].to_numpy(float)[~test])
         y = pdf["label"].to_numpy()
         net = Student(len(columns), int(pdf["seed"].iloc[0])).fit(x[~test], y[~test], soft, epochs)
         out = pdf.loc[test, [key, "test_group", "seed", "label"]].copy()
@@ -217,6 +260,86 @@ def student_folds(rows: DataFrame, columns: list[str], group: str, key: str, see
     return jobs.groupBy("test_group", "seed").applyInPandas(fold, f"{key} {kinds[key]}, test_group {kinds[group]}, seed int, label {kinds['label']}, score double")
 
 
+def softened(p: np.ndarray) -> np.ndarray:
+    """A teacher's probabilities at the temperature."""
+    p = np.clip(p, 1e-6, 1 - 1e-6)
+    return 1 / (1 + np.exp(-np.log(p / (1 - p)) / TEMPERATURE))
+
+
+class StudentModel:
+    """A fitted transform of its own columns and a student network: what a student's bundle holds."""
+
+    def __init__(self, transform: FeatureTransform, net: Student):
+        self.transform, self.net = transform, net
+
+    @staticmethod
+    def fit(train: DataFrame, columns: list[str], key: str, label: str = "label", seed: int = SEED, teacher: str | None = None, epochs: int = 40, most_rows: int = MOST_ROWS) -> StudentModel:
+        """Trained in one task on the rows in the key's order; more than most_rows of them are an error. `teacher` names a
+        column of probabilities to distil."""
+        if train.count() > most_rows:
+            raise ValueError(f"training rows must not exceed {most_rows}")
+        transform = FeatureTransform.fit(train, columns)
+        keep = [key, label, *([teacher] if teacher else [])]
+        rows = transform.transform(train.select(*keep, *columns), keep)
+
+        def run(pdf: pd.DataFrame) -> pd.DataFrame:
+            pdf = pdf.sort_values(key)
+            soft = softened(pdf[teacher].to_numpy(float)) if teacher else None
+            net = Student(len(columns), seed).fit(pdf[columns].to_numpy(np.float32), pdf[label].to_numpy(), soft, epochs)
+            return pd.DataFrame({"state": [json.dumps(net.state())]})
+
+        state = json.loads(rows.withColumn("_all", F.lit(True)).groupBy("_all").applyInPandas(run, "state string").first().state)  # a fixed number of weights
+        return StudentModel(transform, Student.restored(state, [len(columns), *HIDDEN, 1]))
+
+    def score(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        x = self.transform.transform(rows.select(*keep, *self.transform.columns), keep)
+        net, n = self.net, len(keep)
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                values = np.stack([np.asarray(c) for c in batch.columns[n:]], axis=1) if batch.num_rows else np.zeros((0, net.layers[0][0].shape[0]))
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], pa.array(net.score(values))], [*keep, "score"])
+
+        return x.mapInArrow(run, ", ".join(f"`{c}` {t}" for c, t in x.dtypes[:n]) + ", score double")
+
+    def save(self, path: str, threshold: float = THRESHOLD, **facts) -> None:
+        architecture = [self.net.layers[0][0].shape[0], *(w.shape[1] for w, _ in self.net.layers)]
+        write_manifest(path, {"kind": "student", "transform": self.transform.to_json(), "architecture": architecture, "state": self.net.state(), "threshold": threshold, **facts})
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> StudentModel:
+        facts = read_manifest(spark, path)
+        transform = FeatureTransform.from_json(facts["transform"])
+        if facts["architecture"][0] != len(transform.columns):
+            raise ValueError("the student's inputs are not its columns")
+        return StudentModel(transform, Student.restored(facts["state"], facts["architecture"]))
+
+
+class Bundle:
+    """A saved model of either kind with its facts: threshold, groups, feature columns and specification."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.facts = read_manifest(spark, path)
+        self.model = (StudentModel if self.facts.get("kind") == "student" else Classifier).load(spark, path)
+        self.threshold = float(self.facts.get("threshold", THRESHOLD))
+
+    def decide(self, rows: DataFrame, keep: list[str]) -> DataFrame:
+        """keep, score and prediction at the bundle's threshold. A feature column that is missing or doubled, or one
+        that the bundle doesn't know, is an error."""
+        known = list(self.facts.get("feature_columns", self.model.transform.columns))
+        given = [c for c in rows.columns if c not in {*keep, "label"}]
+        if sorted(given) != sorted(known):
+            raise ValueError(f"missing {sorted(set(known) - set(given))}, unexpected {sorted(set(given) - set(known))}, doubled {sorted({c for c in given if given.count(c) > 1})}")
+        return self.model.score(rows, keep).withColumn("prediction", (F.col("score") >= self.threshold).cast("int"))
+
+    def sizes(self) -> dict[str, int | None]:
+        """Parameters and bytes of a student's weights; for trees and regressions the number of trees or coefficients."""
+        if isinstance(self.model, StudentModel):
+            return {"parameters": self.model.net.parameters(), "payload": self.model.net.payload()}
+        inner = self.model.model
+        return {"parameters": inner.getNumTrees if hasattr(inner, "getNumTrees") else len(inner.coefficients), "payload": None}
+
+
 def distil(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tuple[int, ...] = (SEED,), k: int = TOP, epochs: int = 40, teacher: str = "boosted_trees", **how) -> DataFrame:
     """Leave-one-group-out distillation: in each fold a teacher of the training groups names the k best columns and
     gives the soft targets, and students learn from those columns alone. `arm` is supervised or distilled."""
@@ -232,6 +355,29 @@ def distil(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tup
     return out
 
 
+def four_arms(rows: DataFrame, columns: list[str], group: str, key: str, keep: list[str], seeds: tuple[int, ...] = (SEED,), k: int = TOP, epochs: int = 40, save: str | None = None, facts: dict | None = None, **how) -> DataFrame:
+    """Out-of-fold scores of the four arms (keep, model, seed, threshold, score, prediction): the teacher, students on
+    its k best columns alone and with its soft targets, and a student on k random columns. Teachers, selections and draws
+    are the same for all seeds. With `save`, each fold's bundles go to save/seed/group/arm. Folds are few and run one by
+    one; each fit and each scoring is distributed or bounded by MOST_ROWS."""
+    groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
+    out = None
+    for g in groups:
+        rest = [h for h in groups if h != g]
+        train, test = rows.where(F.col(group) != g), rows.where(F.col(group) == g)
+        fitted = Classifier.fit("boosted_trees", train, columns, **how)
+        chosen = {"selected": select_top(fitted.importance(), k), "random": random_features(columns, rest, g, k=k)}
+        soft = train.join(fitted.score(train, [key]).withColumnRenamed("score", "_teacher"), key)
+        for seed in seeds:
+            for arm in ARMS:
+                model = fitted if arm == "teacher" else StudentModel.fit(soft, chosen[arm.split("_")[0]], key, seed=seed, teacher="_teacher" if arm == "selected_kd" else None, epochs=epochs)
+                if save:
+                    model.save(f"{save}/seed{seed}/{g}/{arm}", train_groups=rest, test_groups=[g], feature_columns=columns, model_name=arm, seed=seed, **(facts or {}))
+                part = model.score(test, keep).withColumns({"model": F.lit(arm), "seed": F.lit(seed), "threshold": F.lit(THRESHOLD)})
+                out = part if out is None else out.unionByName(part)
+    return out.withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
+
+
 def random_search(rows: DataFrame, columns: list[str], group: str, name: str, space: dict[str, list], draws: int, seed: int = SEED) -> DataFrame:
     """Mean out-of-group average precision of `draws` random settings (without repetition), best first. Settings and
     folds are few and run one by one; this is selection by outer folds, as in the archived study, and not nested."""

@@ -2,12 +2,72 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite, first_reason, ratio, strict_mean
 
 
+CUTS = [i / 64 for i in range(1, 64)]
+
+
+def same_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "inner") -> DataFrame:
+    """A join in which NULL keys are equal; the left side's keys are kept. Without keys the right side is one row."""
+    if not by:
+        return left.crossJoin(F.broadcast(right))
+    right = right.withColumnsRenamed({c: f"_right_{c}" for c in by})
+    on = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_right_{c}")) for c in by])
+    return left.join(right, on, how).drop(*[f"_right_{c}" for c in by])
+
+
+def binned(rows: DataFrame, by: list[str], value: str) -> DataFrame:
+    """(by, value, _n, _bin, _before, _upto): distinct values with their number and how many values stand in earlier
+    bins, and up to and with them in their own.
+
+    Values fall into bins between a group's approximate quantiles, bins are summed (at most 64 for a group), and
+    values are counted inside their bin, so no group stands in a task.
+    """
+    at = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts"))
+    at = same_keys(at, cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
+    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
+    bins = at.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).select(*by, "_bin", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_before"))
+    inside = Window.partitionBy(*by, "_bin").orderBy(value)
+    return same_keys(at, bins, [*by, "_bin"]).withColumn("_upto", F.sum("_n").over(inside))
+
+
+def quantiles(rows: DataFrame, by: list[str], value: str, named: dict[str, float]) -> DataFrame:
+    """For each group the exact quantiles of the non-NULL values, on straight lines between neighbours, as columns of
+    these names; a group without a value has no row."""
+    at = binned(rows.where(F.col(value).isNotNull()), by, value)
+    last = F.col("_before") + F.col("_upto") - 1  # places from 0 of a value's first and last row
+    first = last - F.col("_n") + 1
+    total = at.groupBy(*by).agg(F.sum("_n").alias("_total"))
+    at = same_keys(at.withColumns({"_first": first, "_last": last}), total, by)
+    sums = []
+    for name, q in named.items():
+        place = (F.col("_total") - 1) * q
+        for side, nearest in (("low", F.floor(place)), ("high", F.ceil(place))):
+            sums.append(F.max(F.when((F.col("_first") <= nearest) & (nearest <= F.col("_last")), F.col(value))).alias(f"_{side}_{name}"))
+    found = at.groupBy(*by, "_total").agg(*sums)
+
+    def between(name: str, q: float) -> Column:
+        place = (F.col("_total") - 1) * q
+        low, high = F.col(f"_low_{name}"), F.col(f"_high_{name}")
+        return (low + (high - low) * (place - F.floor(place))).alias(name)
+
+    return found.select(*by, *[between(name, q) for name, q in named.items()])
+
+
+def with_median(summary: DataFrame, rows: DataFrame, by: list[str], value: Column, name: str) -> DataFrame:
+    """A group's summary with the median of a value; NULL where there is none."""
+    medians = quantiles(rows.withColumn("_value", value), by, "_value", {name: 0.5})
+    # Without keys an empty table still has its one row.
+    return same_keys(summary, medians if by else medians.agg(F.max(name).alias(name)), by, "left")
+
+
 def regularity(events: DataFrame, by: list[str], at: str, least: int = 5, ddof: int = 1, shortest: float = 0.0) -> DataFrame:
     """Deviation over mean (cv) of the gaps between a group's events, its inverse (coherence), and whether
     there are enough gaps; gaps under `shortest` are counted and left out."""
@@ -29,11 +89,12 @@ def trial_summary(trials: DataFrame, by: list[str]) -> DataFrame:
     good = F.col("valid") & finite("coherence")
     value, snr = F.when(good, F.col("coherence")), F.when(finite("snr_db"), F.col("snr_db"))
     n = F.count(F.lit(1))
-    return trials.groupBy(*by).agg(
+    summary = trials.groupBy(*by).agg(
         n.alias("trials"), F.count_if(good).alias("valid_trials"), F.count_if(~good).alias("invalid_trials"), (F.count_if(good) / n).alias("valid_fraction"),
-        F.median(value).alias("coherence_median"), F.stddev_samp(value).alias("coherence_sd"), F.avg(snr).alias("snr_mean"), F.count(snr).alias("snr_valid_trials"),
+        F.stddev_samp(value).alias("coherence_sd"), F.avg(snr).alias("snr_mean"), F.count(snr).alias("snr_valid_trials"),
         F.avg("events").alias("events_mean"), F.max("clipped_fraction").alias("clipped_fraction_max"),
     )
+    return with_median(summary, trials, by, value, "coherence_median")
 
 
 def grid_optima(summary: DataFrame, by: list[str], level: str, metric: str) -> DataFrame:
@@ -58,23 +119,10 @@ def block_means(rows: DataFrame, by: list[str], seed: str, value: str, block: Co
     return rows.groupBy(*by, block.alias("block")).agg(strict_mean(F.col(value), members).alias("mean"))
 
 
-CUTS = [i / 64 for i in range(1, 64)]
-
-
 def ranked(rows: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """Rows with their rank from 1 in the group, equal values sharing the mean of their places.
-
-    Places are counted in two levels, as for curves: values fall into bins between a group's approximate quantiles,
-    bins are summed (at most 64 for a group), and values are counted inside their bin, so no group stands in a task.
-    """
-    at = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts"))
-    at = at.join(cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
-    below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
-    bins = at.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).select(*by, "_bin", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_before"))
-    inside = Window.partitionBy(*by, "_bin").orderBy(value)
-    place = F.col("_before") + F.sum("_n").over(inside) - (F.col("_n") - 1) / 2
-    ranks = at.join(bins, [*by, "_bin"]).select(*by, value, place.alias(name))
+    """Rows with their rank from 1 in the group, equal values sharing the mean of their places (see binned)."""
+    place = F.col("_before") + F.col("_upto") - (F.col("_n") - 1) / 2
+    ranks = binned(rows, by, value).select(*by, value, place.alias(name))
     return rows.join(ranks, [*by, value])
 
 
@@ -99,4 +147,5 @@ def agreement(rows: DataFrame, x: str, y: str) -> DataFrame:
 def deltas(rows: DataFrame, by: list[str], a: Column, b: Column) -> DataFrame:
     """Statistics of a - b over the rows where it is finite."""
     d = F.when(finite(a - b), a - b)
-    return rows.groupBy(*by).agg(F.count(d).alias("pairs"), F.avg(d).alias("delta_mean"), F.median(d).alias("delta_median"), F.avg(F.abs(d)).alias("delta_abs_mean"), F.avg((d > 0).cast("double")).alias("positive_fraction"))
+    summary = rows.groupBy(*by).agg(F.count(d).alias("pairs"), F.avg(d).alias("delta_mean"), F.avg(F.abs(d)).alias("delta_abs_mean"), F.avg((d > 0).cast("double")).alias("positive_fraction"))
+    return with_median(summary, rows, by, d, "delta_median")

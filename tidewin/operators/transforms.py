@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import known
 from .relational import require_columns
+from .stats import quantiles
 
 
 @dataclass
@@ -28,10 +29,11 @@ class FeatureTransform:
         one, is an error; a constant column is centred and keeps its scale."""
         rows = require_columns(train.select(*columns), columns)
         long = rows.unpivot([], columns, "c", "x").withColumn("x", known("x"))
-        stats = {r.c: r for r in long.groupBy("c").agg(F.median("x").alias("m"), F.count_if(F.abs("x") == float("inf")).alias("inf"), F.count("x").alias("n")).collect()}
+        stats = {r.c: r for r in long.groupBy("c").agg(F.count_if(F.abs("x") == float("inf")).alias("inf"), F.count("x").alias("n")).collect()}
         if bad := [c for c in columns if c not in stats or not stats[c].n or stats[c].inf]:
             raise ValueError(f"columns without values or with infinite ones: {bad}")
-        median = [float(stats[c].m) for c in columns]
+        medians = {r.c: r.m for r in quantiles(long, ["c"], "x", {"m": 0.5}).collect()}  # one row for each column
+        median = [float(medians[c]) for c in columns]
         filled = F.coalesce(F.col("x"), F.element_at(F.create_map(*[F.lit(v) for p in zip(columns, median, strict=True) for v in p]), F.col("c")))
         moments = {r.c: r for r in long.select("c", filled.alias("x")).groupBy("c").agg(F.avg("x").alias("a"), F.stddev_pop("x").alias("s")).collect()}
         return FeatureTransform(list(columns), median, [float(moments[c].a) for c in columns], [float(moments[c].s) for c in columns], scale)

@@ -44,21 +44,30 @@ def sliding(recordings: DataFrame, seconds: float, overlap: float, duration: str
     return rows.select(*RECORDING, (F.col("k") * step).alias("start_sec"), (F.col("k") * step + seconds).alias("end_sec"))
 
 
-def overlap_seconds(windows: DataFrame, intervals: DataFrame, seconds: float, name: str = "overlap_sec", start: str = "start_sec", end: str = "end_sec") -> DataFrame:
-    """`windows` with the seconds that the recording's intervals (start_sec, end_sec) cover of each.
-
-    Both sides are cut at multiples of `seconds` and meet on (recording, multiple), so a recording with many
-    windows and many intervals costs their sum and not their product. What is summed is the overlap within
-    each multiple.
-    """
-    cell = lambda a, b: F.sequence(F.floor(F.col(a) / seconds), F.greatest(F.floor(F.col(a) / seconds), F.ceil(F.col(b) / seconds) - 1))
-    w = windows.withColumn("_cell", F.explode(cell(start, end)))
-    i = intervals.where("end_sec > start_sec").select(*RECORDING, F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b"), F.explode(cell("start_sec", "end_sec")).alias("_cell"))
+def _cells(start: str, end: str, seconds: float) -> Column:
+    """The multiples of `seconds` that [start, end) touches."""
+    first = F.floor(F.col(start) / seconds)
+    return F.sequence(first, F.greatest(first, F.ceil(F.col(end) / seconds) - 1))
+
+
+def _met(rows: DataFrame, intervals: DataFrame, seconds: float, start: str, end: str, how: str = "left") -> DataFrame:
+    """`rows` cut at multiples of `seconds`, with each of the recording's intervals (_a, _b) in the same multiple and
+    _shared, the seconds that both have within it. Sides meet on (recording, multiple), so a recording with many
+    rows and many intervals costs their sum and not their product."""
+    w = rows.withColumn("_cell", F.explode(_cells(start, end, seconds)))
+    i = intervals.where("end_sec > start_sec").select(*RECORDING, F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b"), F.explode(_cells("start_sec", "end_sec", seconds)).alias("_cell"))
     low = F.greatest(F.col(start), F.col("_a"), F.col("_cell") * seconds)
     high = F.least(F.col(end), F.col("_b"), (F.col("_cell") + 1) * seconds)
-    met = w.join(i, [*RECORDING, "_cell"], "left")
     shared = F.when(F.col("_a").isNotNull(), F.greatest(high - low, F.lit(0.0))).otherwise(0.0)
-    return met.groupBy(*windows.columns).agg(F.sum(shared).alias(name))
+    return w.join(i, [*RECORDING, "_cell"], how).withColumn("_shared", shared)
+
+
+def overlap_seconds(windows: DataFrame, intervals: DataFrame, seconds: float, name: str = "overlap_sec", start: str = "start_sec", end: str = "end_sec") -> DataFrame:
+    """`windows` with the seconds that the recording's intervals (start_sec, end_sec) cover of each, summed over
+    multiples of `seconds` (see _met). Equal windows are measured once and come out as often as they went in."""
+    once = windows.groupBy(*windows.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
+    over = _met(once, intervals, seconds, start, end).groupBy(*windows.columns, "_copies").agg(F.sum("_shared").alias(name))
+    return over.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
 
 
 def labelled(windows: DataFrame, intervals: DataFrame, seconds: float, threshold: float = OVERLAP) -> DataFrame:
@@ -111,13 +120,13 @@ def islands(scored: DataFrame, least_windows: int = 2) -> DataFrame:
     return events.withColumn("sustained", F.col("windows") >= least_windows).drop("_run")
 
 
-def event_coverage(intervals: DataFrame, windows: DataFrame) -> DataFrame:
+def event_coverage(intervals: DataFrame, windows: DataFrame, seconds: float = 16.0) -> DataFrame:
     """For each interval: whether a positive window meets it, the seconds covered by positive windows, and
-    how long after its start the first of them ends."""
-    w = windows.where("label = 1").select(*RECORDING, F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b"))
+    how long after its start the first of them ends. Both sides are cut at multiples of `seconds`, any length
+    of which gives the same result."""
     key = [*RECORDING, "start_sec", "end_sec"]
-    met = intervals.alias("i").join(w, RECORDING, "left").where("_a is null or (_a < end_sec and start_sec < _b)")
-    found = met.where("_a is not null").groupBy(*key).agg(F.sum(F.least("end_sec", "_b") - F.greatest("start_sec", "_a")).alias("covered_sec"), F.min("_b").alias("_first"))
+    met = _met(intervals.select(*key).distinct(), windows.where("label = 1").select(*key), seconds, "start_sec", "end_sec", "inner").where("_shared > 0")
+    found = met.groupBy(*key).agg(F.sum("_shared").alias("covered_sec"), F.min("_b").alias("_first"))
     rows = intervals.join(found, key, "left")
     return rows.select(*key, F.col("_first").isNotNull().alias("represented"), F.coalesce("covered_sec", F.lit(0.0)).alias("covered_sec"), (F.col("_first") - F.col("start_sec")).alias("delay_sec"))
 
@@ -154,15 +163,16 @@ def at_fractions(rows: DataFrame, by: list[str], order: str, fractions: tuple[fl
     return rows.withColumns({"_nth": nth, "_n": n}).withColumn("_w", wanted).where("_nth = _w.at").withColumn("fraction", F.col("_w.fraction")).drop("_nth", "_n", "_w")
 
 
-def nearest_disjoint(contexts: DataFrame, used: DataFrame, targets: DataFrame) -> DataFrame:
+def nearest_disjoint(contexts: DataFrame, used: DataFrame, targets: DataFrame, seconds: float = 16.0) -> DataFrame:
     """For each target (recording, fraction, target_sec) the context nearest to it that overlaps neither a
-    used stretch nor the choice for a smaller fraction; ties go to the earlier one.
+    used stretch nor the choice for a smaller fraction; ties go to the earlier one. Contexts and used stretches
+    meet in multiples of `seconds`, any length of which gives the same result.
 
     Fractions are few and taken in turn, each a join, so no recording is gathered in a task.
     """
-    free = contexts.join(used.select(*RECORDING, F.col("start_sec").alias("_x"), F.col("end_sec").alias("_y")), RECORDING, "left")
-    taken = (F.col("_x") < F.col("context_end_sec")) & (F.col("context_start_sec") < F.col("_y"))
-    free = free.groupBy(*contexts.columns).agg(F.coalesce(F.bool_or(taken), F.lit(False)).alias("_taken")).where("not _taken").drop("_taken")
+    span = [*RECORDING, "context_start_sec", "context_end_sec"]
+    taken = _met(contexts.select(*span).distinct(), used.select(*RECORDING, "start_sec", "end_sec"), seconds, "context_start_sec", "context_end_sec", "inner")
+    free = contexts.join(taken.where("_shared > 0").select(*span).distinct(), span, "left_anti")
     fractions = [r.fraction for r in targets.select("fraction").distinct().orderBy("fraction").collect()]
     chosen = None
     for f in fractions:

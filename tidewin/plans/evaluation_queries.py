@@ -165,7 +165,7 @@ def spearman_summary(spark: S, sf: str) -> D:
 
 
 def within_unit_spread(spark: S, sf: str) -> D:
-    return rounded(_seeded(spark, sf).groupBy("unit").agg(F.stddev_samp("value").alias("sd")).agg(F.median("sd").alias("median_within_sd")))
+    return rounded(T.quantiles(_seeded(spark, sf).groupBy("unit").agg(F.stddev_samp("value").alias("sd")), [], "sd", {"median_within_sd": 0.5}))
 
 
 def _halves(spark: S, sf: str) -> D:
@@ -183,8 +183,10 @@ def driven_control_delta(spark: S, sf: str) -> D:
 
 
 def timing_percentiles(spark: S, sf: str) -> D:
-    e = B.read(spark, sf, "events").groupBy("event_type").agg(F.percentile("value", F.array(F.lit(0.5), F.lit(0.95))).alias("p"), F.min("value").alias("least"), F.max("value").alias("most"), F.countDistinct("user_id").alias("users"))
-    return rounded(e.select("event_type", F.col("p")[0].alias("median"), F.col("p")[1].alias("p95"), "least", "most", "users"))
+    e = B.read(spark, sf, "events")
+    most = e.groupBy("event_type").agg(F.min("value").alias("least"), F.max("value").alias("most"), F.countDistinct("user_id").alias("users"))
+    at = T.quantiles(e, ["event_type"], "value", {"median": 0.5, "p95": 0.95})
+    return rounded(T.same_keys(most, at, ["event_type"], "left").select("event_type", "median", "p95", "least", "most", "users"))
 
 
 QUERIES = {f.__name__: f for f in (class_balance, class_ratio, confusion_metrics, roc_auc, average_precision, pr_curve, roc_curve, threshold_sweep, tuned_thresholds, pooled_metrics, macro_metrics, paired_effects, seed_averaged_effects, effect_wins, lopo_split_counts, nested_fold_audit, generalisation_gap, robustness_summary, patient_behaviour, distill_soft_targets, trial_summary, grid_optima, zero_baseline_delta, reason_counts, strict_mean_blocks, spearman_pairs, spearman_summary, within_unit_spread, split_half_agreement, driven_control_delta, timing_percentiles)}

@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import numpy as np
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import identity as I
@@ -18,6 +17,7 @@ from ..operators import relational as R
 from ..operators.features import per_row
 from ..operators.transforms import FeatureTransform
 from ..sources import recordings as E
+from ..sources.shared import shared_dir
 from ..streaming import windows as SW
 from . import base as B
 from .evaluation_queries import rounded
@@ -67,8 +67,10 @@ def dedupe_names(spark: S, sf: str) -> D:
 
 
 def set_difference(spark: S, sf: str) -> D:
-    c, o = B.read(spark, sf, "customer"), B.read(spark, sf, "orders")
-    return c.select(F.col("c_custkey").alias("k")).subtract(o.select(F.col("o_custkey").alias("k")))
+    """Customers without an order of the first priority, and whether that is a subset of all customers."""
+    c, o = B.read(spark, sf, "customer"), B.read(spark, sf, "orders").where("o_orderpriority like '1%'")
+    left = c.select(F.col("c_custkey").alias("k")).subtract(o.select(F.col("o_custkey").alias("k")))
+    return left.withColumn("subset", F.lit(R.is_subset(left, c.select(F.col("c_custkey").alias("k")), ["k"])))
 
 
 def unions(spark: S, sf: str) -> D:
@@ -128,10 +130,11 @@ def pivot_models(spark: S, sf: str) -> D:
 
 
 def pivot_totals(spark: S, sf: str) -> D:
+    """Each user's events in all, and of the type that is most frequent with the user."""
     e = B.read(spark, sf, "events").withColumn("one", F.lit(1).cast("long"))
-    kinds = ["click", "error", "login", "purchase", "view"]
-    seen = sorted(r[0] for r in e.select("event_type").distinct().collect())
-    return R.pivot_by_total(e.withColumn("event_type", F.col("event_type")), "user_id", "event_type", sorted({*kinds} & {*seen}) or seen, "one").select("user_id", "total")
+    kinds = sorted(r[0] for r in e.where("event_type is not null").select("event_type").distinct().collect())  # the pivot's columns
+    wide = R.pivot_by_total(e, "user_id", "event_type", kinds, "one")
+    return wide.select("user_id", "total", F.array_max(F.array(*[F.col(f"`{k}`") for k in kinds])).alias("most"))
 
 
 def top_per_group(spark: S, sf: str) -> D:
@@ -225,17 +228,17 @@ def hyperparameter_search(spark: S, sf: str) -> D:
 
 
 def stratified_split(spark: S, sf: str) -> D:
-    """Rows of each label in the two parts of a random split, checked to be near the asked share."""
+    """The part of each labelled document in a random split that takes a fifth of each label."""
     from ..operators.evaluation import stratified_split as split
 
-    parts = split(B.read(spark, sf, "documents").join(B.read(spark, sf, "labels"), "doc_id").withColumnRenamed("quality", "label"), "label", "doc_id")
-    return parts.groupBy("label", "part").agg(F.count(F.lit(1)).alias("rows"))
+    rows = B.read(spark, sf, "documents").select("doc_id").join(B.read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return split(rows, "label", "doc_id")
 
 
 def recorded_contexts(spark: S, sf: str) -> D:
     """Measurements of contexts by key, one of them unusable."""
-    c = _contexts(spark, sf).select("unit", F.when(F.col("unit") % 2 == 0, "recording_end").otherwise("ok").alias("context_reason"), "samples")
-    return rounded(Y.record_measurements(c, ["unit"]), 4)
+    c = _contexts(spark, sf).select(*UNIT, F.when(F.col("unit") % 2 == 0, "recording_end").otherwise("ok").alias("context_reason"), "samples")
+    return rounded(Y.record_measurements(c, UNIT), 4)
 
 
 def lopo_parts(spark: S, sf: str) -> D:
@@ -247,12 +250,31 @@ def lopo_parts(spark: S, sf: str) -> D:
 # -- dynamics --------------------------------------------------------------------------------------------------
 
 
+#: Order keys are dealt in blocks of this many, so that items are numbered block by block and not supplier by supplier.
+_BLOCK = 1 << 16
+
+
 def _contexts(spark: S, sf: str) -> D:
-    """A context of 2,560 samples for each supplier: a wave and its line items in order, over and over."""
-    a = B.read(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("unit")).agg(F.sort_array(F.collect_list(F.struct("l_orderkey", "l_linenumber", "l_quantity"))).alias("a"))
-    q = F.col("a.l_quantity")
-    wave = F.transform(F.sequence(F.lit(0), F.lit(K.CONTEXT - 1)), lambda i: F.element_at(q, (i % F.size(q) + 1).cast("int")) * 1e-6 + F.sin(i * 0.24) * 2e-5)
-    return a.select("unit", F.col("unit").cast("string").alias("name"), wave.alias("samples"))
+    """Contexts of 2,560 samples: each supplier's line items in order, cut into as many parts as they fill, each a wave
+    and its items' quantities, over and over where a part has fewer items.
+
+    Items are numbered in two levels, by block of orders and inside the block, and a part holds at most 2,560 of them,
+    so a supplier with any share of the items is gathered nowhere.
+    """
+    l = B.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), F.floor(F.col("l_orderkey") / _BLOCK).alias("block"), "l_orderkey", "l_linenumber", "l_quantity")
+    earlier = Window.partitionBy("unit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = l.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n")).select("unit", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
+    nth = F.row_number().over(Window.partitionBy("unit", "block").orderBy("l_orderkey", "l_linenumber")) - 1
+    placed = l.withColumn("nth", nth).join(before, ["unit", "block"]).withColumn("at", F.col("before") + F.col("nth"))
+    # An explicit number of partitions stays as it is: the studies are long, and the table of contexts is small.
+    parts = placed.select("unit", F.floor(F.col("at") / K.CONTEXT).cast("int").alias("part"), "at", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit", "part")
+    items = F.transform(F.sort_array(F.collect_list(F.struct("at", "l_quantity"))), lambda x: x["l_quantity"])
+    a = parts.groupBy("unit", "part").agg(items.alias("q"))  # taken out here, once for each context
+    wave = F.transform(F.sequence(F.lit(0), F.lit(K.CONTEXT - 1)), lambda i: F.element_at("q", (i % F.size("q") + 1).cast("int")) * 1e-6 + F.sin(i * 0.24) * 2e-5)
+    return a.select("unit", "part", F.concat_ws("/", "unit", "part").alias("name"), wave.alias("samples"))
+
+
+UNIT = ["unit", "part"]
 
 
 def coloured_noise(spark: S, sf: str) -> D:
@@ -262,28 +284,28 @@ def coloured_noise(spark: S, sf: str) -> D:
 
 
 def oscillator_trials(spark: S, sf: str) -> D:
-    return rounded(Y.oscillator_trials(_contexts(spark, sf), ["unit"], "samples", "name", 256.0, (0.0, 0.25, 0.5), 2).select("unit", "model", "drive", "noise_intensity", "trial", "events", "intervals", "valid", "reason", "cv", "snr_db"), 4)
+    return rounded(Y.oscillator_trials(_contexts(spark, sf), UNIT, "samples", "name", 256.0, (0.0, 0.25, 0.5), 2).select(*UNIT, "model", "drive", "noise_intensity", "trial", "events", "intervals", "valid", "reason", "cv", "snr_db"), 4)
 
 
 def context_measurements(spark: S, sf: str) -> D:
-    return rounded(Y.context_measurements(_contexts(spark, sf), ["unit"], "samples"), 4)
+    return rounded(Y.context_measurements(_contexts(spark, sf), UNIT, "samples"), 4)
 
 
 def replicated_means(spark: S, sf: str) -> D:
-    return rounded(Y.replicated_means(_contexts(spark, sf), ["unit"], "samples", tuple(range(42, 52))), 4)
+    return rounded(Y.replicated_means(_contexts(spark, sf), UNIT, "samples", tuple(range(42, 52))), 4)
 
 
 def undriven_controls(spark: S, sf: str) -> D:
-    m = Y.context_measurements(_contexts(spark, sf), ["unit"], "samples").select("unit", "frequency")
-    return rounded(Y.controls(m, ["unit"], "frequency", (42, 43)), 4)
+    m = Y.context_measurements(_contexts(spark, sf), UNIT, "samples").select(*UNIT, "frequency")
+    return rounded(Y.controls(m, UNIT, "frequency", (42, 43)), 4)
 
 
 def dose_trials(spark: S, sf: str) -> D:
-    return rounded(Y.dose_trials(_contexts(spark, sf), ["unit"], "samples", (0.0, 0.35), (0.25, 0.5), (52, 53)), 4)
+    return rounded(Y.dose_trials(_contexts(spark, sf), UNIT, "samples", (0.0, 0.35), (0.25, 0.5), (52, 53)), 4)
 
 
 def perturbations(spark: S, sf: str) -> D:
-    return rounded(Y.perturbation(_contexts(spark, sf), ["unit"], "samples", "name", 256.0), 4)
+    return rounded(Y.perturbation(_contexts(spark, sf), UNIT, "samples", "name", 256.0), 4)
 
 
 def filtered_recordings(spark: S, sf: str) -> D:
@@ -292,7 +314,7 @@ def filtered_recordings(spark: S, sf: str) -> D:
         y = K.preprocess(np.array(x), 256.0)
         return [{"before": float(np.std(x)), "after": float(y.std())}]
 
-    return rounded(per_row(_contexts(spark, sf), ["unit"], ["samples"], study, "before double, after double"), 9)
+    return rounded(per_row(_contexts(spark, sf), UNIT, ["samples"], study, "before double, after double"), 9)
 
 
 # -- sources and streams ---------------------------------------------------------------------------------------
@@ -324,22 +346,33 @@ def edf_round_trip(spark: S, sf: str) -> D:
     """Signals written as EDF bytes and decoded again, in microvolts."""
     c = _contexts(spark, sf)
     files = per_row(c, ["name"], ["samples"], lambda x: [{"content": E.encode({"C1": np.array(x), "C2": -np.array(x)}, 256)}], "content binary")
-    files = files.select(F.lit("p1").alias("patient"), F.concat("name", F.lit(".edf")).alias("file"), "content")
+    files = files.select(F.lit("p1").alias("patient"), F.concat(F.translate("name", "/", "_"), F.lit(".edf")).alias("file"), "content")
     s = E.edf_signals(files).select("file", "channel", "sfreq", F.size("samples").cast("long").alias("n_samples"), F.round(F.array_max("samples") * 1e6, 1).alias("peak_uv"))
     h = E.edf_headers(files).select("file", F.col("n_samples").alias("declared"))
     return s.join(h, "file")
 
 
+def _events_stream(spark: S, sf: str) -> tuple[D, str]:
+    """The events file as a stream, and a new folder for its query in the cluster's shared one."""
+    stream = spark.readStream.schema(B.read(spark, sf, "events").schema).option("pathGlobFilter", "events.parquet").parquet(sf)
+    return stream, f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+
+
 def stream_windows(spark: S, sf: str) -> D:
     """Hourly windows of each type's events from a stream of the events file."""
-    schema = B.read(spark, sf, "events").schema
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf)
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp()
-    out = SW.run_once(SW.window_counts(stream, ["event_type"], "ts", "1 hour", F.col("value") >= 250), "w" + uuid.uuid4().hex, f"{shared}/stream-{uuid.uuid4().hex}")
+    stream, folder = _events_stream(spark, sf)
+    out = SW.run_once(SW.window_counts(stream, ["event_type"], "ts", "1 hour", F.col("value") >= 250), folder)
     return out.select("event_type", F.unix_timestamp("start").alias("start"), "samples", "positive", "label")
 
 
-QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, coloured_noise, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows)}
+def stream_sessions(spark: S, sf: str) -> D:
+    """Each user's runs of events no more than six hours apart, from a stream of the events file."""
+    stream, folder = _events_stream(spark, sf)
+    out = SW.run_once(SW.sessions(stream, ["user_id"], "ts", "6 hours"), folder)
+    return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "samples")
+
+
+QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, coloured_noise, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions)}
 
 _TOP = "tops AS (SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 3)"
 _FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(8)) + " FROM embeddings)"
@@ -354,7 +387,7 @@ ORACLES = {
     "common_channels": "SELECT concat_ws('-', o_orderpriority, o_orderstatus) AS channel FROM orders GROUP BY 1 HAVING count(DISTINCT o_custkey % 7) = (SELECT count(DISTINCT o_custkey % 7) FROM orders)",
     "jaccard_pairs": "WITH s AS (SELECT DISTINCT l_suppkey % 25 AS c, l_orderkey % 9973 AS p FROM lineitem), n AS (SELECT c, count(*) AS n FROM s GROUP BY c), b AS (SELECT x.c AS a, y.c AS b, count(*) AS shared FROM s x JOIN s y ON x.p = y.p AND x.c < y.c GROUP BY 1, 2) SELECT x.c AS a, y.c AS b, coalesce(shared, 0) AS shared, round(coalesce(shared, 0) / (x.n + y.n - coalesce(shared, 0)), 6)::DOUBLE AS jaccard FROM n x JOIN n y ON x.c < y.c LEFT JOIN b ON b.a = x.c AND b.b = y.c",
     "dedupe_names": "WITH p AS (SELECT DISTINCT (p_size % 5)::INT AS file, concat_ws('-', 'T' || (p_partkey % 40), CASE WHEN p_partkey % 3 = 0 THEN 'X1' ELSE (p_partkey % 4)::VARCHAR END) AS name FROM part), q AS (SELECT *, CASE WHEN regexp_matches(name, '^.*-[0-9]+$') THEN regexp_extract(name, '^(.*)-([0-9]+)$', 1) END AS base FROM p), r AS (SELECT *, count(*) OVER (PARTITION BY file, base) AS n, row_number() OVER (PARTITION BY file, base ORDER BY name) AS k FROM q) SELECT file, name, CASE WHEN base IS NOT NULL AND n >= 2 THEN base ELSE name END AS final_name FROM r WHERE base IS NULL OR n < 2 OR k = 1",
-    "set_difference": "SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders",
+    "set_difference": "SELECT k, true AS subset FROM (SELECT c_custkey AS k FROM customer EXCEPT SELECT o_custkey FROM orders WHERE o_orderpriority LIKE '1%')",
     "unions": "SELECT nation, kind, count(*) AS rows, round(sum(balance), 4) AS balance FROM (SELECT s_nationkey AS nation, s_acctbal AS balance, 'supplier' AS kind FROM supplier UNION ALL SELECT c_nationkey, c_acctbal, 'customer' FROM customer) GROUP BY 1, 2",
     "distinct_rows": "SELECT DISTINCT l_returnflag, l_linestatus, l_linenumber FROM lineitem",
     "parameter_grid": "SELECT m AS model, l::DOUBLE AS level, 4 * (SELECT count(*) FROM region) AS cells FROM (VALUES ('bistable'), ('fitzhugh')) a(m), (VALUES (0.0), (0.25), (0.5)) b(l)",
@@ -364,7 +397,7 @@ ORACLES = {
     "arm_join": 'SELECT l_suppkey, a AS "q_A", r AS "q_R", a - r AS difference FROM (SELECT l_suppkey, sum(l_quantity) FILTER (l_returnflag = \'A\') AS a, sum(l_quantity) FILTER (l_returnflag = \'R\') AS r FROM lineitem GROUP BY 1) WHERE a IS NOT NULL AND r IS NOT NULL',
     "pivot_seeds": f"WITH {B.PREDICTIONS_SQL} SELECT doc_id, " + ", ".join(f"max(score) FILTER (seed = {s}) AS seed_{s}" for s in B.SEEDS) + " FROM predictions WHERE model = 'alpha' GROUP BY doc_id",
     "pivot_models": f"WITH {B.PREDICTIONS_SQL} SELECT patient, " + ", ".join(f"round(avg(score) FILTER (model = '{m}'), 6)::DOUBLE AS {m}" for m in B.MODELS) + " FROM predictions GROUP BY patient",
-    "pivot_totals": "SELECT user_id, count(*) AS total FROM events WHERE event_type IN ('click', 'error', 'login', 'purchase', 'view') GROUP BY user_id",
+    "pivot_totals": "SELECT user_id, sum(n)::BIGINT AS total, max(n) AS most FROM (SELECT user_id, event_type, count(*) AS n FROM events WHERE event_type IS NOT NULL GROUP BY 1, 2) GROUP BY user_id",
     "top_per_group": f"WITH {_TOP} SELECT * FROM tops",
     "best_row": "SELECT p_partkey, p_retailprice FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 1",
     "name_parts": "SELECT p_partkey, lower(substr(p_type, 1, 4)) AS family, p_brand AS measure, CASE WHEN p_size > 10 THEN p_size::VARCHAR ELSE 'unknown' END AS channel FROM part",
@@ -373,7 +406,9 @@ ORACLES = {
     "content_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "identity_seeds": "SELECT c_custkey, (('0x' || substr(sha256('[42, ' || to_json(c_name)::VARCHAR || ']'), 1, 16))::UBIGINT)::VARCHAR AS seed FROM customer",
     "median_impute_scale": f"WITH {_FRAME}, {_FIT} SELECT vec_id, " + ", ".join(f"round((coalesce(f{k}, m{k}) - a{k}) / s{k}, 6)::DOUBLE AS f{k}" for k in range(8)) + " FROM frame, med, fit WHERE patient = 0",
+    "stratified_split": "SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, doc_id) <= round(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, quality AS label, ('0x' || substr(md5('42 ' || doc_id), 1, 12))::BIGINT AS h FROM documents JOIN labels USING (doc_id))",
     "lopo_parts": f"WITH {_FRAME} SELECT CASE WHEN patient = 3 THEN 'test' ELSE 'train' END AS part, count(*) AS rows, sum(label)::BIGINT AS positive FROM frame GROUP BY 1",
     "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_03.edf', 2996, 3036), ('a_15.edf', 1732, 1772), ('a_15.edf', 2100, 2107)) t(file, start_sec, end_sec)",
+    "stream_sessions": "WITH g AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) >= 21600000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, epoch(min(ts))::BIGINT AS start, epoch(max(ts))::BIGINT + 21600 AS \"end\", count(*) AS samples FROM r GROUP BY user_id, run",
     "stream_windows": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS samples, count(*) FILTER (value >= 250) AS positive, (count(*) FILTER (value >= 250) / count(*) >= 0.5)::INT AS label FROM events GROUP BY 1, 2",
 }

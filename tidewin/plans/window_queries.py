@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..operators import stats as T
 from ..operators import windows as W
 from . import base as B
 
@@ -64,7 +65,8 @@ def event_coverage(spark: S, sf: str) -> D:
 
 def event_coverage_summary(spark: S, sf: str) -> D:
     c = event_coverage(spark, sf).withColumn("duration_sec", F.col("end_sec") - F.col("start_sec"))
-    return c.groupBy("duration_sec").agg(F.count(F.lit(1)).alias("intervals"), F.count_if("represented").alias("represented"), F.median("delay_sec").alias("delay_median"), F.max("delay_sec").alias("delay_max"))
+    summary = c.groupBy("duration_sec").agg(F.count(F.lit(1)).alias("intervals"), F.count_if("represented").alias("represented"), F.max("delay_sec").alias("delay_max"))
+    return T.with_median(summary, c, ["duration_sec"], F.col("delay_sec"), "delay_median")
 
 
 def interval_validity(spark: S, sf: str) -> D:

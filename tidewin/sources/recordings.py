@@ -72,7 +72,8 @@ def edf_files(spark: SparkSession, path: str) -> DataFrame:
 
 
 def edf_headers(files: DataFrame) -> DataFrame:
-    """patient, file, sfreq, n_samples and channels, from the leading bytes of each file only."""
+    """patient, file, sfreq, n_samples and channels, from exactly the header's bytes of each file: the file's own field
+    says how many they are, so any number of signals is read. (Spark's binary source itself reads whole files.)"""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -82,7 +83,9 @@ def edf_headers(files: DataFrame) -> DataFrame:
                 ["patient", "file", "sfreq", "n_samples", "channels"],
             )
 
-    heads = files.select("patient", "file", F.substring("content", 1, 65536).alias("head"))
+    at = sum(width for _, width in FILE_FIELDS[: [name for name, _ in FILE_FIELDS].index("header_bytes")])
+    size = F.trim(F.decode(F.substring("content", at + 1, 8), "ISO-8859-1")).cast("int")
+    heads = files.select("patient", "file", F.expr("content").substr(F.lit(1), size).alias("head"))
     return heads.mapInArrow(run, "patient string, file string, sfreq double, n_samples long, channels array<string>")
 
 
@@ -102,16 +105,61 @@ def edf_signals(files: DataFrame) -> DataFrame:
     return files.select("patient", "file", "content").mapInArrow(run, "patient string, file string, channel string, sfreq double, samples array<double>")
 
 
+def edf_recordings(files: DataFrame, channels: list[str]) -> DataFrame:
+    """patient, file, sfreq and signals: the named channels' signals in volts, one row for each file. Of channels named
+    base-1, base-2 .. the first counts as the base. A channel that is missing is an error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for patient, file, raw in zip(*batch.columns, strict=True):
+                h, signals = decode_samples(raw.as_py())
+                at = base_names(h["signal_label"])
+                if missing := [c for c in channels if c not in at]:
+                    raise ValueError(f"{file.as_py()} has no channel {missing}")
+                rates = {h["sfreq"][at[c]] for c in channels}
+                if len(rates) != 1:
+                    raise ValueError(f"{file.as_py()}: the channels' rates differ: {sorted(rates)}")
+                held = pa.array([[signals[at[c]] for c in channels]], pa.list_(pa.list_(pa.float64())))
+                yield pa.RecordBatch.from_arrays([pa.array([patient.as_py()]), pa.array([file.as_py()]), pa.array([rates.pop()]), held], ["patient", "file", "sfreq", "signals"])
+
+    return files.select("patient", "file", "content").mapInArrow(run, "patient string, file string, sfreq double, signals array<array<double>>")
+
+
+def base_names(labels: list[str]) -> dict[str, int]:
+    """Final channel name -> position; of twins base-1, base-2 .. the first (as text) is the base."""
+    twins: dict[str, list[str]] = {}
+    for label in labels:
+        base, _, number = label.rpartition("-")
+        if base and number.isdigit():
+            twins.setdefault(base, []).append(label)
+    out = {}
+    for k, label in enumerate(labels):
+        base = label.rpartition("-")[0]
+        several = len(twins.get(base, [])) > 1 and label in twins[base]
+        if not several:
+            out.setdefault(label, k)
+        elif label == min(twins[base]):
+            out[base] = k
+    return out
+
+
 def parse_summaries(texts: DataFrame, text: str = "text") -> DataFrame:
     """Annotated intervals of summary texts: file, start_sec and end_sec, one row with NULL times for a file without any.
 
-    An entry whose declared number differs from its starts or ends, or a file named twice, is an error at run time.
+    A text is a list of entries, each opened by its file's name, and an entry is a list of `field: value` lines. An
+    entry whose declared number differs from its starts or ends, or a file named twice, is an error at run time.
     """
-    blocks = texts.select(F.explode(F.split(text, r"(?=File Name:)")).alias("b"))
-    pick = lambda pattern: F.regexp_extract("b", pattern, 1)
-    times = lambda what: F.regexp_extract_all("b", F.lit(rf"Seizure(?:\s*\d*)?\s*{what} Time:\s*(\d+)"), 1).cast("array<int>")
-    rows = blocks.select(pick(r"File Name:\s*(\S+)").alias("file"), times("Start").alias("starts"), times("End").alias("ends"), pick(r"Number of Seizures in File:\s*(\d+)").alias("declared")).where("file <> ''")
-    whole = (F.col("declared") != "") & (F.size("starts") == F.size("ends")) & (F.size("starts").cast("string") == F.col("declared"))
+    blank = " \t\r"
+    entry = texts.select(F.explode(F.slice(F.split(text, "File Name:"), 2, 1 << 30)).alias("e"))
+    line = F.split("e", "\n")
+    # What stands before the first colon names the field; the value's first word is the value.
+    word = lambda x: F.substring_index(F.btrim(x, F.lit(blank)), " ", 1)
+    fields = F.transform(F.filter(line, lambda x: F.contains(x, F.lit(":"))), lambda x: F.struct(F.btrim(F.substring_index(x, ":", 1), F.lit(blank)).alias("name"), word(F.substring_index(x, ":", -1)).alias("value")))
+    rows = entry.select(word(line[0]).alias("file"), fields.alias("fields")).where("file <> ''")
+    times = lambda which: F.transform(F.filter("fields", lambda x: x["name"].startswith("Seizure") & x["name"].endswith(which)), lambda x: x["value"].cast("int"))
+    declared = F.filter("fields", lambda x: x["name"] == "Number of Seizures in File")
+    rows = rows.select("file", times("Start Time").alias("starts"), times("End Time").alias("ends"), F.get(declared, F.lit(0))["value"].cast("int").alias("declared"))
+    whole = F.coalesce((F.size("starts") == F.col("declared")) & (F.size("ends") == F.col("declared")), F.lit(False))
     fault = lambda text: F.raise_error(F.concat(F.lit(text), F.col("file")))
     once = rows.groupBy("file").agg(F.count(F.lit(1)).alias("n"), F.first("starts").alias("starts"), F.first("ends").alias("ends"), F.bool_and(whole).alias("whole"))
     ok = F.when(~F.col("whole"), fault("incomplete annotations for ")).when(F.col("n") > 1, fault("repeated entry for ")).otherwise(F.lit(True))

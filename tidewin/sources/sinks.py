@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,26 +23,73 @@ def write_json(spark: SparkSession, value: object, path: str) -> None:
 
 
 def run_folder(root: str, run_id: str) -> str:
-    """The folder of a run. The id must be one path component; that it is new is checked by the first write."""
+    """The folder of a run. The id must be one path component; `claim` makes it the caller's alone."""
     if not run_id or run_id in (".", "..") or "/" in run_id or "\\" in run_id:
         raise ValueError("a run id must be one path component")
     return f"{root.rstrip('/')}/{run_id}"
 
 
-def write_missing(work: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the work that `path` does not hold yet, by keys; the number of rows written. A job that is stopped
-    and started again resumes with what is missing."""
-    spark = work.sparkSession
+def claim(spark: SparkSession, folder: str) -> str:
+    """The folder, which this call alone has taken: its marker is created exclusively, so a second run with the same
+    id fails before it writes anything."""
+    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_claimed")
+    if not marker.getFileSystem(spark._jsc.hadoopConfiguration()).createNewFile(marker):
+        raise FileExistsError(f"[PATH_ALREADY_EXISTS] another run has taken {folder}")
+    return folder
+
+
+def _stored(spark: SparkSession, path: str) -> DataFrame | None:
     try:
-        todo = pending(work, spark.read.parquet(path), keys)
-    except Exception as e:
-        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+        return spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
             raise
-        todo = work
-    n = todo.count()
-    if n:
-        todo.write.mode("append").parquet(path)
-    return n
+        return None
+
+
+def write_missing(work: DataFrame, path: str, keys: list[str]) -> int:
+    """Append the work that `path` does not hold yet, by keys; the number of rows written, by the files' own counts. The
+    work's plan runs once. Where the work is dear, take `unfinished` keys first and compute only those."""
+    have = _stored(work.sparkSession, path)
+    before = 0 if have is None else have.count()
+    (work if have is None else pending(work, have, keys)).write.mode("append").parquet(path)
+    return work.sparkSession.read.schema(work.schema).parquet(path).count() - before
+
+
+def _checksums(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """Rows of each key, and a hash that any changed, lost or added row changes."""
+    values = sorted(c for c in rows.columns if c not in keys)
+    return rows.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), F.sum(F.xxhash64(*values).cast("decimal(38,0)")).cast("string").alias("checksum"))
+
+
+def checkpointed(spark: SparkSession, path: str, keys: list[str]) -> DataFrame | None:
+    """The stored rows, with keys as text; None if there are none."""
+    rows = _stored(spark, path)
+    return rows if rows is None else rows.withColumns({k: F.col(k).cast("string") for k in keys})
+
+
+def unfinished(items: DataFrame, path: str, keys: list[str], identity: str = "identity") -> DataFrame:
+    """The items (keys, identity) without a valid checkpoint below `path`: a marker of the same identity whose rows
+    are stored whole. Only keys are joined, so finished items cost no work before they are left out."""
+    spark = items.sparkSession
+    marks, rows = _stored(spark, f"{path}/_done"), checkpointed(spark, path, keys)
+    if marks is None or rows is None:
+        return items
+    last = marks.groupBy(*keys).agg(F.max(F.struct("at", identity, "rows", "checksum")).alias("m")).select(*keys, "m.*")
+    valid = last.join(_checksums(rows, keys), [*keys, "rows", "checksum"])
+    return items.join(valid.select(*keys, identity), [*keys, identity], "left_anti")
+
+
+def checkpoint(work: DataFrame, items: DataFrame, path: str, keys: list[str], identity: str = "identity") -> int:
+    """Store the work of these items, each key's rows in a folder of its own that is replaced whole, and then a marker
+    with their number, hash and identity; the number of rows. What a run that stops between the two leaves has no
+    marker, and is replaced when the items are done again."""
+    spark = work.sparkSession
+    work.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(*keys).parquet(path)
+    stored = checkpointed(spark, path, keys).join(items.select(*keys), keys, "left_semi")
+    marks = _checksums(stored, keys).join(items, keys).withColumn("at", F.current_timestamp())
+    marks.write.mode("append").parquet(f"{path}/_done")
+    return stored.count()
 
 
 def markdown(rows: DataFrame, most: int = 1000, digits: int = 4) -> str:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -20,8 +20,18 @@ def sessions(samples: DataFrame, by: list[str], ts: str, gap: str, late: str = "
     return out.select(*by, F.col("w.start").alias("start"), F.col("w.end").alias("end"), "samples")
 
 
-def run_once(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Process all input that is there, into an in-memory table of that name, and return it."""
-    query = stream.writeStream.format("memory").queryName(name).outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def run_once(stream: DataFrame, folder: str, mode: str = "complete") -> DataFrame:
+    """Process all input that is there into a table below the shared folder, and return it. Each batch writes a
+    part of its own, so one that is run again replaces what it had written; in complete mode the last part holds all."""
+
+    def write(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    query = stream.writeStream.foreachBatch(write).outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start()
     query.awaitTermination()
-    return SparkSession.active().table(name)
+    spark = stream.sparkSession
+    table = spark.read.schema(stream.schema.add("batch", "long")).parquet(f"{folder}/table")
+    if mode == "complete":
+        last = table.agg(F.max("batch")).first()[0]
+        table = table.where(F.col("batch") == last)
+    return table.drop("batch")
