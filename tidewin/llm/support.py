@@ -2,34 +2,27 @@
 
 from __future__ import annotations
 
-import tempfile
+import pickle
 import uuid
 from collections.abc import Callable, Iterator
+from typing import TypeVar
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-_FALLBACK: dict[str, str] = {}
+from ..sources.shared import shared_dir
+
+T = TypeVar("T")
 
 
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where spark.checkpoint.dir is unset."""
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named.rstrip("/")
-    app = spark.sparkContext.applicationId
-    if app not in _FALLBACK:
-        _FALLBACK[app] = "file://" + tempfile.mkdtemp(prefix="tidewin-")
-    return _FALLBACK[app]
-
-
 def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later plans start from the files,
     so a lost executor costs a re-read and not the work above. Tables of ids and counts gain little from a
@@ -66,6 +59,19 @@ def small(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def to_tasks(spark: SparkSession, value: T) -> Callable[[], T]:
+    """A function that gives tasks a value of a bounded size. Spark broadcasts it as bytes in which this package's
+    classes travel by value, so executors need no copy of the package."""
+    held, here = spark.sparkContext.broadcast(cloudpickle.dumps(value)), []
+
+    def get() -> T:
+        if not here:
+            here.append(pickle.loads(held.value))
+        return here[0]
+
+    return get
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
