@@ -5,13 +5,15 @@ attention layer, a(h) = w . (tanh(V h) * sigmoid(U h)), gives each passage a wei
 the document's score is a logistic function of the weighted passage representation. V, U, w and the
 last layer are learnt together from document labels only, in NumPy with Adam on the driver.
 
-The fit uses at most `sample` labelled documents of each class (those with the smallest id hashes) and at
-most `passages` evenly spread passages of each, both documented bounds; scoring reads every passage of every
-text. Classes weigh by their share in all labels, so scores are probabilities.
+The fit uses at most `sample` labelled documents of each class, those with the smallest id hashes whose texts
+add up to at most `most_bytes` in that order (a longer text is passed over): documented bounds on labelled rows.
+Of each it uses every passage, and scoring reads every passage of every text. Classes weigh by their share in all
+labels, so scores are probabilities.
 
 Defined cases: a null or empty text is one empty passage and gets its score; without labels of both
 classes every score is the share of label 1 (0.5 if there are no labels); repeated label rows count
-once, as 1 if any says so; repeated rows are scored each; an empty table gives an empty result; only the
+once, as 1 if any says so; of documents that share an id the text that sorts first is taught; repeated rows are
+scored each; an empty table gives an empty result; only the
 id and the text are read.
 """
 
@@ -21,14 +23,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .passages import WIDTH, encode
-from .support import held_out, read, slices, stage, with_ids
+from .support import held_out, read, slices, stage, to_tasks, with_ids
 
 SAMPLE = 3000
-PASSAGES = 32
+#: Bytes of the texts of one class that teach: the driver holds about 1.4 bytes of features for each.
+MOST_BYTES = 24 << 20
 HIDDEN = 48
 EPOCHS = 60
 BATCH_DOCS = 256
@@ -108,23 +111,28 @@ class GatedAttention:
         return _sigmoid(f["s"]).astype(float), f["a"]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, passages: int = PASSAGES) -> GatedAttention:
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, most_bytes: int = MOST_BYTES) -> GatedAttention:
     """A network from the labelled rows given; what is held out must be left out of `labels`."""
     truth = labels.select(F.col("doc_id").cast("long"), F.col(label_col).alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     totals = {r.y: r["count"] for r in truth.groupBy("y").count().collect()}
     share = totals.get(1, 0) / sum(totals.values()) if totals else 0.5
     pick = [truth.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
     chosen = stage(pick[0].union(pick[1]), "mil-sample")  # at most 2 x sample rows
+    size = F.octet_length(F.coalesce("text", F.lit("")))
+    once = with_ids(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").where(size <= most_bytes).groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    once = stage(once, "mil-texts", "zstd")
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `sample` rows each
+    taught = once.select("doc_id", "y", size.alias("size")).withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 x, at = encode(batch.column(1))
-                kept = [x[np.unique(np.linspace(a, b - 1, min(passages, b - a)).astype(int))] for a, b in zip(at[:-1], at[1:], strict=True)]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([k.tobytes() for k in kept], pa.binary())], ["doc_id", "y", "x"])
+                kept = [x[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)]
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(kept, pa.binary())], ["doc_id", "y", "x"])
 
-    rows = with_ids(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "y")
-    # At most 2 x sample x passages x WIDTH floats, in pieces that the driver takes one partition at a time.
+    rows = once.join(F.broadcast(taught), "doc_id").select("doc_id", "text", "y")
+    # At most 2 x most_bytes of texts, in pieces that the driver takes one partition at a time.
     found = sorted(((r.doc_id, r.y, np.frombuffer(r.x, np.float32).reshape(-1, WIDTH)) for r in rows.mapInArrow(run, "doc_id long, y int, x binary").toLocalIterator()), key=lambda r: r[0])
     net = GatedAttention(share)
     y = np.array([r[1] for r in found], np.float32)
@@ -136,13 +144,13 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "quality", id_col:
 
 def score(docs: DataFrame, net: GatedAttention, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, score, n_passages and top_passage (the passage with the greatest attention)."""
-    shared = docs.sparkSession.sparkContext.broadcast(net)  # a fixed number of weights
+    shared = to_tasks(docs.sparkSession, net)  # a fixed number of weights
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 x, at = encode(batch.column(1))
-                p, a = shared.value.score(x, at)
+                p, a = shared().score(x, at)
                 top = [int(np.argmax(a[i:j])) for i, j in zip(at[:-1], at[1:], strict=True)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(p, pa.float64()), pa.array(np.diff(at)), pa.array(top, pa.int64())], ["doc_id", "score", "n_passages", "top_passage"])
 
