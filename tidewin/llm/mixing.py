@@ -14,12 +14,14 @@ targets' number, at most 32. Posteriors, tokens and totals cover all documents.
 
 Defined cases: a null or empty text has no tokens, the posterior of an empty passage and a rate that
 changes no total; labelled rows with a null or untargeted domain are ignored; without labelled rows the
-posterior is the targets; repeated rows count each; targets are scaled to sum to one; an empty table
+posterior is the targets; repeated rows count each; of labelled documents that share an id the text that sorts
+first teaches; targets are scaled to sum to one; an empty table
 gives an empty result; only the id and the text are read.
 """
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterator
 from functools import reduce
 
@@ -29,17 +31,21 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StructField, StructType
 
-from .passages import WIDTH, encode
-from .support import read, slices, stage, text_bytes, with_ids
+from .passages import WIDTH, encode_whole
+from .support import read, slices, stage, with_ids
+from .words import plain_hashes
 
 TARGETS = {"de": 0.15, "en": 0.55, "es": 0.15, "fr": 0.15}
 SAMPLE = 1000
-ROUNDS = 40
+#: Of the targets' sum; sums and rates are rounded at about this size.
 TOLERANCE = 1e-9
+#: Rounds without a better residual after which the targets count as out of reach.
+PATIENCE = 8
+#: A target domain with less than this share of its target in the corpus can't be mixed to.
+SCARCE = 0.05
 STEPS = 300
 MOST_DOMAINS = 32
 BATCH_BYTES = 1 << 19
-WHOLE = 1 << 40
 
 
 class DomainModel:
@@ -72,13 +78,7 @@ class DomainModel:
 
 def count_tokens(texts: pa.Array) -> np.ndarray:
     r"""Runs of bytes other than \x20 and \x09-\x0D, by text."""
-    data, offsets = text_bytes(texts)
-    inside = (data != 32) & ((data < 9) | (data > 13))
-    fresh = inside.copy()
-    fresh[1:] &= ~inside[:-1]
-    edges = offsets[:-1][offsets[:-1] < len(data)]
-    fresh[edges] = inside[edges]
-    return np.diff(np.r_[0, np.cumsum(fresh)][offsets])
+    return np.diff(plain_hashes(texts)[1])
 
 
 def _targets(targets: dict[str, float]) -> dict[str, float]:
@@ -97,10 +97,10 @@ def fit_domains(docs: DataFrame, labelled: DataFrame, targets: dict[str, float],
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                x, _ = encode(batch.column(1), WHOLE)
+                x = encode_whole(batch.column(1))
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array([v.tobytes() for v in x], pa.binary())], ["doc_id", "domain", "x"])
 
-    rows = with_ids(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").dropDuplicates(["doc_id"]).select("doc_id", "text", "domain")
+    rows = with_ids(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "domain").agg(F.min("text").alias("text")).select("doc_id", "text", "domain")
     found = sorted(((r.doc_id, r.domain, np.frombuffer(r.x, np.float32)) for r in rows.mapInArrow(run, "doc_id long, domain string, x binary").toLocalIterator()), key=lambda r: r[0])
     model = DomainModel(domains, np.array(list(targets.values())))
     return model.fit(np.stack([r[2] for r in found]).astype(float).reshape(-1, WIDTH), np.array([domains.index(r[1]) for r in found])) if found else model
@@ -114,7 +114,7 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in slices(whole, at, BATCH_BYTES):
-                x, _ = encode(batch.column(at), WHOLE)
+                x = encode_whole(batch.column(at))
                 # Nine digits, so that sums do not depend on a machine's last bits.
                 p = np.round(model.posterior(x), 9)
                 yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(count_tokens(batch.column(at))), *(pa.array(c, pa.float64()) for c in p.T)], [*batch.schema.names, "tokens", *names])
@@ -123,25 +123,29 @@ def posteriors(docs: DataFrame, model: DomainModel, text_col: str = "text") -> D
     return docs.mapInArrow(run, kinds)
 
 
-def _rate(steps: list[np.ndarray]) -> Column:
-    """The rounds as a fold over a literal array, so the plan's size doesn't grow with them."""
+def _rate(steps: list[np.ndarray], most: float | None = None) -> Column:
+    """The rounds as a fold over a literal array, so the plan's size doesn't grow with them; rates stay between zero and
+    `most`."""
     if not steps:
         return F.lit(1.0)
     rounds = F.array(*[F.array(*[F.lit(float(v)) for v in u]) for u in steps])
-    step = lambda rate, u: F.greatest(F.lit(0.0), reduce(Column.__add__, [F.col(f"p{k}") * u[k] for k in range(len(steps[0]))], rate))
-    return F.aggregate(rounds, F.lit(1.0), step)
+    cut = lambda rate: F.greatest(F.lit(0.0), rate) if most is None else F.least(F.lit(float(most)), F.greatest(F.lit(0.0), rate))
+    return F.aggregate(rounds, F.lit(1.0), lambda rate, u: cut(reduce(Column.__add__, [F.col(f"p{k}") * u[k] for k in range(len(steps[0]))], rate)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, rounds: int = ROUNDS) -> tuple[Column, dict]:
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> tuple[Column, dict]:
     """The rate as a column over `table` (posteriors), and the fit's totals. The budget in tokens is all tokens,
-    or with budget=-1 the most that gives no domain a greater total than it has."""
+    or with budget=-1 the most that gives no domain a greater total than it has. The projection keeps rates from zero
+    to `most`. Rounds go on until the targets are met to TOLERANCE; where bounds keep them out of reach, until PATIENCE
+    rounds have brought no residual that is better by a thousandth, and the best round's rates are returned with
+    `residual` (the largest miss over the targets' sum)."""
     weights = np.array(list(_targets(targets).values()))
     n = len(weights)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     p = [F.col(f"p{k}") for k in range(n)]
     first = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[i]) for i in range(n)], *[F.sum(F.col("tokens") * p[i] * p[j]) for i, j in pairs]).first()
     if not first[0]:
-        return F.lit(1.0), {"rounds": 0, "totals": [0.0] * n, "targets": [0.0] * n}
+        return F.lit(1.0), {"rounds": 0, "totals": [0.0] * n, "targets": [0.0] * n, "residual": 0.0}
     have, gram = np.array(first[1 : n + 1], float), np.zeros((n, n))
     for (i, j), v in zip(pairs, first[n + 1 :], strict=True):
         gram[i, j] = gram[j, i] = v
@@ -149,30 +153,50 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
         budget = float(min(h / w for h, w in zip(have, weights, strict=True) if w > 0))
     aim = weights * (first[0] if budget is None else budget)
     inverse, steps, now = np.linalg.pinv(gram, rcond=1e-12, hermitian=True), [], have
-    while len(steps) < rounds and np.abs(aim - now).max() > TOLERANCE * aim.sum():
+    miss = lambda totals: float(np.abs(aim - totals).max() / aim.sum())
+    best = (miss(now), 0, now)
+    waited = 0
+    while miss(now) > TOLERANCE and waited < PATIENCE:
         # Residuals are rounded, so that rates do not depend on the order of a sum.
         steps.append(np.array([float(f"{v:.9e}") for v in inverse @ (aim - now)]))
-        rate = _rate(steps)
+        rate = _rate(steps, most)
         now = np.array([v or 0.0 for v in table.agg(*[F.sum(F.col("tokens") * x * rate) for x in p]).first()])
-    return _rate(steps), {"rounds": len(steps), "totals": now.tolist(), "targets": aim.tolist()}
+        waited = 0 if miss(now) < 0.999 * best[0] else waited + 1
+        if miss(now) < best[0]:
+            best = (miss(now), len(steps), now)
+    return _rate(steps[: best[1]], most), {"rounds": best[1], "totals": best[2].tolist(), "targets": aim.tolist(), "residual": best[0]}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, tokens, posterior (in the order of the sorted domains) and rate of every document."""
+    """doc_id, tokens, posterior (in the order of the sorted domains) and rate of every document, and the fit's residual,
+    which is above TOLERANCE only where no nonnegative rates meet the targets."""
     model = fit_domains(docs, labelled, targets, id_col, text_col)
     table = stage(posteriors(with_ids(docs, id_col, text_col), model).drop("text"), "mix-posteriors")
-    rate, _ = fit_rates(table, targets, budget)
-    return table.select("doc_id", "tokens", F.array(*[f"p{k}" for k in range(len(model.domains))]).alias("posterior"), rate.alias("rate"))
+    rate, found = fit_rates(table, targets, budget)
+    return table.select("doc_id", "tokens", F.array(*[f"p{k}" for k in range(len(model.domains))]).alias("posterior"), rate.alias("rate"), F.lit(float(f"{found['residual']:.3e}")).alias("residual"))
+
+
+def reachable(table: DataFrame, targets: dict[str, float]) -> dict[str, float]:
+    """The targets, but with their present share for domains of which the corpus holds under SCARCE of the target, and a
+    warning: mixing down to a domain that is nearly missing would drop nearly all documents."""
+    weights = _targets(targets)
+    sums = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(len(weights))]).first()
+    scarce = [d for d, (k, w) in zip(weights, enumerate(weights.values()), strict=True) if w > 0 and (sums[k + 1] or 0.0) < SCARCE * w * (sums[0] or 0)]
+    if scarce:
+        warnings.warn(f"too few tokens to mix to {scarce}: kept at their share", stacklevel=2)
+    return {d: (sums[k + 1] or 0.0) / sums[0] if d in scarce else w for k, (d, w) in enumerate(weights.items())} if len(scarce) < len(weights) else weights
 
 
 def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, each kept with the probability of its rate (by a hash of its id
-    and text), under the greatest budget that repeats no domain. Rows with equal ids and texts share a fate."""
+    and text), under the greatest budget that repeats no domain; rates are fitted between zero and one, so what is
+    expected to be kept meets the targets. Rows with equal ids and texts share a fate. Domains that are nearly missing
+    keep their share (see reachable)."""
     model = fit_domains(docs, labelled, targets, id_col, text_col)
     names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the posteriors'
     key = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
     table = stage(posteriors(docs.toDF(*names), model, names[docs.columns.index(text_col)]), "mix-documents", "zstd")
-    rate, _ = fit_rates(table, targets, budget=-1)
+    rate, _ = fit_rates(table, reachable(table, targets), budget=-1, most=1.0)
     u = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return table.where(u < rate).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
