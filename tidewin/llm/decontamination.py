@@ -8,8 +8,9 @@ passages stand. Every tile holds a seed, so the seeds' own cover bounds the tile
 pairs below the threshold by that bound need no tiling.
 
 The benchmark is the stated query set: it is counted first, and dealt in blocks of a bounded number of
-items, each of which travels with the tasks; documents are scanned once for each block and never
-shuffled, so no key, source or common passage can gather rows.
+items and bytes, each a broadcast; in a task, a batch of texts is joined with a block's items by the hashes of their shared
+seeds. Documents are scanned once for each block and never shuffled, so no key, source or common passage can
+gather rows.
 
 Defined cases: items without a word match nothing, items under five words match as one whole run; null
 or empty texts match nothing; repeated document rows are reported each; several items may match one
@@ -18,8 +19,7 @@ document; an empty table gives an empty result; other columns are not read.
 
 from __future__ import annotations
 
-from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -27,12 +27,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import keep_rows, read, slices, with_ids
+from .support import keep_rows, read, slices, small, stage, to_tasks, with_ids
 from .words import HashSet, powers, shingle_hashes, word_hashes
 
 SEED_WORDS = 5
 COVERAGE = 0.8
 BLOCK_ITEMS = 20_000
+BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 19
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
@@ -54,38 +55,45 @@ def _free_runs(marked: np.ndarray, size: int) -> np.ndarray:
     return np.flatnonzero(total[size:] == total[:-size]) if len(marked) >= size else np.zeros(0, np.int64)
 
 
-def tiles(item: np.ndarray, text: np.ndarray, least: int) -> list[tuple[int, int, int]]:
-    """Greedy tiles (start in item, start in text, words), the longest first, none overlapping another."""
+def tiles(item: np.ndarray, text: np.ndarray, least: int, used_t: np.ndarray | None = None) -> list[tuple[int, int, int]]:
+    """Greedy tiles (start in item, start in text, words), the longest first and of equals the first in item, then in
+    text; none overlaps another. Words of the text that `used_t` marks take no part.
+
+    Lengths are worked off from the longest at which unmarked runs agree, so all matches of a length are whole: none
+    of them can be extended. A run of the text that has become marked is dead for all runs of the item, so
+    equal runs are walked once on each side, however often they repeat.
+    """
     least = min(least, len(item))
     if not least or len(text) < least:
         return []
-    used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool)
+    used_i, used_t = np.zeros(len(item), bool), np.zeros(len(text), bool) if used_t is None else used_t.copy()
     done: list[tuple[int, int, int]] = []
-    size = min(len(item), len(text))
+    size = _longest(item, text, used_i, used_t, min(len(item), len(text)), least)
     while True:
         free_i, free_t = _free_runs(used_i, size), _free_runs(used_t, size)
-        where = defaultdict(list)
         if len(free_i) and len(free_t):
             hashes_i, hashes_t = _rolling(item, size)[free_i], _rolling(text, size)[free_t]
-            for h, t in zip(hashes_t[k := np.isin(hashes_t, hashes_i)].tolist(), free_t[k].tolist(), strict=True):
-                where[h].append(t)
-            found: list[tuple[int, int, int]] = []
-            for h, i in zip(hashes_i.tolist(), free_i.tolist(), strict=True):
-                for t in where.get(h, ()):
-                    n = 0
-                    while i + n < len(item) and t + n < len(text) and item[i + n] == text[t + n] and not used_i[i + n] and not used_t[t + n]:
-                        n += 1
-                    if n >= size:
-                        found.append((-n, i, t))
-            for n, i, t in sorted(found):
-                if not used_i[i : i - n].any() and not used_t[t : t - n].any():
-                    used_i[i : i - n] = used_t[t : t - n] = True
-                    done.append((i, t, -n))
+            order = np.argsort(hashes_t, kind="stable")
+            hashes_t, free_t = hashes_t[order], free_t[order]
+            begin, end = np.searchsorted(hashes_t, hashes_i, side="left"), np.searchsorted(hashes_t, hashes_i, side="right")
+            at: dict[int, int] = {}  # the first run of the text that may be alive, by hash
+            for k in np.flatnonzero(begin < end).tolist():
+                i, first, stop = int(free_i[k]), int(begin[k]), int(end[k])
+                # Tiles of this length mark either none or an end of a run.
+                if used_i[i] or used_i[i + size - 1]:
+                    continue
+                n = at.get(first, first)
+                while n < stop and (used_t[free_t[n]] or used_t[free_t[n] + size - 1]):
+                    n += 1
+                at[first] = n
+                if n < stop and (item[i : i + size] == text[(t := int(free_t[n])) : t + size]).all():
+                    used_i[i : i + size] = used_t[t : t + size] = True
+                    done.append((i, t, size))
         if size == least:
             return done
         # What a longer tile has cut may still hold shorter ones, so every length down to the least is tried
         # once no longer run is left.
-        size = max(least, _longest(item, text, used_i, used_t, size - 1, least))
+        size = _longest(item, text, used_i, used_t, size - 1, least)
 
 
 def _longest(item: np.ndarray, text: np.ndarray, used_i: np.ndarray, used_t: np.ndarray, most: int, least: int) -> int:
@@ -108,15 +116,18 @@ class Benchmark:
         words, at = word_hashes(pa.array(texts, pa.string()))
         self.ids, self.seed_words = ids, seed_words
         self.items = [words[a:b] for a, b in zip(at[:-1], at[1:], strict=True)]
-        self.sets, self.seeds = {}, {}
+        self.sets: dict[int, HashSet] = {}
+        # Seeds of one width: item and position of each, and where each distinct seed's owners begin.
+        self.owners: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
         for width in sorted({min(seed_words, len(w)) for w in self.items} - {0}):
-            owners = defaultdict(list)  # seed -> (item, position)
-            for k, w in enumerate(self.items):
-                if min(seed_words, len(w)) == width:
-                    for p, h in enumerate(shingle_hashes(w, width).tolist()):
-                        owners[h].append((k, p))
-            self.sets[width] = HashSet(np.array(list(owners), np.uint64))
-            self.seeds[width] = [owners[h] for h in self.sets[width].members.tolist()]
+            mine = [k for k, w in enumerate(self.items) if min(seed_words, len(w)) == width]
+            seeds = [shingle_hashes(self.items[k], width) for k in mine]
+            size = [len(x) for x in seeds]
+            found = np.concatenate(seeds)
+            order = np.argsort(found, kind="stable")
+            self.sets[width] = HashSet(found)
+            item, place = np.repeat(mine, size)[order], np.concatenate([np.arange(n) for n in size])[order]
+            self.owners[width] = (item, place, np.r_[np.searchsorted(found[order], self.sets[width].members), len(found)])
 
     def matches(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, share of the item's words covered, tiles, words of the longest tile)."""
@@ -125,41 +136,65 @@ class Benchmark:
             where, rank = members.hits(shingle_hashes(words, width))
             row = np.searchsorted(at, where, side="right") - 1
             whole = where + width <= at[row + 1]
-            shared = defaultdict(set)
-            for r, s in set(zip(row[whole].tolist(), rank[whole].tolist(), strict=True)):
-                for k, p in self.seeds[width][s]:
-                    shared[r, k].update(range(p, p + width))
-            for (r, k), cover in sorted(shared.items()):
-                item = self.items[k]
-                if len(cover) < coverage * len(item):
-                    continue
-                laid = tiles(item, words[at[r] : at[r + 1]], self.seed_words)
-                if (share := sum(n for *_, n in laid) / len(item)) >= coverage:
-                    yield r, k, share, len(laid), max(n for *_, n in laid)
-
-
-def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS) -> Iterator[Benchmark]:
-    """The items in blocks of block_items, up to the unevenness of a hash; one block at a time is held."""
+            where, rank, row = where[whole], rank[whole], row[whole]
+            cut = np.searchsorted(row, np.arange(len(at)))
+            for r in np.unique(row).tolist():
+                yield from self._tiled(r, words, where[cut[r] : cut[r + 1]], rank[cut[r] : cut[r + 1]], width, coverage)
+
+    def _tiled(self, r: int, words: np.ndarray, where: np.ndarray, rank: np.ndarray, width: int, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
+        item, place, begin = self.owners[width]
+        seen = np.unique(rank)
+        size = begin[seen + 1] - begin[seen]
+        at = np.repeat(begin[seen] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        # Seeds and items that share them, by item: the join of the text with the block's items.
+        of, seed = item[at], np.repeat(seen, size)
+        order = np.argsort(of, kind="stable")
+        of, seed, place = of[order], seed[order], place[at][order]
+        edge = np.r_[0, np.flatnonzero(np.diff(of)) + 1, len(of)]
+        for a, b in zip(edge[:-1].tolist(), edge[1:].tolist(), strict=True):
+            k = int(of[a])
+            n = len(self.items[k])
+            covered = np.zeros(n, bool)
+            covered[(place[a:b, None] + np.arange(width)).ravel()] = True
+            if covered.sum() < coverage * n:
+                continue
+            # Every tile is made of the item's seeds, so only the words that they cover are laid out, with a marked
+            # word wherever others were between them.
+            starts = where[np.isin(rank, seed[a:b])]
+            mine = np.unique((starts[:, None] + np.arange(width)).ravel()) if width > 1 else starts
+            gap = np.flatnonzero(np.diff(mine) > 1) + 1
+            text = np.insert(words[mine], gap, np.uint64(0))
+            out = np.insert(np.zeros(len(mine), bool), gap, True)
+            laid = tiles(self.items[k], text, self.seed_words, out)
+            if (share := sum(x for *_, x in laid) / n) >= coverage:
+                yield r, k, share, len(laid), max(x for *_, x in laid)
+
+
+def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[Callable[[], Benchmark]]:
+    """The items in blocks of about block_items items and block_bytes of text, dealt by hash (an item that is longer
+    alone fills a block). The driver holds one block at a time; each is broadcast, and read from disk by tasks."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
-    n = max(1, -(-items.count() // block_items))
+    total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
+    n = max(1, -(-total.n // block_items), -(-(total.bytes or 0) // block_bytes))
     for b in range(n):
         part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()]
         part.sort(key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        yield Benchmark([x[0] for x in part], [x[1] for x in part], seed_words)
+        yield to_tasks(benchmark.sparkSession, Benchmark([x[0] for x in part], [x[1] for x in part], seed_words))
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
-    """doc_id, item_id, coverage, n_tiles and longest_tile of every contaminated document and its items."""
+    """doc_id, item_id, coverage, n_tiles and longest_tile of every contaminated document and its items. Documents are
+    scanned once for each block, and a task holds one block."""
     rows = with_ids(docs, id_col, text_col)
 
-    def against(block: Benchmark) -> DataFrame:
+    def against(get: Callable[[], Benchmark]) -> DataFrame:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for whole in batches:
                 for batch in slices(whole, "text", BATCH_BYTES):
-                    hits = list(block.matches(batch.column(1), coverage))
+                    hits = list(get().matches(batch.column(1), coverage))
                     ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
                     yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([block.ids[h[1]] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
+                        [ids, pa.array([get().ids[h[1]] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
                         ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
                     )
 
@@ -169,17 +204,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
-    """The documents, with all their columns, that no item contaminates."""
-
-    def without(docs: DataFrame, block: Benchmark) -> DataFrame:
-        def keep(texts: pa.Array) -> np.ndarray:
-            clean = np.ones(len(texts), bool)
-            clean[[h[0] for h in block.matches(texts, coverage)]] = False
-            return clean
-
-        return keep_rows(docs, text_col, keep, BATCH_BYTES)
-
-    return reduce(without, blocks(benchmark, **how), docs)
+    """The documents, with all their columns, that no item contaminates. With several blocks the texts that each
+    finds are collected as a table first, so that no task holds them all."""
+    held = list(blocks(benchmark, **how))
+
+    def clean(get: Callable[[], Benchmark], texts: pa.Array) -> np.ndarray:
+        out = np.ones(len(texts), bool)
+        out[[h[0] for h in get().matches(texts, coverage)]] = False
+        return out
+
+    if len(held) == 1:
+        return keep_rows(docs, text_col, lambda texts: clean(held[0], texts), BATCH_BYTES)
+    text = F.col(text_col).cast("string")
+    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit("leak"), text), F.octet_length(text))
+    found = [keep_rows(docs.select(text.alias("text"), key.alias("key")), "text", lambda texts, get=get: ~clean(get, texts), BATCH_BYTES).select("key") for get in held]
+    leaks = stage(reduce(DataFrame.union, found).distinct(), "leaks")
+    names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the key's
+    at = F.col(names[docs.columns.index(text_col)]).cast("string")
+    rows = docs.toDF(*names).withColumn("key", F.struct(F.xxhash64(at), F.xxhash64(F.lit("leak"), at), F.octet_length(at)))
+    return rows.join(small(leaks), "key", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
