@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from .support import held_out, keep_rows, read, slices, stage, to_tasks, with_ids
 from .words import HashSet, word_hashes
 
-EXAMPLES = 2048
+EXAMPLES = 1024
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks opened first; each later step may open four times as many.
@@ -45,6 +45,8 @@ PRIOR_VOTE = 0.05
 EVIDENCE = 3
 THRESHOLD = 0.7
 BATCH_BYTES = 1 << 19
+#: Commonest words by which examples are put next to each other.
+ALIKE = 3
 #: Scores of the latest texts that a task keeps, since copies often stand together.
 KEPT = 4096
 #: Parts in which term counts travel.
@@ -223,8 +225,12 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
     words = [np.frombuffer(r.t, np.uint64) for r in held]
     toxic = np.array([r.y for r in held], np.int64)
     found = HashSet(np.concatenate(words) if words else np.zeros(0, np.uint64))
-    ranks = [np.searchsorted(found.members, w) for w in words]
     documents, df = document_frequencies(rows.select("doc_id", "text"), found)
+    # Texts with the same commonest words (of one language, say) stand together, so that other blocks' bounds are low.
+    ranks = [np.searchsorted(found.members, w) for w in words]
+    order = sorted(range(len(held)), key=lambda e: ([int(t) for t in ranks[e][np.lexsort((ranks[e], -df[ranks[e]]))[:ALIKE]]], e))
+    held, words, ranks = ([x[e] for e in order] for x in (held, words, ranks))
+    toxic = toxic[order]
     by_class = np.zeros((2, len(found.members)))
     for y, t in zip(toxic.tolist(), ranks, strict=True):
         by_class[y, t] += 1
