@@ -1,36 +1,41 @@
-"""Sharding by fixed virtual slots, with a versioned slot-to-shard map.
-
-A row's virtual slot is a hash of its key modulo a fixed number of slots (thousands, whatever the number
-of shards). Bytes are summed by slot, and only the slots, never the rows, are dealt to shards: version 1
-of the map deals them from the heaviest down, each to the lightest shard so far. `rebalance` writes the
-next version by moving single slots. The map has one row for each slot, so its size is bounded by the
-number of slots at any data size, and it is the only side that is broadcast.
-
-Defined cases: a null text has no bytes (size 1) and the CRC of the empty string; a null key hashes as
-its own value; rows with equal keys share a virtual slot; identical rows get positions in any order; an
-empty table gives an empty result and a map that deals empty slots in turn; columns other than the
-key and the text are not read, so their names can't clash.
+"""Sharding by fixed virtual slots, with a stored, versioned slot-to-shard map.
+
+A record's virtual slot is a hash of its key and text modulo a fixed number of slots (thousands, whatever the
+number of shards). Bytes are summed by slot, and only the slots, never the rows, are dealt to shards: version 1 of
+the map deals them from the heaviest down, each to the lightest shard so far. Maps are kept in a folder, one table
+for each version; `place` puts rows by a stored map, and `grow` loads the newest version, moves single slots to the
+new shard and stores the next one. A map has one row for each slot, so its size is bounded by the number of slots at
+any data size, and it is the only side that is broadcast.
+
+Defined cases: a null text has no bytes (size 1) and the CRC of the empty string; a null key takes part in the hash
+as null, so rows without a key, or with one and the same, are spread by their texts; rows that are equal in key
+and text share a slot, and get positions in any order; an empty table gives an empty result and a map that deals
+empty slots in turn; columns other than the key and the text are not read, so their names can't clash.
 """
 
 from __future__ import annotations
 
+import uuid
+import zlib
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import stage, with_ids
+from .support import shared_dir, with_ids
 
 SLOTS = 8192
 SHARDS = 8
 
 
-def slot_of(key: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(slots)).cast("int")
+def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
+    return F.pmod(F.xxhash64(key, text), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
     """doc_id, size (UTF-8 bytes plus 1), text_crc32 and virtual slot of every row."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return with_ids(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), slots).alias("virtual_slot"))
+    return with_ids(docs, id_col, text_col).select("doc_id", (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), slot_of(F.col("doc_id"), text, slots).alias("virtual_slot"))
 
 
 def slot_loads(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
@@ -40,8 +45,8 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     return every.join(F.broadcast(loads), "virtual_slot", "left").na.fill(0, ["bytes", "rows"])
 
 
-def first_map(loads: DataFrame, shards: int = SHARDS) -> DataFrame:
-    """Version 1: slots from the heaviest down, each to the lightest shard (ties: fewer slots, lower shard)."""
+def first_map(loads: DataFrame, shards: int = SHARDS, version: int = 1) -> DataFrame:
+    """A map from nothing: slots from the heaviest down, each to the lightest shard (ties: fewer slots, lower shard)."""
     ordered = loads.agg(F.reverse(F.sort_array(F.collect_list(F.struct("bytes", F.expr("-virtual_slot").alias("minus"), "rows")))).alias("s"))
     # A shard's state is (bytes, slots, shard), so array_min names the lightest one.
     start = f"transform(sequence(0, {shards - 1}), k -> named_struct('bytes', 0L, 'slots', 0, 'shard', k))"
@@ -53,7 +58,7 @@ def first_map(loads: DataFrame, shards: int = SHARDS) -> DataFrame:
         "s",
     )
     pairs = dealt.select(F.explode(F.arrays_zip("s", "to")).alias("z"))
-    return pairs.select((-F.col("z.s.minus")).cast("int").alias("virtual_slot"), F.col("z.to").alias("shard"), F.col("z.s.bytes").alias("bytes"), F.col("z.s.rows").alias("rows"), F.lit(1).alias("version"))
+    return pairs.select((-F.col("z.s.minus")).cast("int").alias("virtual_slot"), F.col("z.to").alias("shard"), F.col("z.s.bytes").alias("bytes"), F.col("z.s.rows").alias("rows"), F.lit(version).alias("version"))
 
 
 def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
@@ -66,27 +71,69 @@ def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     return slot_map.select("virtual_slot", F.when(moved, F.lit(shards - 1)).otherwise(F.col("shard")).alias("shard"), "bytes", "rows", (F.col("version") + 1).alias("version"))
 
 
-def store_map(slot_map: DataFrame) -> DataFrame:
-    """Keep one version as a table in the shared folder."""
-    return stage(slot_map.coalesce(1), "slot-map")
-
-
-def offsets(slot_map: DataFrame) -> DataFrame:
-    """First position of each slot in its shard: sums over the bounded map, not over rows."""
-    w = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    return slot_map.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(w), F.lit(0)).cast("long").alias("base"))
+def store_map(slot_map: DataFrame, folder: str) -> DataFrame:
+    """Keep a map as the folder's next version, and read it back; a version that is there already is an error."""
+    version = slot_map.first().version
+    slot_map.coalesce(1).write.mode("errorifexists").parquet(f"{folder}/map-{version:06d}")
+    return load_map(slot_map.sparkSession, folder, version)
+
+
+def load_map(spark: SparkSession, folder: str, version: int | None = None) -> DataFrame | None:
+    """A stored version of the map, or the newest; None if there is none."""
+    try:
+        stored = spark.read.parquet(f"{folder}/map-*" if version is None else f"{folder}/map-{version:06d}")
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    if version is None:
+        return load_map(spark, folder, stored.agg(F.max("version")).first()[0])
+    return stored
+
+
+def grow(spark: SparkSession, folder: str) -> DataFrame:
+    """Store and return the next version of the folder's map, for one shard more: single slots move to the new shard, by
+    the bytes that the map holds for them."""
+    old = load_map(spark, folder)
+    if old is None:
+        raise ValueError("there is no map to grow")
+    return store_map(rebalance(old, old.agg(F.max("shard")).first()[0] + 2), folder)
+
+
+def place(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame:
+    """`rows` (see sized) with the shard that a map of any version gives their virtual slot, slot (the position in the
+    shard, gapless from 0) and map_version. Positions follow these rows' own counts, summed by slot over the bounded
+    map: no shard is gathered or sorted."""
+    counts = slot_loads(rows, slots).select("virtual_slot", "rows")
+    mapped = slot_map.select("virtual_slot", "shard", "version").join(F.broadcast(counts), "virtual_slot")
+    before = Window.partitionBy("shard").orderBy("virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    base = mapped.select("virtual_slot", "shard", "version", F.coalesce(F.sum("rows").over(before), F.lit(0)).cast("long").alias("base"))
+    at = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
+    placed = rows.withColumn("nth", F.row_number().over(at) - 1)
+    return placed.join(F.broadcast(base), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", F.col("shard").cast("int"), (F.col("base") + F.col("nth")).cast("long").alias("slot"), F.col("version").alias("map_version"))
 
 
-def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
-    """doc_id, size, text_crc32, virtual_slot, shard, slot (position in the shard, gapless from 0), map_version."""
+def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, folder: str | None = None) -> DataFrame:
+    """doc_id, size, text_crc32, virtual_slot, shard, slot and map_version, under the `bytes` law. The folder's newest
+    map serves if it deals these very loads to as many shards; else a new version is dealt from the loads and stored.
+    Without a folder the map is stored in a new one below the shared folder."""
+    spark = docs.sparkSession
+    folder = folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
     rows = sized(docs, id_col, text_col, slots)
-    mapped = store_map(first_map(slot_loads(rows, slots), shards))
-    at = Window.partitionBy("virtual_slot").orderBy("doc_id", "text_crc32", "size")
-    placed = rows.withColumn("nth", F.row_number().over(at) - 1)
-    return placed.join(F.broadcast(offsets(mapped)), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", F.col("shard").cast("int"), (F.col("base") + F.col("nth")).cast("long").alias("slot"), F.col("version").alias("map_version"))
+    stored = load_map(spark, folder)
+    loads = slot_loads(rows, slots)
+    if stored is not None:
+        kept = stored.agg(F.max("version").alias("version"), F.max("shard").alias("shard")).first()
+        other = loads.join(F.broadcast(stored), ["virtual_slot", "bytes", "rows"], "left_anti")
+        if kept.shard != shards - 1 or not other.isEmpty():
+            stored = store_map(first_map(loads, shards, kept.version + 1), folder)
+    else:
+        stored = store_map(first_map(loads, shards), folder)
+    return place(rows, stored, slots)
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All documents in eight shards under the `bytes` law."""
-    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """All documents in eight shards under the `bytes` law, by the map that is kept for the table's path."""
+    folder = f"{shared_dir(spark)}/slot-maps/documents-{zlib.crc32(sf_dir.encode()):08x}"
+    out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder=folder)
     return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
