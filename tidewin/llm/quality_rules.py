@@ -10,7 +10,9 @@ stated risk, so all rules together falsely reject at most `risk` of a stratum wi
 1 - delta. A stratum without enough labels certifies nothing and keeps its documents.
 
 Words are runs of bytes other than \x20 and \x09-\x0D. Everything is DataFrame functions; the counts are
-made inside each row, so no text is exploded or shuffled.
+made inside each row, so no text is exploded or shuffled. Repeated windows are found among sorted numbers, a
+window's hash above its position, and equal neighbours are compared word by word; a text in which different windows
+share a hash is sorted by the words themselves, so counts are exact.
 
 Defined cases: a null text has no words and fails the base rule; a null lang is a stratum of its own;
 labels that are null or name no document are ignored; repeated document rows give repeated results, and
@@ -41,6 +43,25 @@ RULES = {
 }
 
 
+#: Positions take the low bits of a key, hashes the others.
+_PLACES = (1 << 24) - 1
+_KEYS = f"transform(sequence(0, size(_w) - 3), i -> (xxhash64(_w[i], _w[i + 1], _w[i + 2]) & ~{_PLACES}L) | i)"
+_SAME = "_w[{a}] = _w[{b}] and _w[{a} + 1] = _w[{b} + 1] and _w[{a} + 2] = _w[{b} + 2]"
+_AT = [f"cast({x} & {_PLACES}L as int)" for x in "ab"]
+
+
+def _neighbours(array: str, pair: str) -> str:
+    """Of each two neighbours (a, b) of a sorted array the pair, where it isn't null."""
+    rest = f"greatest(size({array}) - 1, 0)"
+    return f"filter(zip_with(slice({array}, 1, {rest}), slice({array}, 2, {rest}), (a, b) -> {pair}), x -> x is not null)"
+
+
+#: Positions of windows that are equal, in pairs; (-1, -1) where two hashes are equal and the words are not.
+_TWINS = _neighbours("_k", f"if((a ^ b) & ~{_PLACES}L <> 0, null, if({_SAME.format(a=_AT[0], b=_AT[1])}, array({_AT[0]}, {_AT[1]}), array(-1, -1)))")
+#: The same, by sorting the words.
+_EXACT = _neighbours("sort_array(transform(sequence(0, size(_w) - 3), i -> named_struct('t', concat_ws(' ', _w[i], _w[i + 1], _w[i + 2]), 'i', i)))", "if(a.t = b.t, array(a.i, b.i), null)")
+
+
 def _counted(text: Column) -> Column:
     return F.coalesce(text, F.lit(""))
 
@@ -56,16 +77,14 @@ def text_counts(docs: DataFrame, text_col: str = "text", keep: tuple[str, ...] =
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         F.filter(F.split("_text", "\n"), lambda line: F.length(F.translate(line, " " + SPACES, "")) > 0).alias("_lines"),
     )
-    window = "transform(sequence(0, size(_w) - 3), i -> named_struct('t', concat_ws(' ', _w[i], _w[i + 1], _w[i + 2]), 'i', i))"
     step = step.select(
         *keep, "word_chars", "n_symbols",
         F.size("_w").cast("long").alias("n_words"),
         (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long").alias("n_dup_lines"),
-        F.expr(f"if(size(_w) < 4, cast(array() as array<struct<t:string,i:int>>), sort_array({window}))").alias("_s"),
+        "_w", F.expr(f"if(size(_w) < 4, cast(array() as array<bigint>), sort_array({_KEYS}))").alias("_k"),
     )
-    # Neighbours in sorted order with the same three words, then the positions of all such windows.
-    twins = "filter(zip_with(slice(_s, 1, greatest(size(_s) - 1, 0)), slice(_s, 2, greatest(size(_s) - 1, 0)), (a, b) -> if(a.t = b.t, array(a.i, b.i), null)), x -> x is not null)"
-    step = step.select(*keep, "word_chars", "n_symbols", "n_words", "n_dup_lines", F.expr(f"sort_array(array_distinct(flatten({twins})))").alias("_p"))
+    step = step.select(*keep, "word_chars", "n_symbols", "n_words", "n_dup_lines", "_w", F.expr(_TWINS).alias("_t"))
+    step = step.select(*keep, "word_chars", "n_symbols", "n_words", "n_dup_lines", F.expr(f"sort_array(array_distinct(flatten(if(size(_w) > {_PLACES + 1} or exists(_t, x -> x[0] < 0), {_EXACT}, _t))))").alias("_p"))
     gaps = "aggregate(zip_with(slice(_p, 1, size(_p) - 1), slice(_p, 2, size(_p) - 1), (a, b) -> least(b - a, 3)), 3, (n, x) -> n + x)"
     return step.select(*keep, "n_words", "word_chars", "n_symbols", "n_dup_lines", F.expr(f"cast(if(size(_p) = 0, 0, {gaps}) as long)").alias("n_repeat_words"))
 
