@@ -23,8 +23,8 @@ settled as in step 2, with equal strings of a batch of texts settled before they
 
 Hashes have 64 bits and are compared only within one minimizer. Defined cases: a null text is empty; a
 text under `length` bytes has no repeat; rows that share a doc_id are taken as one document and get its
-result each, one with its own text if texts differ (positions of either count); a null doc_id orders
-before all others; an empty table gives an empty result; only the id and the text are read.
+result each, one with its own text if texts differ (positions of either count); rows without a doc_id are
+documents by their text, in the order of its hash, and come before all others; an empty table gives an empty result; only the id and the text are read.
 """
 
 from __future__ import annotations
@@ -34,6 +34,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -51,6 +52,8 @@ BATCH_BYTES = 4 << 20
 #: Hashing works on pieces that fit a core's cache.
 SCAN_BYTES = 1 << 18
 HELD_BYTES = 8 << 20
+#: A text longer than twice this is walked in pieces.
+WALK_BYTES = 1 << 18
 SPAN = np.dtype([("min", "<u8"), ("hash", "<u8"), ("doc", "<i8"), ("start", "<i8"), ("size", "<i4"), ("self", "?")])
 NO_ID = -(1 << 63)
 _U = np.uint64
@@ -118,6 +121,20 @@ def spans(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int =
     return out
 
 
+def walk(data: np.ndarray, offsets: np.ndarray, docs: np.ndarray, length: int = LENGTH) -> Iterator[np.ndarray]:
+    """The spans of the texts; a long text is walked in pieces that overlap by length - 1 bytes, so that every string
+    stands whole in exactly one of them. A span that an edge cuts only becomes two."""
+    if len(data) <= 2 * WALK_BYTES:
+        yield spans(data, offsets, docs, length)
+        return
+    for doc, a, b in zip(docs.tolist(), offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
+        for at in range(a, max(b - length + 1, a), WALK_BYTES):
+            part = data[at : min(at + WALK_BYTES + length - 1, b)]
+            found = spans(part, np.array([0, len(part)]), np.array([doc]), length)
+            found["start"] += at - a
+            yield found
+
+
 def settle(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """(the earliest of equal spans, the later ones); both sorted by minimizer, hash, document, start."""
     found = found[np.lexsort((found["start"], found["doc"], found["hash"], found["min"]))]
@@ -284,6 +301,25 @@ def _deal(found: np.ndarray, shards: int) -> tuple[list[int], list[bytes]]:
     return shard[at].tolist(), [pack(p) for p in np.split(found, at[1:])] if len(found) else []
 
 
+def by_shard(batches: Iterator[pa.RecordBatch], doc: int, *data: int) -> Iterator[tuple[pa.RecordBatch | None, list[tuple[bytes, ...]]]]:
+    """Of rows sorted by shard (column 0): batches of the rows that have a document (they only travel along), and for
+    each shard the data columns of its other rows, together."""
+    parts: list[tuple[bytes, ...]] = []
+    current = None
+    for batch in batches:
+        named = batch.column(doc).is_valid()
+        yield batch.filter(named), []
+        rest = batch.filter(pc.invert(named))
+        for shard, *row in zip(rest.column(0).to_pylist(), *(rest.column(k).to_pylist() for k in data), strict=True):
+            if shard != current and parts:
+                yield None, parts
+                parts = []
+            current = shard
+            parts.append(tuple(row))
+    if parts:
+        yield None, parts
+
+
 def _identified(column: pa.Array) -> np.ndarray:
     return column.fill_null(NO_ID).to_numpy(zero_copy_only=False).astype(np.int64)
 
@@ -310,24 +346,22 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         for whole in batches:
             for batch in slices(whole, "text", SCAN_BYTES):
                 data, offsets = text_bytes(batch.column(1))
-                held.append(spans(data, offsets, _identified(batch.column(0)), length))
-                size += held[-1].nbytes
-                if size > HELD_BYTES:
-                    yield from flush()
-                    held, size = [], 0
+                for found in walk(data, offsets, _identified(batch.column(0)), length):
+                    held.append(found)
+                    size += found.nbytes
+                    if size > HELD_BYTES:
+                        yield from flush()
+                        held.clear()
+                        size = 0
         yield from flush()
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[bytes]] = {}
-        for batch in batches:
-            doc = batch.column(1)
-            done = batch.filter(doc.is_valid())
-            yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.nulls(done.num_rows, pa.binary()), pa.nulls(done.num_rows, pa.binary())], ["doc", "cut", "want", "hot"])
-            fresh = batch.filter(doc.is_null())
-            for shard, packed in zip(fresh.column(0).to_pylist(), fresh.column(2).to_pylist(), strict=True):
-                parts.setdefault(shard, []).append(packed)
-        for shard in sorted(parts):
-            first, again = settle(np.concatenate([unpack(p) for p in parts.pop(shard)]))
+        # Rows come sorted by shard, so one shard's spans are held at a time.
+        for done, parts in by_shard(batches, 1, 2):
+            if done is not None:
+                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.nulls(done.num_rows, pa.binary()), pa.nulls(done.num_rows, pa.binary())], ["doc", "cut", "want", "hot"])
+                continue
+            first, again = settle(np.concatenate([unpack(p) for (p,) in parts]))
             cut = _intervals(again["doc"], again["start"], again["start"] + again["size"])
             # Different spans under one minimizer: their bytes are wanted.
             group = np.r_[0, np.cumsum(first["min"][1:] != first["min"][:-1])] if len(first) else np.zeros(0, int)
@@ -346,53 +380,63 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             )
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
+        singles: dict[bytes, tuple[int, int, int]] = {}
+        later: list[tuple[int, int]] = []
+
+        def flush() -> pa.RecordBatch:
+            for own, (doc, start, key) in singles.items():
+                held.setdefault(key % shards, []).append((key, doc, start, length, own))
+            cut = np.array(later, np.int64).reshape(-1, 2)
+            cut = _intervals(cut[:, 0], cut[:, 1], cut[:, 1] + length)
+            metas, raws = [], []
+            for shard in sorted(held):
+                metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
+                raws.append(b"".join(p for *_, p in held[shard]))
+            n, m = len(held), cut.num_rows
+            near = pa.array((cut.column(0).to_numpy() % shards).astype(np.int64))
+            out = pa.RecordBatch.from_arrays(
+                [pa.concat_arrays([pa.array(sorted(held), pa.int64()), near]), pa.concat_arrays([pa.array(metas, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
+                ["shard", "meta", "bytes", "doc", "cut"],
+            )
+            held.clear()
+            singles.clear()
+            later.clear()
+            return out
+
+        size = 0
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
-                held: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
-                singles: dict[bytes, tuple[int, int, int]] = {}
-                later: list[tuple[int, int]] = []
-                for doc, text, wants, hots in zip(*(batch.column(c).to_pylist() for c in ("doc", "text", "wants", "hots")), strict=True):
+                for row in range(batch.num_rows):
+                    doc, text, wants, hots = (batch.column(c)[row].as_py() for c in ("doc", "text", "wants", "hots"))
                     raw = (text or "").encode("utf-8")
-                    want = np.concatenate([unpack(w) for w in wants])
-                    hot = np.frombuffer(b"".join(hots), bool)
-                    for (low, _, _, start, size, _), single in zip(want.tolist(), hot.tolist(), strict=True):
-                        piece = raw[start : start + size]
-                        if len(piece) < length:
-                            continue
-                        if not single:
-                            held.setdefault(low % shards, []).append((low, doc, start, size, piece))
-                            continue
-                        for i, key in enumerate(window_hashes(np.frombuffer(piece, np.uint8), [length])[length].tolist()):
-                            # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
-                            mine, own = (doc, start + i), piece[i : i + length]
-                            kept = singles.setdefault(own, (*mine, key))
-                            if kept[:2] != mine:
-                                later.append(max(mine, kept[:2]))
-                                singles[own] = (*min(mine, kept[:2]), key)
-                for own, (doc, start, key) in singles.items():
-                    held.setdefault(key % shards, []).append((key, doc, start, length, own))
-                cut = np.array(later, np.int64).reshape(-1, 2)
-                cut = _intervals(cut[:, 0], cut[:, 1], cut[:, 1] + length)
-                metas, raws = [], []
-                for shard in sorted(held):
-                    metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
-                    raws.append(b"".join(p for *_, p in held[shard]))
-                n, m = len(held), cut.num_rows
-                near = pa.array((cut.column(0).to_numpy() % shards).astype(np.int64))
-                yield pa.RecordBatch.from_arrays(
-                    [pa.concat_arrays([pa.array(sorted(held), pa.int64()), near]), pa.concat_arrays([pa.array(metas, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
-                    ["shard", "meta", "bytes", "doc", "cut"],
-                )
+                    for packed, marks in zip(wants, hots, strict=True):
+                        for (low, _, _, start, n, _), single in zip(unpack(packed).tolist(), np.frombuffer(marks, bool).tolist(), strict=True):
+                            piece = raw[start : start + n]
+                            if len(piece) < length:
+                                continue
+                            size += len(piece)
+                            if not single:
+                                held.setdefault(low % shards, []).append((low, doc, start, n, piece))
+                                continue
+                            for i, key in enumerate(window_hashes(np.frombuffer(piece, np.uint8), [length])[length].tolist()):
+                                # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
+                                mine, own = (doc, start + i), piece[i : i + length]
+                                kept = singles.setdefault(own, (*mine, key))
+                                if kept[:2] != mine:
+                                    later.append(max(mine, kept[:2]))
+                                    singles[own] = (*min(mine, kept[:2]), key)
+                        if size > BATCH_BYTES:
+                            yield flush()
+                            size = 0
+        yield flush()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts: dict[int, list[tuple[bytes, bytes]]] = {}
-        for batch in batches:
-            doc = batch.column(3)
-            yield batch.filter(doc.is_valid()).select(["doc", "cut"])
-            for shard, meta, raw in zip(*(c.to_pylist() for c in batch.filter(doc.is_null()).columns[:3]), strict=True):
-                parts.setdefault(shard, []).append((meta, raw))
-        for shard in sorted(parts):
-            metas, raws = zip(*parts.pop(shard), strict=True)
+        for done, parts in by_shard(batches, 3, 1, 2):
+            if done is not None:
+                yield done.select(["doc", "cut"])
+                continue
+            metas, raws = zip(*parts, strict=True)
             meta, raw = np.concatenate([unpack(m) for m in metas]), b"".join(raws)
             at = np.r_[0, np.cumsum(meta["size"])]
             order = np.lexsort((meta["start"], meta["doc"]))
@@ -413,17 +457,19 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             yield _intervals(np.r_[d, more[:, 0]], np.r_[s, more[:, 1]], np.r_[e, more[:, 2]])
 
     found = rows.select("doc", "text").mapInArrow(scan, "shard long, doc long, data binary")
-    settled = stage(found.repartition(width, "shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
+    settled = stage(found.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
     asked = settled.where("want is not null").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("want", "hot"))).alias("w")).select("doc", F.col("w.want").alias("wants"), F.col("w.hot").alias("hots"))
     # doc_id rides along unread: so this shuffle of the texts is the one that the caller's join needs again.
     pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary, doc long, cut binary")
-    grown = pieces.repartition(width, "shard").mapInArrow(trees, "doc long, cut binary")
+    grown = pieces.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(trees, "doc long, cut binary")
     return settled.where("cut is not null").select("doc", "cut").unionByName(grown)
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", keep_text: bool = True) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with keep_text, kept (the remaining bytes)."""
-    rows = with_ids(docs, id_col, text_col).select(F.coalesce("doc_id", F.lit(NO_ID)).alias("doc"), "doc_id", "text")
+    # Rows without an id are documents by their text, below every id.
+    nameless = F.lit(NO_ID) + F.shiftrightunsigned(F.xxhash64("text"), 2)
+    rows = with_ids(docs, id_col, text_col).select(F.coalesce("doc_id", nameless).alias("doc"), "doc_id", "text")
     cuts = repeats(rows, length).groupBy("doc").agg(F.collect_list("cut").alias("cuts"))
     both = rows.join(cuts, "doc", "left").select("doc_id", "text", "cuts")
 
