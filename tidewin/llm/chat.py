@@ -1,12 +1,15 @@
 """Chat formatting: tool calls linked to their results, ordered, validated, and written as canonical JSON.
 
 Calls and results are hash-joined by (conversation, identifier). A call may name calls it depends on; the
-order is topological: a call stands at its own turn, or, where a dependency stands later than that, right
-after it. Only such late dependencies need rounds, each a join of the calls that moved, so the usual log
-ends after one check. A call that has moved more often than its conversation has calls is on, or behind, a
-cycle and is marked. Positions are numbered over range partitions, so a conversation with a third of all
-rows is spread like any other. Arguments are parsed and checked against the tool's JSON schema, and each
-call with its result becomes one line of canonical JSON: keys sorted, no spaces, unescaped UTF-8.
+order is topological: a call is ready at its own turn, or, where a dependency is ready no earlier, right behind it
+(its depth is one more). The usual log has no such late dependency, and its order is settled by one join. Else the
+dependencies are split into connected components, in logarithmic rounds; those with a late dependency are ordered
+component by component, each in linear time in one task, since a component is what a conversation's calls ask of
+each other and holds identifiers only. Components of more than MOST_CALLS calls are relaxed by joins instead, with
+the same result. A call on, or behind, a cycle is marked; such calls stand last in their conversation.
+Positions are numbered over range partitions, so a conversation with a third of all rows is spread like any other.
+Arguments are parsed and checked against the tool's JSON schema, and each call with its result becomes one line of
+canonical JSON: keys sorted, no spaces, unescaped UTF-8.
 
 Defined cases: identifiers that are null match nothing; of repeated calls or results with one identifier
 the first (turn, then text) stands and `n_calls`, `n_results` count them; calls without a result are
@@ -21,10 +24,11 @@ import json
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import read, shuffle_width, stage
+from .support import connected_components, read, shuffle_width, small, stage
 
 #: The tool that a user's turn calls in plain conversations: the answer is the next turn.
 REPLY = {
@@ -80,52 +84,136 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+#: Calls of a component that one task orders; ids and turns take some hundred bytes each.
+MOST_CALLS = 500_000
+
+
+def peeled(nodes: list[int], turns: dict[int, int | None], edges: list[tuple[int, int]]) -> dict[int, tuple[int | None, int, bool]]:
+    """(ready, depth, cyclic) of each call, from its turn and the edges (call, dependency): calls whose dependencies are
+    all settled are taken off one after another; what is left is on, or behind, a cycle."""
+    behind: dict[int, list[int]] = {}
+    waits = dict.fromkeys(nodes, 0)
+    for call, on in edges:
+        behind.setdefault(on, []).append(call)
+        waits[call] += 1
+    out: dict[int, tuple[int | None, int, bool]] = {n: (turns[n], 0, True) for n in nodes}
+    key = lambda n: (out[n][0] is not None, out[n][0] or 0, out[n][1])  # noqa: E731  a null turn is before all others
+    todo = [n for n in nodes if not waits[n]]
+    while todo:
+        n = todo.pop()
+        out[n] = (*out[n][:2], False)
+        for call in behind.get(n, ()):
+            if key(n) >= key(call):
+                out[call] = (out[n][0], out[n][1] + 1, True)
+            waits[call] -= 1
+            if not waits[call]:
+                todo.append(call)
+    return out
+
+
 def ordered(rows: DataFrame) -> DataFrame:
     """`rows` (staged) with ready, depth (the order's key), cyclic and dangling."""
     keys = ["conv_id", "call_id"]
     edges = rows.select("conv_id", "call_id", F.explode("depends_on").alias("on")).distinct()
     at = rows.where("call_id is not null").select("conv_id", F.col("call_id").alias("on"), F.col("turn").alias("on_turn"))
     loose = edges.join(at, ["conv_id", "on"], "left_anti").select(*keys).distinct().withColumn("dangling", F.lit(True))
-    known = rows.where("call_id is not null").select(*keys, F.col("turn").alias("ready"), F.lit(0).alias("depth"))
-    edges = edges.join(at.drop("on_turn"), ["conv_id", "on"])
-    size = rows.groupBy("conv_id").agg(F.count(F.lit(1)).alias("size"))
-    moves = None
-    late = edges.join(at, ["conv_id", "on"]).join(known, keys).where("on_turn >= ready")
-    todo = stage(late.select(*keys).distinct(), "chat-late")
-    while not todo.isEmpty():
-        # Only calls behind a dependency that stands later, or that has just moved, are looked at again.
-        now = known if moves is None else known.join(moves, keys, "left").select(*keys, F.coalesce("new_ready", "ready").alias("ready"), F.coalesce("new_depth", "depth").alias("depth"))
-        on = now.select("conv_id", F.col("call_id").alias("on"), F.struct("ready", "depth").alias("k"))
-        best = edges.join(todo, keys).join(on, ["conv_id", "on"]).groupBy(*keys).agg(F.max("k").alias("k")).join(now, keys).join(size, "conv_id")
-        moved = best.where((F.struct("k.ready", "k.depth") >= F.struct("ready", "depth")) & (F.col("depth") <= F.col("size")))
-        moved = stage(moved.select(*keys, F.col("k.ready").alias("new_ready"), (F.col("k.depth") + 1).cast("int").alias("new_depth")), "chat-moved")
-        moves = moved if moves is None else stage(moves.join(moved, keys, "left_anti").unionByName(moved), "chat-moves")
-        todo = stage(edges.join(moved.select("conv_id", F.col("call_id").alias("on")), ["conv_id", "on"]).select(*keys).distinct(), "chat-late")
     out = rows.join(loose, keys, "left").withColumn("dangling", F.coalesce("dangling", F.lit(False)))
-    if moves is None:
+    own = rows.where("call_id is not null").select(*keys, "turn")
+    known = edges.join(at, ["conv_id", "on"]).join(own, keys)
+    late = stage(known.where("on_turn >= turn or turn is null").select("conv_id").distinct(), "chat-late")
+    if late.isEmpty():
         return out.withColumns({"ready": F.col("turn"), "depth": F.lit(0), "cyclic": F.lit(False)})
-    out = out.join(moves, keys, "left").join(size, "conv_id", "left")
-    return out.withColumns({"ready": F.coalesce("new_ready", "turn"), "depth": F.coalesce("new_depth", F.lit(0)), "cyclic": F.coalesce(F.col("new_depth") > F.col("size"), F.lit(False))}).drop("new_ready", "new_depth", "size")
+    moved = _settled(stage(known.join(small(late), "conv_id", "left_semi"), "chat-edges"))
+    return out.join(moved, keys, "left").withColumns({"ready": F.when(F.col("depth").isNotNull(), F.col("ready")).otherwise(F.col("turn")), "cyclic": F.coalesce("cyclic", F.lit(False)), "depth": F.coalesce("depth", F.lit(0))})
+
+
+def _settled(known: DataFrame) -> DataFrame:
+    """conv_id, call_id, ready, depth and cyclic of the calls that the edges `known` (conv_id, call_id, on, turn, on_turn)
+    name, in components that have a late edge."""
+    node = lambda c: F.xxhash64("conv_id", c)
+    e = known.select("conv_id", "call_id", "on", "turn", "on_turn", node("call_id").alias("a"), node("on").alias("b"))
+    # A call that depends on itself has no edge to another, but is a component as well.
+    groups = connected_components(e.where("a <> b").select("a", "b"))
+    mine = e.join(small(groups.select(F.col("node").alias("a"), "component")), "a", "left").withColumn("component", F.coalesce("component", "a"))
+    late = mine.where("on_turn >= turn or turn is null").select("component").distinct()
+    mine = stage(mine.join(small(late), "component", "left_semi"), "chat-components")
+    sizes = mine.groupBy("component").agg(F.count(F.lit(1)).alias("edges"))
+    big = stage(sizes.where(F.col("edges") > MOST_CALLS).select("component"), "chat-big")
+    side = small(big)
+
+    def order(found: pa.Table) -> pa.RecordBatch:
+        """Any number of whole components at once."""
+        rows = found.to_pydict()
+        names = {n: (c, k) for n, c, k in zip(rows["b"], rows["conv_id"], rows["on"], strict=True)} | {n: (c, k) for n, c, k in zip(rows["a"], rows["conv_id"], rows["call_id"], strict=True)}
+        turns = dict(zip(rows["b"], rows["on_turn"], strict=True)) | dict(zip(rows["a"], rows["turn"], strict=True))
+        done = peeled(list(names), turns, list(zip(rows["a"], rows["b"], strict=True)))
+        columns = zip(*((*names[n], *done[n]) for n in names), strict=True) if names else [[]] * 5
+        kinds = (pa.int64(), pa.string(), pa.int64(), pa.int32(), pa.bool_())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["conv_id", "call_id", "ready", "depth", "cyclic"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last component so far, for it may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            component = batch.column(0)
+            last = pc.index(component, component[batch.num_rows - 1]).as_py()
+            if last or held and held[-1].column(0)[0] != component[0]:
+                yield order(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield order(pa.Table.from_batches(held))
+
+    schema = "conv_id long, call_id string, ready long, depth int, cyclic boolean"
+    usual = mine.join(side, "component", "left_anti").select("component", "conv_id", "call_id", "on", "turn", "on_turn", "a", "b")
+    usual = usual.repartition(shuffle_width(known.sparkSession), "component").sortWithinPartitions("component").mapInArrow(run, schema)
+    return usual if big.isEmpty() else usual.unionByName(_relaxed(stage(mine.join(side, "component", "left_semi"), "chat-relaxed")))
+
+
+def _relaxed(e: DataFrame) -> DataFrame:
+    """The same by joins: calls whose dependencies are all settled are settled round by round, as many rounds as the
+    longest chain has calls; what is left is on, or behind, a cycle."""
+    calls = e.select("conv_id", F.col("call_id"), F.col("a").alias("n"), F.col("turn")).union(e.select("conv_id", "on", "b", "on_turn")).distinct()
+    edges = e.select("a", "b").distinct()
+    key = lambda r, d: F.struct(r, d)
+    open_ = stage(calls.select("*", F.col("turn").alias("ready"), F.lit(0).alias("depth")), "chat-open")
+    done = None
+    while True:
+        free = stage(open_.join(edges.join(open_.select(F.col("n").alias("b")), "b", "left_semi").select(F.col("a").alias("n")).distinct(), "n", "left_anti"), "chat-free")
+        if free.isEmpty():
+            break
+        done = free if done is None else done.union(free)
+        best = edges.join(free.select(F.col("n").alias("b"), key(F.col("ready"), F.col("depth")).alias("k")), "b").groupBy(F.col("a").alias("n")).agg(F.max("k").alias("k"))
+        rest = open_.join(free.select("n"), "n", "left_anti").join(best, "n", "left")
+        behind = F.coalesce(F.col("k") >= key(F.col("ready"), F.col("depth")), F.lit(False))
+        open_ = stage(rest.select("conv_id", "call_id", "n", "turn", F.when(behind, F.col("k.ready")).otherwise(F.col("ready")).alias("ready"), F.when(behind, F.col("k.depth") + 1).otherwise(F.col("depth")).alias("depth")).select(open_.columns), "chat-open")
+    left = open_.withColumn("cyclic", F.lit(True))
+    out = left if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(left)
+    return out.select("conv_id", "call_id", "ready", F.col("depth").cast("int"), "cyclic")
 
 
 def positions(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
     """Number the rows of each group from 0 in this order, without bringing a group into one task: rows are
-    numbered in range partitions, and a group's first number is taken off."""
+    numbered in range partitions, and a group's first number is taken off, which stands beside each partition's part
+    of the group."""
     spread = rows.repartitionByRange(shuffle_width(rows.sparkSession), group, *order).withColumn("_pid", F.spark_partition_id())
     spread = stage(spread, "positions", "zstd")
     counts = spread.groupBy("_pid").agg(F.count(F.lit(1)).alias("_n"))  # one row for each partition
-    before = counts.alias("a").join(F.broadcast(counts.alias("b")), F.col("b._pid") < F.col("a._pid"), "left").groupBy("a._pid").agg(F.coalesce(F.sum("b._n"), F.lit(0)).alias("_base"))
+    before = counts.select("_pid", F.coalesce(F.sum("_n").over(Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
     nth = F.row_number().over(Window.partitionBy("_pid").orderBy(group, *order)) - 1
     placed = spread.withColumn("_nth", nth).join(F.broadcast(before), "_pid").withColumn("_at", F.col("_base") + F.col("_nth"))
-    start = placed.groupBy(group).agg(F.min("_at").alias("_first")).withColumnRenamed(group, "_g")
-    return placed.join(start, F.col(group).eqNullSafe(F.col("_g"))).withColumn(name, (F.col("_at") - F.col("_first")).cast("long")).drop("_pid", "_nth", "_base", "_at", "_first", "_g")
+    parts = placed.groupBy("_pid", group).agg(F.min("_at").alias("_first"))
+    parts = parts.select(F.col("_pid").alias("_p"), F.col(group).alias("_g"), F.min("_first").over(Window.partitionBy(group)).alias("_first"))
+    both = placed.join(parts, (F.col("_pid") == F.col("_p")) & F.col(group).eqNullSafe(F.col("_g")))
+    return both.withColumn(name, (F.col("_at") - F.col("_first")).cast("long")).drop("_pid", "_nth", "_base", "_at", "_first", "_g", "_p")
 
 
 def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each call or orphan result: conv_id, position, call_id, name, status, dangling, cyclic,
     n_calls, n_results, valid, error and json. `schemas` is a table of the tools' parameters."""
     rows = ordered(stage(linked(calls, results), "chat-linked", "zstd"))
-    rows = positions(rows, "conv_id", ["ready", "depth", "call_id", "turn"], "position")
+    rows = positions(rows, "conv_id", ["cyclic", "ready", "depth", "call_id", "turn"], "position")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -167,3 +255,16 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All conversations as ordered, validated calls with their results."""
     calls, results = turns_as_calls(read(spark, sf_dir, "conversations"))
     return formatted(calls, results, {"reply": REPLY})
+
+
+def chat_call_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The order of calls that ask for each other, also for later ones and in circles: each order's line numbers are
+    calls, and a line asks for the lines that its part and its supplier name."""
+    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("conv_id"), F.col("l_linenumber").cast("long").alias("turn")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    line = lambda n: F.concat(F.lit("c"), n.cast("string"))
+    calls = rows.select("conv_id", line(F.col("turn")).alias("call_id"), "turn", F.lit("f").alias("name"), F.lit("{}").alias("arguments"), F.array(line(F.col("p") % 11 + 1), line(F.col("s") % 9 + 1)).alias("depends_on"))
+    # Two of three orders' lines don't ask for themselves.
+    calls = calls.withColumn("depends_on", F.when(F.col("conv_id") % 3 > 0, F.filter("depends_on", lambda x: x != F.col("call_id"))).otherwise(F.slice("depends_on", 1, 1)))
+    none = calls.limit(0).select("conv_id", "call_id", "turn", F.col("name").alias("content"))
+    found = ordered(stage(linked(calls, none), "chat-linked"))
+    return positions(found, "conv_id", ["cyclic", "ready", "depth", "call_id", "turn"], "position").select("conv_id", "call_id", "position", "dangling", "cyclic")

@@ -35,4 +35,16 @@ j AS (SELECT *, CASE WHEN called THEN '{"arguments":{"prompt":' || coalesce(to_j
  CASE WHEN NOT called THEN NULL WHEN prompt IS NULL THEN '$.prompt: not string' WHEN prompt = '' THEN '$.prompt: length' WHEN turn < 0 THEN '$.turn: out of bounds' END AS error FROM b)
 SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY CASE WHEN called THEN turn ELSE turn + 1 END, call_id) - 1 AS position, call_id, CASE WHEN called THEN 'reply' END AS name, CASE WHEN NOT called THEN 'orphan' WHEN answered THEN 'linked' ELSE 'unanswered' END AS status, false AS dangling, false AS cyclic, n_calls, n_results, called AND error IS NULL AS valid, error, '{"call":' || c || ',"result":' || a || '}' AS json FROM j"""
 
-ORACLES = {"op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES}
+CALL_ORDER = """WITH RECURSIVE l AS (SELECT l_orderkey AS conv_id, l_linenumber::BIGINT AS turn, min(l_partkey) AS p, min(l_suppkey) AS s FROM lineitem GROUP BY 1, 2),
+d AS (SELECT DISTINCT conv_id, turn, x AS on_turn FROM (SELECT conv_id, turn, unnest(CASE WHEN conv_id % 3 > 0 THEN list_filter([p % 11 + 1, s % 9 + 1], lambda x: x <> turn) ELSE [p % 11 + 1] END) AS x FROM l)),
+e AS (SELECT d.* FROM d JOIN l ON d.conv_id = l.conv_id AND d.on_turn = l.turn),
+loose AS (SELECT DISTINCT d.conv_id, d.turn FROM d LEFT JOIN l ON d.conv_id = l.conv_id AND d.on_turn = l.turn WHERE l.turn IS NULL),
+n AS (SELECT conv_id, count(*) AS n FROM l GROUP BY 1),
+walk AS (SELECT conv_id, turn, 0 AS steps FROM l UNION SELECT e.conv_id, e.turn, steps + 1 FROM walk JOIN e ON e.conv_id = walk.conv_id AND e.on_turn = walk.turn JOIN n ON n.conv_id = e.conv_id WHERE steps < n),
+circle AS (SELECT conv_id, turn FROM walk JOIN n USING (conv_id) WHERE steps = n),
+r AS (SELECT conv_id, turn, turn AS ready, 0 AS depth FROM l UNION SELECT e.conv_id, e.turn, r.ready, r.depth + 1 FROM r JOIN e ON e.conv_id = r.conv_id AND e.on_turn = r.turn WHERE (r.ready > e.turn OR r.ready = e.turn AND r.depth >= 0) AND NOT EXISTS (SELECT 1 FROM circle c WHERE c.conv_id = r.conv_id AND c.turn = r.turn)),
+k AS (SELECT conv_id, turn, max((ready, depth)) AS k FROM r GROUP BY 1, 2),
+f AS (SELECT k.conv_id, 'c' || k.turn AS call_id, k.k, loose.turn IS NOT NULL AS dangling, circle.turn IS NOT NULL AS cyclic FROM k LEFT JOIN loose ON k.conv_id = loose.conv_id AND k.turn = loose.turn LEFT JOIN circle ON k.conv_id = circle.conv_id AND k.turn = circle.turn)
+SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY cyclic, k, call_id) - 1 AS position, dangling, cyclic FROM f"""
+
+ORACLES = {"chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES}

@@ -1,6 +1,6 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from .chat import op5_chat
+from .chat import chat_call_order, op5_chat
 from .decontamination import op7_decontamination
 from .mixing import op6_mixing
 from .oracles import ORACLES
@@ -23,6 +23,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "chat_call_order": chat_call_order,
 }
 
 __all__ = ["ORACLES", "QUERIES"]
