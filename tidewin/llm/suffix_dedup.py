@@ -47,7 +47,7 @@ PIECE = 32
 RUN = 96
 HOT = 2_000
 #: Shards in a partition: a task holds one shard's arrays at a time.
-SHARDS = 32
+SHARDS = 8
 BATCH_BYTES = 4 << 20
 #: Hashing works on pieces that fit a core's cache.
 SCAN_BYTES = 1 << 18
