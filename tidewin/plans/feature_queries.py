@@ -149,32 +149,70 @@ def feature_changes(spark: S, sf: str) -> D:
     return rounded(E.feature_changes(measured(2).unionByName(measured(4)), measured(1), ["vec_id"], ["stride"]))
 
 
-def _recording(spark: S, sf: str) -> D:
-    """One hour of 22 channels at 256 Hz, as 900 windows of 1,024 samples each: waves with pseudo-random phases."""
-    i = F.sequence(F.lit(0), F.lit(1023))
-    base = spark.range(0, 22 * 900, 1, 48).select((F.col("id") % 22).cast("int").alias("channel"), F.floor(F.col("id") / 22).cast("int").alias("window"), F.col("id"))
-    wave = F.transform(i, lambda k: (F.sin((k + F.col("id") * 7) * 0.25) + F.sin((k * (3 + F.col("id") % 5) + F.col("id")) * 0.11) + F.pmod((k + 1) * 7919 + F.col("id") * 104729, F.lit(1009)) / 1009.0) * 1e-5)
-    return base.select("window", F.format_string("C%02d", "channel").alias("channel"), wave.alias("samples"))
+#: A recording of 22 channels at 256 Hz, an hour of it: 900 windows of 1,024 samples, in pieces of fifteen.
+CHANNELS, HOUR, WHOLE, PIECES = [f"C{k:02d}" for k in range(22)], 900, 1024, 60
+
+
+def _blocks(spark: S, sf: str) -> D:
+    """Stored blocks of 1,024 samples, sixteen embeddings each, numbered from 0; an incomplete last one is left out."""
+    e = B.read(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).alias("block"))
+    whole = e.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("e")).where("n = 16")
+    return whole.select("block", F.flatten(F.transform("e", lambda x: x["embedding"])).cast("array<double>").alias("samples"))
+
+
+def _hour(spark: S, sf: str) -> D:
+    """(window, channel, samples) of the hour: the stored blocks in turn, over and over."""
+    blocks = _blocks(spark, sf)
+    n = blocks.count()
+    places = spark.range(HOUR * len(CHANNELS)).select(F.floor(F.col("id") / len(CHANNELS)).cast("int").alias("window"), (F.col("id") % len(CHANNELS)).cast("int").alias("channel"), (F.col("id") % n).alias("block"))
+    return places.join(blocks, "block").drop("block")
+
+
+def _joined_signal(rows: D, by: list[str]) -> D:
+    """The windows' samples end to end, by these keys."""
+    return rows.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("window", "samples"))), lambda x: x["samples"])).alias("signal"))
 
 
 def recording_features(spark: S, sf: str) -> D:
-    """All 330 features of an hour of 22 channels: 900 rows."""
-    long = X.features_long(X.window_features(_recording(spark, sf), ["window", "channel"], "samples", 256.0), ["window", "channel"])
-    return X.features_wide(long, ["window"], "channel", [f"C{k:02d}" for k in range(22)])
+    """All 330 features of an hour of 22 channels: 900 rows, made in one pass over sixty pieces of a minute."""
+    width = HOUR // PIECES
+    piece = _joined_signal(_hour(spark, sf).withColumn("piece", F.floor(F.col("window") / width).cast("int")), ["piece", "channel"])
+    rows = piece.groupBy("piece").agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "signal"))), lambda x: x["signal"]).alias("signals"))
+    wide = X.recording_features(rows.repartition(PIECES, "piece"), ["piece"], CHANNELS, 256.0, clean=None)
+    names = K.feature_names(CHANNELS)
+    return rounded(wide.select((F.col("piece") * width + F.col("start_sec") / 4).cast("int").alias("window"), *names), 9)
 
 
 def recording_filter(spark: S, sf: str) -> D:
     """Notch and band-pass over an hour of 22 channels: each channel's deviation before and after."""
-    i = F.sequence(F.lit(0).cast("long"), F.lit(3600 * 256 - 1).cast("long"))
-    whole = spark.range(0, 22, 1, 22).select(F.col("id").cast("int").alias("channel"), F.transform(i, lambda k: (F.sin(k * 0.25) + F.pmod((k + 1) * 7919 + F.col("id"), F.lit(1009)) / 1009.0) * 1e-5).alias("samples"))
+    whole = _joined_signal(_hour(spark, sf), ["channel"]).repartition(len(CHANNELS), "channel")
 
     def kernel(x):
         return {"before": x.std(axis=1), "after": K.preprocess(x, 256.0).std(axis=1)}
 
-    return rounded(X.per_signal(whole, ["channel"], "samples", kernel, ["before", "after"]), 9)
+    return rounded(X.per_signal(whole, ["channel"], "signal", kernel, ["before", "after"]), 9)
+
+
+def short_filter(spark: S, sf: str) -> D:
+    """Each signal through a zero-phase band-pass of 4 to 12 Hz, sample by sample."""
+    taps = K.fir_bandpass(4.0, 12.0, RATE, (2.0, 2.0))
 
+    def study(x):
+        return [{"k": k, "y": float(v)} for k, v in enumerate(K.zero_phase(taps, X.np.array(x)))]
+
+    return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "k int, y double"))
+
+
+def coloured_noise(spark: S, sf: str) -> D:
+    """Noise of each colour with stored spectra: samples 0, 7 and 31 of 60."""
+    def study(x):
+        spectrum = X.np.array(x[:31]) + 1j * X.np.array(x[31:62])
+        return [{"beta": beta, "k": k, "x": float(K.coloured(spectrum, 60, RATE, beta)[k])} for beta in (0, 1, 3) for k in (0, 7, 31)]
+
+    return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "beta int, k int, x double"))
 
-QUERIES = {f.__name__: f for f in (feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
+
+QUERIES = {f.__name__: f for f in (short_filter, coloured_noise, feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
 
 _X = "x AS (SELECT vec_id, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i))"
 
@@ -228,7 +266,44 @@ def _share(name: str) -> str:
 
 _EACH = f"{_LONG}, each AS (SELECT feature || '__' || channel AS name, stddev_pop(value) AS importance FROM long GROUP BY 1)"
 
+# The hour's features by block of 1,024 samples, by the same definitions; segments of 256 overlap by half.
+_HOUR = f"""WITH x AS (SELECT vec_id // 16 AS b, (vec_id % 16) * 64 + i - 1 AS j, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i) WHERE vec_id // 16 IN (SELECT vec_id // 16 FROM embeddings GROUP BY 1 HAVING count(*) = 16)),
+d AS (SELECT *, v - lag(v) OVER w AS d1, lead(v, 1) OVER w AS n1, lead(v, 2) OVER w AS n2 FROM x WINDOW w AS (PARTITION BY b ORDER BY j)),
+dd AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY b ORDER BY j) AS d2 FROM d),
+t AS (SELECT b, avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, sum(abs(d1)) AS line_length, var_pop(v) AS v0, var_pop(d1) AS v1, var_pop(d2) AS v2 FROM dd GROUP BY 1),
+o AS (SELECT b, (n1 < v)::INT + 2 * (n2 < v)::INT + 4 * (n2 < n1)::INT AS code, count(*) / 1022 AS p FROM d WHERE n2 IS NOT NULL GROUP BY 1, 2),
+pe AS (SELECT b, -sum(p * log2(p)) / log2(6) AS perm FROM o GROUP BY 1),
+seg AS (SELECT b, s, j - s AS k, v FROM x, (SELECT unnest(generate_series(0, 768, 128)) AS s) WHERE j >= s AND j < s + 256),
+u AS (SELECT b, s, k, (v - avg(v) OVER (PARTITION BY b, s)) * (0.5 - 0.5 * cos(2 * pi() * k / 256)) AS u FROM seg),
+co AS (SELECT b, s, m, sum(u * cos(2 * pi() * (m * k % 256) / 256)) AS re, sum(u * sin(2 * pi() * (m * k % 256) / 256)) AS im FROM u, (SELECT unnest(generate_series(0, 128)) AS m) GROUP BY 1, 2, 3),
+psd AS (SELECT b, m AS f, avg((re * re + im * im) * CASE WHEN m IN (0, 128) THEN 1 ELSE 2 END / (256.0 * 256 * 0.375)) AS p FROM co GROUP BY 1, 2),
+se AS (SELECT b, -sum(r * log2(r)) / log2(129) AS spectral FROM (SELECT *, p / sum(p) OVER (PARTITION BY b) AS r FROM psd) GROUP BY 1),
+ar AS (SELECT b, f, lead(f) OVER w AS g, (p + lead(p) OVER w) / 2 AS area FROM psd WINDOW w AS (PARTITION BY b ORDER BY f)),
+ba AS (SELECT b, {", ".join(f"coalesce(sum(area) FILTER (f >= {a} AND g <= {z}), 0.0) AS {n}" for n, (a, z) in K.BANDS.items())} FROM ar GROUP BY 1),
+every AS (SELECT *, v0 AS activity, sqrt(v1 / v0) AS mobility, sqrt(v2 / v1) / sqrt(v1 / v0) AS complexity FROM t JOIN pe USING (b) JOIN se USING (b) JOIN ba USING (b)),
+place AS (SELECT w, c, (w * {len(CHANNELS)} + c) % (SELECT count(*) FROM every) AS b FROM (SELECT unnest(generate_series(0, {HOUR - 1})) AS w), (SELECT unnest(generate_series(0, {len(CHANNELS) - 1})) AS c))"""
+
+
+def _hour_column(name: str) -> str:
+    _, measure, channel = name.split("__")
+    return f"round(max({measure}) FILTER (c = {int(channel[1:])}), 9)::DOUBLE AS {name}"
+
+
+#: Zero-phase band-pass of 4 to 12 Hz at 64 Hz with edges of 2 Hz: 107 taps, odd reflection at both ends.
+_TAPS = "taps AS (SELECT n, (CASE WHEN n = 0 THEN 26.0 / 64 - 6.0 / 64 ELSE (sin(pi() * n * 26 / 64) - sin(pi() * n * 6 / 64)) / (pi() * n) END) * (0.54 - 0.46 * cos(2 * pi() * (n + 53) / 106)) AS h FROM (SELECT unnest(generate_series(-53, 53)) AS n))"
+#: A quarter of the rate: sinc times a Kaiser window (beta 5) of ten periods each side, by the series of its Bessel function.
+_BESSEL = "(SELECT sum(power({z} / 2, 2 * m) / power(gamma(m + 1), 2)) FROM generate_series(0, 30) s(m))"
+_DECIMATED = f"""kaiser AS (SELECT n, CASE WHEN n = 0 THEN 1.0 ELSE sin(pi() * n / 4) / (pi() * n / 4) END * {_BESSEL.format(z="(5 * sqrt(1 - (n / 40.0) * (n / 40.0)))")} AS h FROM (SELECT unnest(generate_series(-40, 40)) AS n)),
+scaled AS (SELECT n, h / sum(h) OVER () AS h FROM kaiser),
+kept AS (SELECT vec_id, a.k, sum(h * b.v) AS v FROM (SELECT DISTINCT vec_id, k FROM x WHERE k % 4 = 0) a JOIN x b USING (vec_id) JOIN scaled ON n = a.k - b.k GROUP BY 1, 2),
+line AS (SELECT a.vec_id, a.k, a.v AS x, l.v + (coalesce(r.v, l.v) - l.v) * ((a.k % 4) / 4.0) AS y FROM x a JOIN kept l ON a.vec_id = l.vec_id AND l.k = a.k - a.k % 4 LEFT JOIN kept r ON a.vec_id = r.vec_id AND r.k = a.k - a.k % 4 + 4)"""
+_KEPT = "SELECT vec_id, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(sqrt(avg((x - y) * (x - y))) / stddev_pop(x), 6) AS normalized_rmse, round(corr(x, y), 6) AS correlation FROM line GROUP BY vec_id"
+
 ORACLES = {
+    "recording_features": f"{_HOUR} SELECT w::INT AS \"window\", " + ", ".join(_hour_column(n) for n in K.feature_names(CHANNELS)) + " FROM place JOIN every USING (b) GROUP BY w",
+    "antialiased_preservation": f"WITH {_X}, {_DECIMATED} {_KEPT}",
+    "short_filter": f"WITH {_X}, {_TAPS}, ends AS (SELECT vec_id, max(v) FILTER (k = 0) AS a, max(v) FILTER (k = 63) AS z FROM x GROUP BY 1), wide AS (SELECT vec_id, k, v FROM x UNION ALL SELECT vec_id, -k, 2 * a - v FROM x JOIN ends USING (vec_id) WHERE k > 0 UNION ALL SELECT vec_id, 126 - k, 2 * z - v FROM x JOIN ends USING (vec_id) WHERE k < 63) SELECT a.vec_id, a.k::INT AS k, round(sum(h * w.v), 6) AS y FROM x a JOIN taps ON true JOIN wide w ON w.vec_id = a.vec_id AND w.k = a.k + n GROUP BY 1, 2",
+    "coloured_noise": f"WITH {_X}, beta AS (SELECT unnest([0, 1, 3]) AS beta), s AS (SELECT a.vec_id, beta, a.k AS m, a.v * power(a.k * 64.0 / 60, -beta / 2.0) AS re, b.v * power(a.k * 64.0 / 60, -beta / 2.0) AS im FROM x a JOIN x b ON a.vec_id = b.vec_id AND b.k = a.k + 31, beta WHERE a.k BETWEEN 1 AND 30), y AS (SELECT vec_id, beta, j, sum(CASE WHEN m = 30 THEN re * cos(pi() * j) ELSE 2 * (re * cos(2 * pi() * m * j / 60) - im * sin(2 * pi() * m * j / 60)) END) AS y FROM s, (SELECT unnest(generate_series(0, 59)) AS j) GROUP BY 1, 2, 3), z AS (SELECT vec_id, beta, j, (y - avg(y) OVER w) / stddev_pop(y) OVER w AS z FROM y WINDOW w AS (PARTITION BY vec_id, beta)) SELECT vec_id, beta::INT AS beta, j::INT AS k, round(z, 6) AS x FROM z WHERE j IN (0, 7, 31)",
     "features_long": f"{_LONG} SELECT vec_id, channel, feature, value FROM long",
     "features_wide": f"{_LONG} SELECT vec_id, " + ", ".join(f"{_wide(n)} AS {n}" for n in _NAMES) + " FROM long GROUP BY vec_id",
     "family_ablation": f"{_LONG} SELECT vec_id, " + ", ".join(f"{_wide(n)} AS {n}" for n in _NAMES if n.startswith(("hjorth__", "entropy__"))) + " FROM long GROUP BY vec_id",

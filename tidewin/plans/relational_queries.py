@@ -264,7 +264,7 @@ def _contexts(spark: S, sf: str) -> D:
     l = B.read(spark, sf, "lineitem").select(F.col("l_suppkey").alias("unit"), F.floor(F.col("l_orderkey") / _BLOCK).alias("block"), "l_orderkey", "l_linenumber", "l_quantity")
     earlier = Window.partitionBy("unit").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     before = l.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n")).select("unit", "block", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
-    nth = F.row_number().over(Window.partitionBy("unit", "block").orderBy("l_orderkey", "l_linenumber")) - 1
+    nth = F.row_number().over(Window.partitionBy("unit", "block").orderBy("l_orderkey", "l_linenumber", "l_quantity")) - 1
     placed = l.withColumn("nth", nth).join(before, ["unit", "block"]).withColumn("at", F.col("before") + F.col("nth"))
     # An explicit number of partitions stays as it is: the studies are long, and the table of contexts is small.
     parts = placed.select("unit", F.floor(F.col("at") / K.CONTEXT).cast("int").alias("part"), "at", "l_quantity").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "unit", "part")
@@ -277,12 +277,6 @@ def _contexts(spark: S, sf: str) -> D:
 UNIT = ["unit", "part"]
 
 
-def coloured_noise(spark: S, sf: str) -> D:
-    """Slopes of the spectra of noise, by kind and seed."""
-    g = R.grid(spark, beta=[0, 1, 3], seed=[1, 2])
-    return rounded(per_row(g, ["beta", "seed"], ["beta", "seed"], lambda b, s: [{"slope": K.spectral_slope(K.coloured_noise(4096, 256.0, b, np.random.default_rng(s)), 256.0)}], "slope double"), 4)
-
-
 def oscillator_trials(spark: S, sf: str) -> D:
     return rounded(Y.oscillator_trials(_contexts(spark, sf), UNIT, "samples", "name", 256.0, (0.0, 0.25, 0.5), 2).select(*UNIT, "model", "drive", "noise_intensity", "trial", "events", "intervals", "valid", "reason", "cv", "snr_db"), 4)
 
@@ -324,17 +318,17 @@ SUMMARY = """Data Sampling Rate: 256 Hz
 File Name: a_01.edf
 Number of Seizures in File: 0
 
-File Name: a_03.edf
+File Name: a_04.edf
 Number of Seizures in File: 1
-Seizure Start Time: 2996 seconds
-Seizure End Time: 3036 seconds
+Seizure Start Time: 512 seconds
+Seizure End Time: 549 seconds
 
-File Name: a_15.edf
+File Name: a_09.edf
 Number of Seizures in File: 2
-Seizure 1 Start Time: 1732 seconds
-Seizure 1 End Time: 1772 seconds
-Seizure 2 Start Time: 2100 seconds
-Seizure 2 End Time: 2107 seconds
+Seizure 1 Start Time: 61 seconds
+Seizure 1 End Time: 90 seconds
+Seizure 2 Start Time: 700 seconds
+Seizure 2 End Time: 711 seconds
 """
 
 
@@ -372,7 +366,7 @@ def stream_sessions(spark: S, sf: str) -> D:
     return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "samples")
 
 
-QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, coloured_noise, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions)}
+QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions)}
 
 _TOP = "tops AS (SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 3)"
 _FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(8)) + " FROM embeddings)"
@@ -408,7 +402,13 @@ ORACLES = {
     "median_impute_scale": f"WITH {_FRAME}, {_FIT} SELECT vec_id, " + ", ".join(f"round((coalesce(f{k}, m{k}) - a{k}) / s{k}, 6)::DOUBLE AS f{k}" for k in range(8)) + " FROM frame, med, fit WHERE patient = 0",
     "stratified_split": "SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, doc_id) <= round(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, quality AS label, ('0x' || substr(md5('42 ' || doc_id), 1, 12))::BIGINT AS h FROM documents JOIN labels USING (doc_id))",
     "lopo_parts": f"WITH {_FRAME} SELECT CASE WHEN patient = 3 THEN 'test' ELSE 'train' END AS part, count(*) AS rows, sum(label)::BIGINT AS positive FROM frame GROUP BY 1",
-    "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_03.edf', 2996, 3036), ('a_15.edf', 1732, 1772), ('a_15.edf', 2100, 2107)) t(file, start_sec, end_sec)",
-    "stream_sessions": "WITH g AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) >= 21600000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, epoch(min(ts))::BIGINT AS start, epoch(max(ts))::BIGINT + 21600 AS \"end\", count(*) AS samples FROM r GROUP BY user_id, run",
+    "edf_round_trip": """WITH i AS (SELECT l_suppkey AS unit, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS pos, l_quantity AS q FROM lineitem),
+c AS (SELECT unit, pos // 2560 AS part, list(q ORDER BY pos) AS q FROM i GROUP BY 1, 2),
+x AS (SELECT unit, part, q[k % len(q) + 1] + 20 * sin(k * 0.24) AS v FROM c, generate_series(0, 2559) s(k)),
+p AS (SELECT unit, part, max(v) AS high, -min(v) AS low, round(ceil(greatest(max(abs(v)), 0.001) * 10) / 10 + 0.1, 1) AS m FROM x GROUP BY 1, 2),
+e AS (SELECT unit, part, m, unnest([{'c': 'C1', 'v': high}, {'c': 'C2', 'v': low}]) AS e FROM p)
+SELECT unit || '_' || part || '.edf' AS file, e.c AS channel, 256.0::DOUBLE AS sfreq, 2560::BIGINT AS n_samples, round(round(e.v / m * 32767) * m / 32767, 1)::DOUBLE AS peak_uv, 2560::BIGINT AS declared FROM e""",
+    "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_04.edf', 512, 549), ('a_09.edf', 61, 90), ('a_09.edf', 700, 711)) t(file, start_sec, end_sec)",
+    "stream_sessions": "WITH g AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) >= 21600000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 21600 AS \"end\", count(*) AS samples FROM r GROUP BY user_id, run",
     "stream_windows": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS samples, count(*) FILTER (value >= 250) AS positive, (count(*) FILTER (value >= 250) / count(*) >= 0.5)::INT AS label FROM events GROUP BY 1, 2",
 }
