@@ -11,7 +11,7 @@ from tidewin.plans import catalogue
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 #: Slow on any data: they are run at full size by the driver.
-SLOW = {"lr_lopo", "forest_lopo", "boosted_teacher", "teacher_students", "hyperparameter_search", "recording_features", "recording_filter"}
+SLOW = {"lr_lopo", "forest_lopo", "boosted_teacher", "teacher_students", "four_arms", "hyperparameter_search", "recording_features", "recording_filter"}
 
 
 @pytest.fixture(scope="module")

@@ -273,12 +273,12 @@ class StudentModel:
         self.transform, self.net = transform, net
 
     @staticmethod
-    def fit(train: DataFrame, columns: list[str], key: str, label: str = "label", seed: int = SEED, teacher: str | None = None, epochs: int = 40, most_rows: int = MOST_ROWS) -> StudentModel:
+    def fit(train: DataFrame, columns: list[str], key: str, label: str = "label", seed: int = SEED, teacher: str | None = None, epochs: int = 40, most_rows: int = MOST_ROWS, transform: FeatureTransform | None = None) -> StudentModel:
         """Trained in one task on the rows in the key's order; more than most_rows of them are an error. `teacher` names a
-        column of probabilities to distil."""
+        column of probabilities to distil; `transform` may have been fitted on these rows and columns before."""
         if train.count() > most_rows:
             raise ValueError(f"training rows must not exceed {most_rows}")
-        transform = FeatureTransform.fit(train, columns)
+        transform = transform or FeatureTransform.fit(train, columns)
         keep = [key, label, *([teacher] if teacher else [])]
         rows = transform.transform(train.select(*keep, *columns), keep)
 
@@ -367,14 +367,18 @@ def four_arms(rows: DataFrame, columns: list[str], group: str, key: str, keep: l
         train, test = rows.where(F.col(group) != g), rows.where(F.col(group) == g)
         fitted = Classifier.fit("boosted_trees", train, columns, **how)
         chosen = {"selected": select_top(fitted.importance(), k), "random": random_features(columns, rest, g, k=k)}
-        soft = train.join(fitted.score(train, [key]).withColumnRenamed("score", "_teacher"), key)
+        # The teacher's scores serve every student's fit; a lost block is scored again.
+        soft = train.join(fitted.score(train, [key]).withColumnRenamed("score", "_teacher"), key).persist()
+        fits = {name: FeatureTransform.fit(soft, names) for name, names in chosen.items()}
         for seed in seeds:
             for arm in ARMS:
-                model = fitted if arm == "teacher" else StudentModel.fit(soft, chosen[arm.split("_")[0]], key, seed=seed, teacher="_teacher" if arm == "selected_kd" else None, epochs=epochs)
+                which = arm.split("_")[0]
+                model = fitted if arm == "teacher" else StudentModel.fit(soft, chosen[which], key, seed=seed, teacher="_teacher" if arm == "selected_kd" else None, epochs=epochs, transform=fits[which])
                 if save:
                     model.save(f"{save}/seed{seed}/{g}/{arm}", train_groups=rest, test_groups=[g], feature_columns=columns, model_name=arm, seed=seed, **(facts or {}))
                 part = model.score(test, keep).withColumns({"model": F.lit(arm), "seed": F.lit(seed), "threshold": F.lit(THRESHOLD)})
                 out = part if out is None else out.unionByName(part)
+        soft.unpersist()
     return out.withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
 
 

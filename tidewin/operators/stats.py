@@ -23,14 +23,14 @@ def same_keys(left: DataFrame, right: DataFrame, by: list[str], how: str = "inne
 
 
 def binned(rows: DataFrame, by: list[str], value: str) -> DataFrame:
-    """(by, value, _n, _bin, _before, _upto): distinct values with their number and how many values stand in earlier
-    bins, and up to and with them in their own.
+    """(by, value, _n, _total, _bin, _before, _upto): distinct values with their number, the group's number of values, and
+    how many values stand in earlier bins, and up to and with them in their own.
 
     Values fall into bins between a group's approximate quantiles, bins are summed (at most 64 for a group), and
     values are counted inside their bin, so no group stands in a task.
     """
     at = rows.groupBy(*by, value).agg(F.count(F.lit(1)).alias("_n"))
-    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts"))
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(value, CUTS, 1000).alias("_cuts"), F.count(value).alias("_total"))
     at = same_keys(at, cuts, by).withColumn("_bin", F.size(F.filter("_cuts", lambda c: c <= F.col(value)))).drop("_cuts")
     below = Window.partitionBy(*by).orderBy("_bin").rowsBetween(Window.unboundedPreceding, -1)
     bins = at.groupBy(*by, "_bin").agg(F.sum("_n").alias("_m")).select(*by, "_bin", F.coalesce(F.sum("_m").over(below), F.lit(0)).alias("_before"))
@@ -44,8 +44,7 @@ def quantiles(rows: DataFrame, by: list[str], value: str, named: dict[str, float
     at = binned(rows.where(F.col(value).isNotNull()), by, value)
     last = F.col("_before") + F.col("_upto") - 1  # places from 0 of a value's first and last row
     first = last - F.col("_n") + 1
-    total = at.groupBy(*by).agg(F.sum("_n").alias("_total"))
-    at = same_keys(at.withColumns({"_first": first, "_last": last}), total, by)
+    at = at.withColumns({"_first": first, "_last": last})
     sums = []
     for name, q in named.items():
         place = (F.col("_total") - 1) * q

@@ -12,11 +12,14 @@ from ..functions import identity as I
 from ..functions import kernels as K
 from ..functions.columns import feature_part, first_reason, missing_mask
 from ..operators import dynamics as Y
+from ..operators import evaluation as V
+from ..operators import features
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators.features import per_row
 from ..operators.transforms import FeatureTransform
 from ..sources import recordings as E
+from ..sources import sinks
 from ..sources.shared import shared_dir
 from ..streaming import windows as SW
 from . import base as B
@@ -177,15 +180,18 @@ def identity_seeds(spark: S, sf: str) -> D:
 # -- transforms and models -------------------------------------------------------------------------------------
 
 
+DIMENSIONS = 64
+
+
 def _frame(spark: S, sf: str) -> D:
-    """Eight feature columns, with gaps, of the embeddings; a label and five patients."""
+    """The embeddings' 64 columns, with gaps; a label and five patients."""
     e = B.read(spark, sf, "embeddings")
-    x = [F.when((F.col("vec_id") + 3 * k) % 17 != 0, F.col("embedding")[k].cast("double")).alias(f"f{k}") for k in range(8)]
+    x = [F.when((F.col("vec_id") + 3 * k) % 17 != 0, F.col("embedding")[k].cast("double")).alias(f"f{k}") for k in range(DIMENSIONS)]
     patient = F.concat(F.lit("p"), (F.col("vec_id") % 5).cast("string"))
     return e.select("vec_id", patient.alias("patient"), (F.col("label") % 2).cast("int").alias("label"), *x)
 
 
-COLUMNS = [f"f{k}" for k in range(8)]
+COLUMNS = [f"f{k}" for k in range(DIMENSIONS)]
 
 
 def median_impute_scale(spark: S, sf: str) -> D:
@@ -210,17 +216,47 @@ def boosted_teacher(spark: S, sf: str) -> D:
 
 
 def student_scores(spark: S, sf: str) -> D:
-    return rounded(M.student_folds(_frame(spark, sf), COLUMNS, "patient", "vec_id", (42, 43), epochs=10), 4)
+    return rounded(M.student_folds(_frame(spark, sf), COLUMNS, "patient", "vec_id", (42, 43)), 4)
 
 
 def distilled_student(spark: S, sf: str) -> D:
     f = _frame(spark, sf).withColumn("teacher", 0.15 + 0.7 * F.col("label"))
-    return rounded(M.student_folds(f, COLUMNS, "patient", "vec_id", (42,), teacher="teacher", epochs=10), 4)
+    return rounded(M.student_folds(f, COLUMNS, "patient", "vec_id", (42,), teacher="teacher"), 4)
 
 
 def teacher_students(spark: S, sf: str) -> D:
-    """Supervised and distilled students on the four columns that each fold's teacher names."""
-    return rounded(M.distil(_frame(spark, sf), COLUMNS, "patient", "vec_id", k=4, epochs=5, maxIter=5, maxDepth=3), 4)
+    """Supervised and distilled students on the fifty columns that each fold's teacher names."""
+    return rounded(M.distil(_frame(spark, sf), COLUMNS, "patient", "vec_id", maxIter=5, maxDepth=3), 4)
+
+
+def four_arms(spark: S, sf: str) -> D:
+    """The teacher, students on its columns with and without its targets, and one on random columns, by effect: three
+    patients' folds."""
+    frame = _frame(spark, sf).withColumn("patient", F.concat(F.lit("p"), (F.col("vec_id") % 3).cast("string")))
+    scores = M.four_arms(frame, COLUMNS, "patient", "vec_id", ["vec_id", "patient", "label"], maxIter=5, maxDepth=3)
+    folder = f"{shared_dir(spark)}/arms-{uuid.uuid4().hex}"
+    sinks.write_table(scores, folder)  # scored once, measured often
+    scores = spark.read.parquet(folder)
+    return rounded(V.paired_effects(V.measured(scores, ["model", "seed", "patient"]), ["seed", "patient"], "model", M.COMPARISONS), 4)
+
+
+def parity_faults(spark: S, sf: str) -> D:
+    """Documents whose score or decision differs between two models beyond the tolerance."""
+    p = B.predictions(spark, sf).where("seed = 42")
+    return M.parity(p.where("model = 'alpha'"), p.where("model = 'beta'"), ["doc_id"], rtol=0.05, atol=1e-3)
+
+
+def frozen_robustness(spark: S, sf: str) -> D:
+    """A classifier of clean windows, frozen, on the other windows under each perturbation: changed decisions and scores."""
+    e = B.read(spark, sf, "embeddings").select("vec_id", (F.col("label") % 2).cast("int").alias("label"), F.col("vec_id").cast("string").alias("name"), F.col("embedding").cast("array<double>").alias("samples"))
+    names = [f"{family}__{m}" for family, ms in K.MEASURES.items() for m in ms]
+    clean = features.window_features(e.where("vec_id % 2 = 0"), ["vec_id", "label"], "samples", 64.0, 32)
+    model = M.Classifier.fit("logistic_regression", clean, names)
+    changed = Y.perturbed_signals(e.where("vec_id % 2 = 1"), ["vec_id", "label"], "samples", "name", 64.0, tuple(c for c in K.CONDITIONS if not c.startswith("sr_")))
+    keep = ["vec_id", "label", "condition"]
+    scored = model.score(features.window_features(changed, keep, "samples", 64.0, 32), keep).withColumn("prediction", (F.col("score") >= 0.5).cast("int"))
+    base = scored.where("condition = 'clean'").select("vec_id", F.col("score").alias("clean_score"), F.col("prediction").alias("clean_prediction"))
+    return rounded(V.robustness(scored.join(base, "vec_id"), ["condition"]), 4)
 
 
 def hyperparameter_search(spark: S, sf: str) -> D:
@@ -336,6 +372,48 @@ def annotation_parse(spark: S, sf: str) -> D:
     return E.parse_summaries(spark.createDataFrame([(SUMMARY,)], "text string"))
 
 
+def csv_round_trip(spark: S, sf: str) -> D:
+    """A table written as CSV and read by a stated schema, in full precision."""
+    folder = f"{shared_dir(spark)}/csv-{uuid.uuid4().hex}"
+    B.read(spark, sf, "customer").select("c_custkey", "c_acctbal", "c_mktsegment").write.option("header", True).csv(folder)
+    return E.table(spark, folder, "c_custkey long, c_acctbal double, c_mktsegment string", ["c_custkey", "c_acctbal", "c_mktsegment"])
+
+
+def json_round_trip(spark: S, sf: str) -> D:
+    """Documents of several lines, as manifests are: one for each region, with its nations."""
+    folder = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    n = B.read(spark, sf, "nation").groupBy(F.col("n_regionkey").alias("region")).agg(F.sort_array(F.collect_list("n_name")).alias("nations"))
+    n.select(F.to_json(F.struct("region", "nations"), {"pretty": "true"}).alias("value")).repartition(5, "region").write.option("lineSep", "\u0000").text(folder)
+    found = spark.read.text(folder, wholetext=True).select(F.explode(F.split("value", "\u0000")).alias("value")).where("value <> ''")
+    return found.select(F.from_json("value", "region int, nations array<string>").alias("d")).select("d.region", F.array_join("d.nations", ",").alias("nations"))
+
+
+def missing_rows(spark: S, sf: str) -> D:
+    """A table written in two runs, of which the second adds what the first has left out."""
+    folder = f"{shared_dir(spark)}/missing-{uuid.uuid4().hex}"
+    o = B.read(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
+    first = sinks.write_missing(o.where("o_orderkey % 3 > 0"), folder, ["o_orderkey"])
+    second = sinks.write_missing(o, folder, ["o_orderkey"])
+    return spark.read.parquet(folder).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("rows")).withColumns({"first_run": F.lit(first), "second_run": F.lit(second)})
+
+
+def checkpointed_items(spark: S, sf: str) -> D:
+    """Items stored with markers; after some change, those that have to be done again."""
+    folder = f"{shared_dir(spark)}/items-{uuid.uuid4().hex}"
+    n = B.read(spark, sf, "nation")
+    items = n.select(F.col("n_name").alias("name"), F.col("n_regionkey").cast("string").alias("identity"))
+    work = n.select(F.col("n_name").alias("name"), "n_nationkey")
+    sinks.checkpoint(work.where("n_nationkey < 20"), items.join(work.where("n_nationkey < 20").select("name"), "name"), folder, ["name"])
+    changed = items.withColumn("identity", F.when(F.col("name").rlike("^[A-C]"), F.concat("identity", F.lit("!"))).otherwise(F.col("identity")))
+    return sinks.unfinished(changed, folder, ["name"])
+
+
+def run_report(spark: S, sf: str) -> D:
+    """Lines of a Markdown table."""
+    t = B.read(spark, sf, "region").orderBy("r_regionkey").select("r_regionkey", "r_name")
+    return spark.createDataFrame(list(enumerate(sinks.markdown(t).splitlines())), "line int, text string")
+
+
 def edf_round_trip(spark: S, sf: str) -> D:
     """Signals written as EDF bytes and decoded again, in microvolts."""
     c = _contexts(spark, sf)
@@ -366,11 +444,11 @@ def stream_sessions(spark: S, sf: str) -> D:
     return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "samples")
 
 
-QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions)}
+QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions, four_arms, parity_faults, frozen_robustness, csv_round_trip, json_round_trip, missing_rows, checkpointed_items, run_report)}
 
 _TOP = "tops AS (SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 3)"
-_FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(8)) + " FROM embeddings)"
-_FIT = "med AS (SELECT " + ", ".join(f"median(f{k}) AS m{k}" for k in range(8)) + " FROM frame WHERE patient <> 0), fit AS (SELECT " + ", ".join(f"avg(coalesce(f{k}, m{k})) AS a{k}, stddev_pop(coalesce(f{k}, m{k})) AS s{k}" for k in range(8)) + " FROM frame, med WHERE patient <> 0)"
+_FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(DIMENSIONS)) + " FROM embeddings)"
+_FIT = "med AS (SELECT " + ", ".join(f"median(f{k}) AS m{k}" for k in range(DIMENSIONS)) + " FROM frame WHERE patient <> 0), fit AS (SELECT " + ", ".join(f"avg(coalesce(f{k}, m{k})) AS a{k}, stddev_pop(coalesce(f{k}, m{k})) AS s{k}" for k in range(DIMENSIONS)) + " FROM frame, med WHERE patient <> 0)"
 
 ORACLES = {
     "repeated_keys": "SELECT l_orderkey, l_suppkey, count(*) AS rows FROM lineitem GROUP BY 1, 2 HAVING count(*) > 1",
@@ -399,7 +477,7 @@ ORACLES = {
     "reasons": "WITH r AS (SELECT CASE WHEN value > 450 THEN 'clipped_dynamics' WHEN value < 20 THEN 'undefined_spectral_ratio' WHEN event_type = 'error' THEN 'insufficient_intervals' ELSE 'ok' END AS reason FROM events) SELECT reason, count(*) AS rows, sum((reason <> 'ok')::INT)::BIGINT AS missing FROM r GROUP BY 1",
     "content_hashes": "SELECT doc_id, sha256(text) AS sha256 FROM documents",
     "identity_seeds": "SELECT c_custkey, (('0x' || substr(sha256('[42, ' || to_json(c_name)::VARCHAR || ']'), 1, 16))::UBIGINT)::VARCHAR AS seed FROM customer",
-    "median_impute_scale": f"WITH {_FRAME}, {_FIT} SELECT vec_id, " + ", ".join(f"round((coalesce(f{k}, m{k}) - a{k}) / s{k}, 6)::DOUBLE AS f{k}" for k in range(8)) + " FROM frame, med, fit WHERE patient = 0",
+    "median_impute_scale": f"WITH {_FRAME}, {_FIT} SELECT vec_id, " + ", ".join(f"round((coalesce(f{k}, m{k}) - a{k}) / s{k}, 6)::DOUBLE AS f{k}" for k in range(DIMENSIONS)) + " FROM frame, med, fit WHERE patient = 0",
     "stratified_split": "SELECT doc_id, label, CASE WHEN row_number() OVER (PARTITION BY label ORDER BY h, doc_id) <= round(0.2 * count(*) OVER (PARTITION BY label)) THEN 'test' ELSE 'train' END AS part FROM (SELECT doc_id, quality AS label, ('0x' || substr(md5('42 ' || doc_id), 1, 12))::BIGINT AS h FROM documents JOIN labels USING (doc_id))",
     "lopo_parts": f"WITH {_FRAME} SELECT CASE WHEN patient = 3 THEN 'test' ELSE 'train' END AS part, count(*) AS rows, sum(label)::BIGINT AS positive FROM frame GROUP BY 1",
     "edf_round_trip": """WITH i AS (SELECT l_suppkey AS unit, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS pos, l_quantity AS q FROM lineitem),
@@ -408,6 +486,12 @@ x AS (SELECT unit, part, q[k % len(q) + 1] + 20 * sin(k * 0.24) AS v FROM c, gen
 p AS (SELECT unit, part, max(v) AS high, -min(v) AS low, round(ceil(greatest(max(abs(v)), 0.001) * 10) / 10 + 0.1, 1) AS m FROM x GROUP BY 1, 2),
 e AS (SELECT unit, part, m, unnest([{'c': 'C1', 'v': high}, {'c': 'C2', 'v': low}]) AS e FROM p)
 SELECT unit || '_' || part || '.edf' AS file, e.c AS channel, 256.0::DOUBLE AS sfreq, 2560::BIGINT AS n_samples, round(round(e.v / m * 32767) * m / 32767, 1)::DOUBLE AS peak_uv, 2560::BIGINT AS declared FROM e""",
+    "parity_faults": f"WITH {B.PREDICTIONS_SQL} SELECT doc_id FROM (SELECT doc_id, max(score) FILTER (model = 'alpha') AS a, max(score) FILTER (model = 'beta') AS b, max(prediction) FILTER (model = 'alpha') AS pa, max(prediction) FILTER (model = 'beta') AS pb FROM predictions WHERE seed = 42 GROUP BY doc_id) WHERE abs(a - b) > 0.001 + 0.05 * abs(b) OR pa <> pb",
+    "csv_round_trip": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
+    "json_round_trip": "SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY 1",
+    "missing_rows": "SELECT o_orderstatus, count(*) AS rows, (SELECT count(*) FILTER (o_orderkey % 3 > 0) FROM orders)::INT AS first_run, (SELECT count(*) FILTER (o_orderkey % 3 = 0) FROM orders)::INT AS second_run FROM orders GROUP BY 1",
+    "checkpointed_items": "SELECT n_name AS name, n_regionkey || CASE WHEN regexp_matches(n_name, '^[A-C]') THEN '!' ELSE '' END AS identity FROM nation WHERE n_nationkey >= 20 OR regexp_matches(n_name, '^[A-C]')",
+    "run_report": "SELECT line::INT AS line, text FROM (SELECT 0 AS line, '| r_regionkey | r_name |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)",
     "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_04.edf', 512, 549), ('a_09.edf', 61, 90), ('a_09.edf', 700, 711)) t(file, start_sec, end_sec)",
     "stream_sessions": "WITH g AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) >= 21600000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 21600 AS \"end\", count(*) AS samples FROM r GROUP BY user_id, run",
     "stream_windows": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS samples, count(*) FILTER (value >= 250) AS positive, (count(*) FILTER (value >= 250) / count(*) >= 0.5)::INT AS label FROM events GROUP BY 1, 2",
