@@ -4,9 +4,9 @@ A softmax classifier, trained on a labelled table of (doc_id, domain), gives eve
 the domains, so a document counts towards several of them. Document rates r >= 0 are then fitted so that
 the expected domain token totals, sum over d of r_d * tokens_d * posterior_d, match the targets. The fit is
 projected gradient on least squares, distributed: with s the totals at the current rates and t the
-targets, each round adds posterior_d . G^-1 (t - s) to every rate and cuts it at zero, where G = sum of
-tokens * posterior * posterior' whitens the residual (a step of one in the norm that weighs documents by
-tokens). A rate is thus a fold over the rounds' few residuals: rounds are single aggregates over the
+targets, each round adds posterior_d . G^-1 (t - s) to every rate and cuts it at the bounds, where G = sum of
+tokens * posterior * posterior' over the documents inside them whitens the residual (a step of one in the norm
+that weighs documents by tokens). A rate is thus a fold over the rounds' few residuals: rounds are single aggregates over the
 staged posteriors, and only sums of one row come to the driver.
 
 Bounds: at most `sample` labelled rows of each domain train the classifier; the number of domains is the
@@ -39,6 +39,8 @@ TARGETS = {"de": 0.15, "en": 0.55, "es": 0.15, "fr": 0.15}
 SAMPLE = 1000
 #: Of the targets' sum; sums and rates are rounded at about this size.
 TOLERANCE = 1e-9
+#: For sampling, whose own chance is greater.
+SAMPLED = 1e-4
 #: Rounds without a better residual after which the targets count as out of reach.
 PATIENCE = 8
 #: A target domain with less than this share of its target in the corpus can't be mixed to.
@@ -133,38 +135,50 @@ def _rate(steps: list[np.ndarray], most: float | None = None) -> Column:
     return F.aggregate(rounds, F.lit(1.0), lambda rate, u: cut(reduce(Column.__add__, [F.col(f"p{k}") * u[k] for k in range(len(steps[0]))], rate)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None) -> tuple[Column, dict]:
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, tolerance: float = TOLERANCE) -> tuple[Column, dict]:
     """The rate as a column over `table` (posteriors), and the fit's totals. The budget in tokens is all tokens,
-    or with budget=-1 the most that gives no domain a greater total than it has. The projection keeps rates from zero
-    to `most`. Rounds go on until the targets are met to TOLERANCE; where bounds keep them out of reach, until PATIENCE
-    rounds have brought no residual that is better by a thousandth, and the best round's rates are returned with
-    `residual` (the largest miss over the targets' sum)."""
+    or with budget=-1 a hundredth less than the most that gives no domain a greater total than it has. The projection
+    keeps rates from zero to `most`. Each round whitens by the documents whose rates are inside these bounds, so bounds
+    that hold many documents don't slow the fit; a round that misses by more is tried again with half its step. Rounds
+    go on until the targets are met to the tolerance, or, where bounds keep them out of reach, until PATIENCE rounds
+    have not brought the residual (the largest miss over the targets' sum) down by a tenth; the best rates stand."""
     weights = np.array(list(_targets(targets).values()))
     n = len(weights)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
     p = [F.col(f"p{k}") for k in range(n)]
-    first = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * p[i]) for i in range(n)], *[F.sum(F.col("tokens") * p[i] * p[j]) for i, j in pairs]).first()
-    if not first[0]:
+
+    def sums(steps: list[np.ndarray]) -> tuple[float, np.ndarray, np.ndarray]:
+        """All tokens, the totals at these steps' rates, and the Gram matrix of the documents inside the bounds."""
+        rows = table.withColumn("_rate", _rate(steps, most))
+        mass = F.col("tokens") * F.col("_rate")
+        # At the start every document is inside, on whatever bound it stands.
+        inside = F.col("tokens") if not steps else F.when((F.col("_rate") > 0) & (F.col("_rate") < (float("inf") if most is None else most)), F.col("tokens")).otherwise(0)
+        row = rows.agg(F.sum("tokens"), *[F.sum(mass * x) for x in p], *[F.sum(inside * p[i] * p[j]) for i, j in pairs]).first()
+        gram = np.zeros((n, n))
+        for (i, j), v in zip(pairs, row[n + 1 :], strict=True):
+            gram[i, j] = gram[j, i] = v or 0.0
+        return float(row[0] or 0), np.array([v or 0.0 for v in row[1 : n + 1]]), gram
+
+    tokens, now, gram = sums([])
+    if not tokens:
         return F.lit(1.0), {"rounds": 0, "totals": [0.0] * n, "targets": [0.0] * n, "residual": 0.0}
-    have, gram = np.array(first[1 : n + 1], float), np.zeros((n, n))
-    for (i, j), v in zip(pairs, first[n + 1 :], strict=True):
-        gram[i, j] = gram[j, i] = v
     if budget == -1:
-        budget = float(min(h / w for h, w in zip(have, weights, strict=True) if w > 0))
-    aim = weights * (first[0] if budget is None else budget)
-    inverse, steps, now = np.linalg.pinv(gram, rcond=1e-12, hermitian=True), [], have
+        budget = 0.99 * float(min(h / w for h, w in zip(now, weights, strict=True) if w > 0))
+    aim = weights * (tokens if budget is None else budget)
     miss = lambda totals: float(np.abs(aim - totals).max() / aim.sum())
-    best = (miss(now), 0, now)
-    waited = 0
-    while miss(now) > TOLERANCE and waited < PATIENCE:
+    steps: list[np.ndarray] = []
+    least, size, waited = miss(now), 1.0, 0
+    while least > tolerance and waited < PATIENCE:
         # Residuals are rounded, so that rates do not depend on the order of a sum.
-        steps.append(np.array([float(f"{v:.9e}") for v in inverse @ (aim - now)]))
-        rate = _rate(steps, most)
-        now = np.array([v or 0.0 for v in table.agg(*[F.sum(F.col("tokens") * x * rate) for x in p]).first()])
-        waited = 0 if miss(now) < 0.999 * best[0] else waited + 1
-        if miss(now) < best[0]:
-            best = (miss(now), len(steps), now)
-    return _rate(steps[: best[1]], most), {"rounds": best[1], "totals": best[2].tolist(), "targets": aim.tolist(), "residual": best[0]}
+        step = size * (np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ (aim - now))
+        tried = [*steps, np.array([float(f"{v:.9e}") for v in step])]
+        _, totals, inner = sums(tried)
+        waited = 0 if miss(totals) < 0.9 * least else waited + 1
+        if miss(totals) < least:
+            steps, now, gram, least, size = tried, totals, inner, miss(totals), 1.0
+        else:
+            size /= 2
+    return _rate(steps, most), {"rounds": len(steps), "totals": now.tolist(), "targets": aim.tolist(), "residual": least}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -196,7 +210,7 @@ def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_c
     names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the posteriors'
     key = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
     table = stage(posteriors(docs.toDF(*names), model, names[docs.columns.index(text_col)]), "mix-documents", "zstd")
-    rate, _ = fit_rates(table, reachable(table, targets), budget=-1, most=1.0)
+    rate, _ = fit_rates(table, reachable(table, targets), budget=-1, most=1.0, tolerance=SAMPLED)
     u = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
     return table.where(u < rate).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
 
