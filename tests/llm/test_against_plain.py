@@ -539,7 +539,7 @@ print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", ["chat_call_order", "op2_quality_rules", "op5_chat"])
+@pytest.mark.parametrize("name", ["chat_call_order", "op1_sharding", "op2_quality_rules", "op5_chat"])
 def test_queries_agree_with_sql(spark, name):
     from tidewin.llm.queries import ORACLES, QUERIES
 

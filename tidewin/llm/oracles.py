@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from .quality_rules import COST, DELTA, RISK, RULES
+from .sharding import SHARDS, SLOTS
 
 _GRID = ", ".join(f"('{rule}', {c}, {cutoff}::DOUBLE)" for rule, (_, _, cutoffs) in RULES.items() for c, cutoff in enumerate(cutoffs))
 _TESTS = sum(len(cutoffs) for _, _, cutoffs in RULES.values())
@@ -47,4 +48,17 @@ k AS (SELECT conv_id, turn, max((ready, depth)) AS k FROM r GROUP BY 1, 2),
 f AS (SELECT k.conv_id, 'c' || k.turn AS call_id, k.k, loose.turn IS NOT NULL AS dangling, circle.turn IS NOT NULL AS cyclic FROM k LEFT JOIN loose ON k.conv_id = loose.conv_id AND k.turn = loose.turn LEFT JOIN circle ON k.conv_id = circle.conv_id AND k.turn = circle.turn)
 SELECT conv_id, call_id, row_number() OVER (PARTITION BY conv_id ORDER BY cyclic, k, call_id) - 1 AS position, dangling, cyclic FROM f"""
 
-ORACLES = {"chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES}
+#: The polynomial of CRC-32, reflected (a fixed value); its table follows from it.
+SHARDING = f"""WITH RECURSIVE crcs AS (SELECT list(v ORDER BY x) AS t FROM (SELECT x, list_reduce(list_prepend(x::BIGINT, [0, 0, 0, 0, 0, 0, 0, 0]), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c >> 1, {0xEDB88320}) ELSE c >> 1 END) AS v FROM range(256) r(x))),
+d AS (SELECT row_number() OVER () AS rid, doc_id, coalesce(text, '') AS txt FROM documents),
+b AS (SELECT rid, list(('0x' || substr(h, 2 * i + 1, 2))::BIGINT ORDER BY i) AS bytes FROM (SELECT rid, hex(txt) AS h, unnest(range(strlen(txt))) AS i FROM d) GROUP BY rid),
+c AS (SELECT rid, xor(list_reduce(list_prepend({0xFFFFFFFF}, bytes), lambda c, x: xor(crcs.t[(xor(c, x) & 255) + 1], c >> 8)), {0xFFFFFFFF}) AS crc FROM b, crcs),
+s AS (SELECT doc_id, strlen(txt)::BIGINT + 1 AS size, coalesce(crc, 0)::BIGINT AS text_crc32, (('0x' || substr(md5(concat_ws('|', doc_id, txt)), 1, 13))::BIGINT % {SLOTS})::INT AS v FROM d LEFT JOIN c USING (rid)),
+every AS (SELECT i::INT AS v, coalesce(bytes, 0) AS bytes, coalesce(n, 0) AS n FROM range({SLOTS}) r(i) LEFT JOIN (SELECT v, sum(size)::BIGINT AS bytes, count(*) AS n FROM s GROUP BY v) l ON l.v = i),
+o AS (SELECT row_number() OVER (ORDER BY bytes DESC, v) - 1 AS i, v, bytes FROM every),
+deal AS (SELECT 0::BIGINT AS i, [{{'b': 0::BIGINT, 's': 0, 'k': k::INT}} for k in range({SHARDS})] AS st, -1 AS v, -1 AS shard
+ UNION ALL SELECT deal.i + 1, list_transform(st, lambda x: CASE WHEN x.k = list_sort(st)[1].k THEN {{'b': x.b + o.bytes, 's': x.s + 1, 'k': x.k}} ELSE x END), o.v, list_sort(st)[1].k FROM deal JOIN o ON o.i = deal.i),
+base AS (SELECT v, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM deal JOIN every USING (v))
+SELECT doc_id, size, text_crc32, v AS virtual_slot, shard, base + row_number() OVER (PARTITION BY v ORDER BY doc_id, text_crc32, size) - 1 AS slot, 'bytes' AS law, NULL::INT AS grown_shard FROM s JOIN base USING (v)"""
+
+ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES}

@@ -29,7 +29,9 @@ SHARDS = 8
 
 
 def slot_of(key: Column, text: Column, slots: int = SLOTS) -> Column:
-    return F.pmod(F.xxhash64(key, text), F.lit(slots)).cast("int")
+    """52 bits of the MD5 of key and text, modulo the slots: a hash that other systems compute alike."""
+    digest = F.md5(F.concat_ws("|", key.cast("string"), text).cast("binary"))
+    return F.pmod(F.conv(F.substring(digest, 1, 13), 16, 10).cast("long"), F.lit(slots)).cast("int")
 
 
 def sized(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS) -> DataFrame:
@@ -136,4 +138,4 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in eight shards under the `bytes` law, by the map that is kept for the table's path."""
     folder = f"{shared_dir(spark)}/slot-maps/documents-{zlib.crc32(sf_dir.encode()):08x}"
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder=folder)
-    return out.withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+    return out.drop("map_version").withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
