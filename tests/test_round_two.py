@@ -86,6 +86,13 @@ def test_reconstruction_in_batches():
     assert K.target_ratios(x, 25.0, targets) == pytest.approx([K.spectral_snr(v, 25.0, t) for v, t in zip(x, targets, strict=True)], nan_ok=True)
 
 
+def test_many_crossings_are_all_kept_in_order(spark):
+    x = np.where(np.arange(2000) % 2, 1.0, -1.0)
+    rows = spark.createDataFrame([("a", x.tolist()), ("b", [0.0])], "u string, samples array<double>")
+    got = {r.u: r.events for r in W.refractory_crossings(rows, ["u"], 0.5, 3).collect()}
+    assert got["a"] == K.transitions(x, 1000.0, 0.5, 0.003).tolist() and len(got["a"]) > 10 * W.GATHERED // 2 and got["b"] == []
+
+
 def frame(spark, n=90):
     rng = np.random.default_rng(0)
     y = rng.integers(0, 2, n)

@@ -185,18 +185,27 @@ def nearest_disjoint(contexts: DataFrame, used: DataFrame, targets: DataFrame, s
     return chosen
 
 
+#: Events that a fold gathers before it puts them away: an append copies at most so many.
+GATHERED = 64
+
+
 def refractory_crossings(samples: DataFrame, by: list[str], threshold: float = 0.5, dwell: int = 1) -> DataFrame:
     """Hysteresis crossings of +/- threshold, at least `dwell` samples apart, for rows with `samples` arrays.
 
-    The state machine is a fold over the array inside the row: it needs no shuffle and no Python.
+    The state machine is a fold over the array inside the row: it needs no shuffle and no Python. Events are appended
+    to a short array, and short arrays to a list of them, so many events don't copy each other at every step.
     """
-    start = F.struct(F.lit(0).alias("state"), F.lit(-dwell).alias("last"), F.lit(0).alias("i"), F.array().cast("array<int>").alias("events"))
+    none = F.array().cast("array<int>")
+    start = F.struct(F.lit(0).alias("state"), F.lit(-dwell).alias("last"), F.lit(0).alias("i"), none.alias("fresh"), F.array().cast("array<array<int>>").alias("kept"))
 
     def step(acc: Column, x: Column) -> Column:
         side = F.when(x >= threshold, 1).when(x <= -threshold, -1).otherwise(0)
         flips = (acc["state"] != 0) & (side == -acc["state"]) & (acc["i"] - acc["last"] >= dwell)
         # A level of exactly -threshold starts the low state, as the first level of at least +threshold the high.
         state = F.when(acc["state"] == 0, side).when(flips, side).otherwise(acc["state"])
-        return F.struct(state.cast("int").alias("state"), F.when(flips, acc["i"]).otherwise(acc["last"]).alias("last"), (acc["i"] + 1).alias("i"), F.when(flips, F.array_append(acc["events"], acc["i"])).otherwise(acc["events"]).alias("events"))
+        full = flips & (F.size(acc["fresh"]) >= GATHERED)
+        fresh = F.when(full, F.array(acc["i"])).when(flips, F.array_append(acc["fresh"], acc["i"])).otherwise(acc["fresh"])
+        kept = F.when(full, F.array_append(acc["kept"], acc["fresh"])).otherwise(acc["kept"])
+        return F.struct(state.cast("int").alias("state"), F.when(flips, acc["i"]).otherwise(acc["last"]).alias("last"), (acc["i"] + 1).alias("i"), fresh.alias("fresh"), kept.alias("kept"))
 
-    return samples.select(*by, F.aggregate("samples", start, step, lambda acc: acc["events"]).alias("events"))
+    return samples.select(*by, F.aggregate("samples", start, step, lambda acc: F.concat(F.flatten(acc["kept"]), acc["fresh"])).alias("events"))
