@@ -503,6 +503,14 @@ def test_shingle_sets_are_those_of_the_words(odd_rows, prose):
             assert len(np.intersect1d(sets[i], sets[j])) == len(plain[i] & plain[j])
 
 
+@pytest.mark.parametrize("piece", [1, 7, 100])
+def test_fingerprints_do_not_depend_on_pieces(odd_rows, prose, monkeypatch, piece):
+    texts = [t for _, t, *_ in odd_rows if t is None or len(t) < 5000] + [prose(3, 150), "a", "a b", "a b c", " a  b c d "]
+    want = [[S.fingerprint(t, w) for t in texts] for w in (1, 3, 5)]
+    monkeypatch.setattr(S, "PIECE", piece)
+    assert [[S.fingerprint(t, w) for t in texts] for w in (1, 3, 5)] == want
+
+
 def test_no_text_is_aggregated_or_sorted(spark, prose):
     docs = spark.createDataFrame([(i, prose(i % 7, 50), "s") for i in range(20)], "doc_id long, text string, source string")
     out = S.deduplicate(docs)
@@ -510,13 +518,13 @@ def test_no_text_is_aggregated_or_sorted(spark, prose):
     assert "Aggregate" not in plan and "Sort" not in plan and out.count() == 7
 
 
-@pytest.mark.parametrize("what", ["plain_hashes", "word_hashes", "encode", "encode_whole", "spans", "shingles", "benchmark", "tokens"])
+@pytest.mark.parametrize("what", ["plain_hashes", "word_hashes", "encode", "encode_whole", "spans", "shingles", "fingerprint", "benchmark", "tokens"])
 def test_a_text_of_64_mb(what):
     code = f"""
 import resource, sys
 sys.path.insert(0, {ROOT!r})
 import numpy as np, pyarrow as pa
-from tidewin.llm import words as W, passages as P, suffix_dedup as U, near_copies as N, decontamination as D, support, token_counts as T
+from tidewin.llm import words as W, passages as P, simhash as S, suffix_dedup as U, near_copies as N, decontamination as D, support, token_counts as T
 text = pa.array(["".join(f"w{{k % 99991}} " + "lorem ipsum dolor sit amet, " for k in range(1 << 16)) * 30])
 assert len(text[0].as_buffer()) >= 1 << 26
 def spans():
@@ -526,7 +534,7 @@ def spans():
 def tokens():
     encoder, size = T.encoding(T.VOCABULARY)
     T.attribute(T.line_ends(text[0].as_buffer().to_pybytes()), size[encoder.encode_to_numpy(text[0].as_py()[: 1 << 25])])
-run = dict(plain_hashes=lambda: W.plain_hashes(text), word_hashes=lambda: W.word_hashes(text), encode=lambda: P.encode(text), encode_whole=lambda: P.encode_whole(text), spans=spans, shingles=lambda: N.shingle_sets(text), benchmark=lambda: list(D.Benchmark([1], ["one two three four five six"]).matches(text, 0.8)), tokens=tokens)
+run = dict(plain_hashes=lambda: W.plain_hashes(text), word_hashes=lambda: W.word_hashes(text), encode=lambda: P.encode(text), encode_whole=lambda: P.encode_whole(text), spans=spans, shingles=lambda: N.shingle_sets(text), fingerprint=lambda: S.fingerprint(text[0].as_py()), benchmark=lambda: list(D.Benchmark([1], ["one two three four five six"]).matches(text, 0.8)), tokens=tokens)
 run[{what!r}]()
 print(resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024)
 """

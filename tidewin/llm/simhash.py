@@ -17,6 +17,7 @@ table gives an empty result.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from itertools import combinations
 
@@ -32,26 +33,51 @@ from .support import connected_components, shuffle_width, small, stage, with_ids
 WIDTH = 3
 RADIUS = 2
 SEED = 42
-CHUNK = 1 << 16
+PIECE = 1 << 18
 NAMELESS = 1 << 62  # ids are below
 #: Blocks of 16 bits; a pair within RADIUS bits differs in at most two of the four.
 BLOCKS = [(i, j) for i, j in combinations(range(4), 2)]
 
 
+_SPACE = re.compile(rb"[\x20\x09-\x0d]")
+
+
+def _pieces(raw: bytes) -> Iterator[bytes]:
+    """The text cut at white space, about PIECE bytes each (a longer word stays whole)."""
+    at = 0
+    while at < len(raw):
+        space = _SPACE.search(raw, at + PIECE)
+        stop = space.start() if space else len(raw)
+        yield raw[at:stop]
+        at = stop
+
+
 def fingerprint(text: str | None, width: int = WIDTH) -> int:
-    words = (text or "").encode("utf-8").lower().split()  # bytes: A-Z only, and the six ASCII spaces
-    if not words:
-        return 0
-    joined = b" ".join(words)
-    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-    starts = [0, *(ends[:-1] + 1).tolist()]
-    ends = ends.tolist()[width - 1 :] or [len(joined)]
-    counts, digest = np.zeros(64, np.int64), xxhash.xxh64_intdigest
-    for k in range(0, len(ends), CHUNK):
-        part = [digest(joined[a:b], SEED) for a, b in zip(starts[k : k + CHUNK], ends[k : k + CHUNK], strict=False)]
-        bits = np.unpackbits(np.array(part, np.dtype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        counts += bits.sum(axis=0, dtype=np.int64)
-    return int(np.packbits((2 * counts > len(ends)).astype(np.uint8), bitorder="little").view("<u8")[0])
+    """Walks the text piece by piece, with the last words of a piece before those of the next."""
+    counts, n, digest = np.zeros(64, np.int64), 0, xxhash.xxh64_intdigest
+    words: list[bytes] = []
+
+    def count(found: list[int]) -> None:
+        bits = np.unpackbits(np.array(found, np.dtype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        np.add(counts, bits.sum(axis=0, dtype=np.int64), out=counts)
+
+    for piece in _pieces((text or "").encode("utf-8").lower()):  # bytes: A-Z only, and the six ASCII spaces
+        words += piece.split()
+        if len(words) < width:
+            continue
+        joined = b" ".join(words)
+        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+        starts = [0, *(ends[:-1] + 1).tolist()]
+        found = [digest(joined[a:b], SEED) for a, b in zip(starts, ends.tolist()[width - 1 :], strict=False)]
+        count(found)
+        n += len(found)
+        words = words[len(words) - width + 1 :]
+    if not n:
+        if not words:
+            return 0
+        count([digest(b" ".join(words), SEED)])
+        n = 1
+    return int(np.packbits((2 * counts > n).astype(np.uint8), bitorder="little").view("<u8")[0])
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
