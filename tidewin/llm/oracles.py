@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from .quality_rules import COST, DELTA, RISK, RULES
 from .sharding import SHARDS, SLOTS
+from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _GRID = ", ".join(f"('{rule}', {c}, {cutoff}::DOUBLE)" for rule, (_, _, cutoffs) in RULES.items() for c, cutoff in enumerate(cutoffs))
 _TESTS = sum(len(cutoffs) for _, _, cutoffs in RULES.values())
@@ -61,4 +62,20 @@ deal AS (SELECT 0::BIGINT AS i, [{{'b': 0::BIGINT, 's': 0, 'k': k::INT}} for k i
 base AS (SELECT v, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM deal JOIN every USING (v))
 SELECT doc_id, size, text_crc32, v AS virtual_slot, shard, base + row_number() OVER (PARTITION BY v ORDER BY doc_id, text_crc32, size) - 1 AS slot, 'bytes' AS law, NULL::INT AS grown_shard FROM s JOIN base USING (v)"""
 
-ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES}
+def _vector_codes() -> str:
+    """Assignment to all entries, written out round by round."""
+    near = """a{n} AS (SELECT r, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (SELECT p.r, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS away FROM p JOIN b{n} b USING (part)) GROUP BY r, part)"""
+    moved = """m{n} AS (SELECT part, entry, list(v ORDER BY i) AS x FROM (SELECT part, entry, i, floor(sum(c)::HUGEINT / count(*))::BIGINT AS v FROM (SELECT a.part, a.entry, i, p.x[i] AS c FROM a{n} a JOIN p USING (r, part), range(1, len(p.x) + 1) s(i)) GROUP BY part, entry, i) GROUP BY part, entry),
+b{m} AS (SELECT part, entry, coalesce(m{n}.x, b{n}.x) AS x FROM b{n} LEFT JOIN m{n} USING (part, entry))"""
+    rounds = ",\n".join(f"{near.format(n=n)},\n{moved.format(n=n, m=n + 1)}" for n in range(ROUNDS))
+    return f"""WITH k AS (SELECT row_number() OVER (ORDER BY vec_id, embedding) AS r, vec_id, label, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS v FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+p AS (SELECT r, part, v[part * len(v) // {PARTS} + 1 : (part + 1) * len(v) // {PARTS}] AS x FROM k, range({PARTS}) t(part)),
+b0 AS (SELECT part, r - 1 AS entry, x FROM p WHERE r <= {ENTRIES}),
+{rounds},
+{near.format(n=ROUNDS)},
+h AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b{ROUNDS}),
+c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(away)::BIGINT AS error FROM a{ROUNDS} GROUP BY r)
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
+
+
+ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes()}

@@ -11,6 +11,7 @@ from .simhash import op9_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op10_token_counts
 from .toxicity import op8_toxicity
+from .vector_codes import op11_vector_codes
 
 QUERIES = {
     "op1_sharding": op1_sharding,
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_toxicity": op8_toxicity,
     "op9_simhash": op9_simhash,
     "op10_token_counts": op10_token_counts,
+    "op11_vector_codes": op11_vector_codes,
     "chat_call_order": chat_call_order,
 }
 
