@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from .debruijn import WINDOW
 from .quality_rules import COST, DELTA, RISK, RULES
 from .sharding import SHARDS, SLOTS
 from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
@@ -62,6 +63,14 @@ deal AS (SELECT 0::BIGINT AS i, [{{'b': 0::BIGINT, 's': 0, 'k': k::INT}} for k i
 base AS (SELECT v, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM deal JOIN every USING (v))
 SELECT doc_id, size, text_crc32, v AS virtual_slot, shard, base + row_number() OVER (PARTITION BY v ORDER BY doc_id, text_crc32, size) - 1 AS slot, 'bytes' AS law, NULL::INT AS grown_shard FROM s JOIN base USING (v)"""
 
+DEBRUIJN = rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
+s AS (SELECT r, doc_id, i, md5(array_to_string(w[i + 1 : i + {WINDOW}], ' ')) AS h FROM w, unnest(range(len(w) - {WINDOW - 1})) u(i)),
+o AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS again FROM s),
+g AS (SELECT DISTINCT r, i + j AS i FROM o, range({WINDOW}) t(j) WHERE again),
+k AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.i) FILTER (g.i IS NULL) AS kept, count(g.i) AS n_removed FROM (SELECT r, unnest(w) AS x, unnest(range(len(w))) AS i FROM w) u LEFT JOIN g ON g.r = u.r AND g.i = u.i GROUP BY u.r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)"""
+
+
 def _vector_codes() -> str:
     """Assignment to all entries, written out round by round."""
     near = """a{n} AS (SELECT r, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (SELECT p.r, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS away FROM p JOIN b{n} b USING (part)) GROUP BY r, part)"""
@@ -78,4 +87,4 @@ c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
 
 
-ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes()}
+ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN}

@@ -42,7 +42,7 @@ BLOCKS = [(i, j) for i, j in combinations(range(4), 2)]
 _SPACE = re.compile(rb"[\x20\x09-\x0d]")
 
 
-def _pieces(raw: bytes) -> Iterator[bytes]:
+def pieces(raw: bytes) -> Iterator[bytes]:
     """The text cut at white space, about PIECE bytes each (a longer word stays whole)."""
     at = 0
     while at < len(raw):
@@ -61,7 +61,7 @@ def fingerprint(text: str | None, width: int = WIDTH) -> int:
         bits = np.unpackbits(np.array(found, np.dtype("<u8")).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
         np.add(counts, bits.sum(axis=0, dtype=np.int64), out=counts)
 
-    for piece in _pieces((text or "").encode("utf-8").lower()):  # bytes: A-Z only, and the six ASCII spaces
+    for piece in pieces((text or "").encode("utf-8").lower()):  # bytes: A-Z only, and the six ASCII spaces
         words += piece.split()
         if len(words) < width:
             continue

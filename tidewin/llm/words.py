@@ -88,6 +88,11 @@ def plain_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return _walk(*text_bytes(texts), _PLAIN, _FOLDED)
 
 
+def exact_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The same words, unchanged."""
+    return _walk(*text_bytes(texts), _PLAIN, _VALUE)
+
+
 def shingle_hashes(words: np.ndarray, width: int) -> np.ndarray:
     """Hash of the `width` words from each position on (also across texts: mask those with the offsets)."""
     n = max(len(words) - width + 1, 0)
