@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .collocations import LEAST, SHARE, TOP
+from .collocations import SCALE as SCORE_SCALE
 from .debruijn import WINDOW
 from .quality_rules import COST, DELTA, RISK, RULES
 from .sharding import SHARDS, SLOTS
@@ -71,6 +73,21 @@ k AS (SELECT u.r, string_agg(x, ' ' ORDER BY u.i) FILTER (g.i IS NULL) AS kept,
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_removed, 0)::BIGINT AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM w LEFT JOIN k USING (r)"""
 
 
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+#: Phrases of two and three words, as the contract has them.
+COLLOCATIONS = rf"""WITH p AS (SELECT row_number() OVER () AS id, lang, x FROM (SELECT coalesce(lang, 'und') AS lang, unnest(regexp_split_to_array({_FOLD.format("coalesce(text, '')")}, '[.,;:!?\n\x0b\f\r]')) AS x FROM documents)),
+w AS (SELECT id, lang, list_filter(regexp_split_to_array(x, '[ \t]+'), lambda y: y <> '') AS w FROM p),
+g AS (SELECT lang, m, w[i : i + m - 1] AS g FROM w, (VALUES (1), (2), (3)) s(m), unnest(generate_series(1, len(w) - m + 1)) u(i)),
+f AS (SELECT lang, m, g, count(*) AS f FROM g GROUP BY lang, m, g),
+n AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE m = 1 GROUP BY lang),
+c AS (SELECT * FROM f WHERE m > 1 AND f >= {LEAST}),
+s AS (SELECT c.lang, c.m, c.g, c.f AS a, k, x.f AS l, y.f AS r, (({SCORE_SCALE}::HUGEINT * c.f * c.f) // (x.f::HUGEINT * y.f))::BIGINT AS score FROM c, unnest(generate_series(1, c.m - 1)) u(k) JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k + 1 : c.m]),
+b AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+o AS (SELECT lang, g[i : i + 1] AS g, max(f) AS f FROM c, (VALUES (1), (2)) u(i) WHERE m = 3 GROUP BY 1, 2),
+k AS (SELECT b.lang, array_to_string(b.g, ' ') AS phrase, a, l, r, score FROM b LEFT JOIN o ON o.lang = b.lang AND o.g = b.g WHERE o.f IS NULL OR 100 * o.f < {SHARE} * a)
+SELECT lang, rank, phrase, a, l, r, n, score FROM (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM k) JOIN n USING (lang) WHERE rank <= {TOP}"""
+
+
 def _vector_codes() -> str:
     """Assignment to all entries, written out round by round."""
     near = """a{n} AS (SELECT r, part, arg_min(entry, (away, entry)) AS entry, min(away) AS away FROM (SELECT p.r, p.part, b.entry, list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i])))::BIGINT AS away FROM p JOIN b{n} b USING (part)) GROUP BY r, part)"""
@@ -87,4 +104,4 @@ c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
 
 
-ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN}
+ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN, "op13_collocations": COLLOCATIONS}

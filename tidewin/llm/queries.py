@@ -1,6 +1,7 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
 from .chat import chat_call_order, op5_chat
+from .collocations import op13_collocations
 from .debruijn import op12_debruijn_dedup
 from .decontamination import op7_decontamination
 from .mixing import op6_mixing
@@ -27,6 +28,7 @@ QUERIES = {
     "op10_token_counts": op10_token_counts,
     "op11_vector_codes": op11_vector_codes,
     "op12_debruijn_dedup": op12_debruijn_dedup,
+    "op13_collocations": op13_collocations,
     "chat_call_order": chat_call_order,
 }
 

@@ -34,19 +34,19 @@ _VALUE = spread(np.arange(1, 257, dtype=np.uint64))
 _WORD = np.array([chr(b).isalnum() or b >= 128 for b in range(128)] + [True] * 128)
 #: All bytes but the six ASCII spaces; A-Z count as a-z.
 _PLAIN = np.array([b != 32 and not 9 <= b <= 13 for b in range(256)])
-_FOLDED = _VALUE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
+FOLDED = _VALUE[[b + 32 if 65 <= b <= 90 else b for b in range(256)]]
 #: Texts are walked in pieces that fit a core's cache, so a text of any length takes little beside its words.
 PIECE = 1 << 17
 _UP, _DOWN = powers(_BASE, PIECE), powers(_INVERSE, PIECE)
 
 
-def _walk(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """A hash of every run of member bytes in every text, and n + 1 offsets of the texts' runs.
+def walk_runs(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(hash, first byte, end) of every run of member bytes in every text.
 
     A run's hash is its polynomial over the bytes' values: the difference of two running sums, brought back to
     power zero. The sums go on from piece to piece, so runs may cross pieces.
     """
-    begins, starts, stops, lifts = [], [], [], []
+    begins, ends, starts, stops, lifts = [], [], [], [], []
     running, inside = np.zeros(1, np.uint64), False
     for at in range(0, len(data), PIECE):
         part = data[at : at + PIECE]
@@ -65,14 +65,23 @@ def _walk(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, value: np.n
         begins.append(begin + at)
         starts.append(total[begin])
         lifts.append(_DOWN[begin] * drop)
-        stops.append(total[np.flatnonzero(stop)])
+        end = np.flatnonzero(stop)
+        ends.append(end + at)
+        stops.append(total[end])
         running, inside = total[-1:], bool(word[-1])
     if inside:
+        ends.append(np.array([len(data)]))
         stops.append(running)
     if not begins:
-        return np.zeros(0, np.uint64), np.zeros(len(offsets), np.int64)
+        return np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64)
     found = spread((np.concatenate(stops) - np.concatenate(starts)) * np.concatenate(lifts))
-    return found, np.searchsorted(np.concatenate(begins), offsets)
+    return found, np.concatenate(begins), np.concatenate(ends)
+
+
+def _walk(data: np.ndarray, offsets: np.ndarray, member: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes, and n + 1 offsets of the texts' runs."""
+    found, begin, _ = walk_runs(data, offsets, member, value)
+    return found, np.searchsorted(begin, offsets)
 
 
 def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -85,7 +94,7 @@ def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 def plain_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     r"""The same with A-Z lower-cased and words that are runs of bytes other than \x20 and \x09-\x0D."""
-    return _walk(*text_bytes(texts), _PLAIN, _FOLDED)
+    return _walk(*text_bytes(texts), _PLAIN, FOLDED)
 
 
 def exact_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
