@@ -22,16 +22,16 @@ import json
 import platform
 from importlib.metadata import PackageNotFoundError, version
 
-import numpy as np
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import kernels as K
 from .functions.identity import fingerprint
-from .operators import dynamics, evaluation, features, models, relational, stats, windows
+from .operators import chunks, dynamics, evaluation, features, models, relational, stats, windows
 from .plans import catalogue
 from .sources import recordings, sinks
+from .sources.edf import edf
 
 SECONDS, RATE = 4.0, 256.0
 META = [*windows.KEYS, "label"]
@@ -54,11 +54,16 @@ def specification(channels: list[str]) -> dict:
     return {"channels": channels, "sample_rate": RATE, "seconds": SECONDS, "cleaning": CLEANING, "bands": {k: list(v) for k, v in K.BANDS.items()}, "measures": {k: list(v) for k, v in K.MEASURES.items()}}
 
 
-def _features(files: DataFrame, channels: list[str]) -> DataFrame:
-    signals = recordings.edf_recordings(files, channels)
+def _signals(spark: SparkSession, path: str, channels: list[str]) -> DataFrame:
+    """Chunks of the named channels, of whole windows each, at the one rate that windows are made for."""
+    rows = edf(spark, path, channels=channels, whole_sec=SECONDS)
     wrong = F.raise_error(F.concat(F.lit("another sampling rate in "), F.col("file")))
-    signals = signals.where(F.when(F.col("sfreq") == RATE, F.lit(True)).otherwise(wrong))
-    return features.recording_features(signals, FILE, channels, RATE, SECONDS, lambda x, rate: K.preprocess(x, rate, **CLEANING))
+    return rows.where(F.when(F.col("sfreq") == RATE, F.lit(True)).otherwise(wrong)).drop("sfreq")
+
+
+def _features(signals: DataFrame, channels: list[str]) -> DataFrame:
+    clean = chunks.filtered(signals, [*FILE, "channel"], K.cleaning(RATE, **CLEANING))
+    return chunks.chunk_features(clean, FILE, channels, RATE, SECONDS)
 
 
 def _summaries(spark: SparkSession, path: str) -> DataFrame:
@@ -66,11 +71,11 @@ def _summaries(spark: SparkSession, path: str) -> DataFrame:
     return recordings.parse_summaries(texts).where("start_sec is not null")
 
 
-def prepare(spark: SparkSession, edf: str, summaries: str, output: str) -> int:
+def prepare(spark: SparkSession, folder: str, summaries: str, output: str) -> int:
     """Feature rows of all recordings that `output` does not hold whole yet; the number of rows added. What is
-    finished is known by the recording's bytes, its annotations and the specification, before any signal is decoded."""
-    files = recordings.edf_files(spark, edf)
-    heads = recordings.edf_headers(files)
+    finished is known by the recording's bytes, its annotations and the specification, before any signal is decoded.
+    Of a finished recording the header and, for its hash, the bytes are read once; of another the records once more."""
+    heads = edf(spark, folder, "headers").select(*FILE, "sfreq", "n_samples", "channels").cache()
     names = heads.select(F.concat_ws("/", *FILE).alias("rec"), F.explode("channels").alias("name"))
     channels = sorted(r.channel for r in relational.common_items(relational.dedupe_names(names, ["rec"], "name").select("rec", F.col("final_name").alias("channel")), "rec", "channel").collect())
     spec = fingerprint(specification(channels))
@@ -79,14 +84,14 @@ def prepare(spark: SparkSession, edf: str, summaries: str, output: str) -> int:
     if not faults.isEmpty():
         raise ValueError(f"unusable annotation: {faults.first()}")
     said = marks.groupBy(*FILE).agg(F.to_json(F.sort_array(F.collect_list(F.struct("start_sec", "end_sec")))).alias("said"))
-    items = files.select(*FILE, F.sha2("content", 256).alias("raw")).join(said, FILE, "left")
+    items = edf(spark, folder, "digests").select(*FILE, F.col("sha256").alias("raw")).join(said, FILE, "left")
     items = items.select(*FILE, F.sha2(F.concat_ws("|", "raw", F.coalesce("said", F.lit("[]")), F.lit(spec)), 256).alias("identity"))
     todo = sinks.unfinished(items, output, FILE)
     todo = spark.createDataFrame(todo.collect(), items.schema)  # names of recordings, fixed for this run
     if todo.isEmpty():
         return 0
     index = windows.labelled(windows.tumbling(heads.join(F.broadcast(todo.select(*FILE)), FILE, "left_semi"), SECONDS, RATE), marks, SECONDS)
-    wide = _features(files.join(F.broadcast(todo.select(*FILE)), FILE, "left_semi"), channels)
+    wide = _features(_signals(spark, folder, channels).where(_any_of(todo)).join(F.broadcast(todo.select(*FILE)), FILE, "left_semi"), channels)
     rows = index.select(*META).join(wide.drop("end_sec"), [*FILE, "start_sec"])
     if (before := table_specification(spark, output)) is None:
         sinks.write_json(spark, specification(channels), f"{output}/_specification")
@@ -95,6 +100,12 @@ def prepare(spark: SparkSession, edf: str, summaries: str, output: str) -> int:
     return sinks.checkpoint(rows, todo, output, FILE)
 
 
+def _any_of(items: DataFrame) -> Column:
+    """The patients and files of the items, as filters that the source takes: others are not opened."""
+    names = items.select(*FILE).collect()
+    return F.col("patient").isin(sorted({r.patient for r in names})) & F.col("file").isin(sorted({r.file for r in names}))
+
+
 def table_specification(spark: SparkSession, path: str) -> dict | None:
     """What `prepare` wrote beside a feature table, or None for any other table."""
     try:
@@ -152,12 +163,12 @@ def _named(rows: DataFrame, o: argparse.Namespace) -> DataFrame:
     return rows if o.recording is None else rows.where(F.col("file") == o.recording)
 
 
-def _recording(spark: SparkSession, o: argparse.Namespace) -> DataFrame:
-    """The one EDF file that the patient and the recording name."""
-    files = _named(recordings.edf_files(spark, o.edf), o)
-    if files.count() != 1:
+def _recording(spark: SparkSession, o: argparse.Namespace) -> list[str]:
+    """The channels of the one EDF file that the patient and the recording name."""
+    found = _named(edf(spark, o.edf, "headers"), o).take(2)
+    if len(found) != 1:
         raise ValueError("patient and recording must name one file")
-    return files
+    return found[0].channels
 
 
 def infer(spark: SparkSession, o: argparse.Namespace) -> int:
@@ -169,7 +180,7 @@ def infer(spark: SparkSession, o: argparse.Namespace) -> int:
     if o.edf:
         if spec is None or spec != specification(spec["channels"]):
             raise ValueError("features are not computed here as the bundle's were")
-        rows = _features(_named(recordings.edf_files(spark, o.edf), o), spec["channels"])
+        rows = _features(_named(_signals(spark, o.edf, spec["channels"]), o), spec["channels"])
     else:
         if spec is not None and spec != table_specification(spark, o.features):
             raise ValueError("the bundle and the table have different specifications")
@@ -197,22 +208,21 @@ def infer(spark: SparkSession, o: argparse.Namespace) -> int:
 
 def _windows_of(spark: SparkSession, o: argparse.Namespace, channels: list[str] | None) -> DataFrame:
     """(patient, file, start_sec, channel, samples): the cleaned recording's windows that begin at the given starts."""
-    files, starts = _recording(spark, o), sorted(set(o.starts))
-    channels = channels or recordings.edf_headers(files).first().channels
-    size = windows.window_size(SECONDS, RATE)
-
-    def cut(signals: list[list[float]]) -> list[dict]:
-        out = []
-        for channel, signal in zip(channels, signals, strict=True):
-            x = K.preprocess(np.array(signal), RATE, **CLEANING)
-            for start in starts:
-                at = round(start * RATE)
-                if not 0 <= at <= len(x) - size:
-                    raise ValueError(f"no whole window begins at {start}")
-                out.append({"start_sec": float(start), "channel": channel, "samples": x[at : at + size]})
-        return out
-
-    return features.per_row(recordings.edf_recordings(files, channels), FILE, ["signals"], cut, "start_sec double, channel string, samples array<double>")
+    there, size = _recording(spark, o), windows.window_size(SECONDS, RATE)
+    signals = _named(_signals(spark, o.edf, channels or there), o)
+    clean = chunks.filtered(signals, [*FILE, "channel"], K.cleaning(RATE, **CLEANING))
+    n = signals.agg(F.max("n_samples")).first()[0] or 0
+    starts = sorted(set(o.starts))
+    for start in starts:
+        if not 0 <= round(start * RATE) <= n - size:
+            raise ValueError(f"no whole window begins at {start}")
+    wanted = F.array(*[F.struct(F.lit(float(s)).alias("start_sec"), F.lit(round(s * RATE)).alias("at")) for s in starts])
+    # A window may lie across two chunks: each gives its part.
+    parts = clean.select(*FILE, "channel", "first_sample", "samples", F.explode(wanted).alias("w"))
+    low, high = F.greatest(F.col("w.at") - F.col("first_sample"), F.lit(0)), F.least(F.col("w.at") + size - F.col("first_sample"), F.size("samples"))
+    parts = parts.where(high > low).select(*FILE, "channel", "w.start_sec", "first_sample", F.slice("samples", (low + 1).cast("int"), (high - low).cast("int")).alias("samples"))
+    whole = parts.groupBy(*FILE, "channel", "start_sec").agg(F.sort_array(F.collect_list(F.struct("first_sample", "samples"))).alias("p"))
+    return whole.select(*FILE, "start_sec", "channel", F.flatten(F.transform("p", lambda x: x["samples"])).alias("samples"))
 
 
 def analyse(spark: SparkSession, o: argparse.Namespace) -> None:

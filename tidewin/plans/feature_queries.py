@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.columns import feature_part, ratio
+from ..operators import chunks as H
 from ..operators import evaluation as E
 from ..operators import features as X
 from ..operators import relational as R
@@ -149,48 +150,54 @@ def feature_changes(spark: S, sf: str) -> D:
     return rounded(E.feature_changes(measured(2).unionByName(measured(4)), measured(1), ["vec_id"], ["stride"]))
 
 
-#: A recording of 22 channels at 256 Hz, an hour of it: 900 windows of 1,024 samples, in pieces of fifteen.
-CHANNELS, HOUR, WHOLE, PIECES = [f"C{k:02d}" for k in range(22)], 900, 1024, 60
+#: A recording of 22 channels at 256 Hz: at least an hour of it, 900 windows of 1,024 samples, in pieces of fifteen.
+CHANNELS, HOUR, WHOLE, PIECE = [f"C{k:02d}" for k in range(22)], 900, 1024, 15
 
 
 def _blocks(spark: S, sf: str) -> D:
-    """Stored blocks of 1,024 samples, sixteen embeddings each, numbered from 0; an incomplete last one is left out."""
+    """Stored blocks of 1,024 samples, sixteen embeddings each, numbered from 0; an incomplete last one is left out, as the
+    incomplete tail of a recording gives no window."""
     e = B.read(spark, sf, "embeddings").groupBy(F.floor(F.col("vec_id") / 16).alias("block"))
     whole = e.agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.struct("vec_id", "embedding"))).alias("e")).where("n = 16")
     return whole.select("block", F.flatten(F.transform("e", lambda x: x["embedding"])).cast("array<double>").alias("samples"))
 
 
-def _hour(spark: S, sf: str) -> D:
-    """(window, channel, samples) of the hour: the stored blocks in turn, over and over."""
+def _recording(spark: S, sf: str) -> D:
+    """(window, channel, samples): the stored blocks in turn, again and again for an hour, or once each if they are more."""
     blocks = _blocks(spark, sf)
     n = blocks.count()
-    places = spark.range(HOUR * len(CHANNELS)).select(F.floor(F.col("id") / len(CHANNELS)).cast("int").alias("window"), (F.col("id") % len(CHANNELS)).cast("int").alias("channel"), (F.col("id") % n).alias("block"))
+    places = spark.range(max(HOUR * len(CHANNELS), n)).select(F.floor(F.col("id") / len(CHANNELS)).cast("int").alias("window"), (F.col("id") % len(CHANNELS)).cast("int").alias("channel"), (F.col("id") % max(n, 1)).alias("block"))
     return places.join(blocks, "block").drop("block")
 
 
-def _joined_signal(rows: D, by: list[str]) -> D:
-    """The windows' samples end to end, by these keys."""
-    return rows.groupBy(*by).agg(F.flatten(F.transform(F.sort_array(F.collect_list(F.struct("window", "samples"))), lambda x: x["samples"])).alias("signal"))
-
-
 def recording_features(spark: S, sf: str) -> D:
-    """All 330 features of an hour of 22 channels: 900 rows, made in one pass over sixty pieces of a minute."""
-    width = HOUR // PIECES
-    piece = _joined_signal(_hour(spark, sf).withColumn("piece", F.floor(F.col("window") / width).cast("int")), ["piece", "channel"])
-    rows = piece.groupBy("piece").agg(F.transform(F.sort_array(F.collect_list(F.struct("channel", "signal"))), lambda x: x["signal"]).alias("signals"))
-    wide = X.recording_features(rows.repartition(PIECES, "piece"), ["piece"], CHANNELS, 256.0, clean=None)
+    """All 330 features of every window that has all 22 channels, in pieces of a minute."""
+    rows = _recording(spark, sf).select(F.floor(F.col("window") / PIECE).alias("piece"), F.col("channel"), (F.col("window") % PIECE * WHOLE).alias("first_sample"), "samples")
+    beside = rows.groupBy("piece", "first_sample").agg(F.sort_array(F.collect_list(F.struct("channel", "samples"))).alias("c")).where(F.size("c") == len(CHANNELS))
+    # A minute's windows stand end to end in a row; the windows of a cut last minute stand there as well.
+    piece = beside.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("first_sample", "c"))).alias("w"))
+    signals = F.array(*[F.flatten(F.transform("w", lambda x, k=k: x["c"][k]["samples"])) for k in range(len(CHANNELS))])
+    wide = X.recording_features(piece.select("piece", signals.alias("signals")).repartition("piece"), ["piece"], CHANNELS, 256.0, clean=None)
     names = K.feature_names(CHANNELS)
-    return rounded(wide.select((F.col("piece") * width + F.col("start_sec") / 4).cast("int").alias("window"), *names), 9)
+    return rounded(wide.select((F.col("piece") * PIECE + F.col("start_sec") / 4).cast("int").alias("window"), *names), 9)
 
 
-def recording_filter(spark: S, sf: str) -> D:
-    """Notch and band-pass over an hour of 22 channels: each channel's deviation before and after."""
-    whole = _joined_signal(_hour(spark, sf), ["channel"]).repartition(len(CHANNELS), "channel")
+#: Embeddings of 64 samples in a chunk of a recording.
+CHUNK = 64
 
-    def kernel(x):
-        return {"before": x.std(axis=1), "after": K.preprocess(x, 256.0).std(axis=1)}
 
-    return rounded(X.per_signal(whole, ["channel"], "signal", kernel, ["before", "after"]), 9)
+def recording_filter(spark: S, sf: str) -> D:
+    """Notch and band-pass over a recording of 22 channels at 256 Hz that holds every stored vector, 64 samples each, by
+    overlap-save: each second's mean square before and after."""
+    width = len(CHANNELS)
+    e = B.read(spark, sf, "embeddings").select((F.col("vec_id") % width).cast("int").alias("channel"), F.floor(F.col("vec_id") / width).alias("place"), F.col("embedding").cast("array<double>").alias("samples"))
+    pieces = e.select("channel", (F.col("place") * 64).alias("first_sample"), "samples")
+    chunks = H.rechunked(pieces, ["channel"], 64 * CHUNK)
+    clean = H.filtered(chunks, ["channel"], K.cleaning(256.0)).select("channel", "chunk", F.col("samples").alias("clean"))
+    both = chunks.join(clean, ["channel", "chunk"]).select("channel", "first_sample", F.posexplode(F.arrays_zip("samples", "clean")).alias("k", "x"))
+    second = F.floor((F.col("first_sample") + F.col("k")) / 256).cast("int").alias("second")
+    mean = lambda c: F.avg(F.col(f"x.{c}") * F.col(f"x.{c}"))
+    return rounded(both.groupBy("channel", second).agg(mean("samples").alias("before"), mean("clean").alias("after")), 9)
 
 
 def short_filter(spark: S, sf: str) -> D:
@@ -281,7 +288,7 @@ se AS (SELECT b, -sum(r * log2(r)) / log2(129) AS spectral FROM (SELECT *, p / s
 ar AS (SELECT b, f, lead(f) OVER w AS g, (p + lead(p) OVER w) / 2 AS area FROM psd WINDOW w AS (PARTITION BY b ORDER BY f)),
 ba AS (SELECT b, {", ".join(f"coalesce(sum(area) FILTER (f >= {a} AND g <= {z}), 0.0) AS {n}" for n, (a, z) in K.BANDS.items())} FROM ar GROUP BY 1),
 every AS (SELECT *, v0 AS activity, sqrt(v1 / v0) AS mobility, sqrt(v2 / v1) / sqrt(v1 / v0) AS complexity FROM t JOIN pe USING (b) JOIN se USING (b) JOIN ba USING (b)),
-place AS (SELECT w, c, (w * {len(CHANNELS)} + c) % (SELECT count(*) FROM every) AS b FROM (SELECT unnest(generate_series(0, {HOUR - 1})) AS w), (SELECT unnest(generate_series(0, {len(CHANNELS) - 1})) AS c))"""
+place AS (SELECT w, c, (w * {len(CHANNELS)} + c) % (SELECT count(*) FROM every) AS b FROM (SELECT unnest(generate_series(0, greatest({HOUR}, (SELECT count(*) FROM every) // {len(CHANNELS)}) - 1)) AS w), (SELECT unnest(generate_series(0, {len(CHANNELS) - 1})) AS c))"""
 
 
 def _hour_column(name: str) -> str:
@@ -299,7 +306,26 @@ kept AS (SELECT vec_id, a.k, sum(h * b.v) AS v FROM (SELECT DISTINCT vec_id, k F
 line AS (SELECT a.vec_id, a.k, a.v AS x, l.v + (coalesce(r.v, l.v) - l.v) * ((a.k % 4) / 4.0) AS y FROM x a JOIN kept l ON a.vec_id = l.vec_id AND l.k = a.k - a.k % 4 LEFT JOIN kept r ON a.vec_id = r.vec_id AND r.k = a.k - a.k % 4 + 4)"""
 _KEPT = "SELECT vec_id, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(sqrt(avg((x - y) * (x - y))) / stddev_pop(x), 6) AS normalized_rmse, round(corr(x, y), 6) AS correlation FROM line GROUP BY vec_id"
 
+
+
+def _fir(name: str, low: float, high: float, half: int) -> str:
+    """Taps of a Hamming-windowed band-pass at 256 Hz, from -half to half."""
+    return f"{name} AS (SELECT n, (CASE WHEN n = 0 THEN 2 * {high} / 256 - 2 * {low} / 256 ELSE (sin(pi() * n * 2 * {high} / 256) - sin(pi() * n * 2 * {low} / 256)) / (pi() * n) END) * (0.54 - 0.46 * cos(2 * pi() * (n + {half}) / (2.0 * {half}))) AS h FROM (SELECT unnest(generate_series(-{half}, {half})) AS n))"
+
+
+def _through(out: str, x: str, taps: str, half: int, removed: bool) -> str:
+    """Signals (c, k, v) through a filter, with odd reflection of up to half a filter at both ends."""
+    value = "a.v - sum(t.h * w.v)" if removed else "sum(t.h * w.v)"
+    return f"""{out}_e AS (SELECT c, max(k) AS z, arg_min(v, k) AS vl, arg_max(v, k) AS vr, least({half}, max(k)) AS m FROM {x} GROUP BY c),
+{out}_w AS (SELECT c, k, v FROM {x} UNION ALL SELECT c, -k, 2 * vl - v FROM {x} JOIN {out}_e USING (c) WHERE k BETWEEN 1 AND m UNION ALL SELECT c, 2 * z - k, 2 * vr - v FROM {x} JOIN {out}_e USING (c) WHERE k BETWEEN z - m AND z - 1),
+{out} AS (SELECT a.c, a.k, {value} AS v FROM {x} a JOIN {out}_e USING (c) JOIN {taps} t ON abs(t.n) <= m JOIN {out}_w w ON w.c = a.c AND w.k = a.k + t.n GROUP BY a.c, a.k, a.v)"""
+
+
 ORACLES = {
+    "recording_filter": f"""WITH x AS (SELECT vec_id % {len(CHANNELS)} AS c, vec_id // {len(CHANNELS)} * 64 + i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i)),
+{_fir("hum", 59.35, 60.65, 423)}, {_fir("band", 0.5, 45.0, 423)},
+{_through("y", "x", "hum", 423, True)}, {_through("z", "y", "band", 423, False)}
+SELECT x.c::INT AS channel, (x.k // 256)::INT AS second, round(avg(x.v * x.v), 9) AS before, round(avg(z.v * z.v), 9) AS after FROM x JOIN z USING (c, k) GROUP BY 1, 2""",
     "recording_features": f"{_HOUR} SELECT w::INT AS \"window\", " + ", ".join(_hour_column(n) for n in K.feature_names(CHANNELS)) + " FROM place JOIN every USING (b) GROUP BY w",
     "antialiased_preservation": f"WITH {_X}, {_DECIMATED} {_KEPT}",
     "short_filter": f"WITH {_X}, {_TAPS}, ends AS (SELECT vec_id, max(v) FILTER (k = 0) AS a, max(v) FILTER (k = 63) AS z FROM x GROUP BY 1), wide AS (SELECT vec_id, k, v FROM x UNION ALL SELECT vec_id, -k, 2 * a - v FROM x JOIN ends USING (vec_id) WHERE k > 0 UNION ALL SELECT vec_id, 126 - k, 2 * z - v FROM x JOIN ends USING (vec_id) WHERE k < 63) SELECT a.vec_id, a.k::INT AS k, round(sum(h * w.v), 6) AS y FROM x a JOIN taps ON true JOIN wide w ON w.vec_id = a.vec_id AND w.k = a.k + n GROUP BY 1, 2",

@@ -18,6 +18,7 @@ from ..operators import models as M
 from ..operators import relational as R
 from ..operators.features import per_row
 from ..operators.transforms import FeatureTransform
+from ..sources import edf
 from ..sources import recordings as E
 from ..sources import sinks
 from ..sources.shared import shared_dir
@@ -415,12 +416,16 @@ def run_report(spark: S, sf: str) -> D:
 
 
 def edf_round_trip(spark: S, sf: str) -> D:
-    """Signals written as EDF bytes and decoded again, in microvolts."""
+    """Signals written as EDF files, found by their headers and read again in chunks of three seconds, in microvolts."""
     c = _contexts(spark, sf)
     files = per_row(c, ["name"], ["samples"], lambda x: [{"content": E.encode({"C1": np.array(x), "C2": -np.array(x)}, 256)}], "content binary")
-    files = files.select(F.lit("p1").alias("patient"), F.concat(F.translate("name", "/", "_"), F.lit(".edf")).alias("file"), "content")
-    s = E.edf_signals(files).select("file", "channel", "sfreq", F.size("samples").cast("long").alias("n_samples"), F.round(F.array_max("samples") * 1e6, 1).alias("peak_uv"))
-    h = E.edf_headers(files).select("file", F.col("n_samples").alias("declared"))
+    folder = f"{shared_dir(spark)}/edf-{uuid.uuid4().hex}"
+    edf.register(spark)
+    named = files.select(F.lit("p1").alias("patient"), F.concat(F.translate("name", "/", "_"), F.lit(".edf")).alias("file"), "content")
+    named.write.format("edf").mode("append").save(edf.qualified(spark, folder))
+    chunks = edf.edf(spark, folder, split_bytes=8192, chunk_sec=3.0)
+    s = chunks.groupBy("file", "channel", "sfreq").agg(F.sum(F.size("samples")).cast("long").alias("n_samples"), F.round(F.max(F.array_max("samples")) * 1e6, 1).alias("peak_uv"))
+    h = edf.edf(spark, folder, "headers").select("file", F.col("n_samples").alias("declared"))
     return s.join(h, "file")
 
 
