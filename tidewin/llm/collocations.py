@@ -26,12 +26,13 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import discard, read, shuffle_width, slices, small, stage, text_bytes
+from .support import bucketed, discard, read, shuffle_width, slices, small, stage, text_bytes, unbucket
 from .words import FOLDED, spread, walk_runs
 
 LONGEST, LEAST, SHARE, TOP, SCALE = 3, 10, 50, 2000, 1_000_000
@@ -98,8 +99,8 @@ class Block:
         lengths, gap = np.frombuffer(counts, "<i4").astype(np.int64), np.frombuffer(short, "<u2").astype(np.int64)
         gap[gap == WIDE] = np.frombuffer(wide, "<u4")
         first, total = np.cumsum(lengths) - lengths, np.cumsum(gap)
-        ends = np.cumsum(np.frombuffer(size, "<i4")).tolist()
-        cut = [letters[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)]
+        ends = np.cumsum(np.frombuffer(size, "<i4")).tolist()  # none if the letters were not asked for
+        cut = [letters[a:b] for a, b in zip([0, *ends[:-1]] if ends else [], ends, strict=True)]
         return cls(np.frombuffer(keys, "<u8"), lengths, total - np.repeat((total - gap)[first], lengths), names.decode().split("\0"), np.frombuffer(language, "<i4"), cut)
 
     def postings(self) -> tuple[np.ndarray, np.ndarray]:
@@ -223,14 +224,16 @@ def _table(rows: list[tuple], schema: pa.Schema) -> pa.Table:
 
 
 _LENGTHS = pa.schema([("shard", pa.int64()), ("block", pa.int64()), ("keys", pa.binary()), ("lengths", pa.binary())])
-_NAMES = pa.schema([("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("n", pa.int64())])
-_SENT = "shard long, block long, keys binary, lengths binary, key long, lang string, phrase string, lefts array<long>, rights array<long>, n long"
-#: A shard's answer to a block (keys, and which of them it shall name), or without a block its frequent keys and totals.
-_TOLD = "block long, keys binary, speak binary, totals binary"
+_NAMES = pa.schema([("shard", pa.int64()), ("key", pa.int64()), ("lang", pa.string()), ("phrase", pa.string()), ("lefts", pa.list_(pa.int64())), ("rights", pa.list_(pa.int64())), ("n", pa.int64())])
+_NAMED = "key long, lang string, phrase string, lefts array<long>, rights array<long>, n long"
+#: Lengths, or a phrase with its parts' keys, or a language with its number of words.
+_SENT = f"shard long, block long, keys binary, lengths binary, {_NAMED}"
+#: A shard's answer to a block (keys, and which of them it shall name), its frequent keys and totals, or what came named.
+_TOLD = f"block long, keys binary, speak binary, totals binary, {_NAMED}"
 
 
 def tally(sent: DataFrame, least: int = LEAST) -> DataFrame:
-    """The shards' answers to the lengths that the blocks have sent."""
+    """The shards' answers to the lengths that the blocks have sent; names pass."""
     width = shuffle_width(sent.sparkSession)
 
     def settle(rows: list[tuple[int, bytes, bytes]]) -> pa.RecordBatch:
@@ -247,17 +250,22 @@ def tally(sent: DataFrame, least: int = LEAST) -> DataFrame:
         order = np.argsort(own, kind="stable")
         block, begin = np.unique(own[order], return_index=True)
         parts = [np.split(x[order], begin[1:]) for x in (told, speak)] if len(block) else [[], []]
-        n = len(block)
-        return pa.RecordBatch.from_arrays(
-            [pa.array([*block.tolist(), None], pa.int64()), pa.array([*(x.tobytes() for x in parts[0]), keys[first][often].tobytes()]), pa.array([*(x.tobytes() for x in parts[1]), None], pa.binary()), pa.array([None] * n + [total[often].tobytes()], pa.binary())],
-            ["block", "keys", "speak", "totals"],
-        )
+        rows = [(b, k.tobytes(), s.tobytes(), None) for b, k, s in zip(block.tolist(), *parts, strict=True)]
+        return _rows([*rows, (None, keys[first][often].tobytes(), None, total[often].tobytes())])
+
+    def _rows(rows: list[tuple]) -> pa.RecordBatch:
+        own = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)]
+        return pa.RecordBatch.from_arrays([*own, *(pa.nulls(len(rows), f.type) for f in list(_NAMES)[1:])], ["block", "keys", "speak", "totals", *_NAMES.names[1:]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[int, bytes, bytes]] = []
         current = None
         for batch in batches:
-            for shard, *row in zip(*(batch.column(c).to_pylist() for c in range(4)), strict=True):
+            lengths = batch.column("block").is_valid()
+            said, batch = batch.filter(pc.invert(lengths)), batch.filter(lengths)
+            if said.num_rows:
+                yield pa.RecordBatch.from_arrays([pa.nulls(said.num_rows, t) for t in (pa.int64(), pa.binary(), pa.binary(), pa.binary())] + [said.column(c) for c in _NAMES.names[1:]], ["block", "keys", "speak", "totals", *_NAMES.names[1:]])
+            for shard, *row in zip(*(batch.column(c).to_pylist() for c in ("shard", "block", "keys", "lengths")), strict=True):
                 if shard != current and held:
                     yield settle(held)
                     held = []
@@ -271,52 +279,58 @@ def tally(sent: DataFrame, least: int = LEAST) -> DataFrame:
 
 def collocations(docs: DataFrame, longest: int = LONGEST, least: int = LEAST, share: int = SHARE, top: int = TOP, lang_col: str = "lang", text_col: str = "text", block: int = BLOCK) -> DataFrame:
     """lang, rank, phrase, a, l, r, n and score of each language's first phrases of 2 to `longest` words."""
-    spark = docs.sparkSession
-    shards = SHARDS * shuffle_width(spark)
-    index = stage(blocks(docs, lang_col, text_col, block), "blocks", "zstd")
+    shards = SHARDS * shuffle_width(docs.sparkSession)
+    index = bucketed(blocks(docs, lang_col, text_col, block), "blocks", "block")
 
     def lengths(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for number, keys, counts, names, language in zip(*(batch.column(c).to_pylist() for c in ("block", "keys", "counts", "names", "language")), strict=True):
+            for number, keys, counts, names, language in zip(*(batch.column(c).to_pylist() for c in batch.schema.names), strict=True):
                 keys, counts = np.frombuffer(keys, "<u8"), np.frombuffer(counts, "<i4").astype(np.int64)
-                dealt = _table(_dealt(number, keys, counts, shards), _LENGTHS)
                 total = np.bincount(np.frombuffer(language, "<i4"), counts)
-                said = _table([(None, name, None, None, None, int(n)) for name, n in zip(names.decode().split("\0"), total.tolist(), strict=True)], _NAMES)
-                yield from _beside(dealt, said).to_batches()
+                said = [(number % shards, None, name, None, None, None, int(n)) for name, n in zip(names.decode().split("\0"), total.tolist(), strict=True)]
+                yield from _beside(_dealt(number, keys, counts, shards), said).to_batches()
 
     def step(width: int, last: bool) -> Callable[[pa.Table, pa.Table], pa.Table]:
         def run(mine: pa.Table, told: pa.Table) -> pa.Table:
             if not mine.num_rows or not told.num_rows:
-                return _beside(_table([], _LENGTHS), _table([], _NAMES))
+                return _beside([], [])
             row = mine.to_pylist()[0]
             keys = np.frombuffer(b"".join(told.column("keys").to_pylist()), "<u8")
             speak = np.frombuffer(b"".join(told.column("speak").to_pylist()), bool)
-            lists = Lists(Block.unpack(*(row[c] for c in Block.COLUMNS)), width, np.sort(keys))
+            lists = Lists(Block.unpack(*(row.get(c, b"") for c in Block.COLUMNS)), width, np.sort(keys))
             dealt = [] if last else _dealt(row["block"], *lists.longer(), shards)
-            said = [] if width == 1 else [(*x, None) for x in lists.named(keys[speak])]
-            return _beside(_table(dealt, _LENGTHS), _table(said, _NAMES))
+            said = [] if width == 1 else [(x[0] % shards, *x, None) for x in lists.named(keys[speak])]
+            return _beside(dealt, said)
 
         return run
 
-    sent = [stage(index.select("block", "keys", "counts", "names", "language").mapInArrow(lengths, _SENT), "lengths")]
-    told = []
+    told = [stage(tally(index.select("block", "keys", "counts", "names", "language").mapInArrow(lengths, _SENT), least), "tally", "zstd")]
     for width in range(1, longest + 1):
-        told.append(stage(tally(sent[-1].where("shard is not null").select("shard", "block", "keys", "lengths"), least), "tally"))
         asked = told[-1].where("block is not null").select(F.col("block").alias("to"), "keys", "speak")
-        sent.append(stage(index.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(step(width, width == longest), _SENT), "lengths"))
-    discard(index)
-    out = stage(_ranked(_totals(told), sent, share, top), "collocations")
-    discard(*sent, *told)
+        needed = index if width > 1 else index.select("block", *Block.COLUMNS[:4])  # words are named by longer phrases
+        sent = needed.groupBy("block").cogroup(asked.groupBy("to")).applyInArrow(step(width, width == longest), _SENT)
+        told.append(stage(tally(sent, least) if width < longest else sent.select(*[F.lit(None).cast(t).alias(n) for n, t in (("block", "long"), ("keys", "binary"), ("speak", "binary"), ("totals", "binary"))], *_NAMES.names[1:]), "tally", "zstd"))
+    unbucket(index)
+    out = stage(_ranked(_totals(told), told, share, top), "collocations")
+    discard(*told)
     return out
 
 
-def _beside(dealt: pa.Table, said: pa.Table) -> pa.Table:
+def _beside(dealt: list[tuple], said: list[tuple]) -> pa.Table:
     """Rows of either kind, the other columns null."""
-    whole = pa.schema([*_LENGTHS, *_NAMES])
-    rows = [pa.Table.from_arrays([t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in whole], schema=whole) for t in (dealt, said)]
+    whole = pa.schema([*_LENGTHS, *list(_NAMES)[1:]])
+    tables = [_table(dealt, _LENGTHS), _table(said, _NAMES)]
+    rows = [pa.Table.from_arrays([t.column(f.name) if f.name in t.column_names else pa.nulls(t.num_rows, f.type) for f in whole], schema=whole) for t in tables]
     return pa.concat_tables(rows).combine_chunks()
 
 
+def _union(tables: list[DataFrame]) -> DataFrame:
+    out = tables[0]
+    for more in tables[1:]:
+        out = out.union(more)
+    return out
+
+
 def _totals(told: list[DataFrame]) -> DataFrame:
     """key, f of every frequent word and phrase."""
 
@@ -325,16 +339,11 @@ def _totals(told: list[DataFrame]) -> DataFrame:
             for keys, totals in zip(*(batch.column(c).to_pylist() for c in range(2)), strict=True):
                 yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, "<i8")), pa.array(np.frombuffer(totals, "<i8"))], ["key", "f"])
 
-    out = told[0]
-    for more in told[1:]:
-        out = out.union(more)
-    return out.where("block is null").select("keys", "totals").mapInArrow(run, "key long, f long")
+    return _union([t.where("totals is not null").select("keys", "totals") for t in told]).mapInArrow(run, "key long, f long")
 
 
 def _ranked(totals: DataFrame, sent: list[DataFrame], share: int, top: int) -> DataFrame:
-    said = sent[0]
-    for more in sent[1:]:
-        said = said.union(more)
+    said = _union([t.select(*_NAMES.names[1:]) for t in sent])
     words = said.where("key is null and n is not null").groupBy("lang").agg(F.sum("n").alias("n"))
     found = said.where("key is not null").select("key", "lang", "phrase", "lefts", "rights").join(totals.withColumnRenamed("f", "a"), "key")
     cuts = found.select("key", "a", F.posexplode(F.arrays_zip("lefts", "rights")).alias("k", "cut")).select("key", "a", "k", F.col("cut.lefts").alias("left"), F.col("cut.rights").alias("right"))

@@ -38,6 +38,25 @@ def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
     return out
 
 
+def bucketed(df: DataFrame, label: str, key: str, codec: str = "zstd") -> DataFrame:
+    """As `stage`, dealt into buckets by a key whose rows are few and large: a later join or cogroup by that key shuffles
+    only its other side. It must be dropped by `unbucket`."""
+    spark = df.sparkSession
+    name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{name}"
+    fs, at = _file_system(spark, path)
+    fs.deleteOnExit(at)
+    df.write.bucketBy(shuffle_width(spark), key).option("compression", codec).option("path", path).format("parquet").saveAsTable(name)
+    out = spark.table(name)
+    out._staged, out._named = path, name
+    return out
+
+
+def unbucket(df: DataFrame) -> None:
+    df.sparkSession.sql(f"DROP TABLE IF EXISTS {df._named}")
+    discard(df)
+
+
 def _file_system(spark: SparkSession, path: str):
     at = spark._jvm.org.apache.hadoop.fs.Path(path)
     return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
