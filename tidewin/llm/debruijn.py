@@ -221,14 +221,15 @@ def repeats(rows: DataFrame, window: int = WINDOW, piece: int = PIECE) -> DataFr
     if not piece <= window:
         raise ValueError("a piece can't be longer than the window")
     every = stage(run_table(rows.where("doc is not null"), window, piece), "runs", "zstd")
-    common = every.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a")
+    # Written tables, so that both sides of a join are plain exchanges and a hot anchor's rows are split by the skew join.
+    common = stage(every.groupBy("a").agg(F.min("doc").alias("lo"), F.max("doc").alias("hi")).where("lo < hi").select("a"), "runs-anchors")
     found = stage(every.join(common, "a", "left_semi"), "runs-common", "zstd")
-    discard(every)
+    discard(every, common)
     kinds = stage(found.groupBy("a", "r").agg(F.min(F.struct("doc", "k", "start")).alias("own"), F.max("doc").alias("hi")), "runs-kinds")
-    mixed = kinds.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("mixed"))
+    mixed = stage(kinds.groupBy("a").count().where("count > 1").select("a", F.lit(True).alias("mixed")), "runs-mixed")
     kinds_ = kinds.join(mixed, "a", "left").select("a", "r", (F.col("own.doc") < F.col("hi")).alias("shared"), F.coalesce("mixed", F.lit(False)).alias("mixed"), F.col("own.doc").alias("owner"), F.col("own.k").alias("owner_k"), F.col("own.start").alias("owner_start"))
     placed = stage(found.join(kinds_.where("shared or mixed"), ["a", "r"]).where("shared or doc = owner"), "runs-placed", "zstd")
-    discard(found, kinds)
+    discard(found, kinds, mixed)
     claims = spans(placed.where("shared")).where("owner < doc").select("k", "start", "n", "owner_k", "owner_start")
     whole = verified(rows, stage(claims, "spans"), window).select("k", "start", "n")
     asked = placed.where("mixed and doc = owner").select("k", "a", "start", "n")
