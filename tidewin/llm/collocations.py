@@ -22,6 +22,7 @@ the first block. Only the text and the language are read.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -355,8 +356,12 @@ def _ranked(totals: DataFrame, sent: list[DataFrame], share: int, top: int) -> D
     longer = found.where(F.size("lefts") > 1)
     longer = longer.select(F.element_at("lefts", -1).alias("key"), "a").union(longer.select(F.element_at("rights", 1), "a")).groupBy("key").agg(F.max("a").alias("within"))
     out = found.select("key", "lang", "phrase", "a").join(best, "key").join(longer, "key", "left").where(f"within is null or 100 * within < {share} * a")
-    first = Window.partitionBy("lang").orderBy(F.desc("best.score"), F.desc("a"), "phrase")
-    out = out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
+    # A language's first phrases come from the first of each of its parts, so that the last task gets parts x top rows at
+    # most, however many tasks the phrases come from.
+    parts = math.isqrt(shuffle_width(out.sparkSession)) + 1
+    for by in (["lang", F.pmod(F.xxhash64("key"), F.lit(parts))], ["lang"]):
+        first = Window.partitionBy(*by).orderBy(F.desc("best.score"), F.desc("a"), "phrase")
+        out = out.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= top)
     return out.join(small(words), "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "best.l", "best.r", "n", "best.score")
 
 
