@@ -226,9 +226,31 @@ def test_targets_out_of_reach_are_told(spark):
     table = spark.createDataFrame([(1, 100, 1.0, 0.0), (2, 100, 1.0, 0.0)], "doc_id long, tokens long, p0 double, p1 double")
     rate, found = X.fit_rates(table, {"a": 0.5, "b": 0.5})
     assert found["residual"] > 0.4 and len(table.select(rate).collect()) == 2
-    with pytest.warns(UserWarning, match="too few tokens"):
-        kept = X.reachable(table, {"a": 0.5, "b": 0.5})
-    assert kept == {"a": 0.5, "b": 0.0}
+    # The budget that no domain exceeds is nothing here; the least share of all tokens stands instead.
+    _, found = X.fit_rates(table, {"a": 0.5, "b": 0.5}, budget=-1, most=1.0, least=0.5)
+    assert found["totals"] == pytest.approx([50.0, 0.0], abs=1.0) and found["residual"] == pytest.approx(0.5, abs=0.02)
+
+
+def test_kept_tokens_follow_the_targets_and_shrink_evenly_with_a_scarce_domain(spark, prose):
+    """Token totals of what is sampled, for a domain from plenty to nothing: no step in what is kept."""
+    rows = [(i, (prose(i, 60) if i % 2 else prose(i, 60).replace("e", "é").replace("a", "à")), "en" if i % 2 else "fr") for i in range(600)]
+    shares = []
+    for many in (300, 120, 40, 12, 4, 0):
+        some = [r for r in rows if r[2] == "en" or r[0] < 2 * many]
+        docs = spark.createDataFrame([r[:2] for r in some], "doc_id long, text string")
+        labelled = spark.createDataFrame([(r[0], r[2]) for r in rows[:80]], "doc_id long, domain string")
+        kept, found = X.sampled(docs, labelled, {"en": 0.6, "fr": 0.4})
+        tokens = {"en": 0, "fr": 0}
+        for r in kept.collect():
+            tokens[rows[r.doc_id][2]] += len(r.text.split())
+        whole = sum(len(r[1].split()) for r in some)
+        shares.append(sum(tokens.values()) / whole)
+        for lang, want in zip(("en", "fr"), found["totals"], strict=True):
+            assert abs(tokens[lang] - want) < 0.12 * whole  # a sample's own chance
+        if found["residual"] <= X.SAMPLED:
+            assert abs(tokens["fr"] / sum(tokens.values()) - 0.4) < 0.08
+        assert sum(found["targets"]) >= 0.49 * whole
+    assert min(shares) > 0.25 and all(b > 0.55 * a for a, b in zip(shares, shares[1:], strict=False))
 
 
 # -- decontamination: tiles and coverage

@@ -43,8 +43,8 @@ TOLERANCE = 1e-9
 SAMPLED = 1e-4
 #: Rounds without a better residual after which the targets count as out of reach.
 PATIENCE = 8
-#: A target domain with less than this share of its target in the corpus can't be mixed to.
-SCARCE = 0.05
+#: Of all tokens, the share that `sample` keeps at least, whether or not that repeats no domain.
+LEAST_KEPT = 0.5
 STEPS = 300
 MOST_DOMAINS = 32
 BATCH_BYTES = 1 << 19
@@ -135,13 +135,15 @@ def _rate(steps: list[np.ndarray], most: float | None = None) -> Column:
     return F.aggregate(rounds, F.lit(1.0), lambda rate, u: cut(reduce(Column.__add__, [F.col(f"p{k}") * u[k] for k in range(len(steps[0]))], rate)))
 
 
-def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, tolerance: float = TOLERANCE) -> tuple[Column, dict]:
+def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None = None, most: float | None = None, tolerance: float = TOLERANCE, least: float = 0.0) -> tuple[Column, dict]:
     """The rate as a column over `table` (posteriors), and the fit's totals. The budget in tokens is all tokens,
-    or with budget=-1 a hundredth less than the most that gives no domain a greater total than it has. The projection
+    or with budget=-1 a hundredth less than the most that gives no domain a greater total than it has, but at least the
+    share `least` of all tokens. The projection
     keeps rates from zero to `most`. Each round whitens by the documents whose rates are inside these bounds, so bounds
     that hold many documents don't slow the fit; a round that misses by more is tried again with half its step. Rounds
     go on until the targets are met to the tolerance, or, where bounds keep them out of reach, until PATIENCE rounds
-    have not brought the residual (the largest miss over the targets' sum) down by a tenth; the best rates stand."""
+    have not brought the distance down by a tenth; the best rates stand. The residual is the largest miss over the targets'
+    sum."""
     weights = np.array(list(_targets(targets).values()))
     n = len(weights)
     pairs = [(i, j) for i in range(n) for j in range(i, n)]
@@ -163,22 +165,24 @@ def fit_rates(table: DataFrame, targets: dict[str, float], budget: float | None
     if not tokens:
         return F.lit(1.0), {"rounds": 0, "totals": [0.0] * n, "targets": [0.0] * n, "residual": 0.0}
     if budget == -1:
-        budget = 0.99 * float(min(h / w for h, w in zip(now, weights, strict=True) if w > 0))
+        budget = max(0.99 * float(min(h / w for h, w in zip(now, weights, strict=True) if w > 0)), least * tokens)
     aim = weights * (tokens if budget is None else budget)
     miss = lambda totals: float(np.abs(aim - totals).max() / aim.sum())
+    # Steps are judged by the sum of squares: where one domain is out of reach, the others still come nearer.
+    apart = lambda totals: float(np.linalg.norm(aim - totals) / aim.sum())
     steps: list[np.ndarray] = []
-    least, size, waited = miss(now), 1.0, 0
-    while least > tolerance and waited < PATIENCE:
+    size, waited = 1.0, 0
+    while miss(now) > tolerance and waited < PATIENCE:
         # Residuals are rounded, so that rates do not depend on the order of a sum.
         step = size * (np.linalg.pinv(gram, rcond=1e-12, hermitian=True) @ (aim - now))
         tried = [*steps, np.array([float(f"{v:.9e}") for v in step])]
         _, totals, inner = sums(tried)
-        waited = 0 if miss(totals) < 0.9 * least else waited + 1
-        if miss(totals) < least:
-            steps, now, gram, least, size = tried, totals, inner, miss(totals), 1.0
+        waited = 0 if apart(totals) < 0.9 * apart(now) else waited + 1
+        if apart(totals) < apart(now):
+            steps, now, gram, size = tried, totals, inner, 1.0
         else:
             size /= 2
-    return _rate(steps, most), {"rounds": len(steps), "totals": now.tolist(), "targets": aim.tolist(), "residual": least}
+    return _rate(steps, most), {"rounds": len(steps), "totals": now.tolist(), "targets": aim.tolist(), "residual": miss(now)}
 
 
 def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget: float | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -190,29 +194,27 @@ def mix(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], budget:
     return table.select("doc_id", "tokens", F.array(*[f"p{k}" for k in range(len(model.domains))]).alias("posterior"), rate.alias("rate"), F.lit(float(f"{found['residual']:.3e}")).alias("residual"))
 
 
-def reachable(table: DataFrame, targets: dict[str, float]) -> dict[str, float]:
-    """The targets, but with their present share for domains of which the corpus holds under SCARCE of the target, and a
-    warning: mixing down to a domain that is nearly missing would drop nearly all documents."""
-    weights = _targets(targets)
-    sums = table.agg(F.sum("tokens"), *[F.sum(F.col("tokens") * F.col(f"p{k}")) for k in range(len(weights))]).first()
-    scarce = [d for d, (k, w) in zip(weights, enumerate(weights.values()), strict=True) if w > 0 and (sums[k + 1] or 0.0) < SCARCE * w * (sums[0] or 0)]
-    if scarce:
-        warnings.warn(f"too few tokens to mix to {scarce}: kept at their share", stacklevel=2)
-    return {d: (sums[k + 1] or 0.0) / sums[0] if d in scarce else w for k, (d, w) in enumerate(weights.items())} if len(scarce) < len(weights) else weights
-
-
-def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def sampled(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_KEPT) -> tuple[DataFrame, dict]:
     """The documents, with all their columns, each kept with the probability of its rate (by a hash of its id
-    and text), under the greatest budget that repeats no domain; rates are fitted between zero and one, so what is
-    expected to be kept meets the targets. Rows with equal ids and texts share a fate. Domains that are nearly missing
-    keep their share (see reachable)."""
+    and text), and the fit. Rates are fitted between zero and one under the greatest budget that repeats no domain, so what
+    is expected to be kept meets the targets; but if a domain is so scarce that this budget is below the share `least` of
+    all tokens, that share is the budget and the rates come as near to the targets as whole documents allow: the
+    fit's residual tells how near. Rows with equal ids and texts share a fate."""
     model = fit_domains(docs, labelled, targets, id_col, text_col)
     names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the posteriors'
     key = [F.col(names[docs.columns.index(c)]) for c in (id_col, text_col)]
     table = stage(posteriors(docs.toDF(*names), model, names[docs.columns.index(text_col)]), "mix-documents", "zstd")
-    rate, _ = fit_rates(table, reachable(table, targets), budget=-1, most=1.0, tolerance=SAMPLED)
+    rate, found = fit_rates(table, targets, budget=-1, most=1.0, tolerance=SAMPLED, least=least)
     u = F.pmod(F.xxhash64(*key, F.lit("mix")), F.lit(1 << 30)) / float(1 << 30)
-    return table.where(u < rate).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    return table.where(u < rate).select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)]), found
+
+
+def sample(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], id_col: str = "doc_id", text_col: str = "text", least: float = LEAST_KEPT) -> DataFrame:
+    """`sampled` without the fit, of which a residual above the tolerance is a warning."""
+    kept, found = sampled(docs, labelled, targets, id_col, text_col, least)
+    if found["residual"] > SAMPLED:
+        warnings.warn(f"the targets are missed by {found['residual']:.3g} of the kept tokens: totals {found['totals']} for {found['targets']}", stacklevel=2)
+    return kept
 
 
 def languages(docs: DataFrame, labels: DataFrame) -> DataFrame:
