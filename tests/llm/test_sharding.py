@@ -41,6 +41,38 @@ def test_rebalancing_moves_slots_only_to_the_new_shard(spark, prose):
     assert 0.1 < share <= 0.2
 
 
+def test_new_loads_edit_the_stored_map(spark, prose, tmp_path):
+    folder = f"file://{tmp_path}/maps"
+    docs = spark.createDataFrame([(i, prose(i % 50, 10 + i % 40)) for i in range(3000)], "doc_id long, text string")
+    few = docs.where("doc_id < 2970")
+    at = lambda df: {r.doc_id: r.shard for r in df.collect()}
+    loads = lambda df: [r[0] for r in df.groupBy("shard").agg(S.F.sum("size")).orderBy("shard").collect()]
+    old, new = S.shard(few, folder=folder), S.shard(docs, folder=folder)
+    assert {r.map_version for r in new.select("map_version").distinct().collect()} == {2}
+    before, after = at(old), at(new)
+    assert sum(before[i] != after[i] for i in before) < 0.02 * len(before)
+    fullest = S.slot_loads(S.sized(docs)).agg(S.F.max("bytes")).first()[0]
+    assert max(loads(new)) - min(loads(new)) <= 2 * fullest
+    # Two shards fewer: only what they held moves, but for what evens the others out.
+    fewer = S.shard(docs, 6, folder=folder)
+    left = at(fewer)
+    assert set(left.values()) == set(range(6)) and max(loads(fewer)) - min(loads(fewer)) <= 2 * fullest
+    assert sum(after[i] != left[i] for i in after if after[i] < 6) < 0.02 * len(after)
+    again = at(S.shard(docs, 8, folder=folder))  # and more again
+    assert set(again.values()) == set(range(8)) and sum(again[i] != left[i] for i in left) < 0.3 * len(left)
+
+
+def test_growth_moves_rows_only_to_the_new_shard(spark):
+    import os
+
+    import pytest
+
+    if not os.path.isdir("/root/testdata/sf0.001"):
+        pytest.skip("the driver's tables are not here")
+    out = S.shard_growth(spark, "/root/testdata/sf0.001").collect()
+    assert {r.grown_shard for r in out if r.grown_shard != r.shard} == {8} and {r.shard for r in out} == set(range(8))
+
+
 def test_odd_and_empty_tables(odd, none, odd_rows):
     out = S.shard(odd).collect()
     assert len(out) == len(odd_rows) and {r.size for r in out if r.doc_id == 0} == {1}

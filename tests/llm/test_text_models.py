@@ -254,6 +254,17 @@ def test_crossing_tokens_follow_the_rule():
 # -- chat
 
 
+def test_calls_and_results_without_an_identifier_stay(spark):
+    calls = spark.createDataFrame([(1, None, 1, "f", '{"x":1}', ["a"], "k"), (1, None, 3, "f", '{"x":2}', [], "k"), (1, "a", 2, "f", '{"x":3}', [], "k"), (2, None, None, None, None, None, None)], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>, status string")
+    results = spark.createDataFrame([(1, None, 4, "r"), (1, None, 4, "r"), (1, "a", 3, "z" * 3_000_000)], "conv_id long, call_id string, turn long, content string")
+    out = C.formatted(calls, results.withColumn("position", results.turn), {"f": {"type": "object"}}).collect()
+    assert len(out) == 6 and sorted((r.conv_id, r.position) for r in out) == [(1, k) for k in range(5)] + [(2, 0)]
+    mine = sorted((r for r in out if r.conv_id == 1), key=lambda r: r.position)
+    assert [r.status for r in mine] == ["unanswered", "linked", "unanswered", "orphan", "orphan"]
+    assert [json.loads(r.json)["call"]["arguments"]["x"] for r in mine[:3]] == [1, 3, 2] and all(r.n_calls == 1 for r in mine[:3])
+    assert len(json.loads(mine[1].json)["result"]["content"]) == 3_000_000
+
+
 def test_calls_are_linked_ordered_and_validated(spark):
     calls = spark.createDataFrame([(1, "a", 5, "f", '{"x":1}', ["b"]), (1, "b", 7, "f", '{"x":2}', ["c"]), (1, "c", 9, "f", "{}", []), (1, "d", 1, "f", "oops", ["zz"]), (2, "p", 1, "g", "{}", ["q"]), (2, "q", 2, "f", '{"x": 3}', ["p"]), (3, "s", 1, "f", '{"x":4,"é":null}', None), (3, "s", 1, "f", '{"x":4,"é":null}', None), (None, "t", 1, "f", None, [])], "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
     results = spark.createDataFrame([(1, "a", 6, "ra"), (1, "a", 8, "rb"), (1, "y", 8, "o"), (2, "p", 4, None), (3, None, 5, "n")], "conv_id long, call_id string, turn long, content string")

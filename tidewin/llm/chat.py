@@ -11,7 +11,8 @@ Positions are numbered over range partitions, so a conversation with a third of
 Arguments are parsed and checked against the tool's JSON schema, and each call with its result becomes one line of
 canonical JSON: keys sorted, no spaces, unescaped UTF-8.
 
-Defined cases: identifiers that are null match nothing; of repeated calls or results with one identifier
+Defined cases: a call or result whose identifier is null matches nothing and is a row of its own, placed by its turn
+alone (what it depends on is not followed); of repeated calls or results with one identifier
 the first (turn, then text) stands and `n_calls`, `n_results` count them; calls without a result are
 `unanswered`, results without a call `orphan`; dependencies that name no call of the conversation make a
 call `dangling` but don't order it; arguments that aren't JSON, or a tool without schema, are invalid; null
@@ -73,9 +74,12 @@ def canonical(value: object) -> str:
 
 def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     """conv_id, call_id, turn, name, arguments, depends_on, n_calls, result, n_results and status."""
-    c = calls.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c"), F.count(F.lit(1)).alias("n_calls"))
-    r = results.groupBy("conv_id", "call_id").agg(F.min(F.struct("turn", "content")).alias("r"), F.count(F.lit(1)).alias("n_results"))
+    known, call, result = "call_id is not null", F.struct("turn", "name", "arguments", "depends_on"), F.struct("turn", "content")
+    c = calls.where(known).groupBy("conv_id", "call_id").agg(F.min(call).alias("c"), F.count(F.lit(1)).alias("n_calls"))
+    r = results.where(known).groupBy("conv_id", "call_id").agg(F.min(result).alias("r"), F.count(F.lit(1)).alias("n_results"))
     both = c.join(r, ["conv_id", "call_id"], "full_outer")
+    nameless = calls.where(f"not ({known})").select("conv_id", "call_id", call.alias("c"), F.lit(1).cast("long").alias("n_calls"))
+    both = both.unionByName(nameless, True).unionByName(results.where(f"not ({known})").select("conv_id", "call_id", result.alias("r"), F.lit(1).cast("long").alias("n_results")), True)
     status = F.when(F.col("c").isNull(), "orphan").when(F.col("r").isNull(), "unanswered").otherwise("linked")
     return both.select(
         "conv_id", "call_id", F.coalesce("c.turn", "r.turn").alias("turn"), F.col("c.name").alias("name"), F.col("c.arguments").alias("arguments"),

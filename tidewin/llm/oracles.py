@@ -104,4 +104,12 @@ c AS (SELECT r, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum
 SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM k JOIN c USING (r), h"""
 
 
-ORACLES = {"op1_sharding": SHARDING, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN, "op13_collocations": COLLOCATIONS}
+#: The map of eight shards, and the slots of each that go to a ninth.
+GROWTH = (
+    SHARDING[: SHARDING.index("\nbase AS")]
+    + f"""
+parts AS (SELECT deal.v, shard, bytes, coalesce(sum(bytes) OVER (PARTITION BY shard ORDER BY md5(deal.v::VARCHAR), deal.v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, sum(bytes) OVER (PARTITION BY shard) AS load FROM deal JOIN every USING (v))
+SELECT doc_id, size, text_crc32, s.v AS virtual_slot, shard, CASE WHEN before + bytes <= load::DOUBLE / {SHARDS + 1} THEN {SHARDS} ELSE shard END::INT AS grown_shard FROM s JOIN parts USING (v)"""
+)
+
+ORACLES = {"op1_sharding": SHARDING, "shard_growth": GROWTH, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN, "op13_collocations": COLLOCATIONS}

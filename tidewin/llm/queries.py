@@ -8,7 +8,7 @@ from .mixing import op6_mixing
 from .oracles import ORACLES
 from .quality_mil import op3_quality_mil
 from .quality_rules import op2_quality_rules
-from .sharding import op1_sharding
+from .sharding import op1_sharding, shard_growth
 from .simhash import op9_simhash
 from .suffix_dedup import op4_suffix_dedup
 from .token_counts import op10_token_counts
@@ -30,6 +30,7 @@ QUERIES = {
     "op12_debruijn_dedup": op12_debruijn_dedup,
     "op13_collocations": op13_collocations,
     "chat_call_order": chat_call_order,
+    "shard_growth": shard_growth,
 }
 
 __all__ = ["ORACLES", "QUERIES"]

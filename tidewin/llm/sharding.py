@@ -3,13 +3,15 @@
 A record's virtual slot is a hash of its key and text modulo a fixed number of slots (thousands, whatever the
 number of shards). Bytes are summed by slot, and only the slots, never the rows, are dealt to shards: version 1 of
 the map deals them from the heaviest down, each to the lightest shard so far. Maps are kept in a folder, one table
-for each version; `place` puts rows by a stored map, and `grow` loads the newest version, moves single slots to the
-new shard and stores the next one. A map has one row for each slot, so its size is bounded by the number of slots at
+for each version, and later versions are edits: where loads or the number of shards have changed, slots stay where
+they are but for those that a shard holds above its share, which go to the lightest shards (`edited`), or, to grow by
+a shard under any loads, slots move to the new shard alone (`grow`). `place` puts rows by a stored map. A map has one row for each slot, so its size is bounded by the number of slots at
 any data size, and it is the only side that is broadcast.
 
 Defined cases: a null text has no bytes (size 1) and the CRC of the empty string; a null key takes part in the hash
 as null, so rows without a key, or with one and the same, are spread by their texts; rows that are equal in key
-and text share a slot, and get positions in any order; an empty table gives an empty result and a map that deals
+and text share a slot, and get positions in any order, so shards are equal only to about the bytes of the fullest slot,
+however many equal rows that holds; a text of any length is one row of its slot; an empty table gives an empty result and a map that deals
 empty slots in turn; columns other than the key and the text are not read, so their names can't clash.
 """
 
@@ -47,29 +49,58 @@ def slot_loads(rows: DataFrame, slots: int = SLOTS) -> DataFrame:
     return every.join(F.broadcast(loads), "virtual_slot", "left").na.fill(0, ["bytes", "rows"])
 
 
-def first_map(loads: DataFrame, shards: int = SHARDS, version: int = 1) -> DataFrame:
-    """A map from nothing: slots from the heaviest down, each to the lightest shard (ties: fewer slots, lower shard)."""
-    ordered = loads.agg(F.reverse(F.sort_array(F.collect_list(F.struct("bytes", F.expr("-virtual_slot").alias("minus"), "rows")))).alias("s"))
-    # A shard's state is (bytes, slots, shard), so array_min names the lightest one.
-    start = f"transform(sequence(0, {shards - 1}), k -> named_struct('bytes', 0L, 'slots', 0, 'shard', k))"
-    dealt = ordered.selectExpr(
-        f"""aggregate(s, named_struct('state', {start}, 'to', cast(array() as array<int>)),
+#: A shard's state is (bytes, slots, shard), so array_min names the lightest one.
+_NOTHING = "transform(sequence(0, {last}), k -> named_struct('bytes', 0L, 'slots', 0, 'shard', k))"
+
+
+def _dealt(slots: DataFrame, state: DataFrame) -> DataFrame:
+    """virtual_slot, shard, bytes and rows: the slots from the heaviest down, each to the lightest shard (ties: fewer slots,
+    lower shard). `state` is one row of what the shards hold before, `slots` at most a map's rows."""
+    ordered = slots.agg(F.reverse(F.sort_array(F.collect_list(F.struct("bytes", F.expr("-virtual_slot").alias("minus"), "rows")))).alias("s"))
+    dealt = ordered.crossJoin(F.broadcast(state)).selectExpr(
+        """aggregate(s, named_struct('state', state, 'to', cast(array() as array<int>)),
             (acc, x) -> named_struct(
                 'state', transform(acc.state, (v, k) -> if(k = array_min(acc.state).shard, named_struct('bytes', v.bytes + x.bytes, 'slots', v.slots + 1, 'shard', k), v)),
                 'to', array_append(acc.to, array_min(acc.state).shard))).to as to""",
         "s",
     )
     pairs = dealt.select(F.explode(F.arrays_zip("s", "to")).alias("z"))
-    return pairs.select((-F.col("z.s.minus")).cast("int").alias("virtual_slot"), F.col("z.to").alias("shard"), F.col("z.s.bytes").alias("bytes"), F.col("z.s.rows").alias("rows"), F.lit(version).alias("version"))
+    return pairs.select((-F.col("z.s.minus")).cast("int").alias("virtual_slot"), F.col("z.to").alias("shard"), F.col("z.s.bytes").alias("bytes"), F.col("z.s.rows").alias("rows"))
+
+
+def first_map(loads: DataFrame, shards: int = SHARDS, version: int = 1) -> DataFrame:
+    """A map from nothing."""
+    nothing = loads.sparkSession.range(1).selectExpr(f"{_NOTHING.format(last=shards - 1)} as state")
+    return _dealt(loads, nothing).withColumn("version", F.lit(version))
+
+
+def _before(*by: str) -> Column:
+    """The bytes of the slots that stand before this one in the order of a hash, in the same group."""
+    order = Window.partitionBy(*by).orderBy(F.md5(F.col("virtual_slot").cast("string")), "virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
+    return F.coalesce(F.sum("bytes").over(order), F.lit(0))
+
+
+def edited(slot_map: DataFrame, loads: DataFrame, shards: int) -> DataFrame:
+    """The next version for these loads and this number of shards: of a shard that holds more than its share, slots in the
+    order of a hash go while it still holds its share without them, and a shard that is no more gives all. What goes is
+    dealt as in a first map, on top of what stays."""
+    version = slot_map.select((F.col("version") + 1).alias("version")).limit(1)
+    rows = loads.join(F.broadcast(slot_map.select("virtual_slot", "shard")), "virtual_slot")
+    share = F.sum("bytes").over(Window.partitionBy()) / F.lit(shards)  # over the map's rows
+    above = F.sum("bytes").over(Window.partitionBy("shard")) - share
+    goes = (F.col("shard") >= shards) | (F.col("bytes") > 0) & (_before("shard") + F.col("bytes") <= above)
+    rows = rows.withColumn("goes", goes)
+    held = rows.where("not goes").groupBy(F.col("shard").cast("long").alias("id")).agg(F.sum("bytes").alias("bytes"), F.count(F.lit(1)).cast("int").alias("slots"))
+    every = rows.sparkSession.range(shards).join(F.broadcast(held), "id", "left").na.fill(0, ["bytes", "slots"])
+    state = every.agg(F.transform(F.sort_array(F.collect_list(F.struct("id", "bytes", "slots"))), lambda x: F.struct(x["bytes"].alias("bytes"), x["slots"].alias("slots"), x["id"].cast("int").alias("shard"))).alias("state"))
+    out = rows.where("not goes").select("virtual_slot", "shard", "bytes", "rows").unionByName(_dealt(rows.where("goes"), state))
+    return out.crossJoin(F.broadcast(version)).select("virtual_slot", "shard", "bytes", "rows", "version")
 
 
 def rebalance(slot_map: DataFrame, shards: int) -> DataFrame:
     """The next version for one shard more (`shards` is the new number): from each old shard, slots in order
     of a hash go to the new shard until it has its share; no slot moves between old shards."""
-    old = Window.partitionBy("shard").orderBy(F.xxhash64("virtual_slot"), "virtual_slot").rowsBetween(Window.unboundedPreceding, -1)
-    total = Window.partitionBy("shard")
-    before = F.coalesce(F.sum("bytes").over(old), F.lit(0))
-    moved = before + F.col("bytes") <= F.sum("bytes").over(total) / F.lit(shards)
+    moved = _before("shard") + F.col("bytes") <= F.sum("bytes").over(Window.partitionBy("shard")) / F.lit(shards)
     return slot_map.select("virtual_slot", F.when(moved, F.lit(shards - 1)).otherwise(F.col("shard")).alias("shard"), "bytes", "rows", (F.col("version") + 1).alias("version"))
 
 
@@ -117,7 +148,7 @@ def place(rows: DataFrame, slot_map: DataFrame, slots: int = SLOTS) -> DataFrame
 
 def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_col: str = "text", slots: int = SLOTS, folder: str | None = None) -> DataFrame:
     """doc_id, size, text_crc32, virtual_slot, shard, slot and map_version, under the `bytes` law. The folder's newest
-    map serves if it deals these very loads to as many shards; else a new version is dealt from the loads and stored.
+    map serves if it deals these very loads to as many shards; else it is edited for them and stored as its next version.
     Without a folder the map is stored in a new one below the shared folder."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
@@ -128,7 +159,7 @@ def shard(docs: DataFrame, shards: int = SHARDS, id_col: str = "doc_id", text_co
         kept = stored.agg(F.max("version").alias("version"), F.max("shard").alias("shard")).first()
         other = loads.join(F.broadcast(stored), ["virtual_slot", "bytes", "rows"], "left_anti")
         if kept.shard != shards - 1 or not other.isEmpty():
-            stored = store_map(first_map(loads, shards, kept.version + 1), folder)
+            stored = store_map(edited(stored, loads, shards), folder)
     else:
         stored = store_map(first_map(loads, shards), folder)
     return place(rows, stored, slots)
@@ -139,3 +170,13 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = f"{shared_dir(spark)}/slot-maps/documents-{zlib.crc32(sf_dir.encode()):08x}"
     out = shard(spark.read.parquet(f"{sf_dir}/documents.parquet"), folder=folder)
     return out.drop("map_version").withColumn("law", F.lit("bytes")).withColumn("grown_shard", F.lit(None).cast("int"))
+
+
+def shard_growth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents' shards by a stored map of eight shards, and by its next version, which a ninth has been added to."""
+    folder = f"{shared_dir(spark)}/slot-maps/{uuid.uuid4().hex}"
+    rows = sized(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    first = store_map(first_map(slot_loads(rows)), folder)
+    grown = grow(spark, folder)
+    maps = first.select("virtual_slot", F.col("shard").cast("int").alias("shard")).join(grown.select("virtual_slot", F.col("shard").cast("int").alias("grown_shard")), "virtual_slot")
+    return rows.join(F.broadcast(maps), "virtual_slot").select("doc_id", "size", "text_crc32", "virtual_slot", "shard", "grown_shard")
