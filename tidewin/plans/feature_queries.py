@@ -176,8 +176,8 @@ def recording_features(spark: S, sf: str) -> D:
     beside = rows.groupBy("piece", "first_sample").agg(F.sort_array(F.collect_list(F.struct("channel", "samples"))).alias("c")).where(F.size("c") == len(CHANNELS))
     # A minute's windows stand end to end in a row; the windows of a cut last minute stand there as well.
     piece = beside.groupBy("piece").agg(F.sort_array(F.collect_list(F.struct("first_sample", "c"))).alias("w"))
-    signals = F.array(*[F.flatten(F.transform("w", lambda x, k=k: x["c"][k]["samples"])) for k in range(len(CHANNELS))])
-    wide = X.recording_features(piece.select("piece", signals.alias("signals")).repartition("piece"), ["piece"], CHANNELS, 256.0, clean=None)
+    signal = lambda k: F.flatten(F.transform("w", lambda x: x["c"][k]["samples"]))
+    wide = X.recording_features(piece.select("piece", F.array(*map(signal, range(len(CHANNELS)))).alias("signals")).repartition("piece"), ["piece"], CHANNELS, 256.0, clean=None)
     names = K.feature_names(CHANNELS)
     return rounded(wide.select((F.col("piece") * PIECE + F.col("start_sec") / 4).cast("int").alias("window"), *names), 9)
 
