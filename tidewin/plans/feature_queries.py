@@ -10,6 +10,7 @@ from ..functions.columns import feature_part, ratio
 from ..operators import chunks as H
 from ..operators import evaluation as E
 from ..operators import features as X
+from ..operators import measures as M
 from ..operators import relational as R
 from . import base as B
 from .evaluation_queries import rounded
@@ -23,15 +24,23 @@ def signals(spark: S, sf: str) -> D:
 
 
 def time_features(spark: S, sf: str) -> D:
-    return rounded(X.per_signal(signals(spark, sf), ["vec_id"], "samples", lambda x: dict(zip(K.MEASURES["time"], K.time_features(x).T, strict=True)), list(K.MEASURES["time"])))
+    return rounded(M.time_features(signals(spark, sf), ["vec_id"], "samples"))
 
 
 def hjorth_features(spark: S, sf: str) -> D:
-    return rounded(X.per_signal(signals(spark, sf), ["vec_id"], "samples", lambda x: dict(zip(K.MEASURES["hjorth"], K.hjorth(x).T, strict=True)), list(K.MEASURES["hjorth"])))
+    return rounded(M.hjorth_features(signals(spark, sf), ["vec_id"], "samples"))
 
 
 def permutation_entropy(spark: S, sf: str) -> D:
-    return rounded(X.per_signal(signals(spark, sf), ["vec_id"], "samples", lambda x: {"perm": K.permutation_entropy(x)}, ["perm"]))
+    return rounded(M.permutation_entropy(signals(spark, sf), ["vec_id"], "samples"))
+
+
+def sliding_measures(spark: S, sf: str) -> D:
+    """Time and Hjorth measures of windows of 256 samples, one at every 64, over the recording of 22 channels that holds every
+    stored vector: a vector is a pane."""
+    width = len(CHANNELS)
+    panes = signals(spark, sf).select((F.col("vec_id") % width).cast("int").alias("channel"), F.floor(F.col("vec_id") / width).alias("pane"), "samples")
+    return rounded(M.window_measures(M.pane_summaries(panes, ["channel"], "pane", "samples"), ["channel"], 4, 1))
 
 
 def welch_spectrum(spark: S, sf: str) -> D:
@@ -72,26 +81,18 @@ def psd_validity(spark: S, sf: str) -> D:
 
 def standardised_mean(spark: S, sf: str) -> D:
     """Standardised samples have mean zero and unit deviation."""
-    def kernel(x):
-        z = K.standardised(x)
-        return {"first": z[:, 0], "sd": z.std(axis=1)}
-
-    return rounded(X.per_signal(signals(spark, sf), ["vec_id"], "samples", kernel, ["first", "sd"]))
+    z = M.standardised(signals(spark, sf), ["vec_id"], "samples")
+    return rounded(z.select("vec_id", F.get("samples", F.lit(0)).alias("first"), F.sqrt(M.variance(F.col("samples"))).alias("sd")))
 
 
 def stride_preservation(spark: S, sf: str) -> D:
     """What a stride of four and straight lines keep of each signal."""
-    def study(x):
-        return [K.preservation(X.np.array(x), K.reconstruct(X.np.array(x), 4))]
-
-    return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "rmse double, normalized_rmse double, correlation double"))
+    return rounded(M.preservation(M.reconstructed(signals(spark, sf), ["vec_id"], "samples", 4), ["vec_id"]))
 
 
 def antialiased_preservation(spark: S, sf: str) -> D:
-    def study(x):
-        return [K.preservation(X.np.array(x), K.reconstruct(X.np.array(x), 4, "antialiased"))]
-
-    return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "rmse double, normalized_rmse double, correlation double"))
+    """The same of each signal's low-pass."""
+    return rounded(M.preservation(M.reconstructed(signals(spark, sf), ["vec_id"], "samples", 4, True), ["vec_id"]))
 
 
 def _channels(spark: S, sf: str) -> D:
@@ -140,11 +141,9 @@ def top_features(spark: S, sf: str) -> D:
 
 def feature_changes(spark: S, sf: str) -> D:
     """Time features of strided signals against the clean ones, by stride."""
-    names = list(K.MEASURES["time"])
 
     def measured(stride: int) -> D:
-        kept = F.filter("samples", lambda _, i: i % stride == 0) if stride > 1 else F.col("samples")
-        wide = X.per_signal(signals(spark, sf).withColumn("samples", kept), ["vec_id"], "samples", lambda x: dict(zip(names, K.time_features(x).T, strict=True)), names)
+        wide = M.time_features(signals(spark, sf).withColumn("samples", M.kept_every(F.col("samples"), stride)), ["vec_id"], "samples")
         return X.features_long(wide, ["vec_id"]).withColumn("stride", F.lit(stride))
 
     return rounded(E.feature_changes(measured(2).unionByName(measured(4)), measured(1), ["vec_id"], ["stride"]))
@@ -219,7 +218,7 @@ def coloured_noise(spark: S, sf: str) -> D:
     return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "beta int, k int, x double"))
 
 
-QUERIES = {f.__name__: f for f in (short_filter, coloured_noise, feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
+QUERIES = {f.__name__: f for f in (sliding_measures, short_filter, coloured_noise, feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
 
 _X = "x AS (SELECT vec_id, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i))"
 
@@ -322,6 +321,13 @@ def _through(out: str, x: str, taps: str, half: int, removed: bool) -> str:
 
 
 ORACLES = {
+    "sliding_measures": f"""WITH x AS (SELECT vec_id % {len(CHANNELS)} AS channel, vec_id // {len(CHANNELS)} * 64 + i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i)),
+n AS (SELECT channel, max(k) // 64 + 1 AS n FROM x GROUP BY 1),
+w AS (SELECT channel, "window", k, v FROM x JOIN n USING (channel), unnest(generate_series(greatest(k // 64 - 3, 0), least(k // 64, n - 4))) u("window")),
+d AS (SELECT *, v - lag(v) OVER o AS d FROM w WINDOW o AS (PARTITION BY channel, "window" ORDER BY k)),
+e AS (SELECT *, d - lag(d) OVER o AS e FROM d WINDOW o AS (PARTITION BY channel, "window" ORDER BY k)),
+m AS (SELECT channel, "window", avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, sum(abs(d)) AS line_length, var_pop(v) AS v0, var_pop(d) AS v1, var_pop(e) AS v2 FROM e GROUP BY 1, 2)
+SELECT channel::INT AS channel, "window", round(mean, 6) AS mean, round(std, 6) AS std, round(rms, 6) AS rms, round(ptp, 6) AS ptp, round(line_length, 6) AS line_length, round(v0, 6) AS activity, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) AS complexity FROM m""",
     "recording_filter": f"""WITH x AS (SELECT vec_id % {len(CHANNELS)} AS c, vec_id // {len(CHANNELS)} * 64 + i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i)),
 {_fir("hum", 59.35, 60.65, 423)}, {_fir("band", 0.5, 45.0, 423)},
 {_through("y", "x", "hum", 423, True)}, {_through("z", "y", "band", 423, False)}
