@@ -5,7 +5,7 @@
     python -m tidewin environment
     python -m tidewin prepare --recordings DIR --summaries DIR --output DIR
     python -m tidewin validate --features DIR
-    python -m tidewin evaluate --features DIR --output ROOT --run-id ID --kind ml|kd [--model NAME] [--tune] [--seeds 42 43] [--epochs 40]
+    python -m tidewin evaluate --features DIR --output ROOT --run-id ID --kind ml|kd [--models NAME..] [--test-patients P..] [--tune] [--seeds 42 43] [--epochs 40]
     python -m tidewin report --run DIR
     python -m tidewin infer --bundle DIR --output DIR (--features DIR | --edf DIR) [--patient P] [--recording FILE] [--compare-evaluation RUN]
     python -m tidewin analyse --edf DIR --patient P --recording FILE --starts S.. --channel C --output ROOT --run-id ID
@@ -114,6 +114,17 @@ def table_specification(spark: SparkSession, path: str) -> dict | None:
         return None
 
 
+def dataset(spark: SparkSession, path: str) -> str | None:
+    """What tells a table's recordings, their bytes and annotations from any other's: the number and a sum of hashes of the
+    identities that `prepare` keeps; None for a table without them."""
+    marks = sinks._stored(spark, f"{path}/_done")
+    if marks is None:
+        return None
+    last = marks.groupBy(*FILE).agg(F.max(F.struct("at", "identity")).alias("m"))
+    row = last.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64(*FILE, "m.identity").cast("decimal(38,0)")).alias("s")).first()
+    return fingerprint({"recordings": row.n, "sum": str(row.s)})
+
+
 def table(spark: SparkSession, path: str) -> DataFrame:
     """A feature table, in the order of its names."""
     rows = sinks.checkpointed(spark, path, FILE)
@@ -128,13 +139,17 @@ def evaluate(spark: SparkSession, o: argparse.Namespace) -> None:
     if o.kind == "kd":
         keyed = rows.withColumn("_key", F.to_json(F.struct(*windows.KEYS)))
         spec = table_specification(spark, o.features)
-        facts = {"specification": spec} if spec else {}
-        scores = models.four_arms(keyed, names, "patient", "_key", META, tuple(o.seeds), min(models.TOP, len(names)), o.epochs, f"{folder}/bundles", facts)
+        facts = {"specification": spec, "dataset": dataset(spark, o.features)} if spec else {}
+        scores = models.four_arms(keyed, names, "patient", "_key", META, tuple(o.seeds), min(models.TOP, len(names)), o.epochs, f"{folder}/bundles", facts, o.test_patients)
     else:
-        scores = models.leave_one_out(rows, names, "patient", o.model, META).withColumns({"seed": F.lit(models.SEED), "threshold": F.lit(models.THRESHOLD)})
+        scores = None
+        for name in dict.fromkeys(o.models or [o.model]):
+            own = models.leave_one_out(rows, names, "patient", name, META, o.test_patients)
+            scores = own if scores is None else scores.unionByName(own)
+        scores = scores.withColumns({"seed": F.lit(models.SEED), "threshold": F.lit(models.THRESHOLD)})
         if o.tune:
-            best = evaluation.tuned_thresholds(scores, [], "patient").select(F.col("test_group").alias("patient"), "threshold")
-            scores = scores.drop("threshold").join(best, "patient")
+            best = evaluation.tuned_thresholds(scores, ["model"], "patient").select("model", F.col("test_group").alias("patient"), "threshold")
+            scores = scores.drop("threshold").join(best, ["model", "patient"])
         scores = scores.withColumn("prediction", (F.col("score") >= F.col("threshold")).cast("int"))
     sinks.write_table(scores, f"{folder}/predictions")
     stored = spark.read.parquet(f"{folder}/predictions")
@@ -143,7 +158,7 @@ def evaluate(spark: SparkSession, o: argparse.Namespace) -> None:
     sinks.write_table(evaluation.measured(stored, ["model", "seed"]), f"{folder}/pooled")
     if o.kind == "kd":
         sinks.write_table(evaluation.paired_effects(spark.read.parquet(f"{folder}/per_patient"), ["seed", "patient"], "model", models.COMPARISONS), f"{folder}/paired_effects")
-    sinks.write_json(spark, {"status": "complete", "kind": o.kind, "model": o.model, "tuned": o.tune, "seeds": o.seeds, "environment": environment()}, f"{folder}/manifest")
+    sinks.write_json(spark, {"status": "complete", "kind": o.kind, "models": list(models.ARMS) if o.kind == "kd" else list(dict.fromkeys(o.models or [o.model])), "test_patients": o.test_patients, "tuned": o.tune, "seeds": o.seeds, "environment": environment()}, f"{folder}/manifest")
 
 
 def report(spark: SparkSession, run: str) -> str:
@@ -184,6 +199,8 @@ def infer(spark: SparkSession, o: argparse.Namespace) -> int:
     else:
         if spec is not None and spec != table_specification(spark, o.features):
             raise ValueError("the bundle and the table have different specifications")
+        if (taught_on := bundle.facts.get("dataset")) is not None and taught_on != dataset(spark, o.features):
+            raise ValueError("the bundle was made from another dataset than the table")
         rows = _named(table(spark, o.features), o)
     held_out = F.when(F.col("patient").isin(taught), F.raise_error(F.concat(F.lit("the bundle was trained on "), F.col("patient")))).otherwise(F.lit(True))
     rows = rows.where(held_out) if taught else rows
@@ -285,6 +302,8 @@ def parser() -> argparse.ArgumentParser:
     p["query"].add_argument("--output")
     p["evaluate"].add_argument("--kind", choices=["ml", "kd"], default="ml")
     p["evaluate"].add_argument("--model", choices=["logistic_regression", "random_forest", "boosted_trees"], default="logistic_regression")
+    p["evaluate"].add_argument("--models", choices=["logistic_regression", "random_forest", "boosted_trees"], nargs="+", help="several in one run")
+    p["evaluate"].add_argument("--test-patients", nargs="+", help="the folds to run; all patients teach")
     p["evaluate"].add_argument("--tune", action="store_true")
     p["evaluate"].add_argument("--seeds", type=int, nargs="+", default=[models.SEED])
     p["evaluate"].add_argument("--epochs", type=int, default=40)
@@ -314,6 +333,8 @@ def main(argv: list[str] | None = None) -> int:
         arguments.error("the four arms are compared at one fixed threshold; --tune is for --kind ml")
     if o.command == "evaluate" and (len(set(o.seeds)) < len(o.seeds) or o.epochs < 1):
         arguments.error("seeds must differ and epochs be positive")
+    if o.command == "evaluate" and o.tune and o.test_patients and len(set(o.test_patients)) < 2:
+        arguments.error("a threshold is tuned on the scores of other patients: name two or more")
     if o.command == "list":
         print("\n".join(sorted(catalogue.QUERIES)))
         return 0

@@ -143,12 +143,19 @@ def random_features(columns: list[str], groups: list[str], held_out: str, base_s
     return [c for c in columns if c in set(drawn)]
 
 
-def leave_one_out(rows: DataFrame, columns: list[str], group: str, name: str, keep: list[str], **how) -> DataFrame:
-    """Out-of-fold scores of every row: each group is scored by a model of all the others. Folds are few (groups), so
-    the driver loops over them; each fit and each scoring is distributed."""
+def held_groups(groups: list, only: list | None) -> list:
+    """The groups to hold out: all, or those named, which must be there."""
+    if missing := sorted(set(only or ()) - set(groups)):
+        raise ValueError(f"no group {missing}")
+    return groups if only is None else [g for g in groups if g in set(only)]
+
+
+def leave_one_out(rows: DataFrame, columns: list[str], group: str, name: str, keep: list[str], only: list | None = None, **how) -> DataFrame:
+    """Out-of-fold scores of every row (or of the groups in `only`): each group is scored by a model of all the others.
+    Folds are few (groups), so the driver loops over them; each fit and each scoring is distributed."""
     groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
     out = None
-    for g in groups:
+    for g in held_groups(groups, only):
         model = Classifier.fit(name, rows.where(F.col(group) != g), columns, **how)
         part = model.score(rows.where(F.col(group) == g), keep).withColumn("model", F.lit(name))
         out = part if out is None else out.unionByName(part)
@@ -355,14 +362,14 @@ def distil(rows: DataFrame, columns: list[str], group: str, key: str, seeds: tup
     return out
 
 
-def four_arms(rows: DataFrame, columns: list[str], group: str, key: str, keep: list[str], seeds: tuple[int, ...] = (SEED,), k: int = TOP, epochs: int = 40, save: str | None = None, facts: dict | None = None, **how) -> DataFrame:
+def four_arms(rows: DataFrame, columns: list[str], group: str, key: str, keep: list[str], seeds: tuple[int, ...] = (SEED,), k: int = TOP, epochs: int = 40, save: str | None = None, facts: dict | None = None, only: list | None = None, **how) -> DataFrame:
     """Out-of-fold scores of the four arms (keep, model, seed, threshold, score, prediction): the teacher, students on
     its k best columns alone and with its soft targets, and a student on k random columns. Teachers, selections and draws
-    are the same for all seeds. With `save`, each fold's bundles go to save/seed/group/arm. Folds are few and run one by
+    are the same for all seeds. `only` limits the held-out groups. With `save`, each fold's bundles go to save/seed/group/arm. Folds are few and run one by
     one; each fit and each scoring is distributed or bounded by MOST_ROWS."""
     groups = [r[0] for r in rows.select(group).distinct().orderBy(group).collect()]
     out = None
-    for g in groups:
+    for g in held_groups(groups, only):
         rest = [h for h in groups if h != g]
         train, test = rows.where(F.col(group) != g), rows.where(F.col(group) == g)
         fitted = Classifier.fit("boosted_trees", train, columns, **how)
