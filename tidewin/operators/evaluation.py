@@ -148,13 +148,6 @@ def seed_averaged(effects: DataFrame, group: list[str], seeds: str, metrics: tup
     return effects.groupBy(*group).agg(F.countDistinct(seeds).alias("seeds"), *[F.avg(m).alias(m) for m in metrics])
 
 
-def folds(rows: DataFrame, group: str) -> DataFrame:
-    """Leave-one-group-out: each row once as test of its own fold, and once as train in every other fold.
-    Groups are listed once, so the copies per row are as many as there are folds."""
-    names = rows.select(F.col(group).alias("test_group")).distinct()
-    return rows.join(F.broadcast(names) if names.count() <= 10_000 else names).withColumn("part", F.when(F.col(group) == F.col("test_group"), "test").otherwise("train"))
-
-
 def fold_counts(rows: DataFrame, group: str, label: str = "label") -> DataFrame:
     """Rows and positives in train and test of each fold, from totals: no row is copied."""
     each = rows.groupBy(F.col(group).alias("test_group")).agg(F.count(F.lit(1)).alias("test_rows"), F.sum(label).alias("test_positive"))

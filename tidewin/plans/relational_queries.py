@@ -241,6 +241,33 @@ def four_arms(spark: S, sf: str) -> D:
     return rounded(V.paired_effects(V.measured(scores, ["model", "seed", "patient"]), ["seed", "patient"], "model", M.COMPARISONS), 4)
 
 
+def _bundle(spark: S, sf: str, kind: str) -> tuple[M.Bundle, D]:
+    """A saved and reloaded bundle of each kind, taught by four patients, and the fifth's rows."""
+    f = _frame(spark, sf)
+    train, folder = f.where("patient <> 'p0'"), f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
+    facts = {"train_groups": ["p1", "p2", "p3", "p4"], "test_groups": ["p0"], "feature_columns": COLUMNS}
+    model = M.StudentModel.fit(train, COLUMNS, "vec_id") if kind == "student" else M.Classifier.fit(kind, train, COLUMNS)
+    model.save(folder, 0.45, **facts)
+    return M.Bundle(spark, folder), f.where("patient = 'p0'")
+
+
+def bundle_decisions(spark: S, sf: str) -> D:
+    """Scores and decisions of a held-out patient's rows by reloaded bundles of a regression and of a student."""
+    out = None
+    for kind in ("logistic_regression", "student"):
+        bundle, rows = _bundle(spark, sf, kind)
+        part = bundle.decide(rows.drop("patient"), ["vec_id"]).withColumn("model", F.lit(kind))
+        out = part if out is None else out.unionByName(part)
+    return rounded(out, 4)
+
+
+def column_importance(spark: S, sf: str) -> D:
+    """Each column's |coefficient|, and what the reloaded bundle says of its size."""
+    bundle, _ = _bundle(spark, sf, "logistic_regression")
+    sizes = bundle.sizes()
+    return rounded(spark.createDataFrame(bundle.model.importance(), "feature string, importance double"), 4).withColumn("parameters", F.lit(sizes["parameters"]))
+
+
 def parity_faults(spark: S, sf: str) -> D:
     """Documents whose score or decision differs between two models beyond the tolerance."""
     p = B.predictions(spark, sf).where("seed = 42")
@@ -350,27 +377,60 @@ def filtered_recordings(spark: S, sf: str) -> D:
 
 # -- sources and streams ---------------------------------------------------------------------------------------
 
-SUMMARY = """Data Sampling Rate: 256 Hz
+def _summaries(spark: S, sf: str) -> D:
+    """Summary texts of the patients' recordings, an entry for each: its name, the number of its intervals, and their
+    starts and ends, numbered where there are several."""
+    i = B.intervals(spark, sf).withColumns({"n": F.count(F.lit(1)).over(Window.partitionBy("patient", "file")), "k": F.row_number().over(Window.partitionBy("patient", "file").orderBy("start_sec"))})
+    number = F.when(F.col("n") > 1, F.format_string("Seizure %d", F.col("k"))).otherwise(F.lit("Seizure"))
+    line = lambda which, at: F.concat(number, F.lit(f" {which} Time: "), F.col(at).cast("int").cast("string"), F.lit(" seconds\n"))
+    said = i.groupBy("patient", "file").agg(F.sort_array(F.collect_list(F.struct("k", F.concat(line("Start", "start_sec"), line("End", "end_sec")).alias("t")))).alias("l"))
+    entry = B.recordings(spark, sf).join(said, ["patient", "file"], "left").select("patient", "file", F.coalesce(F.size("l"), F.lit(0)).alias("n"), F.coalesce(F.array_join(F.transform("l", lambda x: x["t"]), ""), F.lit("")).alias("t"))
+    text = F.concat(F.lit("Data Sampling Rate: 1 Hz\n\nFile Name: "), F.col("file").cast("string"), F.lit(".edf\nNumber of Seizures in File: "), F.col("n").cast("string"), F.lit("\n"), F.col("t"))
+    return entry.select("patient", "file", text.alias("text"))
 
-File Name: a_01.edf
-Number of Seizures in File: 0
 
-File Name: a_04.edf
-Number of Seizures in File: 1
-Seizure Start Time: 512 seconds
-Seizure End Time: 549 seconds
+def annotation_parse(spark: S, sf: str) -> D:
+    """Every recording's annotations, written as summary texts into files and parsed again."""
+    folder = f"{shared_dir(spark)}/summaries-{uuid.uuid4().hex}"
+    _summaries(spark, sf).select("text").write.text(folder)
+    return E.parse_summaries(spark.read.text(folder, wholetext=True).withColumnRenamed("value", "text"))
 
-File Name: a_09.edf
-Number of Seizures in File: 2
-Seizure 1 Start Time: 61 seconds
-Seizure 1 End Time: 90 seconds
-Seizure 2 Start Time: 700 seconds
-Seizure 2 End Time: 711 seconds
-"""
 
+def manifest_documents(spark: S, sf: str) -> D:
+    """Customers' orders as JSON documents over several lines, a hundred customers in each, and read again."""
+    folder = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    o = B.read(spark, sf, "orders").select("o_custkey", F.struct("o_orderkey", "o_totalprice", "o_orderstatus").alias("o"), F.floor(F.col("o_custkey") / 100).alias("part"))
+    each = o.groupBy("part", "o_custkey").agg(F.sort_array(F.collect_list("o")).alias("orders"))
+    docs = each.groupBy("part").agg(F.to_json(F.sort_array(F.collect_list(F.struct("o_custkey", "orders"))), {"pretty": "true"}).alias("value"))
+    docs.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    found = E.documents(spark, folder, "o_custkey long, orders array<struct<o_orderkey: long, o_totalprice: double, o_orderstatus: string>>")
+    return found.select("o_custkey", F.explode("orders").alias("o")).select("o_custkey", "o.*")
 
-def annotation_parse(spark: S, sf: str) -> D:
-    return E.parse_summaries(spark.createDataFrame([(SUMMARY,)], "text string"))
+
+def junit_counts(spark: S, sf: str) -> D:
+    """Line items as suites of JUnit reports, a suite for each order and a report for two thousand, and the reports' sums."""
+    folder = f"{shared_dir(spark)}/xml-{uuid.uuid4().hex}"
+    count = lambda c: F.count_if(c).cast("string")
+    suites = B.read(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.count(F.lit(1)).cast("string").alias("t"), count(F.col("l_returnflag") == "R").alias("f"), count(F.col("l_returnflag") == "A").alias("e"), count(F.col("l_linestatus") == "O").alias("s"))
+    line = F.format_string('<testsuite name="%d" tests="%s" failures="%s" errors="%s" skipped="%s"><testcase/></testsuite>', "l_orderkey", "t", "f", "e", "s")
+    report = suites.groupBy(F.floor(F.col("l_orderkey") / 2000)).agg(F.concat(F.lit("<testsuites>"), F.array_join(F.collect_list(line), "\n"), F.lit("</testsuites>")).alias("value"))
+    report.select("value").write.option("maxRecordsPerFile", 1).text(folder)
+    return E.test_counts(spark, folder)
+
+
+def copy_filter(spark: S, sf: str) -> D:
+    """Documents with a label of 1, as they are."""
+    rows = B.read(spark, sf, "documents").select("doc_id", "n_chars").join(B.read(spark, sf, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
+    return sinks.unpaired(rows)
+
+
+def json_manifest(spark: S, sf: str) -> D:
+    """A manifest of the orders' columns, written as one JSON document and read again."""
+    folder = f"{shared_dir(spark)}/manifest-{uuid.uuid4().hex}"
+    o = B.read(spark, sf, "orders").groupBy("o_orderpriority").agg(F.count(F.lit(1)).alias("n"), F.min("o_orderkey").alias("least"), F.max("o_orderkey").alias("most"))
+    sinks.write_json(spark, {r.o_orderpriority: {"n": r.n, "least": r.least, "most": r.most} for r in o.collect()}, folder)
+    found = spark.read.text(folder).select(F.explode(F.from_json("value", "map<string, struct<n: long, least: long, most: long>>")).alias("priority", "v"))
+    return found.select("priority", "v.*")
 
 
 def csv_round_trip(spark: S, sf: str) -> D:
@@ -410,9 +470,9 @@ def checkpointed_items(spark: S, sf: str) -> D:
 
 
 def run_report(spark: S, sf: str) -> D:
-    """Lines of a Markdown table."""
-    t = B.read(spark, sf, "region").orderBy("r_regionkey").select("r_regionkey", "r_name")
-    return spark.createDataFrame(list(enumerate(sinks.markdown(t).splitlines())), "line int, text string")
+    """Lines of a Markdown table: each clerk group's orders and mean price."""
+    o = B.read(spark, sf, "orders").groupBy("o_orderpriority", "o_orderstatus").agg(F.count(F.lit(1)).alias("orders"), F.round(F.avg("o_totalprice"), 2).alias("price"))
+    return sinks.markdown_lines(o, ["o_orderpriority", "o_orderstatus"], digits=2)
 
 
 def edf_round_trip(spark: S, sf: str) -> D:
@@ -449,7 +509,7 @@ def stream_sessions(spark: S, sf: str) -> D:
     return out.select("user_id", F.unix_timestamp("start").alias("start"), F.unix_timestamp("end").alias("end"), "samples")
 
 
-QUERIES = {f.__name__: f for f in (repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions, four_arms, parity_faults, frozen_robustness, csv_round_trip, json_round_trip, missing_rows, checkpointed_items, run_report)}
+QUERIES = {f.__name__: f for f in (manifest_documents, junit_counts, copy_filter, json_manifest, bundle_decisions, column_importance, repeated_keys, column_report, table_differences, leaked_groups, mask_faults, common_channels, jaccard_pairs, dedupe_names, set_difference, unions, distinct_rows, parameter_grid, pending_work, checked_join, lookup_join, arm_join, pivot_seeds, pivot_models, pivot_totals, top_per_group, best_row, name_parts, occurrence, reasons, content_hashes, identity_seeds, median_impute_scale, lr_lopo, forest_lopo, boosted_teacher, student_scores, distilled_student, teacher_students, hyperparameter_search, stratified_split, recorded_contexts, lopo_parts, oscillator_trials, context_measurements, replicated_means, undriven_controls, dose_trials, perturbations, filtered_recordings, annotation_parse, edf_round_trip, stream_windows, stream_sessions, four_arms, parity_faults, frozen_robustness, csv_round_trip, json_round_trip, missing_rows, checkpointed_items, run_report)}
 
 _TOP = "tops AS (SELECT l_suppkey, l_partkey, q FROM (SELECT l_suppkey, l_partkey, sum(l_quantity) AS q FROM lineitem GROUP BY 1, 2) QUALIFY row_number() OVER (PARTITION BY l_suppkey ORDER BY q DESC, l_partkey) <= 3)"
 _FRAME = "frame AS (SELECT vec_id, vec_id % 5 AS patient, (label % 2)::INT AS label, " + ", ".join(f"CASE WHEN (vec_id + {3 * k}) % 17 <> 0 THEN embedding[{k + 1}]::DOUBLE END AS f{k}" for k in range(DIMENSIONS)) + " FROM embeddings)"
@@ -496,8 +556,13 @@ SELECT unit || '_' || part || '.edf' AS file, e.c AS channel, 256.0::DOUBLE AS s
     "json_round_trip": "SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY 1",
     "missing_rows": "SELECT o_orderstatus, count(*) AS rows, (SELECT count(*) FILTER (o_orderkey % 3 > 0) FROM orders)::INT AS first_run, (SELECT count(*) FILTER (o_orderkey % 3 = 0) FROM orders)::INT AS second_run FROM orders GROUP BY 1",
     "checkpointed_items": "SELECT n_name AS name, n_regionkey || CASE WHEN regexp_matches(n_name, '^[A-C]') THEN '!' ELSE '' END AS identity FROM nation WHERE n_nationkey >= 20 OR regexp_matches(n_name, '^[A-C]')",
-    "run_report": "SELECT line::INT AS line, text FROM (SELECT 0 AS line, '| r_regionkey | r_name |' AS text UNION ALL SELECT 1, '| --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY r_regionkey), '| ' || r_regionkey || ' | ' || r_name || ' |' FROM region)",
-    "annotation_parse": "SELECT * FROM (VALUES ('a_01.edf', NULL::INT, NULL::INT), ('a_04.edf', 512, 549), ('a_09.edf', 61, 90), ('a_09.edf', 700, 711)) t(file, start_sec, end_sec)",
+    "run_report": """WITH o AS (SELECT o_orderpriority, o_orderstatus, count(*) AS orders, round(avg(o_totalprice), 2) AS price FROM orders GROUP BY 1, 2)
+SELECT line::INT AS line, text FROM (SELECT 0 AS line, '| o_orderpriority | o_orderstatus | orders | price |' AS text UNION ALL SELECT 1, '| --- | --- | --- | --- |' UNION ALL SELECT 1 + row_number() OVER (ORDER BY o_orderpriority, o_orderstatus), '| ' || o_orderpriority || ' | ' || o_orderstatus || ' | ' || orders || ' | ' || printf('%.2f', price) || ' |' FROM o)""",
+    "manifest_documents": "SELECT o_custkey, o_orderkey, o_totalprice, o_orderstatus FROM orders",
+    "junit_counts": "SELECT count(*) AS tests, count(*) FILTER (l_returnflag = 'R') AS failures, count(*) FILTER (l_returnflag = 'A') AS errors, count(*) FILTER (l_linestatus = 'O') AS skipped FROM lineitem",
+    "copy_filter": "SELECT doc_id, n_chars, quality AS label FROM documents JOIN labels USING (doc_id) WHERE quality = 1",
+    "json_manifest": "SELECT o_orderpriority AS priority, count(*) AS n, min(o_orderkey) AS least, max(o_orderkey) AS most FROM orders GROUP BY 1",
+    "annotation_parse": f"WITH {B.SAMPLES_SQL} SELECT file || '.edf' AS file, start_sec::INT AS start_sec, end_sec::INT AS end_sec FROM recordings LEFT JOIN intervals USING (patient, file)",
     "stream_sessions": "WITH g AS (SELECT *, coalesce(epoch_ms(ts) - epoch_ms(lag(ts) OVER w) >= 21600000, true)::INT AS fresh FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)), r AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts) AS run FROM g) SELECT user_id, floor(epoch(min(ts)))::BIGINT AS start, floor(epoch(max(ts)))::BIGINT + 21600 AS \"end\", count(*) AS samples FROM r GROUP BY user_id, run",
     "stream_windows": "SELECT event_type, epoch(date_trunc('hour', ts))::BIGINT AS start, count(*) AS samples, count(*) FILTER (value >= 250) AS positive, (count(*) FILTER (value >= 250) / count(*) >= 0.5)::INT AS label FROM events GROUP BY 1, 2",
 }

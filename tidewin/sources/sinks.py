@@ -6,7 +6,7 @@ import json
 import uuid
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..operators.relational import pending
@@ -48,12 +48,13 @@ def _stored(spark: SparkSession, path: str) -> DataFrame | None:
 
 
 def write_missing(work: DataFrame, path: str, keys: list[str]) -> int:
-    """Append the work that `path` does not hold yet, by keys; the number of rows written, by the files' own counts. The
-    work's plan runs once. Where the work is dear, take `unfinished` keys first and compute only those."""
+    """Append the work that `path` does not hold yet, by keys; the number of rows written, counted as they are
+    written, whatever others write. The work's plan runs once. Where the work is dear, take `unfinished` keys first and compute only those."""
     have = _stored(work.sparkSession, path)
-    before = 0 if have is None else have.count()
-    (work if have is None else pending(work, have, keys)).write.mode("append").parquet(path)
-    return work.sparkSession.read.schema(work.schema).parquet(path).count() - before
+    written = Observation()
+    todo = work if have is None else pending(work, have, keys)
+    todo.observe(written, F.count(F.lit(1)).alias("rows")).write.mode("append").parquet(path)
+    return written.get["rows"]
 
 
 def _checksums(rows: DataFrame, keys: list[str]) -> DataFrame:
@@ -92,14 +93,24 @@ def checkpoint(work: DataFrame, items: DataFrame, path: str, keys: list[str], id
     return stored.count()
 
 
+def markdown_lines(rows: DataFrame, order: list[str], most: int = 1000, digits: int = 4) -> DataFrame:
+    """line (from 0) and text: a report's table as Markdown, in this order; more than `most` rows is an error, as reports
+    are small. Cells are formatted where the rows are."""
+    kinds = dict(rows.dtypes)
+    cell = lambda c: F.coalesce(F.when(F.col(c).isNotNull(), F.format_string(f"%.{digits}f", F.col(c).cast("double"))) if kinds[c] in ("double", "float") else F.col(c).cast("string"), F.lit(""))
+    text = lambda cells: F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |"))
+    nth = F.row_number().over(Window.orderBy(*order)) + 1  # of at most most + 1 rows
+    fault = F.raise_error(F.lit(f"a report must not exceed {most} rows"))
+    found = rows.orderBy(*order).limit(most + 1).select(nth.alias("line"), text([cell(c) for c in rows.columns]).alias("text"))
+    body = found.select(F.when(F.col("line") <= most + 1, F.col("line")).otherwise(fault).alias("line"), "text")
+    head = rows.sparkSession.range(2).select(F.col("id").cast("int").alias("line"), F.when(F.col("id") == 0, text([F.lit(c) for c in rows.columns])).otherwise(text([F.lit("---")] * len(rows.columns))).alias("text"))
+    return head.unionByName(body)
+
+
 def markdown(rows: DataFrame, most: int = 1000, digits: int = 4) -> str:
-    """A report's table as Markdown; more than `most` rows is an error, as reports are small."""
-    found = rows.limit(most + 1).collect()
-    if len(found) > most:
-        raise ValueError(f"a report must not exceed {most} rows")
-    cell = lambda v: "" if v is None else f"{v:.{digits}f}" if isinstance(v, float) else str(v)
-    lines = [rows.columns, ["---"] * len(rows.columns), *[[cell(v) for v in r] for r in found]]
-    return "\n".join("| " + " | ".join(x) + " |" for x in lines)
+    """The lines of a small table as one text, in the order of its columns."""
+    found = markdown_lines(rows, rows.columns, most, digits).collect()
+    return "\n".join(r.text for r in sorted(found, key=lambda r: r.line))
 
 
 def unpaired(rows: DataFrame) -> DataFrame:
