@@ -1,7 +1,7 @@
 """Toxicity by nearest labelled examples: exact TF-IDF cosine over a block-max inverted index.
 
-Fit. Of the labelled rows offered, at most `examples` of each class (those with the smallest id hashes; a
-documented bound), once for each text, become examples. All their words are index terms. Document frequencies,
+Fit. Of the labelled rows offered, at most `examples` of each class (those with the smallest id hashes), with at
+most `most_bytes` of text (two documented bounds), once for each text, become examples. All their words are index terms. Document frequencies,
 and the number of documents, are counted over all documents. A term's weight in a text is
 (1 + ln tf) * idf * rf, where idf = ln((1 + N) / (1 + df)) and rf = log2(2 + toxic examples / clean examples that hold it) is the term's relevance
 factor; plain TF-IDF finds texts on the same subject, whether toxic or not (figures in the README).
@@ -19,7 +19,8 @@ returned as evidence.
 
 Defined cases: a null, empty or wordless text, or one without an index term, has no neighbour and gets
 the prior's score; without labels of both classes every score is the share of toxic labels (0 if none);
-repeated label rows count once, and so do examples with one text, as toxic if any says so; repeated rows are scored
+repeated label rows count once, and so do examples with one text, as toxic if any says so; of labelled documents that
+share an id the text that sorts first teaches, and a text longer than the bound teaches nothing; repeated rows are scored
 each, and equal texts alike; an empty table gives an empty result; only the id and the text are read.
 """
 
@@ -30,13 +31,15 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .support import held_out, keep_rows, read, slices, stage, to_tasks, with_ids
 from .words import HashSet, word_hashes
 
 EXAMPLES = 1024
+#: Text of each class's examples.
+MOST_BYTES = 16 << 20
 NEIGHBOURS = 15
 BLOCK = 64
 #: Blocks opened first; each later step may open four times as many.
@@ -201,16 +204,22 @@ def document_frequencies(rows: DataFrame, terms: HashSet) -> tuple[int, np.ndarr
     return int(seen[-1]), seen[:-1]
 
 
-def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, k: int = NEIGHBOURS) -> Model:
-    """A model from the labelled rows given; what is held out must be left out of `labels`."""
+def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: str = "doc_id", text_col: str = "text", examples: int = EXAMPLES, k: int = NEIGHBOURS, most_bytes: int = MOST_BYTES) -> Model:
+    """A model from the labelled rows given; what is held out must be left out of `labels`. At most `examples` documents of
+    each class teach, with at most `most_bytes` of text: by a hash of their ids, as many as fit."""
     rows = with_ids(docs, id_col, text_col)
     truth = labels.select(F.col("doc_id").cast("long"), F.col(label_col).alias("y")).where("doc_id is not null and y is not null").groupBy("doc_id").agg((F.max("y") > 0).cast("int").alias("y"))
     totals = {r.y: r["count"] for r in truth.groupBy("y").count().collect()}
     share = totals.get(1, 0) / max(1, sum(totals.values()))
     pick = [truth.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(examples) for y in (0, 1)]
     chosen = stage(pick[0].union(pick[1]), "tox-examples")  # at most 2 x examples rows
-    once = rows.join(F.broadcast(chosen), "doc_id").groupBy(F.coalesce("text", F.lit("")).alias("text")).agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y"))
-    sample = stage(once.select("doc_id", "text", "y"), "tox-texts", "zstd")
+    size, text = F.octet_length("text"), F.coalesce("text", F.lit(""))
+    # Of documents that share an id the text that sorts first teaches, and equal texts are one example.
+    each = rows.join(F.broadcast(chosen), "doc_id").where(F.octet_length(text) <= most_bytes).groupBy("doc_id", "y").agg(F.min(text).alias("text"))
+    once = stage(each.groupBy("text").agg(F.min("doc_id").alias("doc_id"), F.max("y").alias("y")).select("doc_id", "text", "y"), "tox-once", "zstd")
+    upto = F.sum("size").over(Window.partitionBy("y").orderBy(F.xxhash64("doc_id"), "doc_id"))  # at most `examples` rows each
+    taught = once.select("doc_id", "y", size.alias("size")).withColumn("upto", upto).where(F.col("upto") <= most_bytes).select("doc_id")
+    sample = stage(once.join(F.broadcast(taught), "doc_id").select("doc_id", "text", "y"), "tox-texts", "zstd")
 
     def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
@@ -220,7 +229,7 @@ def fit(docs: DataFrame, labels: DataFrame, label_col: str = "toxic", id_col: st
                 texts = [xxhash.xxh64_intdigest((t.as_py() or "").encode("utf-8")) for t in batch.column(1)]
                 yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(np.array(texts, np.uint64).view(np.int64)), pa.array([t.tobytes() for t, _ in own], pa.binary()), pa.array([c.astype(np.int32).tobytes() for _, c in own], pa.binary())], ["doc_id", "y", "own", "t", "c"])
 
-    # The distinct words of at most 2 x examples texts, 12 bytes each.
+    # The distinct words of at most 2 x most_bytes of text, 12 bytes each.
     held = sorted(sample.mapInArrow(vectors, "doc_id long, y int, own long, t binary, c binary").toLocalIterator(), key=lambda r: (r.y, r.doc_id, r.own))
     words = [np.frombuffer(r.t, np.uint64) for r in held]
     toxic = np.array([r.y for r in held], np.int64)
