@@ -251,6 +251,38 @@ def test_crossing_tokens_follow_the_rule():
     assert T.attribute(np.array([1, 2]), np.array([2]))[0].tolist() == [1, 0]  # a tie: the earlier section
 
 
+def test_fifty_blocks_read_the_documents_once(spark, prose, monkeypatch):
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    items = [(k, prose(1000 + k, 20)) for k in range(100)]
+    rows = [(i, prose(i, 80) + (" " + items[i][1] if i < 100 else "")) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    frame = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    for held in (1 << 21, 300):
+        monkeypatch.setattr(D, "HELD_WORDS", held)
+        seen, kept = Observation(), Observation()
+        got = {(r.doc_id, r.item_id) for r in D.contaminated(frame.observe(seen, F.count(F.lit(1)).alias("n")), bench, block_items=2).collect()}
+        left = {r.doc_id for r in D.decontaminate(frame.observe(kept, F.count(F.lit(1)).alias("n")), bench, block_items=2).collect()}
+        assert got == {(i, i) for i in range(100)} and left == set(range(100, 200))
+        assert seen.get["n"] == kept.get["n"] == 200
+    assert len(D.blocks(bench, block_items=2)) == 50
+
+
+def test_examples_are_bounded_in_bytes(spark, prose):
+    rows = [(i, prose(i, 30) + (" zzbad zzworse" if i % 2 else "")) for i in range(60)] + [(100, "zzbad " * 400_000), (101, "mild " * 400_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(100, 1), (101, 0)], "doc_id long, toxic int")
+    most = 2000
+    model = V.fit(docs, labels, most_bytes=most)
+    held = {i: t for i, t in rows}
+    for y in (0, 1):
+        mine = [d for d, t in zip(model.ids, model.toxic, strict=True) if t == y]
+        assert mine and sum(len(held[d].encode()) for d in mine) <= most and not {100, 101} & set(mine)
+    got = {r.doc_id: r.score for r in V.score(docs, model).collect()}  # long texts are scored all the same
+    assert len(got) == len(rows) and got[100] > got[101]
+
+
 # -- chat
 
 

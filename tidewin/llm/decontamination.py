@@ -8,9 +8,9 @@ passages stand. Every tile holds a seed, so the seeds' own cover bounds the tile
 pairs below the threshold by that bound need no tiling.
 
 The benchmark is the stated query set: it is counted first, and dealt in blocks of a bounded number of
-items and bytes, each a broadcast; in a task, a batch of texts is joined with a block's items by the hashes of their shared
-seeds. Documents are scanned once for each block and never shuffled, so no key, source or common passage can
-gather rows.
+items and bytes, each a broadcast; in a task, texts are joined with a block's items by the hashes of their shared
+seeds. Documents are read and hashed once, never shuffled, and looked at by one block after another, so no key, source
+or common passage can gather rows.
 
 Defined cases: items without a word match nothing, items under five words match as one whole run; null
 or empty texts match nothing; repeated document rows are reported each; several items may match one
@@ -20,14 +20,13 @@ document; an empty table gives an empty result; other columns are not read.
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import keep_rows, read, slices, small, stage, to_tasks, with_ids
+from .support import in_turn, read, slices, stage, to_tasks, with_ids
 from .words import HashSet, powers, shingle_hashes, word_hashes
 
 SEED_WORDS = 5
@@ -35,6 +34,8 @@ COVERAGE = 0.8
 BLOCK_ITEMS = 20_000
 BLOCK_BYTES = 16 << 20
 BATCH_BYTES = 1 << 19
+#: Words, by their hashes, that a task holds while the blocks take their turns.
+HELD_WORDS = 1 << 21
 _BASE = 0x2545F4914F6CDD1D
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -131,7 +132,10 @@ class Benchmark:
 
     def matches(self, texts: pa.Array, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
         """(row, item, share of the item's words covered, tiles, words of the longest tile)."""
-        words, at = word_hashes(texts)
+        return self.found(*word_hashes(texts), coverage)
+
+    def found(self, words: np.ndarray, at: np.ndarray, coverage: float) -> Iterator[tuple[int, int, float, int, int]]:
+        """The same for texts whose words are hashed already."""
         for width, members in self.sets.items():
             where, rank = members.hits(shingle_hashes(words, width))
             row = np.searchsorted(at, where, side="right") - 1
@@ -170,59 +174,76 @@ class Benchmark:
                 yield r, k, share, len(laid), max(x for *_, x in laid)
 
 
-def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> Iterator[Callable[[], Benchmark]]:
+def blocks(benchmark: DataFrame, item_col: str = "item_id", item_text: str = "text", seed_words: int = SEED_WORDS, block_items: int = BLOCK_ITEMS, block_bytes: int = BLOCK_BYTES) -> list[Callable[[], Benchmark]]:
     """The items in blocks of about block_items items and block_bytes of text, dealt by hash (an item that is longer
-    alone fills a block). The driver holds one block at a time; each is broadcast, and read from disk by tasks."""
+    alone fills a block). The driver and a task hold one block at a time; each is broadcast, and read from disk."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).distinct()
     total = items.agg(F.count(F.lit(1)).alias("n"), F.sum(F.octet_length("text")).alias("bytes")).first()
     n = max(1, -(-total.n // block_items), -(-(total.bytes or 0) // block_bytes))
+    if n > 1:
+        items = stage(items.withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n))).repartition(n, "block").sortWithinPartitions("block"), "benchmark-blocks", "zstd")
+    out = []
     for b in range(n):
-        part = [(r.item_id, r.text) for r in items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == b).toLocalIterator()]
+        part = [(r.item_id, r.text) for r in (items if n == 1 else items.where(F.col("block") == b)).select("item_id", "text").toLocalIterator()]
         part.sort(key=lambda x: (x[0] is None, x[0], x[1] or ""))
-        yield to_tasks(benchmark.sparkSession, Benchmark([x[0] for x in part], [x[1] for x in part], seed_words))
+        send = to_tasks if n == 1 else in_turn
+        out.append(send(benchmark.sparkSession, Benchmark([x[0] for x in part], [x[1] for x in part], seed_words)))
+    return out
+
+
+def _searched(batches: Iterator[pa.RecordBatch], text: int, held: list[Callable[[], Benchmark]], coverage: float) -> Iterator[tuple[pa.RecordBatch, list[tuple[int, int | None, float, int, int]]]]:
+    """(rows, their hits as (row, item id, share, tiles, longest)) for all rows: texts are hashed once and kept as hashes
+    until there are HELD_WORDS of them, or one block is all there is; then every block in turn looks at them."""
+    kept: list[tuple[pa.RecordBatch, np.ndarray, np.ndarray]] = []
+
+    def search() -> Iterator[tuple[pa.RecordBatch, list]]:
+        hits: list[list] = [[] for _ in kept]
+        for get in held:
+            block = get()
+            for own, (_, words, at) in zip(hits, kept, strict=True):
+                own += [(row, block.ids[item], *rest) for row, item, *rest in block.found(words, at, coverage)]
+        yield from zip((rows for rows, _, _ in kept), hits, strict=True)
+
+    size = 0
+    for whole in batches:
+        for batch in slices(whole, text, BATCH_BYTES):
+            kept.append((batch, *word_hashes(batch.column(text))))
+            size += len(kept[-1][1])
+            if len(held) == 1 or size > HELD_WORDS:
+                yield from search()
+                kept.clear()
+                size = 0
+    if kept:
+        yield from search()
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
     """doc_id, item_id, coverage, n_tiles and longest_tile of every contaminated document and its items. Documents are
-    scanned once for each block, and a task holds one block."""
-    rows = with_ids(docs, id_col, text_col)
-
-    def against(get: Callable[[], Benchmark]) -> DataFrame:
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for whole in batches:
-                for batch in slices(whole, "text", BATCH_BYTES):
-                    hits = list(get().matches(batch.column(1), coverage))
-                    ids = batch.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
-                    yield pa.RecordBatch.from_arrays(
-                        [ids, pa.array([get().ids[h[1]] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
-                        ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
-                    )
+    read and hashed once, whatever the number of blocks."""
+    held = blocks(benchmark, **how)
 
-        return rows.mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hits in _searched(batches, 1, held, coverage):
+            ids = rows.column(0).take(pa.array([h[0] for h in hits], pa.int64()))
+            yield pa.RecordBatch.from_arrays(
+                [ids, pa.array([h[1] for h in hits], pa.int64()), pa.array([h[2] for h in hits], pa.float64()), pa.array([h[3] for h in hits], pa.int32()), pa.array([h[4] for h in hits], pa.int32())],
+                ["doc_id", "item_id", "coverage", "n_tiles", "longest_tile"],
+            )
 
-    return reduce(DataFrame.union, map(against, blocks(benchmark, **how)))
+    return with_ids(docs, id_col, text_col).mapInArrow(run, "doc_id long, item_id long, coverage double, n_tiles int, longest_tile int")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", coverage: float = COVERAGE, **how) -> DataFrame:
-    """The documents, with all their columns, that no item contaminates. With several blocks the texts that each
-    finds are collected as a table first, so that no task holds them all."""
-    held = list(blocks(benchmark, **how))
-
-    def clean(get: Callable[[], Benchmark], texts: pa.Array) -> np.ndarray:
-        out = np.ones(len(texts), bool)
-        out[[h[0] for h in get().matches(texts, coverage)]] = False
-        return out
-
-    if len(held) == 1:
-        return keep_rows(docs, text_col, lambda texts: clean(held[0], texts), BATCH_BYTES)
-    text = F.col(text_col).cast("string")
-    key = F.struct(F.xxhash64(text), F.xxhash64(F.lit("leak"), text), F.octet_length(text))
-    found = [keep_rows(docs.select(text.alias("text"), key.alias("key")), "text", lambda texts, get=get: ~clean(get, texts), BATCH_BYTES).select("key") for get in held]
-    leaks = stage(reduce(DataFrame.union, found).distinct(), "leaks")
-    names = [f"_{i}" for i in range(len(docs.columns))]  # any name may clash with the key's
-    at = F.col(names[docs.columns.index(text_col)]).cast("string")
-    rows = docs.toDF(*names).withColumn("key", F.struct(F.xxhash64(at), F.xxhash64(F.lit("leak"), at), F.octet_length(at)))
-    return rows.join(small(leaks), "key", "left_anti").select(*[F.col(n).alias(c) for n, c in zip(names, docs.columns, strict=True)])
+    """The documents, with all their columns, that no item contaminates; they are read once and not shuffled."""
+    held, at = blocks(benchmark, **how), docs.columns.index(text_col)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, hits in _searched(batches, at, held, coverage):
+            clean = np.ones(rows.num_rows, bool)
+            clean[[h[0] for h in hits]] = False
+            yield rows.filter(pa.array(clean))
+
+    return docs.mapInArrow(run, docs.schema)
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

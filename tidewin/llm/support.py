@@ -91,6 +91,13 @@ def to_tasks(spark: SparkSession, value: T) -> Callable[[], T]:
     return get
 
 
+def in_turn(spark: SparkSession, value: T) -> Callable[[], T]:
+    """As `to_tasks`, for one of many values that a task takes one after another: each call loads it from the broadcast's
+    file again, so a task holds one at a time."""
+    held = spark.sparkContext.broadcast(cloudpickle.dumps(value))
+    return lambda: pickle.loads(held.load_from_path(held._path))
+
+
 def shuffle_width(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
