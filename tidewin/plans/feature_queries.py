@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import kernels as K
+from ..functions import table
 from ..functions.columns import feature_part, ratio
 from ..operators import chunks as H
 from ..operators import evaluation as E
@@ -47,6 +48,18 @@ def welch_spectrum(spark: S, sf: str) -> D:
     return rounded(X.spectra(signals(spark, sf), ["vec_id"], "samples", RATE, SEGMENT), 9)
 
 
+def sql_spectra(spark: S, sf: str) -> D:
+    """The spectra by SQL, from a table function."""
+    table.register(spark)
+    return rounded(spark.sql(f"SELECT e.vec_id, s.frequency_hz, s.density FROM {{e}} e, LATERAL spectrum(e.samples, {RATE}D, {SEGMENT}) s", e=signals(spark, sf)), 9)
+
+
+def sql_bands(spark: S, sf: str) -> D:
+    """Two bands' powers by SQL: the function's columns follow from its arguments."""
+    table.register(spark)
+    return rounded(spark.sql(f"SELECT e.vec_id, b.alpha, b.theta FROM {{e}} e, LATERAL band_powers(e.samples, {RATE}D, {SEGMENT}, 'theta, alpha') b", e=signals(spark, sf)), 9)
+
+
 def band_powers(spark: S, sf: str) -> D:
     def kernel(x):
         return dict(zip(K.BANDS, K.band_powers(*K.welch(x, RATE, SEGMENT)).T, strict=True))
@@ -218,7 +231,7 @@ def coloured_noise(spark: S, sf: str) -> D:
     return rounded(X.per_row(signals(spark, sf), ["vec_id"], ["samples"], study, "beta int, k int, x double"))
 
 
-QUERIES = {f.__name__: f for f in (sliding_measures, short_filter, coloured_noise, feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
+QUERIES = {f.__name__: f for f in (sql_spectra, sql_bands, sliding_measures, short_filter, coloured_noise, feature_changes, recording_features, recording_filter, time_features, hjorth_features, permutation_entropy, welch_spectrum, band_powers, relative_band_powers, relative_band_powers_wide, spectral_entropy, spectral_snr, spectral_slope, psd_validity, standardised_mean, stride_preservation, antialiased_preservation, features_long, features_wide, family_ablation, relative_block, family_importance, top_features)}
 
 _X = "x AS (SELECT vec_id, i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i))"
 
@@ -346,6 +359,8 @@ SELECT x.c::INT AS channel, (x.k // 256)::INT AS second, round(avg(x.v * x.v), 9
     "hjorth_features": f"WITH {_X}, d AS (SELECT *, v - lag(v) OVER w AS d1 FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY k)), e AS (SELECT *, d1 - lag(d1) OVER (PARTITION BY vec_id ORDER BY k) AS d2 FROM d), s AS (SELECT vec_id, var_pop(v) AS v0, var_pop(d1) AS v1, var_pop(d2) AS v2 FROM e GROUP BY vec_id) SELECT vec_id, round(v0, 6) AS activity, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) AS complexity FROM s",
     "permutation_entropy": f"WITH {_X}, t AS (SELECT vec_id, v AS a, lead(v, 1) OVER w AS b, lead(v, 2) OVER w AS c FROM x WINDOW w AS (PARTITION BY vec_id ORDER BY k)), o AS (SELECT vec_id, (b < a)::INT + 2 * (c < a)::INT + 4 * (c < b)::INT AS code FROM t WHERE c IS NOT NULL), n AS (SELECT vec_id, code, count(*) / 62 AS p FROM o GROUP BY vec_id, code) SELECT vec_id, round(-sum(p * log2(p)) / log2(6), 6) AS perm FROM n GROUP BY vec_id",
     "welch_spectrum": f"{_W32} SELECT vec_id, f::DOUBLE AS frequency_hz, round(p, 9)::DOUBLE AS density FROM psd",
+    "sql_spectra": f"{_W32} SELECT vec_id, f::DOUBLE AS frequency_hz, round(p, 9)::DOUBLE AS density FROM psd",
+    "sql_bands": f"{_W32}, {_areas(K.BANDS, True, 'a')} SELECT vec_id, round(alpha, 9)::DOUBLE AS alpha, round(theta, 9)::DOUBLE AS theta FROM a",
     "band_powers": f"{_W32}, {_areas(K.BANDS, True, 'a')} SELECT vec_id, " + ", ".join(f"round({b}, 9)::DOUBLE AS {b}" for b in K.BANDS) + " FROM a",
     "relative_band_powers": f"{_W32}, {_areas(K.BANDS, True, 'a')} SELECT vec_id, " + ", ".join(f"round({b} / total, 6)::DOUBLE AS {b}" for b in K.BANDS) + " FROM a",
     "relative_band_powers_wide": f"{_W64}, {_areas(K.WIDE_BANDS, False, 'a')} SELECT vec_id, " + ", ".join(f"round({b} / total, 6)::DOUBLE AS {b}" for b in K.BANDS) + " FROM a",

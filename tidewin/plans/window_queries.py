@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.columns import finite
+from ..functions import table
 from ..operators import hysteresis
 from ..operators import stats as T
 from ..operators import windows as W
@@ -119,6 +120,13 @@ def chunk_crossings(spark: S, sf: str) -> D:
     return hysteresis.chunk_crossings(chunks, ["patient", "file"], 0.5, 2)
 
 
+def sql_gaps(spark: S, sf: str) -> D:
+    """Gaps of two seconds or more between a recording's annotated starts, by SQL from a table function."""
+    table.register(spark)
+    held = B.intervals(spark, sf).groupBy("patient", "file").agg(F.collect_list("start_sec").alias("starts"))
+    return spark.sql("SELECT h.patient, h.file, g.at, g.gap FROM {h} h, LATERAL gaps(h.starts, 2.0D) g", h=held)
+
+
 def event_gaps(spark: S, sf: str) -> D:
     """Times between neighbouring annotated starts, with regularity (deviation over mean) by recording."""
     from ..operators.stats import regularity
@@ -132,7 +140,7 @@ def finite_windows(spark: S, sf: str) -> D:
     return s.where(finite("x")).groupBy("patient").agg(F.count(F.lit(1)).alias("rows"), F.round(F.sum("x"), 6).alias("total"))
 
 
-QUERIES = {f.__name__: f for f in (window_census, window_label_index, sliding_windows, duration_sweep, context_windows, context_audit, contiguous_events, event_coverage, event_coverage_summary, interval_validity, patient_zscore, first_windows, first_middle_last, quarter_picks, disjoint_contexts, hysteresis_crossings, chunk_crossings, event_gaps, finite_windows)}
+QUERIES = {f.__name__: f for f in (window_census, window_label_index, sliding_windows, duration_sweep, context_windows, context_audit, contiguous_events, event_coverage, event_coverage_summary, interval_validity, patient_zscore, first_windows, first_middle_last, quarter_picks, disjoint_contexts, hysteresis_crossings, chunk_crossings, sql_gaps, event_gaps, finite_windows)}
 
 _L = f"WITH {B.SAMPLES_SQL},\n{B.labelled_sql()}"
 _L8 = f"WITH {B.SAMPLES_SQL},\n{B.labelled_sql(8)}"
@@ -163,6 +171,7 @@ ORACLES = {
     "first_windows": f"{_L} SELECT patient, file, start_sec, label FROM labelled WHERE start_sec < 32",
     "first_middle_last": f"{_L}, n AS (SELECT patient, file, start_sec, row_number() OVER (PARTITION BY patient, file ORDER BY start_sec) - 1 AS nth, count(*) OVER (PARTITION BY patient, file) AS n FROM labelled) SELECT patient, file, start_sec FROM n WHERE nth IN (0, n // 2, n - 1)",
     "quarter_picks": f"{_L8}, n AS (SELECT patient, file, start_sec, row_number() OVER (PARTITION BY patient, file ORDER BY start_sec) - 1 AS nth, count(*) OVER (PARTITION BY patient, file) AS n FROM labelled) SELECT patient, file, start_sec, fraction FROM n, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) f(fraction) WHERE nth = CASE WHEN (n - 1) * fraction - floor((n - 1) * fraction) = 0.5 THEN 2 * round((n - 1) * fraction / 2) ELSE round((n - 1) * fraction) END",
+    "sql_gaps": f"WITH {B.SAMPLES_SQL}, g AS (SELECT patient, file, start_sec AS at, lead(start_sec) OVER (PARTITION BY patient, file ORDER BY start_sec) - start_sec AS gap FROM intervals) SELECT * FROM g WHERE gap >= 2",
     "hysteresis_crossings": f"WITH RECURSIVE {B.SAMPLES_SQL}, side AS (SELECT patient, file, idx, CASE WHEN (value - 250.0) / 100.0 >= 0.5 THEN 1 WHEN (value - 250.0) / 100.0 <= -0.5 THEN -1 ELSE 0 END AS side FROM samples), walk AS (SELECT patient, file, idx, side AS state, -2 AS last, false AS flip FROM side WHERE idx = 0 UNION ALL SELECT s.patient, s.file, s.idx, CASE WHEN w.state = 0 OR s.side = -w.state AND s.idx - w.last >= 2 THEN s.side ELSE w.state END, CASE WHEN w.state <> 0 AND s.side = -w.state AND s.idx - w.last >= 2 THEN s.idx ELSE w.last END, w.state <> 0 AND s.side = -w.state AND s.idx - w.last >= 2 FROM walk w JOIN side s ON s.patient = w.patient AND s.file = w.file AND s.idx = w.idx + 1) SELECT patient, file, coalesce(list(idx::INT ORDER BY idx) FILTER (flip), []::INT[]) AS events FROM walk GROUP BY patient, file",
     "chunk_crossings": f"WITH RECURSIVE {B.SAMPLES_SQL}, side AS (SELECT patient, file, idx, CASE WHEN (value - 250.0) / 100.0 >= 0.5 THEN 1 WHEN (value - 250.0) / 100.0 <= -0.5 THEN -1 ELSE 0 END AS side FROM samples), walk AS (SELECT patient, file, idx, side AS state, -2 AS last, false AS flip FROM side WHERE idx = 0 UNION ALL SELECT s.patient, s.file, s.idx, CASE WHEN w.state = 0 OR s.side = -w.state AND s.idx - w.last >= 2 THEN s.side ELSE w.state END, CASE WHEN w.state <> 0 AND s.side = -w.state AND s.idx - w.last >= 2 THEN s.idx ELSE w.last END, w.state <> 0 AND s.side = -w.state AND s.idx - w.last >= 2 FROM walk w JOIN side s ON s.patient = w.patient AND s.file = w.file AND s.idx = w.idx + 1) SELECT patient, file, idx::BIGINT AS event FROM walk WHERE flip",
     "disjoint_contexts": f"{_L8}, c AS (SELECT patient, file, start_sec, end_sec, start_sec - 8 AS context_start_sec, end_sec AS context_end_sec FROM labelled JOIN recordings USING (patient, file) WHERE start_sec >= 8 AND end_sec <= n_samples), n AS (SELECT *, row_number() OVER (PARTITION BY patient, file ORDER BY start_sec) - 1 AS nth, count(*) OVER (PARTITION BY patient, file) AS n FROM c), t AS (SELECT patient, file, fraction, start_sec AS target_sec FROM n, (VALUES (0.25::DOUBLE), (0.75::DOUBLE)) f(fraction) WHERE nth = CASE WHEN (n - 1) * fraction - floor((n - 1) * fraction) = 0.5 THEN 2 * round((n - 1) * fraction / 2) ELSE round((n - 1) * fraction) END), free AS (SELECT * FROM c WHERE NOT EXISTS (SELECT 1 FROM intervals i WHERE i.patient = c.patient AND i.file = c.file AND i.end_sec - i.start_sec >= 3 AND i.start_sec < c.context_end_sec AND c.context_start_sec < i.end_sec)), one AS (SELECT patient, file, fraction, abs(start_sec - target_sec) AS distance, start_sec, end_sec, context_start_sec, context_end_sec FROM free JOIN t USING (patient, file) WHERE fraction = 0.25 QUALIFY row_number() OVER (PARTITION BY patient, file ORDER BY abs(start_sec - target_sec), start_sec) = 1), two AS (SELECT f.patient, f.file, t.fraction, abs(f.start_sec - target_sec) AS distance, f.start_sec, f.end_sec, f.context_start_sec, f.context_end_sec FROM free f JOIN t ON f.patient = t.patient AND f.file = t.file AND t.fraction = 0.75 LEFT JOIN one o ON o.patient = f.patient AND o.file = f.file WHERE o.file IS NULL OR f.context_end_sec <= o.context_start_sec OR f.context_start_sec >= o.context_end_sec QUALIFY row_number() OVER (PARTITION BY f.patient, f.file ORDER BY abs(f.start_sec - target_sec), f.start_sec) = 1) SELECT * FROM one UNION ALL SELECT * FROM two",
