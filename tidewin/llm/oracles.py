@@ -7,6 +7,7 @@ from .collocations import SCALE as SCORE_SCALE
 from .debruijn import WINDOW
 from .quality_rules import COST, DELTA, RISK, RULES
 from .sharding import SHARDS, SLOTS
+from .suffix_dedup import LENGTH
 from .vector_codes import ENTRIES, PARTS, ROUNDS, SCALE
 
 _GRID = ", ".join(f"('{rule}', {c}, {cutoff}::DOUBLE)" for rule, (_, _, cutoffs) in RULES.items() for c, cutoff in enumerate(cutoffs))
@@ -65,6 +66,17 @@ deal AS (SELECT 0::BIGINT AS i, [{{'b': 0::BIGINT, 's': 0, 'k': k::INT}} for k i
 base AS (SELECT v, shard, coalesce(sum(n) OVER (PARTITION BY shard ORDER BY v ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS base FROM deal JOIN every USING (v))
 SELECT doc_id, size, text_crc32, v AS virtual_slot, shard, base + row_number() OVER (PARTITION BY v ORDER BY doc_id, text_crc32, size) - 1 AS slot, 'bytes' AS law, NULL::INT AS grown_shard FROM s JOIN base USING (v)"""
 
+#: Bytes as two hex digits; a byte goes if a string that covers it has an earlier equal.
+SUFFIX_DEDUP = f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(coalesce(text, '')) AS h FROM documents),
+s AS (SELECT r, doc_id, unnest(range(length(h) // 2 - {LENGTH - 1})) AS i, unnest(list_transform(range(length(h) // 2 - {LENGTH - 1}), lambda i: md5(substr(h, 2 * i + 1, {2 * LENGTH})))) AS k FROM d),
+x AS (SELECT r, unnest(range(length(h) // 2)) AS i, unnest(list_transform(range(length(h) // 2), lambda i: substr(h, 2 * i + 1, 2))) AS x FROM d),
+o AS (SELECT r, i, row_number() OVER (PARTITION BY k ORDER BY doc_id, i) > 1 AS again FROM s),
+b AS (SELECT x.r, x.i, x, max(CASE WHEN again THEN o.i END) OVER (PARTITION BY x.r ORDER BY x.i) AS last FROM x LEFT JOIN o ON o.r = x.r AND o.i = x.i),
+m AS (SELECT r, i, x, coalesce(i - last < {LENGTH}, false) AS gone FROM b),
+e AS (SELECT *, gone AND NOT coalesce(lag(gone) OVER (PARTITION BY r ORDER BY i), false) AS opens FROM m),
+k AS (SELECT r, count(*) FILTER (gone) AS n_removed, count(*) FILTER (opens) AS n_spans, string_agg(x, '' ORDER BY i) FILTER (NOT gone) AS kept FROM e GROUP BY r)
+SELECT doc_id, (length(h) // 2)::BIGINT AS n_bytes, coalesce(n_removed, 0)::BIGINT AS n_removed, coalesce(n_spans, 0)::BIGINT AS n_spans, sha256(unhex(coalesce(kept, ''))) AS kept_sha256 FROM d LEFT JOIN k USING (r)"""
+
 DEBRUIJN = rf"""WITH w AS (SELECT row_number() OVER () AS r, doc_id, list_filter(regexp_split_to_array(coalesce(text, ''), '[ \t\n\x0b\f\r]+'), lambda x: x <> '') AS w FROM documents),
 s AS (SELECT r, doc_id, i, md5(array_to_string(w[i + 1 : i + {WINDOW}], ' ')) AS h FROM w, unnest(range(len(w) - {WINDOW - 1})) u(i)),
 o AS (SELECT r, i, doc_id > min(doc_id) OVER (PARTITION BY h) AS again FROM s),
@@ -112,4 +124,4 @@ parts AS (SELECT deal.v, shard, bytes, coalesce(sum(bytes) OVER (PARTITION BY sh
 SELECT doc_id, size, text_crc32, s.v AS virtual_slot, shard, CASE WHEN before + bytes <= load::DOUBLE / {SHARDS + 1} THEN {SHARDS} ELSE shard END::INT AS grown_shard FROM s JOIN parts USING (v)"""
 )
 
-ORACLES = {"op1_sharding": SHARDING, "shard_growth": GROWTH, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN, "op13_collocations": COLLOCATIONS}
+ORACLES = {"op1_sharding": SHARDING, "shard_growth": GROWTH, "chat_call_order": CALL_ORDER, "op5_chat": CHAT, "op2_quality_rules": QUALITY_RULES, "op4_suffix_dedup": SUFFIX_DEDUP, "op11_vector_codes": _vector_codes(), "op12_debruijn_dedup": DEBRUIJN, "op13_collocations": COLLOCATIONS}
