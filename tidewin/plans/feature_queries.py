@@ -320,12 +320,12 @@ _KEPT = "SELECT vec_id, round(sqrt(avg((x - y) * (x - y))), 6) AS rmse, round(sq
 
 
 
-def _fir(name: str, low: float, high: float, half: int) -> str:
+def fir_sql(name: str, low: float, high: float, half: int) -> str:
     """Taps of a Hamming-windowed band-pass at 256 Hz, from -half to half."""
     return f"{name} AS (SELECT n, (CASE WHEN n = 0 THEN 2 * {high} / 256 - 2 * {low} / 256 ELSE (sin(pi() * n * 2 * {high} / 256) - sin(pi() * n * 2 * {low} / 256)) / (pi() * n) END) * (0.54 - 0.46 * cos(2 * pi() * (n + {half}) / (2.0 * {half}))) AS h FROM (SELECT unnest(generate_series(-{half}, {half})) AS n))"
 
 
-def _through(out: str, x: str, taps: str, half: int, removed: bool) -> str:
+def through_sql(out: str, x: str, taps: str, half: int, removed: bool) -> str:
     """Signals (c, k, v) through a filter, with odd reflection of up to half a filter at both ends."""
     value = "a.v - sum(t.h * w.v)" if removed else "sum(t.h * w.v)"
     return f"""{out}_e AS (SELECT c, max(k) AS z, arg_min(v, k) AS vl, arg_max(v, k) AS vr, least({half}, max(k)) AS m FROM {x} GROUP BY c),
@@ -342,8 +342,8 @@ e AS (SELECT *, d - lag(d) OVER o AS e FROM d WINDOW o AS (PARTITION BY channel,
 m AS (SELECT channel, "window", avg(v) AS mean, stddev_pop(v) AS std, sqrt(avg(v * v)) AS rms, max(v) - min(v) AS ptp, sum(abs(d)) AS line_length, var_pop(v) AS v0, var_pop(d) AS v1, var_pop(e) AS v2 FROM e GROUP BY 1, 2)
 SELECT channel::INT AS channel, "window", round(mean, 6) AS mean, round(std, 6) AS std, round(rms, 6) AS rms, round(ptp, 6) AS ptp, round(line_length, 6) AS line_length, round(v0, 6) AS activity, round(sqrt(v1 / v0), 6) AS mobility, round(sqrt(v2 / v1) / sqrt(v1 / v0), 6) AS complexity FROM m""",
     "recording_filter": f"""WITH x AS (SELECT vec_id % {len(CHANNELS)} AS c, vec_id // {len(CHANNELS)} * 64 + i - 1 AS k, embedding[i]::DOUBLE AS v FROM embeddings, generate_series(1, 64) t(i)),
-{_fir("hum", 59.35, 60.65, 423)}, {_fir("band", 0.5, 45.0, 423)},
-{_through("y", "x", "hum", 423, True)}, {_through("z", "y", "band", 423, False)}
+{fir_sql("hum", 59.35, 60.65, 423)}, {fir_sql("band", 0.5, 45.0, 423)},
+{through_sql("y", "x", "hum", 423, True)}, {through_sql("z", "y", "band", 423, False)}
 SELECT x.c::INT AS channel, (x.k // 256)::INT AS second, round(avg(x.v * x.v), 9) AS before, round(avg(z.v * z.v), 9) AS after FROM x JOIN z USING (c, k) GROUP BY 1, 2""",
     "recording_features": f"{_HOUR} SELECT w::INT AS \"window\", " + ", ".join(_hour_column(n) for n in K.feature_names(CHANNELS)) + " FROM place JOIN every USING (b) GROUP BY w",
     "antialiased_preservation": f"WITH {_X}, {_DECIMATED} {_KEPT}",

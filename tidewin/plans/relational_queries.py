@@ -11,9 +11,10 @@ from pyspark.sql import functions as F
 from ..functions import identity as I
 from ..functions import kernels as K
 from ..functions.columns import feature_part, first_reason, missing_mask
+from ..operators import chunks as H
 from ..operators import dynamics as Y
 from ..operators import evaluation as V
-from ..operators import features
+from ..operators import features, measures
 from ..operators import models as M
 from ..operators import relational as R
 from ..operators.features import per_row
@@ -25,6 +26,7 @@ from ..sources.shared import shared_dir
 from ..streaming import windows as SW
 from . import base as B
 from .evaluation_queries import rounded
+from .feature_queries import fir_sql, through_sql
 
 S, D = SparkSession, DataFrame
 
@@ -367,12 +369,13 @@ def perturbations(spark: S, sf: str) -> D:
 
 
 def filtered_recordings(spark: S, sf: str) -> D:
-    """Deviation of a whole recording's channel before and after the notch and the band-pass."""
-    def study(x):
-        y = K.preprocess(np.array(x), 256.0)
-        return [{"before": float(np.std(x)), "after": float(y.std())}]
-
-    return rounded(per_row(_contexts(spark, sf), UNIT, ["samples"], study, "before double, after double"), 9)
+    """Deviation of a whole recording's channel before and after the notch and the band-pass, filtered in chunks of 1,024
+    samples."""
+    c = _contexts(spark, sf)
+    chunks = H.rechunked(c.select(*UNIT, F.lit(0).cast("long").alias("first_sample"), "samples"), UNIT, 1024)
+    clean = H.filtered(chunks, UNIT, K.cleaning(256.0)).select(*UNIT, F.explode("samples").alias("y"))
+    after = clean.groupBy(*UNIT).agg(F.stddev_pop("y").alias("after"))
+    return rounded(c.select(*UNIT, F.sqrt(measures.variance(F.col("samples"))).alias("before")).join(after, UNIT), 9)
 
 
 # -- sources and streams ---------------------------------------------------------------------------------------
@@ -551,6 +554,12 @@ x AS (SELECT unit, part, q[k % len(q) + 1] + 20 * sin(k * 0.24) AS v FROM c, gen
 p AS (SELECT unit, part, max(v) AS high, -min(v) AS low, round(ceil(greatest(max(abs(v)), 0.001) * 10) / 10 + 0.1, 1) AS m FROM x GROUP BY 1, 2),
 e AS (SELECT unit, part, m, unnest([{'c': 'C1', 'v': high}, {'c': 'C2', 'v': low}]) AS e FROM p)
 SELECT unit || '_' || part || '.edf' AS file, e.c AS channel, 256.0::DOUBLE AS sfreq, 2560::BIGINT AS n_samples, round(round(e.v / m * 32767) * m / 32767, 1)::DOUBLE AS peak_uv, 2560::BIGINT AS declared FROM e""",
+    "filtered_recordings": f"""WITH i AS (SELECT l_suppkey AS unit, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, l_linenumber, l_quantity) - 1 AS pos, l_quantity AS q FROM lineitem),
+g AS (SELECT unit, pos // 2560 AS part, list(q ORDER BY pos) AS q FROM i GROUP BY 1, 2),
+x AS (SELECT unit || '_' || part AS c, k, q[k % len(q) + 1] * 1e-6 + sin(k * 0.24) * 2e-5 AS v FROM g, generate_series(0, 2559) s(k)),
+{fir_sql("hum", 59.35, 60.65, 423)}, {fir_sql("band", 0.5, 45.0, 423)},
+{through_sql("y", "x", "hum", 423, True)}, {through_sql("z", "y", "band", 423, False)}
+SELECT split_part(x.c, '_', 1)::BIGINT AS unit, split_part(x.c, '_', 2)::INT AS part, round(stddev_pop(x.v), 9) AS before, round(stddev_pop(z.v), 9) AS after FROM x JOIN z USING (c, k) GROUP BY x.c""",
     "parity_faults": f"WITH {B.PREDICTIONS_SQL} SELECT doc_id FROM (SELECT doc_id, max(score) FILTER (model = 'alpha') AS a, max(score) FILTER (model = 'beta') AS b, max(prediction) FILTER (model = 'alpha') AS pa, max(prediction) FILTER (model = 'beta') AS pb FROM predictions WHERE seed = 42 GROUP BY doc_id) WHERE abs(a - b) > 0.001 + 0.05 * abs(b) OR pa <> pb",
     "csv_round_trip": "SELECT c_custkey, c_acctbal, c_mktsegment FROM customer",
     "json_round_trip": "SELECT n_regionkey AS region, string_agg(n_name, ',' ORDER BY n_name) AS nations FROM nation GROUP BY 1",
