@@ -35,8 +35,8 @@ def duration_sweep(spark: S, sf: str) -> D:
     parts = [B.labelled(spark, sf, n).withColumn("duration_sec", F.lit(n)) for n in (8, 16, 32)]
     rows = parts[0].unionByName(parts[1]).unionByName(parts[2])
     rows = rows.withColumn("mixed", F.col("mixed").cast("int"))
-    rows.createOrReplaceTempView("tidewin_durations")
-    return spark.sql("SELECT duration_sec, patient, count(*) AS windows, sum(label) AS positive, sum(mixed) AS mixed, cast(grouping(patient) AS int) AS all_patients FROM tidewin_durations GROUP BY GROUPING SETS ((duration_sec), (duration_sec, patient))")
+    sets = rows.groupingSets([["duration_sec"], ["duration_sec", "patient"]], "duration_sec", "patient")
+    return sets.agg(F.count(F.lit(1)).alias("windows"), F.sum("label").alias("positive"), F.sum("mixed").alias("mixed"), F.grouping("patient").cast("int").alias("all_patients"))
 
 
 def context_windows(spark: S, sf: str) -> D:
