@@ -5,8 +5,8 @@ order is topological: a call is ready at its own turn, or, where a dependency is
 (its depth is one more). The usual log has no such late dependency, and its order is settled by one join. Else the
 dependencies are split into connected components, in logarithmic rounds; those with a late dependency are ordered
 component by component, each in linear time in one task, since a component is what a conversation's calls ask of
-each other and holds identifiers only. Components of more than MOST_CALLS calls are relaxed by joins instead, with
-the same result. A call on, or behind, a cycle is marked; such calls stand last in their conversation.
+each other and holds identifiers only. Components of more than MOST_CALLS calls are settled by joins instead, with the same result: chains
+of calls that depend on one other alone are contracted by doubling pointers, and only the others take rounds. A call on, or behind, a cycle is marked; such calls stand last in their conversation.
 Positions are numbered over range partitions, so a conversation with a third of all rows is spread like any other.
 Arguments are parsed and checked against the tool's JSON schema, and each call with its result becomes one line of
 canonical JSON: keys sorted, no spaces, unescaped UTF-8.
@@ -26,10 +26,10 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .support import connected_components, read, shuffle_width, small, stage
+from .support import connected_components, discard, read, shuffle_width, small, stage
 
 #: The tool that a user's turn calls in plain conversations: the answer is the next turn.
 REPLY = {
@@ -175,26 +175,67 @@ def _settled(known: DataFrame) -> DataFrame:
     return usual if big.isEmpty() else usual.unionByName(_relaxed(stage(mine.join(side, "component", "left_semi"), "chat-relaxed")))
 
 
+def _later(a: Column, b: Column) -> Column:
+    """The later of two (ready, depth); a null ready is before all others."""
+    return F.greatest(a, b)
+
+
+def _behind(k: Column, steps: Column) -> Column:
+    """(ready, depth) of a call that many steps behind one that is settled at k."""
+    return F.struct(k["ready"].alias("ready"), (k["depth"] + steps).alias("depth"))
+
+
+def _contracted(calls: DataFrame, edges: DataFrame) -> DataFrame:
+    """n, at, steps, own and head of every call: it is settled at the later of `own` and `steps` behind the call `at`. Calls
+    that depend on one call alone hang on it, and on what that hangs on: pointers double with each join, so a chain of
+    any length takes its logarithm. Other calls are heads, `at` themselves; what hangs on a circle never gets to one."""
+    one = edges.groupBy("a").agg(F.min("b").alias("b"), F.count(F.lit(1)).alias("deps")).where("deps = 1 and a <> b").select(F.col("a").alias("n"), "b")
+    start = calls.select("n", F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("depth")).alias("own")).join(one, "n", "left")
+    state = stage(start.select("n", F.coalesce("b", "n").alias("at"), F.col("b").isNotNull().cast("long").alias("steps"), "own", F.col("b").isNull().alias("head")), "chat-chains")
+    rounds = max(1, state.count()).bit_length() + 1  # by then only circles have not ended
+    for _ in range(rounds):
+        up = state.select(F.col("n").alias("at"), F.col("at").alias("up"), F.col("steps").alias("more"), F.col("own").alias("over"))
+        moved = state.join(up, "at").where("up <> at")
+        if moved.isEmpty():
+            break
+        both = state.join(up, "at")
+        step = stage(both.select("n", F.col("up").alias("at"), (F.col("steps") + F.col("more")).alias("steps"), F.when(F.col("at") == F.col("n"), F.col("own")).otherwise(_later(F.col("own"), _behind(F.col("over"), F.col("steps")))).alias("own"), "head"), "chat-chains")
+        discard(state)
+        state = step
+    return state
+
+
 def _relaxed(e: DataFrame) -> DataFrame:
-    """The same by joins: calls whose dependencies are all settled are settled round by round, as many rounds as the
-    longest chain has calls; what is left is on, or behind, a cycle."""
+    """The same by joins. Chains are contracted first, so only calls that depend on several take rounds: those whose
+    dependencies are all settled are settled round by round, as many as the longest way through such calls has; what
+    is left is on, or behind, a cycle."""
     calls = e.select("conv_id", F.col("call_id"), F.col("a").alias("n"), F.col("turn")).union(e.select("conv_id", "on", "b", "on_turn")).distinct()
-    edges = e.select("a", "b").distinct()
-    key = lambda r, d: F.struct(r, d)
-    open_ = stage(calls.select("*", F.col("turn").alias("ready"), F.lit(0).alias("depth")), "chat-open")
+    calls = stage(calls, "chat-calls")
+    edges = stage(e.select("a", "b").distinct(), "chat-pairs")
+    hung = _contracted(calls, edges)
+    heads = hung.where("head").select("n", "own")
+    links = edges.join(heads.select(F.col("n").alias("a")), "a", "left_semi").join(hung.select(F.col("n").alias("b"), "at", "steps", F.col("own").alias("least")), "b")
+    links = stage(links.select("a", "at", (F.col("steps") + 1).alias("steps"), _behind(F.col("least"), F.lit(1).cast("long")).alias("least")), "chat-links")
+    # What waits for itself, or for a circle of calls that each depend on one, is never free.
+    never = links.where("a = at").select("a").union(links.join(heads.select(F.col("n").alias("at")), "at", "left_anti").select("a"))
+    never = stage(never.select(F.col("a").alias("n")).distinct(), "chat-never")
+    open_ = stage(heads.select("n", F.col("own").alias("k")), "chat-open")
     done = None
     while True:
-        free = stage(open_.join(edges.join(open_.select(F.col("n").alias("b")), "b", "left_semi").select(F.col("a").alias("n")).distinct(), "n", "left_anti"), "chat-free")
+        waiting = links.join(open_.select(F.col("n").alias("at")), "at", "left_semi").select(F.col("a").alias("n"))
+        free = stage(open_.join(waiting.union(never).distinct(), "n", "left_anti"), "chat-free")
         if free.isEmpty():
             break
         done = free if done is None else done.union(free)
-        best = edges.join(free.select(F.col("n").alias("b"), key(F.col("ready"), F.col("depth")).alias("k")), "b").groupBy(F.col("a").alias("n")).agg(F.max("k").alias("k"))
+        best = links.join(free.select(F.col("n").alias("at"), "k"), "at").groupBy(F.col("a").alias("n")).agg(F.max(_later(_behind(F.col("k"), F.col("steps")), F.col("least"))).alias("best"))
         rest = open_.join(free.select("n"), "n", "left_anti").join(best, "n", "left")
-        behind = F.coalesce(F.col("k") >= key(F.col("ready"), F.col("depth")), F.lit(False))
-        open_ = stage(rest.select("conv_id", "call_id", "n", "turn", F.when(behind, F.col("k.ready")).otherwise(F.col("ready")).alias("ready"), F.when(behind, F.col("k.depth") + 1).otherwise(F.col("depth")).alias("depth")).select(open_.columns), "chat-open")
-    left = open_.withColumn("cyclic", F.lit(True))
-    out = left if done is None else done.withColumn("cyclic", F.lit(False)).unionByName(left)
-    return out.select("conv_id", "call_id", "ready", F.col("depth").cast("int"), "cyclic")
+        open_ = stage(rest.select("n", F.when(F.col("best").isNotNull(), _later(F.col("k"), F.col("best"))).otherwise(F.col("k")).alias("k")), "chat-open")
+    found = open_.select(F.col("n").alias("at"), "k", F.lit(True).alias("cyclic"))
+    found = found if done is None else found.union(done.select("n", "k", F.lit(False)))
+    out = calls.join(hung, "n").join(found, "at", "left").withColumn("cyclic", F.coalesce("cyclic", F.lit(True)))
+    alone = F.struct(F.col("turn").alias("ready"), F.lit(0).cast("long").alias("depth"))
+    k = F.when(F.col("head"), F.col("k")).when(F.col("cyclic"), alone).otherwise(_later(F.col("own"), _behind(F.col("k"), F.col("steps"))))
+    return out.select("conv_id", "call_id", k["ready"].alias("ready"), k["depth"].cast("int").alias("depth"), "cyclic")
 
 
 def positions(rows: DataFrame, group: str, order: list[str], name: str) -> DataFrame:
