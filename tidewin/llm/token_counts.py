@@ -25,7 +25,7 @@ import tiktoken
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .support import read, slices, with_ids
+from .support import read, slices, to_tasks, with_ids
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: The byte-level vocabulary's public splitting pattern (a fixed value).
@@ -33,19 +33,25 @@ PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S
 RULES = ("majority", "start", "end")
 BATCH_BYTES = 4 << 20
 CHUNK = 1 << 18
-_CACHE: dict[str, tuple] = {}
+
+
+def vocabulary_bytes(path: str) -> bytes:
+    """A vocabulary file, read where the job starts; tasks get its bytes, so executors need no such file."""
+    with open(path, "rb") as f:
+        return f.read()
+
+
+def tokenizer(vocabulary: bytes) -> tuple[tiktoken.Encoding, np.ndarray]:
+    """The tokenizer of a vocabulary and the byte length of each of its tokens."""
+    ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in vocabulary.splitlines() if line.strip())}
+    lengths = np.zeros(max(ranks.values()) + 1, np.int32)
+    for token, rank in ranks.items():
+        lengths[rank] = len(token)
+    return tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
 
 
 def encoding(path: str) -> tuple[tiktoken.Encoding, np.ndarray]:
-    """The tokenizer of a vocabulary file and the byte length of each of its tokens; once per worker."""
-    if path not in _CACHE:
-        with open(path, "rb") as f:
-            ranks = {base64.b64decode(a): int(b) for a, b in (line.split() for line in f if line.strip())}
-        lengths = np.zeros(max(ranks.values()) + 1, np.int32)
-        for token, rank in ranks.items():
-            lengths[rank] = len(token)
-        _CACHE[path] = tiktoken.Encoding("own", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}), lengths
-    return _CACHE[path]
+    return tokenizer(vocabulary_bytes(path))
 
 
 def line_ends(text: bytes) -> np.ndarray:
@@ -74,10 +80,16 @@ def attribute(ends: np.ndarray, lengths: np.ndarray, rule: str = "majority") ->
         last = np.searchsorted(ends, stop - 1, side="right")
         cross = last > first
         to = first.copy() if rule != "end" else last
-        if rule == "majority":
-            for t in np.flatnonzero(cross).tolist():
-                cuts = np.r_[start[t], ends[first[t] : last[t]], stop[t]]
-                to[t] = first[t] + int(np.argmax(np.diff(cuts)))
+        if rule == "majority" and cross.any():
+            # Every crossing token's pieces end to end; of equal ones the first counts.
+            t = np.flatnonzero(cross)
+            cuts = last[t] - first[t]
+            of = np.repeat(np.arange(len(t)), cuts + 1)
+            nth = np.arange(len(of)) - np.repeat(np.cumsum(cuts + 1) - cuts - 1, cuts + 1)
+            section = first[t][of] + nth
+            size = np.where(nth == cuts[of], stop[t][of], ends[section]) - np.where(nth == 0, start[t][of], ends[section - 1])
+            widest = np.flatnonzero(size == np.maximum.reduceat(size, np.flatnonzero(nth == 0))[of])
+            to[t] = section[widest[np.unique(of[widest], return_index=True)[1]]]
         got += np.bincount(to, minlength=n)
         crossing += np.bincount(first[cross], minlength=n)
     return got, crossing
@@ -89,8 +101,10 @@ def section_tokens(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     if rule not in RULES:
         raise ValueError(f"rule must be one of {RULES}")
 
+    held = to_tasks(docs.sparkSession, vocabulary_bytes(vocabulary))  # a megabyte or so, bounded by the file
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, size = encoding(vocabulary)
+        encoder, size = tokenizer(held())
         for whole in batches:
             for batch in slices(whole, "text", BATCH_BYTES):
                 row, cols = [], [[] for _ in range(6)]
