@@ -67,35 +67,27 @@ def cover(start: Column, end: Column, seconds: float) -> Column:
 
 
 def _met(rows: DataFrame, intervals: DataFrame, seconds: float, start: str, end: str, how: str = "left") -> DataFrame:
-    """`rows` with each of the recording's intervals (_a, _b) that it may meet, and _shared, the seconds that both have
-    within a stretch; the stretches of a pair are apart and hold all that it shares.
-
-    Both sides are covered by dyadic nodes. Two nodes overlap only if one holds the other, so a pair meets on (recording,
-    node) where the node is one side's own and the other's own or above it; a side goes up only to levels that the other
-    side has. A long interval thus costs the logarithm of its length, and a recording with many rows and many intervals
-    their sum and not their product."""
-    own = lambda name: F.struct(F.col(f"{name}.level").alias("level"), F.col(f"{name}.node").alias("node"))
-    w = rows.withColumn("_w", F.explode(cover(F.col(start), F.col(end), seconds)))
+    """`rows`, cut at multiples of `seconds`, with each of the recording's intervals (_a, _b) that covers some of the same
+    multiple, and _shared, the seconds that both have within it.
+
+    Intervals are covered by dyadic nodes, so one of any length costs its logarithm; a row's multiples look for the nodes
+    above them, at the levels that the intervals have. Sides meet on (recording, node), so a recording with many rows and
+    many intervals costs their sum and not their product. Rows should be no longer than some multiples."""
+    first = F.floor(F.col(start) / seconds)
+    w = rows.withColumn("_cell", F.explode(F.sequence(first, F.greatest(first, F.ceil(F.col(end) / seconds) - 1))))
     i = intervals.where("end_sec > start_sec").select(*RECORDING, F.col("start_sec").alias("_a"), F.col("end_sec").alias("_b"), F.explode(cover(F.col("start_sec"), F.col("end_sec"), seconds)).alias("_i"))
-    above = lambda name: F.transform(F.filter("_levels", lambda k: k > F.col(f"{name}.level")), lambda k: F.struct(k.alias("level"), _shift(F.col(f"{name}.node"), k - F.col(f"{name}.level")).alias("node")))
-    levels = lambda side, name: F.broadcast(side.agg(F.collect_set(f"{name}.level").alias("_levels")))  # noqa: E731  one row
-    # side 0: the row's own node and what of the intervals lies in it; side 1: an interval's own node, over the row's.
-    meets = lambda side, nodes: F.transform(nodes, lambda x: F.struct(F.lit(side).alias("_side"), x["level"].alias("_level"), x["node"].alias("_node")))
-    upward = levels(w, "_w")
-    w = w.crossJoin(levels(i, "_i")).withColumn("_m", F.explode(F.concat(meets(0, F.array(own("_w"))), meets(1, above("_w"))))).select(*rows.columns, "_w", "_m.*")
-    i = i.crossJoin(upward)
-    i = i.withColumn("_m", F.explode(F.concat(meets(0, F.concat(F.array(own("_i")), above("_i"))), meets(1, F.array(own("_i")))))).select(*RECORDING, "_a", "_b", "_i", "_m.*")
-    met = w.join(i, [*RECORDING, "_side", "_level", "_node"], how)
-    inner = F.when(F.col("_i.level") <= F.col("_w.level"), F.col("_i")).otherwise(F.col("_w"))
-    width = F.pow(F.lit(2.0), inner["level"]) * seconds
-    low, high = F.greatest(F.col(start), F.col("_a"), inner["node"] * width), F.least(F.col(end), F.col("_b"), (inner["node"] + 1) * width)
+    levels = i.agg(F.collect_set("_i.level").alias("_levels"))  # one row
+    i = i.select(*RECORDING, "_a", "_b", F.col("_i.level").alias("_level"), F.col("_i.node").alias("_node"))
+    w = w.crossJoin(F.broadcast(levels)).withColumn("_level", F.explode_outer("_levels")).withColumn("_node", _shift(F.col("_cell"), F.col("_level"))).drop("_levels")
+    low = F.greatest(F.col(start), F.col("_a"), F.col("_cell") * seconds)
+    high = F.least(F.col(end), F.col("_b"), (F.col("_cell") + 1) * seconds)
     shared = F.when(F.col("_a").isNotNull(), F.greatest(high - low, F.lit(0.0))).otherwise(0.0)
-    return met.withColumn("_shared", shared).drop("_w", "_i", "_side", "_level", "_node")
+    return w.join(i, [*RECORDING, "_level", "_node"], how).withColumn("_shared", shared).drop("_cell", "_level", "_node")
 
 
 def overlap_seconds(windows: DataFrame, intervals: DataFrame, seconds: float, name: str = "overlap_sec", start: str = "start_sec", end: str = "end_sec") -> DataFrame:
     """`windows` with the seconds that the recording's intervals (start_sec, end_sec) cover of each, summed over
-    stretches (see _met). Equal windows are measured once and come out as often as they went in."""
+    multiples of `seconds` (see _met). Equal windows are measured once and come out as often as they went in."""
     once = windows.groupBy(*windows.columns).agg(F.count(F.lit(1)).cast("int").alias("_copies"))
     over = _met(once, intervals, seconds, start, end).groupBy(*windows.columns, "_copies").agg(F.sum("_shared").alias(name))
     return over.withColumn("_copy", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_copies", "_copy")
@@ -137,32 +129,8 @@ def contexts(windows: DataFrame, recordings: DataFrame, mode: str, before: float
     return out.withColumn("context_size", F.lit(size).cast("long")).drop("n_samples")
 
 
-#: Windows of a recording meet in cells of an hour, and cells in groups of so many.
-CELL_SEC, FAN = 3600.0, 4096
-
-
-def _groups(cells: DataFrame, by: list[str]) -> tuple[DataFrame, Window, Window]:
-    """Cells with their group, and the orders of cells inside groups and of groups, of which a recording has one for
-    FAN cells (half a year of hours)."""
-    cells = cells.withColumn("_group", F.floor(F.col("_cell") / FAN))
-    return cells, Window.partitionBy(*by, "_group").orderBy("_cell"), Window.partitionBy(*by).orderBy("_group")
-
-
-def cells_before(cells: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """One row for each (by, _cell), with `name`: the value of the cell before."""
-    rows, inside, among = _groups(cells, by)
-    groups = rows.groupBy(*by, "_group").agg(F.max_by(value, "_cell").alias("_last")).withColumn("_carried", F.lag("_last").over(among)).drop("_last")
-    rows = rows.withColumns({"_nth": F.row_number().over(inside), "_near": F.lag(value).over(inside)}).join(groups, [*by, "_group"])
-    return rows.withColumn(name, F.when(F.col("_nth") == 1, F.col("_carried")).otherwise(F.col("_near"))).drop("_group", "_nth", "_near", "_carried")
-
-
-def cells_total_before(cells: DataFrame, by: list[str], value: str, name: str) -> DataFrame:
-    """The same with the sum of the values of all cells before."""
-    rows, inside, among = _groups(cells, by)
-    earlier = lambda order: order.rowsBetween(Window.unboundedPreceding, -1)
-    total = lambda c, order: F.coalesce(F.sum(c).over(earlier(order)), F.lit(0))
-    groups = rows.groupBy(*by, "_group").agg(F.sum(value).alias("_sum")).withColumn("_carried", total("_sum", among)).drop("_sum")
-    return rows.withColumn("_own", total(value, inside)).join(groups, [*by, "_group"]).withColumn(name, F.col("_carried") + F.col("_own")).drop("_group", "_own", "_carried")
+#: Windows of a recording meet in cells of an hour.
+CELL_SEC = 3600.0
 
 
 def islands(scored: DataFrame, least_windows: int = 2, cell_sec: float = CELL_SEC) -> DataFrame:
@@ -173,28 +141,29 @@ def islands(scored: DataFrame, least_windows: int = 2, cell_sec: float = CELL_SE
     all windows is spread over its hours; a cell's length changes no result.
     """
     by, cell = RECORDING, [*RECORDING, "_cell"]
-    order = Window.partitionBy(*cell).orderBy("start_sec", "end_sec")
-    rows = scored.select(*by, F.col("start_sec"), F.col("end_sec"), "prediction", F.floor(F.col("start_sec") / cell_sec).alias("_cell"))
-    last = rows.groupBy(*cell).agg(F.max(F.struct("start_sec", "end_sec", "prediction")).alias("_row"))
-    rows = rows.join(cells_before(last, by, "_row", "_prev").select(*cell, "_prev"), cell)
-    first = F.row_number().over(order) == 1
-    before = F.when(first, F.col("_prev.prediction")).otherwise(F.lag("prediction").over(order))
-    end = F.when(first, F.col("_prev.end_sec")).otherwise(F.lag("end_sec").over(order))
-    meets = (before == 1) & (F.abs(F.col("start_sec") - end) <= 1e-8 + 1e-5 * F.abs(end))
-    rows = rows.withColumn("_fresh", (~F.coalesce(meets, F.lit(False))).cast("long")).drop("_prev")
-    counts = cells_total_before(rows.groupBy(*cell).agg(F.sum("_fresh").alias("_n")), by, "_n", "_base").select(*cell, "_base")
-    runs = rows.withColumn("_nth", F.sum("_fresh").over(order)).join(counts, cell).where("prediction = 1").withColumn("_run", F.col("_base") + F.col("_nth"))
+    order, along = Window.partitionBy(*cell).orderBy("start_sec", "end_sec"), Window.partitionBy(*by).orderBy("_cell")
+    meets = lambda before, end, start: F.coalesce((before == 1) & (F.abs(start - end) <= 1e-8 + 1e-5 * F.abs(end)), F.lit(False))
+    rows = scored.select(*by, "start_sec", "end_sec", "prediction", F.floor(F.col("start_sec") / cell_sec).alias("_cell"))
+    goes_on = meets(F.lag("prediction").over(order), F.lag("end_sec").over(order), F.col("start_sec"))
+    # Whether a cell's first window opens a run is settled between cells.
+    rows = rows.withColumn("_fresh", F.when(F.row_number().over(order) == 1, F.lit(0)).otherwise((~goes_on).cast("int")).cast("long"))
+    rows = rows.withColumn("_nth", F.sum("_fresh").over(order))
+    cells = rows.groupBy(*cell).agg(F.min("start_sec").alias("_start"), F.max(F.struct("start_sec", "end_sec", "prediction")).alias("_last"), F.sum("_fresh").alias("_n"))
+    before = F.lag("_last").over(along)  # a recording's hours, not its windows
+    cells = cells.withColumn("_opens", (~meets(before["prediction"], before["end_sec"], F.col("_start"))).cast("long"))
+    cells = cells.select(*cell, (F.sum(F.col("_opens") + F.col("_n")).over(along) - F.col("_n")).alias("_base"))
+    runs = rows.where("prediction = 1").join(cells, cell).withColumn("_run", F.col("_base") + F.col("_nth"))
     events = runs.groupBy(*by, "_run").agg(F.min("start_sec").alias("start_sec"), F.max("end_sec").alias("end_sec"), F.count(F.lit(1)).alias("windows"))
     return events.withColumn("sustained", F.col("windows") >= least_windows).drop("_run")
 
 
 def event_coverage(intervals: DataFrame, windows: DataFrame, seconds: float = 16.0) -> DataFrame:
     """For each interval: whether a positive window meets it, the seconds covered by positive windows, and
-    how long after its start the first of them ends. Both sides are covered by nodes of multiples of `seconds`, any
-    length of which gives the same result."""
+    how long after its start the first of them ends. Windows are cut at multiples of `seconds`, any length of which
+    gives the same result."""
     key = [*RECORDING, "start_sec", "end_sec"]
-    met = _met(intervals.select(*key).distinct(), windows.where("label = 1").select(*key), seconds, "start_sec", "end_sec", "inner").where("_shared > 0")
-    found = met.groupBy(*key).agg(F.sum("_shared").alias("covered_sec"), F.min("_b").alias("_first"))
+    met = _met(windows.where("label = 1").select(*key), intervals.select(*key).distinct(), seconds, "start_sec", "end_sec", "inner").where("_shared > 0")
+    found = met.groupBy(*RECORDING, F.col("_a").alias("start_sec"), F.col("_b").alias("end_sec")).agg(F.sum("_shared").alias("covered_sec"), F.min(met["end_sec"]).alias("_first"))
     rows = intervals.join(found, key, "left")
     return rows.select(*key, F.col("_first").isNotNull().alias("represented"), F.coalesce("covered_sec", F.lit(0.0)).alias("covered_sec"), (F.col("_first") - F.col("start_sec")).alias("delay_sec"))
 
