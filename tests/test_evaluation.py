@@ -153,3 +153,20 @@ def test_differences_and_masks(spark):
     assert R.mask_faults(m, "v", "m").count() == 1
     with pytest.raises(ValueError):
         R.require_columns(m, ["v"])
+
+
+def test_scores_round_as_sql_does(spark, tmp_path):
+    import duckdb
+
+    from tidewin.plans import evaluation_queries as Q
+
+    # Lengths and ids whose score is a half of the last digit: decimals and doubles, and their texts, part there.
+    n = 40_000
+    spark.range(n).selectExpr("id AS doc_id", "if(id % 7 = 0, 100, 500) + id % 2900 * 1 AS n_chars", "'src' || id % 9 AS source").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.range(n).selectExpr("id AS doc_id", "cast(id % 2 AS int) AS quality").write.parquet(f"{tmp_path}/labels.parquet")
+    duck = duckdb.connect()
+    for t in ("documents", "labels"):
+        duck.sql(f"create view {t} as select * from '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("pr_curve", "roc_curve"):
+        got = Q.QUERIES[name](spark, str(tmp_path))
+        assert sorted(map(tuple, got.collect())) == sorted(duck.sql(Q.ORACLES[name]).select(*got.columns).fetchall())
