@@ -121,6 +121,20 @@ def test_filters_and_channels_through_spark(spark, folder):
         E.edf(spark, str(folder[0]), channels=["C"]).collect()
 
 
+def test_splits_of_many_small_files_stand_together(tmp_path, folder, bytes_read):
+    raw = (folder[0] / "p2" / "a.edf").read_bytes()
+    (tmp_path / "p").mkdir()
+    for k in range(100):
+        (tmp_path / "p" / f"{k}.edf").write_bytes(raw)
+    reader = E.EdfReader({"path": f"file://{tmp_path}", "chunk_sec": "1", "split_bytes": "1000", "parallelism": "2"})
+    plan = reader.partitions()
+    assert len(plan) <= 10 and bytes_read == []
+    batches = [b for p in plan for b in reader.read(p)]
+    assert len(batches) == len(plan)  # not one for each row
+    rows = [(r["file"], r["channel"], r["chunk"]) for b in batches for r in b.to_pylist()]
+    assert len(rows) == len(set(rows)) == 100 * 3 * 10
+
+
 def test_digests_and_bad_files(spark, folder, tmp_path):
     import hashlib
 

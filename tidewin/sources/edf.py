@@ -8,7 +8,8 @@
 A folder holds patients' folders of files. Splits are planned from file sizes alone; a task reads its file's
 header, 256 bytes and 256 for each signal, and then only the records of the chunks that begin in its range. Filters on
 patient and file leave out splits before anything is opened, and filters on channel leave out the decoding. A chunk
-holds a fixed number of records, so no row grows with the recording, and a chunk's place follows from its number.
+holds a fixed number of records, so no row grows with the recording, and a chunk's place follows from its number. Splits
+of small files are packed into partitions, and their rows into batches, so neither tasks nor batches count files.
 Files are opened by pyarrow's file systems (local, s3, gcs, hdfs), never through the driver; `recordings.edf_files`
 reads those that only Spark can open, whole.
 """
@@ -31,6 +32,8 @@ from pyspark.sql.types import StructType
 from .recordings import UNITS, base_names, decode_header
 
 SPLIT_BYTES = 32 << 20
+#: What opening a file costs, in bytes read, when splits are packed; rows of a batch hold about BATCH_BYTES.
+OPEN_BYTES, BATCH_BYTES = 1 << 16, 4 << 20
 CHUNK_SEC = 256.0
 DIGEST_BYTES = 4 << 20
 VIEWS = {
@@ -48,7 +51,7 @@ def edf(spark: SparkSession, path: str, view: str = "signals", channels: list[st
     base, and a file without one of them is an error. A chunk lasts about `chunk_sec`, in whole records and, if
     `whole_sec` is given, in whole multiples of that."""
     register(spark)
-    rows = spark.read.format("edf").option("view", view).option("split_bytes", split_bytes).option("chunk_sec", chunk_sec)
+    rows = spark.read.format("edf").option("view", view).option("split_bytes", split_bytes).option("chunk_sec", chunk_sec).option("parallelism", spark.sparkContext.defaultParallelism)
     rows = rows.option("whole_sec", whole_sec) if whole_sec is not None else rows
     return (rows.option("channels", json.dumps(channels)) if channels is not None else rows).load(qualified(spark, path))
 
@@ -90,6 +93,7 @@ class EdfReader(DataSourceReader):
         self.seconds = float(options.get("chunk_sec", CHUNK_SEC))
         self.whole = Fraction(options["whole_sec"]) if "whole_sec" in options else None
         self.channels = json.loads(options["channels"]) if "channels" in options else None
+        self.parallelism = int(options.get("parallelism", 8))
         self.only: dict[str, list[str]] = {}
 
     def pushFilters(self, filters: list[Filter]) -> Iterator[Filter]:
@@ -105,9 +109,10 @@ class EdfReader(DataSourceReader):
         return name not in self.only or value in self.only[name]
 
     def partitions(self) -> Sequence[InputPartition]:
-        """(path, patient, file, bytes, first byte, end) by the files' sizes; no file is opened."""
+        """(path, patient, file, bytes, first byte, end, further splits of the same form) by the files' sizes; no file is
+        opened. Splits stand together up to SPLIT_BYTES, or less, so that there are some partitions for each core."""
         store, root = arrow_fs.FileSystem.from_uri(self.path)
-        out = []
+        splits = []
         for info in store.get_file_info(arrow_fs.FileSelector(root, recursive=True, allow_not_found=False)):
             parts = info.path.split("/")
             if not info.is_file or not info.path.endswith(".edf") or parts[-1].startswith("_"):
@@ -115,29 +120,50 @@ class EdfReader(DataSourceReader):
             patient, file = parts[-2], parts[-1]
             if self._wanted("patient", patient) and self._wanted("file", file):
                 step = self.split if self.view == "signals" else max(info.size, 1)
-                out += [InputPartition((info.path, patient, file, info.size, a, min(a + step, info.size))) for a in range(0, max(info.size, 1), step)]
-        return out
+                splits += [(info.path, patient, file, info.size, a, min(a + step, info.size)) for a in range(0, max(info.size, 1), step)]
+        # A header's view reads a header, whatever the file's size.
+        cost = [OPEN_BYTES + (0 if self.view == "headers" else end - begin) for *_, begin, end in splits]
+        most, out, held = min(SPLIT_BYTES, sum(cost) // (4 * self.parallelism)), [], 0
+        for split, size in zip(splits, cost, strict=True):
+            if not out or held + size > most:
+                out.append([])
+                held = 0
+            out[-1].append(split)
+            held += size
+        return [InputPartition((*first, further)) for first, *further in out]
 
     def read(self, partition: InputPartition) -> Iterator[pa.RecordBatch]:
-        path, patient, file, size, begin, end = partition.value
         store, _ = arrow_fs.FileSystem.from_uri(self.path)
-        with store.open_input_file(path) as handle:
-            if self.view == "digests":
-                digest = hashlib.sha256()
-                for at in range(0, size, DIGEST_BYTES):
-                    digest.update(handle.read_at(min(DIGEST_BYTES, size - at), at))
-                yield self._batch([[patient], [file], [path], [size], [digest.hexdigest()]])
-                return
-            head = header(handle)
-            records = self._records(head, size, file)
-            if self.view == "headers":
-                yield self._batch([[patient], [file], [path], [size], [head["sfreq"][0]], [records * int(head["signal_samples"][0])], [head["signal_label"]]])
-            else:
-                yield from self._chunks(handle, head, records, patient, file, begin, end)
+        rows, held = [], 0
+        *first, further = partition.value
+        for path, patient, file, size, begin, end in (first, *further):
+            with store.open_input_file(path) as handle:
+                for row in self._rows(handle, path, patient, file, size, begin, end):
+                    rows.append(row)
+                    held += OPEN_BYTES // 64 + (row[-1].nbytes if self.view == "signals" else 0)
+                    if held >= BATCH_BYTES:
+                        yield self._batch(rows)
+                        rows, held = [], 0
+        if rows:
+            yield self._batch(rows)
+
+    def _rows(self, handle: pa.NativeFile, path: str, patient: str, file: str, size: int, begin: int, end: int) -> Iterator[list]:
+        if self.view == "digests":
+            digest = hashlib.sha256()
+            for at in range(0, size, DIGEST_BYTES):
+                digest.update(handle.read_at(min(DIGEST_BYTES, size - at), at))
+            yield [patient, file, path, size, digest.hexdigest()]
+            return
+        head = header(handle)
+        records = self._records(head, size, file)
+        if self.view == "headers":
+            yield [patient, file, path, size, head["sfreq"][0], records * int(head["signal_samples"][0]), head["signal_label"]]
+        else:
+            yield from self._chunks(handle, head, records, patient, file, begin, end)
 
-    def _batch(self, columns: list[list]) -> pa.RecordBatch:
+    def _batch(self, rows: list[list]) -> pa.RecordBatch:
         fields = [x.rsplit(" ", 1) for x in VIEWS[self.view].split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(columns, fields, strict=True)], [n for n, _ in fields])
+        return pa.RecordBatch.from_arrays([pa.array(c, ARROW[t]) for c, (_, t) in zip(zip(*rows, strict=True), fields, strict=True)], [n for n, _ in fields])
 
     @staticmethod
     def _records(head: dict, size: int, file: str) -> int:
@@ -164,7 +190,7 @@ class EdfReader(DataSourceReader):
         least = (record / self.whole).denominator if self.whole else 1
         return least * max(1, round(Fraction(self.seconds) / record / least))
 
-    def _chunks(self, handle: pa.NativeFile, head: dict, records: int, patient: str, file: str, begin: int, end: int) -> Iterator[pa.RecordBatch]:
+    def _chunks(self, handle: pa.NativeFile, head: dict, records: int, patient: str, file: str, begin: int, end: int) -> Iterator[list]:
         sizes = [int(s) for s in head["signal_samples"]]
         width, first, places = 2 * sum(sizes), int(head["header_bytes"]), np.cumsum([0, *sizes])
         each = self._records_in_chunk(Fraction(head["record_sec"]))
@@ -179,7 +205,7 @@ class EdfReader(DataSourceReader):
             body = np.frombuffer(handle.read_at(n * width, at), "<i2").reshape(n, sum(sizes))
             for name, k in signals:
                 x = volts(body[:, places[k] : places[k + 1]].ravel(), head, k)
-                yield self._batch([[patient], [file], [name], [head["sfreq"][k]], [records * sizes[k]], [chunk], [chunk * each * sizes[k]], [x]])
+                yield [patient, file, name, head["sfreq"][k], records * sizes[k], chunk, chunk * each * sizes[k], x]
 
 
 def header(handle: pa.NativeFile) -> dict:
