@@ -84,3 +84,17 @@ def test_odd_and_empty_tables(odd, none, odd_rows):
 def test_length_is_checked(none):
     with pytest.raises(ValueError):
         S.remove_repeats(none, length=10)
+
+
+def test_bytes_of_single_strings_stay_at_home(spark, monkeypatch):
+    def without(texts, *_):
+        if texts:
+            raise ValueError("bytes came along")
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    monkeypatch.setattr(S, "HOT", 0)
+    monkeypatch.setattr(S, "tree_repeats", without)
+    passage = "".join(map(chr, np.random.default_rng(1).integers(97, 123, 150).tolist()))
+    rows = spark.createDataFrame([(k, f"{k * 7919:08d}{'ABCDE'[k]}{passage}{'ABCDE'[k]}{k * 104729:08d}") for k in range(5)], "doc_id long, text string")
+    got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove_repeats(rows).collect()}
+    assert got == {0: (0, 0)} | {k: (150, 1) for k in range(1, 5)}

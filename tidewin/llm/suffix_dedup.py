@@ -19,7 +19,8 @@ stand, and no shard ever sees more than the spans of its minimizers.
 
 Minimizers with more than HOT different spans (the rim of a passage that a third of all documents share)
 are not gathered: their spans are cut into single strings, which go to shards by their own hash and are
-settled as in step 2, with equal strings of a batch of texts settled before they are sent.
+settled as in step 2, with equal strings of a batch of texts settled before they are sent. Of such a string
+its hash travels and not its bytes: 26 bytes for each start position, which is what a larger corpus has more of.
 
 Hashes have 64 bits and are compared only within one minimizer. Defined cases: a null text is empty; a
 text under `length` bytes has no repeat; rows that share a doc_id are taken as one document and get its
@@ -292,9 +293,9 @@ def unpack(raw: bytes) -> np.ndarray:
     return out
 
 
-def _deal(found: np.ndarray, shards: int) -> tuple[list[int], list[bytes]]:
+def _deal(found: np.ndarray, shards: int, by: str = "min") -> tuple[list[int], list[bytes]]:
     """Spans packed by shard."""
-    shard = (spread(found["min"]) % _U(shards)).astype(np.int64)
+    shard = (spread(found[by]) % _U(shards)).astype(np.int64)
     order = np.argsort(shard, kind="stable")
     found, shard = found[order], shard[order]
     at = np.flatnonzero(np.r_[True, shard[1:] != shard[:-1]]) if len(found) else np.zeros(0, int)
@@ -381,27 +382,25 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def fetch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[int, list[tuple[int, int, int, int, bytes]]] = {}
-        singles: dict[bytes, tuple[int, int, int]] = {}
-        later: list[tuple[int, int]] = []
+        singles: list[np.ndarray] = []
 
         def flush() -> pa.RecordBatch:
-            for own, (doc, start, key) in singles.items():
-                held.setdefault(key % shards, []).append((key, doc, start, length, own))
-            cut = np.array(later, np.int64).reshape(-1, 2)
-            cut = _intervals(cut[:, 0], cut[:, 1], cut[:, 1] + length)
+            # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
+            first, again = settle(np.concatenate(singles) if singles else np.zeros(0, SPAN))
+            cut = _intervals(again["doc"], again["start"], again["start"] + length)
             metas, raws = [], []
             for shard in sorted(held):
                 metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
                 raws.append(b"".join(p for *_, p in held[shard]))
-            n, m = len(held), cut.num_rows
+            alone, packed = _deal(first, shards, "hash")
+            n, m = len(held) + len(alone), cut.num_rows
             near = pa.array((cut.column(0).to_numpy() % shards).astype(np.int64))
             out = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array(sorted(held), pa.int64()), near]), pa.concat_arrays([pa.array(metas, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
+                [pa.concat_arrays([pa.array([*sorted(held), *alone], pa.int64()), near]), pa.concat_arrays([pa.array(metas + packed, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws + [b""] * len(alone), pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
                 ["shard", "meta", "bytes", "doc", "cut"],
             )
             held.clear()
             singles.clear()
-            later.clear()
             return out
 
         size = 0
@@ -415,17 +414,15 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                             piece = raw[start : start + n]
                             if len(piece) < length:
                                 continue
-                            size += len(piece)
                             if not single:
+                                size += len(piece)
                                 held.setdefault(low % shards, []).append((low, doc, start, n, piece))
                                 continue
-                            for i, key in enumerate(window_hashes(np.frombuffer(piece, np.uint8), [length])[length].tolist()):
-                                # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
-                                mine, own = (doc, start + i), piece[i : i + length]
-                                kept = singles.setdefault(own, (*mine, key))
-                                if kept[:2] != mine:
-                                    later.append(max(mine, kept[:2]))
-                                    singles[own] = (*min(mine, kept[:2]), key)
+                            found = np.zeros(len(piece) - length + 1, SPAN)
+                            found["min"], found["doc"], found["start"], found["size"] = low, doc, start + np.arange(len(found)), length
+                            found["hash"] = window_hashes(np.frombuffer(piece, np.uint8), [length])[length]
+                            singles.append(found)
+                            size += found.nbytes
                         if size > BATCH_BYTES:
                             yield flush()
                             size = 0
@@ -436,8 +433,9 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             if done is not None:
                 yield done.select(["doc", "cut"])
                 continue
-            metas, raws = zip(*parts, strict=True)
-            meta, raw = np.concatenate([unpack(m) for m in metas]), b"".join(raws)
+            # Single strings come without bytes.
+            _, alone = settle(np.concatenate([np.zeros(0, SPAN), *(unpack(m) for m, r in parts if not r)]))
+            meta, raw = np.concatenate([np.zeros(0, SPAN), *(unpack(m) for m, r in parts if r)]), b"".join(r for _, r in parts)
             at = np.r_[0, np.cumsum(meta["size"])]
             order = np.lexsort((meta["start"], meta["doc"]))
             texts, doc, start, seen = [], [], [], {}
@@ -454,7 +452,7 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
                     extra.append((*where, where[1] + len(piece)))
             d, s, e = tree_repeats(texts, np.array(doc, np.int64), np.array(start, np.int64), length)
             more = np.array(extra, np.int64).reshape(-1, 3)
-            yield _intervals(np.r_[d, more[:, 0]], np.r_[s, more[:, 1]], np.r_[e, more[:, 2]])
+            yield _intervals(np.r_[d, more[:, 0], alone["doc"]], np.r_[s, more[:, 1], alone["start"]], np.r_[e, more[:, 2], alone["start"] + length])
 
     found = rows.select("doc", "text").mapInArrow(scan, "shard long, doc long, data binary")
     settled = stage(found.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
