@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions import kernels as K
 from ..functions.identity import seed_for
-from .features import per_batch, per_row
+from .features import per_batch
 
 TRIAL = "model string, drive string, noise_intensity double, substeps int, trial int, seed string, snr_db double, events int, intervals int, cv double, coherence double, valid boolean, reason string, clipped_fraction double"
 
@@ -31,10 +31,14 @@ def oscillator_trials(rows: DataFrame, keep: list[str], samples: str, identity:
             noise = np.array([[K.innovations(s, (drives.shape[1] - 1) * steps) for s in mine] for mine in seeds])
             for (label, u), level in product((("component", drives), ("none", 0 * drives)), levels):
                 paths, clipped = (K.bistable if model == "bistable" else K.fitzhugh)(u[:, None, :], sfreq, noise, level, substeps=steps)
-                for i, t in product(range(len(names)), range(trials)):
-                    path = paths[i, t]
-                    measure = K.regularity(K.transitions(path, sfreq), sfreq) if model == "bistable" else K.regularity(K.peak_events(path, sfreq), sfreq, least=3, ddof=0, shortest=0.2)
-                    yield i, {"model": model, "drive": label, "noise_intensity": level, "substeps": steps, "trial": t, "seed": str(seeds[i][t]), "snr_db": K.spectral_snr(path, sfreq, frequency[i]), "clipped_fraction": float(clipped[i, t]), **measure}
+                flat = paths.reshape(-1, paths.shape[-1])
+                if model == "bistable":
+                    measures = K.regularities([K.transitions(p, sfreq) for p in flat], sfreq)
+                else:
+                    measures = K.regularities([K.peak_events(p, sfreq) for p in flat], sfreq, least=3, ddof=0, shortest=0.2)
+                snr = K.target_ratios(flat, sfreq, np.repeat(frequency, trials)).tolist()
+                for k, (i, t) in enumerate(product(range(len(names)), range(trials))):
+                    yield i, {"model": model, "drive": label, "noise_intensity": level, "substeps": steps, "trial": t, "seed": str(seeds[i][t]), "snr_db": snr[k], "clipped_fraction": float(clipped[i, t]), **measures[k]}
 
     return per_batch(rows, keep, [samples, identity], study, TRIAL)
 
@@ -42,29 +46,35 @@ def oscillator_trials(rows: DataFrame, keep: list[str], samples: str, identity:
 def perturbation(rows: DataFrame, keep: list[str], samples: str, identity: str, sfreq: float, conditions: tuple[str, ...] = K.CONDITIONS, trials: int = 1, seed: int = 42) -> DataFrame:
     """Each signal under each condition, with what it keeps of the original: rmse, rmse over deviation, correlation."""
 
-    def apply(x: list[float], name: str) -> list[dict]:
-        signal, out = np.array(x), []
+    def study(contexts: list[list[float]], names: list[str]) -> Iterator[tuple[int, dict]]:
+        for i, condition, t, signal, changed in _changed(contexts, names, sfreq, conditions, trials, seed):
+            yield i, {"condition": condition, "trial": t, **K.preservation(signal, changed)}
+
+    return per_batch(rows, keep, [samples, identity], study, "condition string, trial int, rmse double, normalized_rmse double, correlation double")
+
+
+def _changed(contexts: list[list[float]], names: list[str], sfreq: float, conditions: tuple[str, ...], trials: int, seed: int, **how) -> Iterator[tuple[int, str, int, np.ndarray, np.ndarray]]:
+    """(row, condition, trial, signal, changed signal) of each signal under each condition, signals of a length at once."""
+    by_size: dict[int, list[int]] = {}
+    for i, x in enumerate(contexts):
+        by_size.setdefault(len(x), []).append(i)
+    for at in by_size.values():
+        signals = np.array([contexts[i] for i in at], float)
         for condition in conditions:
             for t in range(trials if condition.startswith(("noise_", "sr_")) else 1):
-                changed = K.perturbed(signal, sfreq, condition, np.random.default_rng(seed_for(seed, name, t)))
-                out.append({"condition": condition, "trial": t, **K.preservation(signal, changed)})
-        return out
-
-    return per_row(rows, keep, [samples, identity], apply, "condition string, trial int, rmse double, normalized_rmse double, correlation double")
+                rngs = [np.random.default_rng(seed_for(seed, names[i], t)) for i in at]
+                for i, signal, changed in zip(at, signals, K.all_perturbed(signals, sfreq, condition, rngs, **how), strict=True):
+                    yield i, condition, t, signal, changed
 
 
 def perturbed_signals(rows: DataFrame, keep: list[str], samples: str, identity: str, sfreq: float, conditions: tuple[str, ...] = K.CONDITIONS, trials: int = 1, seed: int = 42, **how) -> DataFrame:
     """keep, condition, trial and the changed signal itself (`samples`), for what comes after: features and scores."""
 
-    def apply(x: list[float], name: str) -> list[dict]:
-        signal = np.array(x)
-        return [
-            {"condition": c, "trial": t, "samples": K.perturbed(signal, sfreq, c, np.random.default_rng(seed_for(seed, name, t)), **how)}
-            for c in conditions
-            for t in range(trials if c.startswith(("noise_", "sr_")) else 1)
-        ]
+    def study(contexts: list[list[float]], names: list[str]) -> Iterator[tuple[int, dict]]:
+        for i, condition, t, _, changed in _changed(contexts, names, sfreq, conditions, trials, seed, **how):
+            yield i, {"condition": condition, "trial": t, "samples": changed}
 
-    return per_row(rows, keep, [samples, identity], apply, "condition string, trial int, samples array<double>")
+    return per_batch(rows, keep, [samples, identity], study, "condition string, trial int, samples array<double>")
 
 
 def context_measurements(rows: DataFrame, keep: list[str], samples: str, seed: int = 42) -> DataFrame:
