@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import shared_dir
+from ..sources.shared import bounded_batches, shared_dir  # noqa: F401
 
 T = TypeVar("T")
 
@@ -23,18 +23,6 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-#: Texts in an Arrow batch between the JVM and a Python worker.
-ARROW_BYTES = "4m"
-
-
-def bounded_batches(spark: SparkSession) -> None:
-    """Let Arrow batches of texts hold ARROW_BYTES, where the session says nothing else: at Spark's 64 MB each running task
-    takes that several times over outside the heap."""
-    key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if not spark._jsparkSession.sessionState().conf().contains(key):
-        spark.conf.set(key, ARROW_BYTES)
-
-
 def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
     """Write df as Parquet in the shared folder and read it back: later plans start from the files,
     so a lost executor costs a re-read and not the work above. Tables of ids and counts gain little from a

@@ -19,6 +19,8 @@ from . import features
 from .windows import window_size
 
 PLACE = ["chunk", "first_sample", "n_samples"]
+#: Chunks that a task filters before it gives them out.
+ROWS = 32
 
 
 def rechunked(rows: DataFrame, by: list[str], size: int) -> DataFrame:
@@ -68,7 +70,7 @@ def filtered(chunks: DataFrame, by: list[str], stages: list[K.Stage]) -> DataFra
     held = with_halos(chunks, by, halo)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, ROWS) for whole in batches for k in range(0, whole.num_rows, ROWS)):
             at = batch.schema.names.index("samples")
             places = [batch.column(c).to_pylist() for c in ("first_sample", "n_samples")]
             sides = [batch.column(c) for c in ("samples", "before", "after")]
