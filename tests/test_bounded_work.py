@@ -65,3 +65,11 @@ def test_contexts_travel_in_bounded_batches(spark):
     spark.conf.unset(key)
     Q._contexts(spark, "/root/testdata/sf0.001")
     assert spark.conf.get(key) == "4m" and H.ROWS <= 64
+
+
+def test_search_fits_each_folds_transform_once(spark, monkeypatch):
+    fits, real = [], M.FeatureTransform.fit
+    monkeypatch.setattr(M.FeatureTransform, "fit", staticmethod(lambda *a, **k: fits.append(1) or real(*a, **k)))
+    f = spark.range(60).selectExpr("concat('p', id % 2) AS patient", "cast(id % 3 = 0 AS int) AS label", "id / 3.0D AS a", "cast(id % 5 AS double) AS b")
+    found = M.random_search(f, ["a", "b"], "patient", "random_forest", {"numTrees": [1, 2], "maxDepth": [1, 2]}, 2)
+    assert len(found.collect()) == 2 and len(fits) == 2
