@@ -98,3 +98,24 @@ def test_bytes_of_single_strings_stay_at_home(spark, monkeypatch):
     rows = spark.createDataFrame([(k, f"{k * 7919:08d}{'ABCDE'[k]}{passage}{'ABCDE'[k]}{k * 104729:08d}") for k in range(5)], "doc_id long, text string")
     got = {r.doc_id: (r.n_removed, r.n_spans) for r in S.remove_repeats(rows).collect()}
     assert got == {0: (0, 0)} | {k: (150, 1) for k in range(1, 5)}
+
+
+@pytest.mark.parametrize("share", [0, 1 << 20])
+def test_small_shares_travel_together(spark, prose, monkeypatch, share):
+    import pyarrow as pa
+
+    monkeypatch.setattr(S, "SHARE_BYTES", share)
+    monkeypatch.setattr(S, "HOT", 3)
+    along = pa.RecordBatch.from_arrays([pa.array([-7, 3], pa.int64()), pa.array([b"a", b"b"])], ["doc", "cut"])
+    sent = [(k, bytes([k]), b"") for k in range(8 * S.SHARDS)]
+    packed = S.packed_rows(sent, along, 8)
+    assert packed.num_rows == 2 + (len(sent) if not share else 8)  # partitions, and not shards, if shares are small
+    table = spark.createDataFrame(pa.Table.from_batches([packed] * 3))
+    got = {}
+    for row in S.dealt(table, 8).mapInArrow(lambda b: (pa.RecordBatch.from_arrays([pa.array([parts[0][0][0]]), pa.array([len(parts)])], ["shard", "n"]) for _, parts in S.by_shard(b) if parts), "shard long, n long").collect():
+        assert row.shard not in got  # a shard's shares meet once
+        got[row.shard] = row.n
+    assert got == {k: 3 for k, *_ in sent}
+    ids, texts = rows(prose)
+    out = S.remove_repeats(spark.createDataFrame(list(zip(ids, texts, strict=True)), "doc_id long, text string").repartition(7)).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in out} == plain(ids, texts)

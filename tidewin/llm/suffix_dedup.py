@@ -49,6 +49,8 @@ RUN = 96
 HOT = 2_000
 #: Shards in a partition: a task holds one shard's arrays at a time.
 SHARDS = 8
+#: Bytes of a batch for each shard, from which on shards' shares are rows of their own.
+SHARE_BYTES = 1 << 10
 BATCH_BYTES = 4 << 20
 #: Hashing works on pieces that fit a core's cache.
 SCAN_BYTES = 1 << 18
@@ -302,23 +304,48 @@ def _deal(found: np.ndarray, shards: int, by: str = "min") -> tuple[list[int], l
     return shard[at].tolist(), [pack(p) for p in np.split(found, at[1:])] if len(found) else []
 
 
-def by_shard(batches: Iterator[pa.RecordBatch], doc: int, *data: int) -> Iterator[tuple[pa.RecordBatch | None, list[tuple[bytes, ...]]]]:
-    """Of rows sorted by shard (column 0): batches of the rows that have a document (they only travel along), and for
-    each shard the data columns of its other rows, together."""
-    parts: list[tuple[bytes, ...]] = []
+#: How what a task sends to the shards of a partition travels, beside what only travels along (doc, cut).
+_PACKED = "part int, shards array<long>, metas array<binary>, raws array<binary>, doc long, cut binary"
+
+
+def packed_rows(sent: list[tuple[int, bytes, bytes]], along: pa.RecordBatch, width: int) -> pa.RecordBatch:
+    """Rows of _PACKED for what is sent (shard, meta, raw) and for what travels along (doc, cut). A shard's share is a row
+    where shares are large; small ones go together by partition, or tasks times shards tiny rows would be sent."""
+    apart = sum(len(m) + len(r) for _, m, r in sent) >= SHARE_BYTES * SHARDS * width
+    rows: dict[int, list[tuple[int, bytes, bytes]]] = {}
+    for one in sent:
+        rows.setdefault(one[0] if apart else one[0] % width, []).append(one)
+    kinds = (pa.int64(), pa.binary(), pa.binary())
+    lists = [pa.concat_arrays([pa.array([[one[k] for one in row] for row in rows.values()], pa.list_(kind)), pa.nulls(along.num_rows, pa.list_(kind))]) for k, kind in enumerate(kinds)]
+    part = pa.concat_arrays([pa.array([shard % width for shard in rows], pa.int32()), pa.array((along.column(0).to_numpy() % width).astype(np.int32))])
+    beside = [pa.concat_arrays([pa.nulls(len(rows), kind), along.column(k)]) for k, kind in enumerate((pa.int64(), pa.binary()))]
+    return pa.RecordBatch.from_arrays([part, *lists, *beside], ["part", "shards", "metas", "raws", "doc", "cut"])
+
+
+def dealt(rows: DataFrame, width: int) -> DataFrame:
+    """Rows of _PACKED by partition, as `by_shard` takes them: rows of several shards come first."""
+    alone = F.size("shards") == 1
+    return rows.repartitionById(width, "part").sortWithinPartitions(alone, F.when(alone, F.col("shards")[0])).select("shards", "metas", "raws", "doc", "cut")
+
+
+def by_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch | None, list[tuple[bytes, bytes]]]]:
+    """Of a partition's rows: batches (doc, cut) of those that only travel along, and for each shard all its (meta, raw)
+    together. A shard's own rows are held while it lasts, and the small shares of all shards till then."""
+    held: dict[int, list[tuple[bytes, bytes]]] = {}
     current = None
     for batch in batches:
-        named = batch.column(doc).is_valid()
-        yield batch.filter(named), []
+        named = batch.column(3).is_valid()
+        yield batch.filter(named).select(["doc", "cut"]), []
         rest = batch.filter(pc.invert(named))
-        for shard, *row in zip(rest.column(0).to_pylist(), *(rest.column(k).to_pylist() for k in data), strict=True):
-            if shard != current and parts:
-                yield None, parts
-                parts = []
-            current = shard
-            parts.append(tuple(row))
-    if parts:
-        yield None, parts
+        for shards, *lists in zip(*(rest.column(k).to_pylist() for k in range(3)), strict=True):
+            if len(shards) == 1:
+                if current not in (None, shards[0]):
+                    yield None, held.pop(current)
+                current = shards[0]
+            for shard, *share in zip(shards, *lists, strict=True):
+                held.setdefault(shard, []).append(tuple(share))
+    while held:
+        yield None, held.pop(next(iter(held)))
 
 
 def _identified(column: pa.Array) -> np.ndarray:
@@ -338,10 +365,8 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             first, again = settle(np.concatenate(held) if held else np.zeros(0, SPAN))
             own = _intervals(again["doc"], again["start"], again["start"] + again["size"])
-            shard, packed = _deal(first, shards)
-            # Repeats that are settled already travel along, spread over the shards by document.
-            near = pa.array((own.column(0).to_numpy() % shards).astype(np.int64))
-            yield pa.RecordBatch.from_arrays([pa.concat_arrays([near, pa.array(shard, pa.int64())]), pa.concat_arrays([own.column(0), pa.nulls(len(shard), pa.int64())]), pa.concat_arrays([own.column(1), pa.array(packed, pa.binary())])], ["shard", "doc", "data"])
+            # Repeats that are settled already travel along, spread over the partitions by document.
+            yield packed_rows([(shard, p, b"") for shard, p in zip(*_deal(first, shards), strict=True)], own, width)
 
         size = 0
         for whole in batches:
@@ -357,12 +382,11 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         yield from flush()
 
     def copies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        # Rows come sorted by shard, so one shard's spans are held at a time.
-        for done, parts in by_shard(batches, 1, 2):
+        for done, parts in by_shard(batches):
             if done is not None:
-                yield pa.RecordBatch.from_arrays([done.column(1), done.column(2), pa.nulls(done.num_rows, pa.binary()), pa.nulls(done.num_rows, pa.binary())], ["doc", "cut", "want", "hot"])
+                yield pa.RecordBatch.from_arrays([done.column(0), done.column(1), pa.nulls(done.num_rows, pa.binary()), pa.nulls(done.num_rows, pa.binary())], ["doc", "cut", "want", "hot"])
                 continue
-            first, again = settle(np.concatenate([unpack(p) for (p,) in parts]))
+            first, again = settle(np.concatenate([unpack(p) for p, _ in parts]))
             cut = _intervals(again["doc"], again["start"], again["start"] + again["size"])
             # Different spans under one minimizer: their bytes are wanted.
             group = np.r_[0, np.cumsum(first["min"][1:] != first["min"][:-1])] if len(first) else np.zeros(0, int)
@@ -388,17 +412,9 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             # Of equal strings the earliest is sent; the others are repeats of it, whatever else there is.
             first, again = settle(np.concatenate(singles) if singles else np.zeros(0, SPAN))
             cut = _intervals(again["doc"], again["start"], again["start"] + length)
-            metas, raws = [], []
-            for shard in sorted(held):
-                metas.append(pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in held[shard]], SPAN)))
-                raws.append(b"".join(p for *_, p in held[shard]))
-            alone, packed = _deal(first, shards, "hash")
-            n, m = len(held) + len(alone), cut.num_rows
-            near = pa.array((cut.column(0).to_numpy() % shards).astype(np.int64))
-            out = pa.RecordBatch.from_arrays(
-                [pa.concat_arrays([pa.array([*sorted(held), *alone], pa.int64()), near]), pa.concat_arrays([pa.array(metas + packed, pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.array(raws + [b""] * len(alone), pa.binary()), pa.nulls(m, pa.binary())]), pa.concat_arrays([pa.nulls(n, pa.int64()), cut.column(0)]), pa.concat_arrays([pa.nulls(n, pa.binary()), cut.column(1)])],
-                ["shard", "meta", "bytes", "doc", "cut"],
-            )
+            sent = [(shard, pack(np.array([(k, 0, d, s, z, False) for k, d, s, z, _ in rows], SPAN)), b"".join(p for *_, p in rows)) for shard, rows in held.items()]
+            sent += [(shard, p, b"") for shard, p in zip(*_deal(first, shards, "hash"), strict=True)]
+            out = packed_rows(sent, cut, width)
             held.clear()
             singles.clear()
             return out
@@ -429,9 +445,9 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
         yield flush()
 
     def trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for done, parts in by_shard(batches, 3, 1, 2):
+        for done, parts in by_shard(batches):
             if done is not None:
-                yield done.select(["doc", "cut"])
+                yield done
                 continue
             # Single strings come without bytes.
             _, alone = settle(np.concatenate([np.zeros(0, SPAN), *(unpack(m) for m, r in parts if not r)]))
@@ -454,12 +470,12 @@ def repeats(rows: DataFrame, length: int = LENGTH) -> DataFrame:
             more = np.array(extra, np.int64).reshape(-1, 3)
             yield _intervals(np.r_[d, more[:, 0], alone["doc"]], np.r_[s, more[:, 1], alone["start"]], np.r_[e, more[:, 2], alone["start"] + length])
 
-    found = rows.select("doc", "text").mapInArrow(scan, "shard long, doc long, data binary")
-    settled = stage(found.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
+    found = rows.select("doc", "text").mapInArrow(scan, _PACKED)
+    settled = stage(dealt(found, width).mapInArrow(copies, "doc long, cut binary, want binary, hot binary"), "repeat-copies", "zstd")
     asked = settled.where("want is not null").groupBy("doc").agg(F.sort_array(F.collect_list(F.struct("want", "hot"))).alias("w")).select("doc", F.col("w.want").alias("wants"), F.col("w.hot").alias("hots"))
     # doc_id rides along unread: so this shuffle of the texts is the one that the caller's join needs again.
-    pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, "shard long, meta binary, bytes binary, doc long, cut binary")
-    grown = pieces.repartition(width, "shard").sortWithinPartitions("shard").mapInArrow(trees, "doc long, cut binary")
+    pieces = rows.join(asked, "doc").select("doc", "doc_id", "text", "wants", "hots").mapInArrow(fetch, _PACKED)
+    grown = dealt(pieces, width).mapInArrow(trees, "doc long, cut binary")
     return settled.where("cut is not null").select("doc", "cut").unionByName(grown)
 
 
