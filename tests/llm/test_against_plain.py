@@ -13,6 +13,7 @@ import duckdb
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from tidewin.llm import chat as C
 from tidewin.llm import decontamination as D
@@ -391,6 +392,40 @@ def plain_order(calls):
     return {c: (k, c in circle) for k, c in enumerate(order)}
 
 
+def test_small_conversations_are_ordered_where_they_arrive(spark, monkeypatch):
+    """Random graphs with circles, null turns, identifiers, conversations and dependencies: by joins alone, by both ways and
+    by one dealing out, which stages nothing but the list of larger conversations."""
+    rng, rows = np.random.default_rng(11), []
+    for conv in [*range(40), None]:
+        n = int(rng.integers(1, 12))
+        for c in range(n):
+            on = [None if rng.random() < 0.05 else f"c{d}" for d in rng.integers(0, n + 2, int(rng.choice([0, 1, 1, 2, 3])))]
+            rows.append((conv, None if rng.random() < 0.05 else f"c{c}", None if rng.random() < 0.1 else int(rng.integers(0, 6)), "f", "{}", None if rng.random() < 0.05 else on))
+    for c in range(30):
+        rows.append((77, f"c{c}", 30 - c, "f", "{}", [f"c{c - 1}"] if c else []))
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>").repartition(5)
+    results = calls.limit(0).select("conv_id", "call_id", "turn", F.col("name").alias("content"))
+    staged, real, found = [], C.stage, {}
+    monkeypatch.setattr(C, "stage", lambda df, label, *more: staged.append(label) or real(df, label, *more))
+    for few in (0, 5, 200):
+        monkeypatch.setattr(C, "FEW_CALLS", few)
+        linked = C.linked(calls, results)
+        out = C.arranged(linked, calls.select("conv_id")).select("conv_id", "turn", "call_id", "position", "cyclic", "dangling").collect()
+        assert len(out) == linked.count()
+        found[few] = sorted(map(str, out))
+    assert found[0] == found[5] == found[200]
+    staged.clear()
+    known = calls.where("conv_id is not null and call_id is not null and turn is not null")
+    got = {(r.conv_id, r.call_id): (r.position, r.cyclic) for r in C.formatted(known, results, {}).collect()}
+    assert staged == ["chat-many"]
+    by_conv = defaultdict(dict)
+    for r in known.collect():
+        by_conv[r.conv_id][r.call_id] = (r.turn, set(r.depends_on or ()))
+    for conv, graph in by_conv.items():
+        graph = {c: (t, on & set(graph)) for c, (t, on) in graph.items()}
+        assert {c: got[conv, c] for c in graph} == plain_order(graph)
+
+
 def test_settling_by_joins_is_the_peeling(spark, monkeypatch):
     """Many random graphs with chains, circles, self-loops and null turns at once, and a chain of 3,000 calls."""
     rng = np.random.default_rng(9)

@@ -2,12 +2,13 @@
 
 Calls and results are hash-joined by (conversation, identifier). A call may name calls it depends on; the
 order is topological: a call is ready at its own turn, or, where a dependency is ready no earlier, right behind it
-(its depth is one more). The usual log has no such late dependency, and its order is settled by one join. Else the
-dependencies are split into connected components, in logarithmic rounds; those with a late dependency are ordered
+(its depth is one more). Conversations of at most FEW_CALLS rows are dealt out once, and many at a time are ordered and
+numbered where they arrive; nothing else of them is shuffled. For larger ones: where a log has no such late dependency,
+its order is settled by one join. Else the dependencies are split into connected components, in logarithmic rounds; those with a late dependency are ordered
 component by component, each in linear time in one task, since a component is what a conversation's calls ask of
 each other and holds identifiers only. Components of more than MOST_CALLS calls are settled by joins instead, with the same result: chains
 of calls that depend on one other alone are contracted by doubling pointers, and only the others take rounds. A call on, or behind, a cycle is marked; such calls stand last in their conversation.
-Positions are numbered over range partitions, so a conversation with a third of all rows is spread like any other.
+Their positions are numbered over range partitions, so a conversation with a third of all rows is spread like any other.
 Arguments are parsed and checked against the tool's JSON schema, and each call with its result becomes one line of
 canonical JSON: keys sorted, no spaces, unescaped UTF-8.
 
@@ -24,6 +25,7 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -88,6 +90,8 @@ def linked(calls: DataFrame, results: DataFrame) -> DataFrame:
     )
 
 
+#: Rows of a conversation that is ordered whole where it arrives.
+FEW_CALLS = 200
 #: Calls of a component that one task orders; ids and turns take some hundred bytes each.
 MOST_CALLS = 500_000
 
@@ -254,11 +258,107 @@ def positions(rows: DataFrame, group: str, order: list[str], name: str) -> DataF
     return both.withColumn(name, (F.col("_at") - F.col("_first")).cast("long")).drop("_pid", "_nth", "_base", "_at", "_first", "_g", "_p")
 
 
+def _ranked(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
+    """Each value's place among the distinct values in ascending order (a null is -1), and those values."""
+    coded = column.dictionary_encode()
+    order = pc.sort_indices(coded.dictionary)
+    place = np.empty(len(order) + 1, np.int64)
+    place[np.asarray(order)] = np.arange(len(order))
+    place[-1] = -1
+    return place[coded.indices.fill_null(len(order)).to_numpy(zero_copy_only=False)], coded.dictionary.take(order)
+
+
+def _fanned(edge_at: np.ndarray, nodes: np.ndarray) -> np.ndarray:
+    """The places from edge_at[n] to edge_at[n + 1] of every node."""
+    size = edge_at[nodes + 1] - edge_at[nodes]
+    return np.repeat(edge_at[nodes] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+
+
+def whole_conversations(conv: pa.Array, call_id: pa.Array, turn: pa.Array, depends_on: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(position, cyclic, dangling) of the rows of whole conversations, which stand together: all of them are peeled at
+    once, the calls whose dependencies are settled round by round."""
+    n = len(conv)
+    (group, _), (turn_rank, _) = _ranked(conv), _ranked(turn)
+    asked, parent = pc.list_flatten(depends_on), pc.list_parent_indices(depends_on).to_numpy(zero_copy_only=False).astype(np.int64)
+    names, _ = _ranked(pa.concat_arrays([call_id, asked]))
+    mine, asked = names[:n], names[n:]
+    # Calls by (conversation, identifier): rows without an identifier are not found, and ask for nothing.
+    width = int(names.max(initial=0)) + 1
+    rows = np.flatnonzero(mine >= 0)
+    key = group[rows] * width + mine[rows]
+    order = np.argsort(key)
+    rows, key = rows[order], key[order]
+    parent, asked = parent[mine[parent] >= 0], asked[mine[parent] >= 0]
+    wanted = group[parent] * width + asked
+    at = np.minimum(np.searchsorted(key, wanted), max(len(key) - 1, 0))
+    found = (key[at] == wanted) & (asked >= 0) if len(parent) else np.zeros(0, bool)
+    dangling = np.zeros(n, bool)
+    dangling[parent[~found]] = True
+    edges = np.unique(rows[at[found]] * n + parent[found])  # by what is asked for
+    on, call = edges // max(n, 1), edges % max(n, 1)
+    edge_at = np.searchsorted(on, np.arange(n + 1))
+    waits = np.bincount(call, minlength=n)
+    # (ready, depth) as one number: a depth is less than n, and a null turn is before all others.
+    ready = (turn_rank + 1) * (n + 1)
+    cyclic, free = np.ones(n, bool), np.flatnonzero(waits == 0)
+    while len(free):
+        cyclic[free] = False
+        onward = _fanned(edge_at, free)
+        np.maximum.at(ready, call[onward], ready[on[onward]] + 1)
+        np.subtract.at(waits, call[onward], 1)
+        behind = np.unique(call[onward])
+        free = behind[waits[behind] == 0]
+    order = np.lexsort((turn_rank, mine, ready, cyclic, group))
+    position = np.empty(n, np.int64)
+    first = np.flatnonzero(np.r_[True, np.diff(group[order]) != 0]) if n else np.zeros(0, np.int64)
+    position[order] = np.arange(n) - np.repeat(first, np.diff(np.r_[first, n]))
+    return position, cyclic, dangling
+
+
+def arranged(rows: DataFrame, counted: DataFrame) -> DataFrame:
+    """`rows` with position, cyclic and dangling. `counted` has a conv_id for each row, or for more."""
+    many = counted.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > FEW_CALLS) | F.col("conv_id").isNull())
+    many = stage(many.select("conv_id"), "chat-many")
+    none = many.isEmpty()
+    side = small(many.where("conv_id is not null"))
+    few = rows if none else rows.where("conv_id is not null").join(side, "conv_id", "left_anti").select(*rows.columns)
+    at = [rows.columns.index(c) for c in ("conv_id", "call_id", "turn", "depends_on")]
+
+    def place(table: pa.Table) -> Iterator[pa.RecordBatch]:
+        whole = table.combine_chunks()
+        found = whole_conversations(*(whole.column(k).chunk(0) for k in at))
+        for name, values in zip(("position", "cyclic", "dangling"), found, strict=True):
+            whole = whole.append_column(name, pa.array(values))
+        yield from whole.to_batches()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []  # the last conversation so far, for it may go on in the next batch
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            conv = batch.column(at[0])
+            last = pc.index(conv, conv[batch.num_rows - 1]).as_py()
+            if last or held and held[-1].column(at[0])[0] != conv[0]:
+                if held or last:
+                    yield from place(pa.Table.from_batches([*held, batch.slice(0, last)]))
+                held = []
+            held.append(batch.slice(last))
+        if held:
+            yield from place(pa.Table.from_batches(held))
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("position", "bigint"), ("cyclic", "boolean"), ("dangling", "boolean")])
+    out = few.repartition(shuffle_width(rows.sparkSession), "conv_id").sortWithinPartitions("conv_id").mapInArrow(run, schema)
+    if none:
+        return out
+    large = stage(rows.join(side, "conv_id", "left_semi").select(*rows.columns).unionByName(rows.where("conv_id is null")), "chat-linked", "zstd")
+    large = positions(ordered(large), "conv_id", ["cyclic", "ready", "depth", "call_id", "turn"], "position")
+    return out.unionByName(large.select(*out.columns))
+
+
 def formatted(calls: DataFrame, results: DataFrame, schemas: dict[str, dict]) -> DataFrame:
     """One row for each call or orphan result: conv_id, position, call_id, name, status, dangling, cyclic,
     n_calls, n_results, valid, error and json. `schemas` is a table of the tools' parameters."""
-    rows = ordered(stage(linked(calls, results), "chat-linked", "zstd"))
-    rows = positions(rows, "conv_id", ["cyclic", "ready", "depth", "call_id", "turn"], "position")
+    rows = arranged(linked(calls, results), calls.select("conv_id").union(results.select("conv_id")))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -305,11 +405,13 @@ def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_call_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The order of calls that ask for each other, also for later ones and in circles: each order's line numbers are
     calls, and a line asks for the lines that its part and its supplier name."""
-    rows = read(spark, sf_dir, "lineitem").groupBy(F.col("l_orderkey").alias("conv_id"), F.col("l_linenumber").cast("long").alias("turn")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
+    lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
+    # Lines go out by order once; the later groupings find them there.
+    rows = lines.repartition(shuffle_width(spark), "l_orderkey").groupBy(F.col("l_orderkey").alias("conv_id"), F.col("l_linenumber").cast("long").alias("turn")).agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s"))
     line = lambda n: F.concat(F.lit("c"), n.cast("string"))
     calls = rows.select("conv_id", line(F.col("turn")).alias("call_id"), "turn", F.lit("f").alias("name"), F.lit("{}").alias("arguments"), F.array(line(F.col("p") % 11 + 1), line(F.col("s") % 9 + 1)).alias("depends_on"))
     # Two of three orders' lines don't ask for themselves.
     calls = calls.withColumn("depends_on", F.when(F.col("conv_id") % 3 > 0, F.filter("depends_on", lambda x: x != F.col("call_id"))).otherwise(F.slice("depends_on", 1, 1)))
     none = calls.limit(0).select("conv_id", "call_id", "turn", F.col("name").alias("content"))
-    found = ordered(stage(linked(calls, none), "chat-linked"))
-    return positions(found, "conv_id", ["cyclic", "ready", "depth", "call_id", "turn"], "position").select("conv_id", "call_id", "position", "dangling", "cyclic")
+    rows = linked(calls, none).select("conv_id", "call_id", "turn", "depends_on")
+    return arranged(rows, lines.select(F.col("l_orderkey").alias("conv_id"))).select("conv_id", "call_id", "position", "dangling", "cyclic")
