@@ -21,7 +21,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of texts with a five-word Jaccard similarity of 0.8 or more stays, the one with the
-    smallest id (found by prefixes and sketches and verified exactly; see near_copies for why not by SimHash)."""
+    smallest id (SimHash and its BK-trees name pairs first, prefixes and sketches what lies beyond their radius; all are
+    verified exactly, see near_copies)."""
     return simhash.deduplicate(docs)
 
 

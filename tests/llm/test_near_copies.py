@@ -2,6 +2,7 @@ import os
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from tidewin.llm import near_copies as N
 from tidewin.llm import simhash as S
@@ -97,3 +98,26 @@ def test_rows_go_only_for_their_text(spark, prose):
     rows = [(1, a), (1, b), (1, b), (2, a), (3, b), (None, c), (None, c), (None, a), (4, prose(4))]
     left = S.deduplicate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert sorted(map(tuple, left), key=str) == sorted([(1, a), (1, b), (None, c), (None, a), (4, prose(4))], key=str)
+
+
+def test_fingerprints_and_trees_come_first(spark, prose, monkeypatch):
+    """Pairs within the radius are joined by the trees alone; prefixes find what lies beyond it."""
+
+    def pair(seed, near):
+        """A text and another with one word or more changed, within the radius or beyond it."""
+        for turn in range(200):
+            words = prose(seed + turn, 300).split()
+            other = list(words)
+            for k in range(1 if near else 6):
+                other[20 + 45 * k] = f"changed{turn}"
+            a, b = " ".join(words), " ".join(other)
+            if (S.fingerprint(a) ^ S.fingerprint(b)).bit_count() <= S.RADIUS if near else (S.fingerprint(a) ^ S.fingerprint(b)).bit_count() > S.RADIUS:
+                return a, b
+
+    texts = [*pair(1000, True), *pair(2000, False), prose(1, 200)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == [0, 2, 4]
+    monkeypatch.setattr(N, "_may_reach", lambda *_: F.lit(False))
+    assert sorted(r.doc_id for r in S.deduplicate(docs).collect()) == [0, 2, 3, 4]
+    names = spark.createDataFrame([(7, 0), (3, 1), (5, 1), (9, -1)], "node long, fp long")
+    assert {tuple(r) for r in S.near_nodes(names).collect()} == {(3, 5), (3, 7)}  # the fourth differs in 63 bits or more

@@ -1,7 +1,8 @@
 """All texts with a five-word Jaccard similarity of 0.8 or more, grouped transitively, without a lossy search.
 
-At a Jaccard similarity of 0.8 the distance of two 64-bit SimHashes spreads from about 3 to over 11 bits, so
-a radius that loses no pair can't be dealt out by blocks. The search is therefore by prefixes: put every
+SimHash comes first: pairs of texts whose fingerprints lie within the radius, as the BK-trees of op9 name them, are
+verified and joined. At a Jaccard similarity of 0.8 the distance of two 64-bit SimHashes spreads from about 3 to over
+11 bits, so a radius that loses no pair can't be dealt out by blocks. What lies beyond it is found by prefixes: put every
 text's shingles in one fixed order, and two texts that reach the similarity share one of the first
 n - ceil(0.8 n) + 1 of each. Any order is exact; shingles that a sixteenth of the texts find common come last, so
 that common lines and passages rarely lie in a prefix. The first shingle that two texts share stands behind i and
@@ -11,7 +12,7 @@ only shingles of several nodes go on.
 
 A candidate pair is first bounded from above by the nodes' sketches, which count each set's shingles by hash
 bucket: two sets share at most the sum of the lesser counts. Only pairs that this bound lets through are verified
-on whole sets, so sets travel for near copies and not for texts that have a passage in common. The first round
+on whole sets, so sets travel for near copies and not for texts that have a passage in common. After the trees' pairs a round
 compares each node of a shingle only with the one there that has the fewest rare shingles before it: the text that
 the others were made from, if it is there, so a large group of near copies is joined at a cost in proportion to its
 size. The last round compares all pairs that share a shingle and are not in one component yet. No pair is left out
@@ -23,7 +24,7 @@ without a word are equal. Words and shingles are compared by 64-bit hashes.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -120,8 +121,8 @@ def common_shingles(docs: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return common[order], rank[order]
 
 
-def named(docs: DataFrame) -> DataFrame:
-    """The columns other than the text, and node, n (its number of shingles) and its sketch."""
+def named(docs: DataFrame, fingerprint: Callable[[str | None], int]) -> DataFrame:
+    """The columns other than the text, and node, n (its number of shingles), its sketch and fp, the text's fingerprint."""
     at, kept = docs.columns.index("text"), [c for c in docs.columns if c != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -129,9 +130,10 @@ def named(docs: DataFrame) -> DataFrame:
             for batch in slices(whole, at, BATCH_BYTES):
                 sets = shingle_sets(batch.column(at))
                 found = [pa.array([name(s) for s in sets], pa.int64()), pa.array([len(s) for s in sets], pa.int32()), pa.array([sketch(s) for s in sets], pa.binary())]
-                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, "node", "n", "sketch"])
+                found.append(pa.array(np.array([fingerprint(t.as_py()) for t in batch.column(at)], np.uint64).view(np.int64)))
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), *found], [*kept, "node", "n", "sketch", "fp"])
 
-    return docs.mapInArrow(run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + ", node long, n int, sketch binary")
+    return docs.mapInArrow(run, ", ".join(f"{c} {docs.schema[c].dataType.simpleString()}" for c in kept) + ", node long, n int, sketch binary, fp long")
 
 
 def shared_shingles(docs: DataFrame) -> DataFrame:
@@ -235,17 +237,23 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     return out
 
 
-def components(docs: DataFrame, keys: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that have a near copy. `docs` has the key k and text, `keys` k and `named`'s columns."""
+def components(docs: DataFrame, keys: DataFrame, likely: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that have a near copy. `docs` has the key k and text, `keys` k and `named`'s columns,
+    `likely` the pairs of nodes (a, b) to begin with. All pairs are verified."""
     shared = stage(shared_shingles(docs), "near-shared")
     nodes = keys.join(small(shared.select("node").distinct()), "node", "left_semi").groupBy("node").agg(F.min(F.struct("k", "n", "sketch")).alias("m")).select("node", "m.*")
     nodes = stage(nodes, "near-nodes")
 
-    links = joined = None
+    def reached(pairs: DataFrame) -> DataFrame:
+        asked = stage(possible(pairs, nodes), "near-pairs")
+        found = verified(asked, docs)
+        discard(asked)
+        return found
+
+    links = reached(likely)
+    joined = stage(connected_components(links), "near-components")
     for turn in range(STARS + 1):
-        rows = shared.withColumn("component", F.col("node"))
-        if joined is not None:
-            rows = shared.join(small(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
+        rows = shared.join(small(joined), "node", "left").withColumn("component", F.coalesce("component", "node"))
         open_ = rows.groupBy("h").agg(F.min(F.struct((F.col("at") / F.col("n")).alias("key"), "node", "n", "at", "component")).alias("hub"), F.min("component").alias("low"), F.max("component").alias("high"))
         open_ = open_.where("low <> high")
         if turn < STARS:
@@ -256,11 +264,9 @@ def components(docs: DataFrame, keys: DataFrame) -> DataFrame:
             met = left.join(left.toDF("h", *[f"{c}2" for c in left.columns[1:]]), "h").where("node < node2")
         met = met.where((F.col("component") != F.col("component2")) & _may_reach(F.col("n"), F.col("at"), F.col("n2"), F.col("at2")))
         pairs = met.select(F.least("node", "node2").alias("a"), F.greatest("node", "node2").alias("b")).distinct()
-        likely = stage(possible(pairs, nodes), "near-pairs")
-        found = verified(likely, docs)
-        discard(likely)
-        if joined is None or not found.isEmpty():
-            links = found if links is None else links.union(found)
+        found = reached(pairs)
+        if not found.isEmpty():
+            links = links.union(found)
             joined = stage(connected_components(links), "near-components")
     discard(shared, nodes, left)
     return joined

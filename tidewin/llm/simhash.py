@@ -122,9 +122,10 @@ class BKTree:
                     todo.append((child, onward))
 
 
-def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
-    """(member, root) links that connect what lies within the radius, at most one for each member."""
-    up = list(range(len(values)))
+def forest(values: np.ndarray, radius: int, near: bool = False) -> list[tuple[int, int]]:
+    """(member, root) links that connect what lies within the radius, at most one for each member; with `near` as many
+    pairs that lie within the radius themselves."""
+    up, met = list(range(len(values))), []
 
     def root(x: int) -> int:
         while up[x] != x:
@@ -135,11 +136,13 @@ def forest(values: np.ndarray, radius: int) -> list[tuple[int, int]]:
         for h in hits.tolist():
             if (a := root(node)) != (b := root(h)):
                 up[max(a, b)] = min(a, b)
-    return [(x, root(x)) for x in range(len(values)) if up[x] != x]
+                met.append((h, node))
+    return met if near else [(x, root(x)) for x in range(len(values)) if up[x] != x]
 
 
-def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """Links (a, b) between class representatives, enough to connect every pair within the radius."""
+def links(classes: DataFrame, radius: int = RADIUS, near: bool = False) -> DataFrame:
+    """Links (a, b) between class representatives, enough to connect every pair within the radius; with `near` each of
+    them lies within it."""
     if radius > 2:
         raise ValueError("two of four blocks agree only up to radius 2")
     block = lambda k: F.shiftrightunsigned("fp", 16 * k).bitwiseAND(F.lit(0xFFFF))
@@ -156,7 +159,7 @@ def links(classes: DataFrame, radius: int = RADIUS) -> DataFrame:
             out: list[tuple[int, int]] = []
             for i in np.flatnonzero(end - begin > 1):
                 rep = rows[3, begin[i] : end[i]]
-                out += [(int(rep[x]), int(rep[r])) for x, r in forest(rows[2, begin[i] : end[i]].view(np.uint64), radius)]
+                out += [(int(rep[x]), int(rep[r])) for x, r in forest(rows[2, begin[i] : end[i]].view(np.uint64), radius, near)]
             a, b = np.array(out, np.int64).reshape(-1, 2).T
             return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
 
@@ -191,9 +194,20 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return prints.join(known, "fp").select("doc_id", "fp", "component_id")
 
 
+def near_nodes(keys: DataFrame, radius: int = RADIUS) -> DataFrame:
+    """Pairs (a, b) of nodes that fingerprints and their BK-trees name, a below b: nodes of one fingerprint with the least of
+    them, and these within the radius. `keys` has node and fp."""
+    prints = keys.select("node", "fp").distinct()
+    classes = stage(prints.groupBy("fp").agg(F.min("node").alias("rep")), "near-classes")
+    same = prints.join(classes, "fp").where("node <> rep").select("node", "rep")
+    both = same.union(links(classes, radius, near=True)).toDF("a", "b").where("a <> b")
+    return both.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
 def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, with all their columns, less all but one of each group of texts with a five-word Jaccard
-    similarity of 0.8 or more (transitively; see near_copies): the one with the smallest id stays, and of the rows
+    similarity of 0.8 or more (transitively): fingerprints and BK-trees name pairs first, which are verified, and prefixes
+    find what lies beyond the radius (see near_copies). The one with the smallest id stays, and of the rows
     without an id one as well. A row goes only for its text, so other texts under a repeated id stay; of rows that
     are equal in id and text the one with the least hash of all columns stays. No text is sorted or aggregated,
     but for rows that are equal to another in id and text."""
@@ -202,8 +216,8 @@ def deduplicate(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     text = F.col(names[docs.columns.index(text_col)]).cast("string")
     rows = rows.withColumn("_k", F.xxhash64("_id", F.col("_id").isNull(), text))  # names a row by id and text
     texts = rows.select(F.col("_k").alias("k"), F.col("_id").alias("id"), text.alias("text"))
-    keys = stage(near_copies.named(texts), "near-keys")
-    groups = near_copies.components(texts.select("k", "text"), keys)
+    keys = stage(near_copies.named(texts, fingerprint), "near-keys")
+    groups = near_copies.components(texts.select("k", "text"), keys, near_nodes(keys))
     known = keys.join(small(groups), "node", "left").select("id", "k", F.coalesce("component", "node").alias("component"))
     first = known.groupBy("component", F.col("id").isNull().alias("none")).agg(F.min(F.struct("id", "k")).alias("row"), F.count(F.lit(1)).alias("rows"))
     several = stage(first.where("rows > 1").select(F.col("component").alias("c"), F.col("none"), F.col("row.k").alias("kept")), "near-groups")
