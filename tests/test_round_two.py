@@ -1,6 +1,7 @@
 """Repeated windows, quantiles, splits, bundles, checkpoints and the commands that use them."""
 
 import json
+import random
 import subprocess
 import sys
 
@@ -67,6 +68,17 @@ def test_quantiles_are_exact(spark):
     assert not got and T.quantiles(df, [], "v", {"m": 0.5}).first().m == pytest.approx(np.median([v for _, v in rows if v is not None]))
 
 
+def test_quantiles_and_ranks_hold_when_approximate_cuts_differ(spark, monkeypatch):
+    # Approximate percentiles go by the order in which parts arrive: a second evaluation may find other ones.
+    other = F.udf(lambda v: sorted(random.SystemRandom().sample(v, 20)), "array<double>").asNondeterministic()
+    monkeypatch.setattr(T.F, "percentile_approx", lambda value, *_: other(F.collect_list(value)))
+    rows = [(g, float(v)) for g in "ab" for v in np.random.default_rng(5).permutation(501)]
+    df = spark.createDataFrame(rows, "g string, v double").repartition(4)
+    for _ in range(3):
+        assert {r.g: (r.m, r.top) for r in T.quantiles(df, ["g"], "v", {"m": 0.5, "top": 0.9}).collect()} == {g: (250.0, 450.0) for g in "ab"}
+        assert all(r.place == r.v + 1 for r in T.ranked(df, ["g"], "v", "place").collect())
+
+
 def test_split_takes_exact_shares(spark):
     rows = spark.createDataFrame([(k, int(k % 7 == 0)) for k in range(1000)] + [(2000 + k, None) for k in range(11)], "k long, label int").repartition(6)
     out = V.stratified_split(rows, "label", "k")

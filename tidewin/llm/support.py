@@ -14,7 +14,7 @@ from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..sources.shared import bounded_batches, shared_dir  # noqa: F401
+from ..sources.shared import bounded_batches, file_system, shared_dir, stage  # noqa: F401
 
 T = TypeVar("T")
 
@@ -23,28 +23,13 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def stage(df: DataFrame, label: str, codec: str = "uncompressed") -> DataFrame:
-    """Write df as Parquet in the shared folder and read it back: later plans start from the files,
-    so a lost executor costs a re-read and not the work above. Tables of ids and counts gain little from a
-    codec, whose native buffers add up over many small files; pass one for texts. What is not discarded goes
-    when the application ends."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    df.write.option("compression", codec).parquet(path)
-    fs, at = _file_system(spark, path)
-    fs.deleteOnExit(at)
-    out = spark.read.schema(df.schema).parquet(path)
-    out._staged = path
-    return out
-
-
 def bucketed(df: DataFrame, label: str, key: str, codec: str = "zstd") -> DataFrame:
     """As `stage`, dealt into buckets by a key whose rows are few and large: a later join or cogroup by that key shuffles
     only its other side. It must be dropped by `unbucket`."""
     spark = df.sparkSession
     name = f"{label.replace('-', '_')}_{uuid.uuid4().hex}"
     path = f"{shared_dir(spark)}/{name}"
-    fs, at = _file_system(spark, path)
+    fs, at = file_system(spark, path)
     fs.deleteOnExit(at)
     df.write.bucketBy(shuffle_width(spark), key).option("compression", codec).option("path", path).format("parquet").saveAsTable(name)
     out = spark.table(name)
@@ -57,15 +42,10 @@ def unbucket(df: DataFrame) -> None:
     discard(df)
 
 
-def _file_system(spark: SparkSession, path: str):
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return at.getFileSystem(spark._jsc.hadoopConfiguration()), at
-
-
 def discard(*tables: DataFrame) -> None:
     """Delete staged tables that no plan reads any more."""
     for df in tables:
-        fs, at = _file_system(df.sparkSession, df._staged)
+        fs, at = file_system(df.sparkSession, df._staged)
         fs.delete(at, True)
 
 
