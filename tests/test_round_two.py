@@ -145,6 +145,16 @@ def test_four_arms_score_every_row(spark, tmp_path):
     assert M.parity(again, out.where("model = 'selected_kd' and seed = 2 and patient = 'p1'"), ["k"]).count() == 0
 
 
+def test_four_arms_fit_one_transform_for_each_fold(spark, monkeypatch):
+    f, fits, real = frame(spark), [], M.FeatureTransform.fit
+    monkeypatch.setattr(M.FeatureTransform, "fit", staticmethod(lambda train, columns, *a, **k: fits.append(list(columns)) or real(train, columns, *a, **k)))
+    M.four_arms(f, ["a", "b", "c", "d"], "patient", "k", ["k", "patient", "label"], (1,), 2, 1, maxIter=1, maxDepth=1, only=["p0"])
+    assert fits == [["a", "b", "c", "d"]]
+    some, alone = real(f, ["a", "b", "c", "d"], False).some(["d", "b"]), real(f, ["d", "b"])
+    assert (some.columns, some.median, some.scale) == (alone.columns, alone.median, True)
+    assert some.mean == pytest.approx(alone.mean, rel=1e-12) and some.deviation == pytest.approx(alone.deviation, rel=1e-12)
+
+
 def test_checkpoints_resume_and_replace(spark, tmp_path):
     path, keys = str(tmp_path / "t"), ["p"]
     items = spark.createDataFrame([("a", "1"), ("b", "1"), ("c", "1")], "p string, identity string")
